@@ -14,12 +14,14 @@ from .language_id import op9_rank_order
 from .mixing import op4_hypergeometric_mix
 from .mpeg_audio import op3_mpeg_audio
 from .sharding import op10_minimax_shards
+from .suffix_dedup import op5_deep_shallow
 from .warc import op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": lambda s, d: op1_html_extract(table(s, d, "pages")),
     "op3_mpeg_audio": lambda s, d: op3_mpeg_audio(table(s, d, "documents")),
     "op4_hypergeometric_mix": lambda s, d: op4_hypergeometric_mix(table(s, d, "documents")),
+    "op5_deep_shallow": lambda s, d: op5_deep_shallow(table(s, d, "documents")),
     "op6_warc": lambda s, d: op6_warc(table(s, d, "pages")),
     "op7_prefix_containment": lambda s, d: op7_prefix_containment(table(s, d, "documents"), table(s, d, "benchmark")),
     "op8_preference": lambda s, d: op8_preference(table(s, d, "conversations")),
