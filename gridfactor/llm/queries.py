@@ -10,6 +10,7 @@ from .chat_format import op8_preference
 from .common import table
 from .decontaminate import op7_prefix_containment
 from .html_extract import op1_html_extract
+from .jaccard_join import op2_combination_prefix
 from .language_id import op9_rank_order
 from .mixing import op4_hypergeometric_mix
 from .mpeg_audio import op3_mpeg_audio
@@ -19,6 +20,7 @@ from .warc import op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": lambda s, d: op1_html_extract(table(s, d, "pages")),
+    "op2_combination_prefix": lambda s, d: op2_combination_prefix(table(s, d, "documents")),
     "op3_mpeg_audio": lambda s, d: op3_mpeg_audio(table(s, d, "documents")),
     "op4_hypergeometric_mix": lambda s, d: op4_hypergeometric_mix(table(s, d, "documents")),
     "op5_deep_shallow": lambda s, d: op5_deep_shallow(table(s, d, "documents")),
