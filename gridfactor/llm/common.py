@@ -55,7 +55,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 def table_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a DataFrame's bytes (file sizes for scans); it starts no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def u64(x: int) -> np.uint64:

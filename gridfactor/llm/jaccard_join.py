@@ -12,7 +12,7 @@ distinct set once.  All exchanges below are between cells and buckets of tokens.
    the first p + g of each, where p is the usual prefix length.  So it shares a rare token there, or g + 1
    frequent ones, of which two fall into the same of g hash groups: rare tokens are indexed singly,
    frequent ones as 2-token combinations within their group.  Sets of sizes that could link have a level
-   in common.  Sets of fewer than 6 shingles link with equal sets only, so their whole set is the token.
+   in common.  Sets of very few shingles link with equal sets only, so their whole set is the token.
 4. Sets that share an index entry are candidates.  An entry's sets are tied to the first of them only;
    the connected families of these ties hold all links.  Each family's sets meet once, in one task, and
    are compared exactly: a hub with all others, until what is left can't link across components.
@@ -37,7 +37,6 @@ from pyspark.sql import functions as F
 from .common import BASE_1, SpanHash, binary_values, checkpointed, in_cells, mix, n_cells, stored, u64
 from .components import components
 
-SMALL = 6  # from this size on, sets can link without being equal at 85 per cent
 SAMPLE = 4
 LAST = np.iinfo(np.int64).max
 KEY_BYTES = 5
@@ -193,9 +192,14 @@ def _level(n: int, percent: int) -> int:
     return 1 << (p - 1).bit_length()
 
 
+def whole_only(n: int, percent: int) -> bool:
+    """Whether a set is so small that it can link with equal sets only."""
+    return n * (100 - percent) < percent
+
+
 def _entries(tokens: np.ndarray, kind: np.ndarray, percent: int, n: int) -> np.ndarray:
     """Index entries of one set of n tokens, given those and at least all others' shared ones: rare tokens singly, pairs of frequent ones."""
-    if n < SMALL:
+    if whole_only(n, percent):
         return mix(np.array([np.bitwise_xor.reduce(mix(tokens)) + u64(n)], np.uint64))
     p = n - -(-percent * n // 100) + 1
     levels = sorted({_level(n, percent), _level(n * 100 // percent, percent)})
@@ -292,7 +296,7 @@ def _index(cell_no: int, table: pa.Table, answers: pa.Table, k: int, buckets: in
         if len(got):
             entries.append(got)
             refs.append(base + int(j))
-            rows.append((2, None, base + int(j), None, int(cell.owner[j]), int(b - a), (tokens[a:b] if b - a < SMALL else tokens[a:b][kinds[a:b] > 0]).tobytes()))
+            rows.append((2, None, base + int(j), None, int(cell.owner[j]), int(b - a), (tokens[a:b] if whole_only(int(b - a), percent) else tokens[a:b][kinds[a:b] > 0]).tobytes()))
     return _found(rows + _post(entries, refs, max(1, buckets // 8)))
 
 
@@ -333,7 +337,9 @@ def _cluster(table: pa.Table, percent: int) -> pa.Table:
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = 16, family_tokens: int = 1 << 22, cells: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id."""
+    """Per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links).  percent is 80 to 99: below, small sets could share too few tokens for the prefixes."""
+    if not 80 <= percent < 100:
+        raise ValueError("percent has to be from 80 to 99")
     cells = cells or n_cells(docs, 2)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("b"))
     groups = in_cells(rows, cells, "doc_id", "b").groupBy("cell")

@@ -14,7 +14,7 @@ rows are kept, an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -94,8 +94,8 @@ def fit_profiles(docs: DataFrame, size: int = 300, fit_docs: int = 2000, id_col:
     return out
 
 
-def predict_language(docs: DataFrame, profiles: dict[str, list[int]], size: int = 300, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, lang_pred, score (1 less the share of the largest distance)."""
+def guesser(profiles: dict[str, list[int]], size: int) -> Callable[[str | None], tuple[str, float]]:
+    """A function from a text to its language and score."""
     langs = sorted(profiles, key=str.encode)
     grams = np.array([g for lang in langs for g in profiles[lang]], np.uint64)
     ranks = np.array([k for lang in langs for k in range(len(profiles[lang]))], np.int64)
@@ -105,25 +105,43 @@ def predict_language(docs: DataFrame, profiles: dict[str, list[int]], size: int
     rank[np.searchsorted(table, grams), owner] = ranks
     seen = rank < size
 
+    def guess(text: str | None) -> tuple[str, float]:
+        top = most_frequent(*ngram_counts(text), size)
+        if not len(top) or not len(table):
+            return UND, 0.0
+        at = np.minimum(np.searchsorted(table, top), len(table) - 1)
+        at[table[at] != top] = len(table)
+        far = np.where(seen[at], np.abs(rank[at] - np.arange(len(top))[:, None]), size).sum(0)
+        best = int(far.argmin())
+        return langs[best], float(1 - far[best] / (size * len(top)))
+
+    return guess
+
+
+def predict_language(docs: DataFrame, profiles: dict[str, list[int]], size: int = 300, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, lang_pred, score (1 less the share of the largest distance)."""
+    guess = guesser(profiles, size)
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = [], []
-            for text in batch["text"]:
-                top = most_frequent(*ngram_counts(text.as_py()), size)
-                if not len(top) or not len(table):
-                    names.append(UND)
-                    scores.append(0.0)
-                    continue
-                at = np.minimum(np.searchsorted(table, top), len(table) - 1)
-                at[table[at] != top] = len(table)
-                far = np.where(seen[at], np.abs(rank[at] - np.arange(len(top))[:, None]), size).sum(0)
-                best = int(far.argmin())
-                names.append(langs[best])
-                scores.append(float(1 - far[best] / (size * len(top))))
+            found = [guess(text.as_py()) for text in batch["text"]]
+            names, scores = [x for x, _ in found], [y for _, y in found]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(predict, "doc_id long, lang_pred string, score double")
 
 
+def identified(docs: DataFrame, profiles: dict[str, list[int]], least_score: float = 0.0, size: int = 300, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has a language with at least this score."""
+    guess = guesser(profiles, size)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [guess(text.as_py()) for text in batch[text_col]]
+            yield batch.filter(pa.array([lang != UND and score >= least_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op9_rank_order(docs: DataFrame) -> DataFrame:
     return predict_language(docs, fit_profiles(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
