@@ -1,13 +1,57 @@
-"""The corpus pipeline: stages that each apply one operator to what the stage before kept."""
+"""The corpus pipeline: stages that each apply one operator to what the stage before kept.
+
+A stage gets the documents that its predecessor wrote and returns rows with the columns of documents;
+the last one returns each document's place in the shards.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridfactor.llm.common import shared_dir, table
+from gridfactor.llm.decontaminate import contamination
+from gridfactor.llm.jaccard_join import jaccard_components
+from gridfactor.llm.language_id import fit_profiles, identified
+from gridfactor.llm.mixing import drawn_documents, mix_sources
+from gridfactor.llm.sharding import minimax_shards
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language go: no text, no letter in it, or hardly an n-gram that any language has."""
+    return identified(docs, fit_profiles(docs), least_score=0.1)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies (5-word shingles, similarity 0.8 or more), the document with the smallest id stays.
+
+    Of repeated rows (equal id and text) one stays; rows without an id stay.
+    """
+    found = jaccard_components(docs, k=5, percent=80)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").withColumn("__t", F.xxhash64("text"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "__t").orderBy("source", "lang"))
+    return kept.withColumn("__nth", nth).where(F.col("doc_id").isNull() | (F.col("__nth") == 1)).select(docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth of the words or more are in benchmark windows go."""
+    bad = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__t")), "left_anti")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix draws it."""
+    return drawn_documents(docs, mix_sources(docs)).select(docs.columns)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's shard and slot."""
+    return minimax_shards(docs, 16)
+
 
-STAGES: list = []
+STAGES = [("language_id", language), ("ngram_jaccard", near_duplicates), ("decontamination", decontaminated), ("mixing", mixed), ("sharding", sharded)]
+#: SQL can't express the language model, the quota tree and the minimax cuts.
 ORACLE_SQL = None
 
 
