@@ -109,7 +109,7 @@ def _snap_rows(points: DataFrame, centroids: np.ndarray) -> DataFrame:
     return points.mapInArrow(nearest, "c long, g long, d double").groupBy("c").agg(argmin("g", F.col("d")).alias("g"))
 
 
-def pivots(left: DataFrame, right: DataFrame, n: int, tolerance: float = 1e-8) -> list[tuple[int, float]]:
+def pivots(left: DataFrame, right: DataFrame, n: int, tolerance: float = 1e-7) -> list[tuple[int, float]]:
     """Points and |R| diagonals of a column-pivoted QR of Z[ik, g] = conj(left_i(g)) right_k(g), without Z.
 
     left and right are row-arrays (g, re, im).  Z^H Z is the product of two small Gram kernels, entry by

@@ -1,0 +1,126 @@
+"""Whole factorizations reproduce the exact contractions; queries match DuckDB; streams add up."""
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from gridfactor import queries
+from gridfactor.operators import matrix, supercell
+from gridfactor.plans import isdf, job, molecular
+from gridfactor.sources.catalog import Catalog
+from gridfactor.sources.config import JobConfig
+from gridfactor.streaming import running
+
+SHAPE, NG, M, OCC = (4, 3, 5), 60, 3, 2
+
+
+@pytest.fixture(scope="module")
+def crystal(spark):
+    rng = np.random.default_rng(0)
+    f = rng.normal(size=(NG, M)) + 1j * rng.normal(size=(NG, M))
+    v = rng.uniform(0.1, 1.1, NG)
+    xyz = np.array([[g // 15, g // 5 % 3, g % 5] for g in range(NG)], float)
+    phi = spark.createDataFrame([(g, f[g].real.tolist(), f[g].imag.tolist()) for g in range(NG)], "g long, re array<double>, im array<double>")
+    kernel = spark.createDataFrame([(g, float(v[g])) for g in range(NG)], "g long, v double")
+    grid = spark.createDataFrame([(g, *map(float, xyz[g])) for g in range(NG)], "g long, x double, y double, z double")
+    weights = spark.createDataFrame([(g, float((abs(f[g]) ** 2).sum())) for g in range(NG)], "g long, w double")
+    return f, v, phi, kernel, grid, weights
+
+
+def transformed(x, backward=False):
+    return np.array([(np.fft.ifftn(r.reshape(SHAPE)) * NG if backward else np.fft.fftn(r.reshape(SHAPE))).ravel() for r in x])
+
+
+def test_full_and_half_job(spark, crystal, tmp_path):
+    f, v, phi, kernel, grid, weights = crystal
+    config = JobConfig("orbitals", 3, f"file://{tmp_path}/out", half_rotated=True, thc_half_cfac=2, solver="qrcp")
+    got = job.run_job(spark, config, phi, grid, weights, kernel, SHAPE, OCC)
+    full = got["full"]
+    z = np.array([f[:, i].conj() * f[:, k] for i in range(M) for k in range(M)])
+    zg = transformed(z)
+    exact = (zg.conj() * v) @ zg.T
+    zu = z[:, full.points]
+    np.testing.assert_allclose(zu.conj() @ full.m @ zu.T, exact, atol=1e-8 * abs(exact).max())
+    assert full.rank == 9 and np.abs(got["luv"] @ got["luv"].conj().T - full.m).max() < 1e-8 * abs(full.m).max()
+
+    half = got["half"]
+    zo = np.array([f[:, i].conj() * f[:, k] for i in range(OCC) for k in range(M)])
+    exact = (transformed(zo, True) * v) @ transformed(zo).T
+    zu = zo[:, half.points]
+    np.testing.assert_allclose(zu @ half.m @ zu.T, exact, atol=1e-8 * abs(exact).max())
+
+    out = Catalog(spark, f"file://{tmp_path}/out")
+    names = {r.name for r in out.names().collect()}
+    assert {"Hamiltonian/THC/Luv", "Hamiltonian/THC/HalfTransformedMuv", "Hamiltonian/THC/Orbitals", "Hamiltonian/THC/HalfTransformedOccOrbitals"} <= names
+    np.testing.assert_allclose(matrix.local(out.load("Hamiltonian/THC/Luv"), 9, 9), got["luv"], atol=1e-12)
+
+
+def test_points_only(spark, crystal):
+    _, _, phi, kernel, grid, weights = crystal
+    config = JobConfig("orbitals", 2, find_interp_vec=False, solver="kmeans", max_it=30)
+    assert len(job.run_job(spark, config, phi, grid, weights, kernel, SHAPE, OCC)["points"]) == 6
+
+
+def test_molecular(spark):
+    rng = np.random.default_rng(5)
+    points, orbitals, aux = 10, 4, 7
+    eta, df = rng.normal(size=(points, orbitals)), rng.normal(size=(aux, orbitals, orbitals))
+    df = df + df.transpose(0, 2, 1)
+    e = matrix.from_local(spark, eta).select(F.col("i").alias("u"), F.col("j").alias("i"), "v")
+    d = spark.createDataFrame([(a, i, k, float(df[a, i, k])) for a in range(aux) for i in range(orbitals) for k in range(orbitals)], "l long, i long, k long, v double")
+    b = matrix.local(molecular.fit_b(d, e), aux, points)
+    np.testing.assert_allclose(b, np.einsum("lik,ui,uk->lu", df, eta, eta), atol=1e-10)
+    factor, m = molecular.factorize(e, d, points, aux)
+    assert factor.shape == (aux, points)
+    exact = np.einsum("lik,ljm->ikjm", df, df)
+    np.testing.assert_allclose(np.einsum("ui,uk,uv,vj,vm->ikjm", eta, eta, m, eta, eta), exact, atol=1e-8 * abs(exact).max())
+
+
+def test_supercell(spark):
+    lattice = spark.createDataFrame([(0, 2.0, 0.0, 0.0), (1, 0.0, 3.0, 0.0), (2, 0.5, 0.0, 1.0)], "axis int, x double, y double, z double")
+    got = {r.r: (r.x, r.y, r.z) for r in supercell.translation_vectors(spark, (2, 1, 3), lattice).collect()}
+    want = [(2.0 * a + 0.5 * c, 0.0, 1.0 * c) for a in range(2) for c in range(3)]
+    assert [got[k] for k in range(6)] == want
+    k = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, np.pi / 2, 0.0, 0.0)], "k long, x double, y double, z double")
+    cells = supercell.translation_vectors(spark, (2, 1, 1), lattice)
+    ph = supercell.phases(cells, k, 2)
+    unit = spark.createDataFrame([(q, 0, 0, 1.0, 0.0) for q in range(2)], "k long, p long, q long, re double, im double")
+    a = {(r.r, r.s): complex(r.re, r.im) for r in supercell.to_supercell(unit, ph).collect()}
+    np.testing.assert_allclose([[a[r, s] for s in range(2)] for r in range(2)], np.eye(2), atol=1e-12)
+
+
+def test_stream(spark, sf, tmp_path):
+    source = tmp_path / "in"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows.repartition(3).write.parquet(f"file://{source}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{source}")
+    running.running_gram(stream, "embedding", f"file://{tmp_path}/g", f"file://{tmp_path}/c").awaitTermination()
+    got = matrix.local(running.current_gram(spark, f"file://{tmp_path}/g"), 64, 64)
+    np.testing.assert_allclose(got, matrix.local(matrix.gram_of_rows(rows, "embedding"), 64, 64), atol=1e-9)
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    con = duckdb.connect()
+    for t in ("nation", "customer", "supplier", "part", "orders", "lineitem", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"rank_one_products", "orbital_pairs", "kmeans_points"}))
+def test_query(spark, sf, duck, name):
+    got = queries.QUERIES[name](spark, sf).toPandas()
+    assert len(got)
+    if name in queries.ORACLE_SQL:
+        want = duck.execute(queries.ORACLE_SQL[name]).df()
+        columns = sorted(got.columns)
+        assert columns == sorted(want.columns)
+        a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (got, want))
+        assert a.astype(str).equals(b.astype(str))
+
+
+def test_entry(spark):
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert entry.entry(spark).columns == ["i", "j", "v"]
