@@ -107,7 +107,7 @@ def mix_sources(docs: DataFrame, n_shards: int = 64, docs_per_block: int = 512,
 
 
 def drawn_documents(docs: DataFrame, mix: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The mix itself: each row of docs as often as it is drawn, with its `shard` and `place`, by which a shard's rows are to be sorted.
+    """The mix itself: each row of docs as often as it is drawn, with `mix_shard` and `mix_place`, by which a shard's rows are to be sorted (columns of docs with these names are replaced).
 
     mix: mix_sources(docs, seed=seed).  Rows that agree in id and text are told apart by their order.
     """
@@ -116,14 +116,14 @@ def drawn_documents(docs: DataFrame, mix: DataFrame, seed: int = 0, id_col: str
     rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(id_col, "__k").orderBy(F.lit(0))))
     rows = rows.join(lists, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__h")))
     rows = rows.withColumn("__d", F.explode(F.element_at("__lists", F.col("__nth"))))
-    rows = rows.withColumn("shard", F.col("__d.shard")).withColumn("place", F.xxhash64("shard", "__k", "__d.pass"))
-    return rows.select(*docs.columns, "shard", "place")
+    mine = [c for c in docs.columns if c not in ("mix_shard", "mix_place")]
+    return rows.select(*mine, F.col("__d.shard").alias("mix_shard"), F.xxhash64("__d.shard", "__k", "__d.pass").alias("mix_place"))
 
 
 def write_mix(docs: DataFrame, mix: DataFrame, path: str, seed: int = 0) -> None:
     """Write the drawn documents as Parquet, a folder per shard, each file in shuffled order."""
     out = drawn_documents(docs, mix, seed)
-    out.repartition("shard", F.pmod("place", F.lit(8))).sortWithinPartitions("shard", "place").drop("place").write.partitionBy("shard").parquet(path)
+    out.repartition("mix_shard", F.pmod("mix_place", F.lit(8))).sortWithinPartitions("mix_shard", "mix_place").drop("mix_place").write.partitionBy("mix_shard").parquet(path)
 
 
 def op4_hypergeometric_mix(docs: DataFrame) -> DataFrame:
