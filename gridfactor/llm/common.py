@@ -53,11 +53,6 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a DataFrame's bytes (file sizes for scans); it starts no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def u64(x: int) -> np.uint64:
     return np.uint64(x & 0xFFFFFFFFFFFFFFFF)
 
@@ -112,9 +107,10 @@ def binary_values(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]] if len(off) else raw[:0], off - off[0] if len(off) else np.zeros(1, np.int64)
 
 
-def n_cells(df: DataFrame, cell_mb: int = 12, least: int = 4) -> int:
-    """Cells of about cell_mb MB each of Parquet input: their number grows with the table, a cell doesn't."""
-    return max(least, -(-table_bytes(df) // (cell_mb << 20)))
+def n_cells(df: DataFrame, text_col: str, cell_mb: int = 4, least: int = 4) -> int:
+    """Cells of about cell_mb MB of text each: their number grows with the table, a cell doesn't."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text_col).cast("long")), F.lit(0))).first()[0]
+    return max(least, -(-size // (cell_mb << 20)))
 
 
 def in_cells(df: DataFrame, cells: int, *keys: str) -> DataFrame:

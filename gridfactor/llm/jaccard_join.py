@@ -6,8 +6,8 @@ distinct set once.  All exchanges below are between cells and buckets of tokens.
 
 1. A quarter of all tokens (by hash) is counted.  A set with so many tokens that no other set has that
    the rest can't reach the threshold is out: exact, whatever the sample.
-2. For the sets left, all tokens are counted and classed: in one set only, rare, frequent (in more than
-   `frequent` sets).  Tokens are ordered by class, then hash.
+2. For the sets left, all tokens are counted.  Tokens are ordered by rarity (the number of sets, in a
+   byte), then hash, and are classed: in one set only, rare, frequent (in more than `frequent` sets).
 3. For a level g (a power of two, from the set's size), a linked pair shares at least g + 1 tokens among
    the first p + g of each, where p is the usual prefix length.  So it shares a rare token there, or g + 1
    frequent ones, of which two fall into the same of g hash groups: rare tokens are indexed singly,
@@ -40,6 +40,7 @@ from .components import components
 SAMPLE = 4
 LAST = np.iinfo(np.int64).max
 KEY_BYTES = 5
+EXACT = 96
 SENT = "kind int, bucket int, cell int, data binary"
 #: Lower case of A-Z, and the bytes that separate words.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -139,8 +140,8 @@ def _send_counts(kind: int, cell: int, tokens: np.ndarray, buckets: int) -> list
     return out
 
 
-def _answer_counts(bucket: int, table: pa.Table, frequent: int) -> pa.Table:
-    """For each cell, two bits for each token it sent: in several sets; in more than `frequent`."""
+def _answer_counts(bucket: int, table: pa.Table) -> pa.Table:
+    """For each cell, a byte for each token it sent: its rarity()."""
     cells, blobs, kinds = table["cell"].to_pylist(), table["data"].to_pylist(), table["kind"].to_pylist()
     keys, counts, sizes = [], [], []
     for blob in blobs:
@@ -159,18 +160,21 @@ def _answer_counts(bucket: int, table: pa.Table, frequent: int) -> pa.Table:
     total[order] = np.repeat(np.add.reduceat(count[order], head), np.diff(np.append(head, len(order))))
     out, ends = [], np.cumsum(sizes)
     for kind, c, n, e in zip(kinds, cells, sizes, ends):
-        mine = total[e - n : e]
-        out.append((kind, bucket, c, np.packbits(mine > 1).tobytes() + np.packbits(mine > frequent).tobytes()))
+        out.append((kind, bucket, c, rarity(total[e - n : e]).tobytes()))
     return _rows(out)
 
 
-def _classes(distinct: np.ndarray, answers: dict[int, bytes], buckets: int) -> np.ndarray:
-    """0, 1 or 2 for each distinct token: in one set, rare, frequent."""
-    out = np.zeros(len(distinct), np.int8)
+def rarity(sets: np.ndarray) -> np.ndarray:
+    """The number of sets that have a token, in a byte: exact up to EXACT, then eight steps for each doubling."""
+    beyond = EXACT + np.floor(8 * np.log2(np.maximum(sets, 1) / EXACT)) + 1
+    return np.where(sets <= EXACT, sets, np.minimum(beyond, 255)).astype(np.uint8)
+
+
+def _rarities(distinct: np.ndarray, answers: dict[int, bytes], buckets: int) -> np.ndarray:
+    """rarity() of each distinct token; 1 is a token of one set alone."""
+    out = np.zeros(len(distinct), np.uint8)
     for bucket, at in _by_bucket(distinct, buckets):
-        bits = np.frombuffer(answers[bucket], np.uint8)
-        half = len(bits) // 2
-        out[at] = np.unpackbits(bits[:half], count=len(at)) + np.unpackbits(bits[half:], count=len(at))
+        out[at] = np.frombuffer(answers[bucket], np.uint8)
     return out
 
 
@@ -181,7 +185,7 @@ def _alive(cell: Cell, answers: dict[int, bytes], buckets: int, percent: int) ->
     picked = tokens % np.uint64(SAMPLE) == 0
     distinct, of = np.unique(tokens[picked], return_inverse=True)
     own = np.zeros(len(tokens) + 1, np.int64)
-    own[1:][picked] = _classes(distinct, answers, buckets)[of] == 0
+    own[1:][picked] = _rarities(distinct, answers, buckets)[of] == 1
     own = np.cumsum(own)
     n = cell.sizes[which]
     return which[own[ends[1:]] - own[ends[:-1]] <= n - -(-percent * n // 100)]
@@ -197,17 +201,20 @@ def whole_only(n: int, percent: int) -> bool:
     return n * (100 - percent) < percent
 
 
-def _entries(tokens: np.ndarray, kind: np.ndarray, percent: int, n: int) -> np.ndarray:
+def _entries(tokens: np.ndarray, rare: np.ndarray, frequent: int, percent: int, n: int) -> np.ndarray:
     """Index entries of one set of n tokens, given those and at least all others' shared ones: rare tokens singly, pairs of frequent ones."""
     if whole_only(n, percent):
         return mix(np.array([np.bitwise_xor.reduce(mix(tokens)) + u64(n)], np.uint64))
     p = n - -(-percent * n // 100) + 1
     levels = sorted({_level(n, percent), _level(n * 100 // percent, percent)})
-    rare, heavy = tokens[kind == 1], tokens[kind == 2]
-    own = n - len(rare) - len(heavy)
-    out = [rare[: max(0, p + levels[-1] - own)]]
+    tokens, rare = tokens[rare > 1], rare[rare > 1]
+    order = np.lexsort((tokens, rare))
+    tokens, rare = tokens[order], rare[order]
+    own = n - len(tokens)  # the first in order
+    few, heavy = tokens[rare <= frequent], tokens[rare > frequent]
+    out = [few[: max(0, p + levels[-1] - own)]]
     for g in levels:
-        have = heavy[: max(0, p + g - own - len(rare))]
+        have = heavy[: max(0, p + g - own - len(few))]
         if len(have) > 1:
             group = (have >> np.uint64(17)) & np.uint64(g - 1)
             order = np.argsort(group, kind="stable")
@@ -275,7 +282,7 @@ def _post(entries: list[np.ndarray], refs: list[int], buckets: int) -> list[tupl
     return out
 
 
-def _index(cell_no: int, table: pa.Table, answers: pa.Table, k: int, buckets: int, percent: int) -> pa.Table:
+def _index(cell_no: int, table: pa.Table, answers: pa.Table, k: int, buckets: int, percent: int, frequent: int) -> pa.Table:
     """Kind 0: a row for each document; 1: index entries; 2: sets that have entries, without tokens of their own."""
     if not table.num_rows:
         return _found([])
@@ -286,17 +293,17 @@ def _index(cell_no: int, table: pa.Table, answers: pa.Table, k: int, buckets: in
     which = _alive(cell, given[0], buckets, percent)
     tokens, ends = cell.tokens(which)
     distinct, of = np.unique(tokens, return_inverse=True)
-    kinds = _classes(distinct, given[1], buckets)[of]
+    rare = _rarities(distinct, given[1], buckets)[of]
     base = cell_no << 32
     raw_ids = table["doc_id"].combine_chunks()
     rows = [(0, None, base + int(j), raw_ids[r].as_py(), int(cell.owner[j]), int(cell.sizes[j]), None) for r, j in enumerate(cell.of)]
     entries, refs = [], []
     for j, a, b in zip(which, ends[:-1], ends[1:]):
-        got = _entries(tokens[a:b], kinds[a:b], percent, int(b - a))
+        got = _entries(tokens[a:b], rare[a:b], frequent, percent, int(b - a))
         if len(got):
             entries.append(got)
             refs.append(base + int(j))
-            rows.append((2, None, base + int(j), None, int(cell.owner[j]), int(b - a), (tokens[a:b] if whole_only(int(b - a), percent) else tokens[a:b][kinds[a:b] > 0]).tobytes()))
+            rows.append((2, None, base + int(j), None, int(cell.owner[j]), int(b - a), (tokens[a:b] if whole_only(int(b - a), percent) else tokens[a:b][rare[a:b] > 1]).tobytes()))
     return _found(rows + _post(entries, refs, max(1, buckets // 8)))
 
 
@@ -340,7 +347,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links).  percent is 80 to 99: below, small sets could share too few tokens for the prefixes."""
     if not 80 <= percent < 100:
         raise ValueError("percent has to be from 80 to 99")
-    cells = cells or n_cells(docs, 2)
+    cells = cells or n_cells(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("b"))
     groups = in_cells(rows, cells, "doc_id", "b").groupBy("cell")
 
@@ -354,11 +361,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent:
         given = dict(zip(answers["bucket"].to_pylist(), answers["data"].to_pylist()))
         return _rows(_send_counts(1, key[0].as_py(), cell.tokens(_alive(cell, given, cells, percent))[0], cells))
 
-    answer = lambda df: df.groupBy("bucket").applyInArrow(lambda key, t: _answer_counts(key[0].as_py(), t, frequent), SENT)
+    answer = lambda df: df.groupBy("bucket").applyInArrow(lambda key, t: _answer_counts(key[0].as_py(), t), SENT)
     first = answer(groups.applyInArrow(sample, SENT))
     second = answer(groups.cogroup(first.groupBy("cell")).applyInArrow(count, SENT))
     both = first.unionByName(second)
-    found = stored(groups.cogroup(both.groupBy("cell")).applyInArrow(lambda key, t, a: _index(key[0].as_py(), t, a, k, cells, percent), FOUND))
+    found = stored(groups.cogroup(both.groupBy("cell")).applyInArrow(lambda key, t, a: _index(key[0].as_py(), t, a, k, cells, percent, frequent), FOUND))
 
     ties = found.where("kind = 1").groupBy("bucket").applyInArrow(lambda key, t: _ties(t), "a long, b long")
     sets = found.where("kind = 2").select("ref", "owner", "n", "data")
@@ -422,11 +429,11 @@ def _ties_of(sets: DataFrame, percent: int, frequent: int) -> DataFrame:
             for ref, n, tokens, kinds in zip(*(batch[c].to_pylist() for c in ("ref", "n", "tokens", "kinds"))):
                 t = np.array(tokens, np.int64).view(np.uint64)
                 by = np.argsort(t)
-                keys = _entries(t[by], np.array(kinds)[by], percent, n).view(np.int64)
+                keys = _entries(t[by], np.array(kinds)[by], frequent, percent, n).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), ref)), pa.array(keys)], ["ref", "key"])
 
     rows = stored(sets.mapInArrow(unnest, "ref long, token long"))
-    kinds = rows.groupBy("token").agg(F.when(F.count("*") == 1, 0).when(F.count("*") <= frequent, 1).otherwise(2).alias("kind"))
+    kinds = rows.groupBy("token").agg(F.least(F.count("*"), F.lit(255)).cast("int").alias("kind"))
     lists = rows.join(kinds, "token").groupBy("ref").agg(F.collect_list("token").alias("tokens"), F.collect_list("kind").alias("kinds"))
     keys = stored(lists.join(sets.select("ref", "n"), "ref").mapInArrow(entries, "ref long, key long"))
     first = keys.groupBy("key").agg(F.min("ref").alias("a"))

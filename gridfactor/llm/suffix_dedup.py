@@ -315,7 +315,7 @@ def _removed(table: pa.Table, answers: pa.Table, with_bytes: bool) -> pa.Table:
 
 def remove_repeats(docs: DataFrame, with_bytes: bool = True, cells: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_bytes the bytes `kept` and the removed spans' ends `removed` (start, end, start, ...)."""
-    cells = cells or n_cells(docs, 2)
+    cells = cells or n_cells(docs, text_col)
     buckets = cells
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("b"))
     rows = in_cells(rows, cells, "doc_id", "b")
