@@ -31,4 +31,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minimax_shards": lambda s, d: op10_minimax_shards(table(s, d, "documents")),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(pattern: str) -> str:
+    return f"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{pattern}')"
+
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[{k // 4 + 1}] >> {15 - 5 * (k % 4)}) & 31) + 1, 1)" for k in range(32))
+_PIECE = "'<|' || replace(coalesce(role, ''), '<|', '< |') || '|>' || chr(10)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_combination_prefix": f"""WITH RECURSIVE d AS (SELECT doc_id, {_words(r"[^\x20\x09-\x0D]+")} AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM d),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+ l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (x) JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id WHERE a.doc_id <> b.doc_id GROUP BY 1, 2, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+ r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = d.doc_id), d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id)""",
+    "op5_deep_shallow": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ w AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 49)) AS s, unnest([substr(h, 2 * s + 1, 100) FOR s IN range(0, length(h) // 2 - 49)]) AS x FROM d),
+ g AS (SELECT doc_id, s FROM w JOIN (SELECT x, min(doc_id) AS m FROM w GROUP BY 1) USING (x) WHERE m < doc_id),
+ i AS (SELECT doc_id, s, CASE WHEN s > coalesce(max(s + 50) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN 1 ELSE 0 END AS new FROM g),
+ j AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM i),
+ spans AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS b FROM j GROUP BY doc_id, k),
+ cuts AS (SELECT doc_id, b AS p, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS q FROM spans UNION ALL SELECT doc_id, 0, min(a) FROM spans GROUP BY 1),
+ kept AS (SELECT doc_id, string_agg(substr(h, 2 * p + 1, 2 * (coalesce(q, length(h) // 2) - p)), '' ORDER BY p) AS k FROM cuts JOIN d USING (doc_id) GROUP BY 1),
+ t AS (SELECT doc_id, sum(b - a) AS n, count(*) AS c FROM spans GROUP BY 1)
+ SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op6_warc": f"""WITH p AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+ q AS (SELECT *, [CAST('0x' || substr(h, 5 * k + 1, 5) AS BIGINT) FOR k IN range(0, 8)] AS v, min(page_id) OVER (PARTITION BY h) AS m FROM p)
+ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to, url FROM q""",
+    "op7_prefix_containment": f"""WITH d AS (SELECT doc_id, {_words(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS w FROM documents),
+ i AS (SELECT item_id, {_words(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS w FROM benchmark),
+ win AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[s:s + least(13, len(w)) - 1], ' ') AS x FROM i, unnest(range(1, greatest(1, len(w) - 12) + 1)) t(s) WHERE len(w) > 0),
+ dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS s, unnest([array_to_string(w[s:s + n - 1], ' ') FOR s IN range(1, len(w) - n + 2)]) AS x FROM d, (SELECT DISTINCT n FROM win)),
+ h AS (SELECT doc_id, s, n, item_id FROM dw JOIN win USING (x, n)),
+ c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT doc_id, s, n FROM h)) GROUP BY 1),
+ l AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY 1)
+ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)""",
+    "op8_preference": f"""WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, role, text, {_PIECE} AS head, replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body FROM conversations WHERE conv_id IS NOT NULL),
+ n AS (SELECT pair_id, min(conv_id) FILTER (side = 0) AS chosen_id, min(conv_id) FILTER (side = 1) AS rejected_id, least(count(*) FILTER (side = 0), count(*) FILTER (side = 1)) AS least FROM t GROUP BY 1),
+ m AS (SELECT a.pair_id, min(a.k) - 1 AS m FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.k = b.k AND a.side = 0 AND b.side = 1 WHERE a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text GROUP BY 1),
+ p AS (SELECT n.*, coalesce(m, least) AS np FROM n LEFT JOIN m USING (pair_id)),
+ u AS (SELECT t.*, np, coalesce(sum(CASE WHEN k > np THEN length(head) + length(body) END) OVER (PARTITION BY pair_id, side ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM t JOIN p USING (pair_id)),
+ v AS (SELECT pair_id, string_agg(head || body, '' ORDER BY k) FILTER (side = 0 AND k <= np) AS prompt, string_agg(head || body, '' ORDER BY k) FILTER (side = 0 AND k > np) AS c, string_agg(head || body, '' ORDER BY k) FILTER (side = 1 AND k > np) AS r,
+  string_agg((pos + length(head)) || '-' || (pos + length(head) + length(body)), ' ' ORDER BY k) FILTER (side = 0 AND k > np AND role = 'assistant') AS cm, string_agg((pos + length(head)) || '-' || (pos + length(head) + length(body)), ' ' ORDER BY k) FILTER (side = 1 AND k > np AND role = 'assistant') AS rm FROM u GROUP BY 1)
+ SELECT pair_id, chosen_id, rejected_id, CAST(np AS INTEGER) AS n_prompt_turns, coalesce(prompt, '') AS prompt, CASE WHEN chosen_id IS NOT NULL THEN coalesce(c, '') END AS chosen, CASE WHEN rejected_id IS NOT NULL THEN coalesce(r, '') END AS rejected, CASE WHEN chosen_id IS NOT NULL THEN coalesce(cm, '') END AS chosen_mask, CASE WHEN rejected_id IS NOT NULL THEN coalesce(rm, '') END AS rejected_mask FROM p JOIN v USING (pair_id)""",
+}
