@@ -159,6 +159,16 @@ def gathered_in_order(a: DataFrame, indices: DataFrame) -> DataFrame:
     return a.join(indices, a["j"] == indices["g"]).select("i", F.col("pos").alias("j"), *values_of(a))
 
 
+def masked_columns(a: DataFrame, flags: DataFrame) -> DataFrame:
+    """The columns whose flag in flags(j, flag) is positive, under their own index."""
+    return a.join(flags.where("flag > 0").select("j"), "j", "left_semi").select("i", "j", *values_of(a))
+
+
+def by_numeric_name(a: DataFrame, name: str) -> DataFrame:
+    """Rows in the numeric order of a text key; keys that aren't numbers come last."""
+    return a.orderBy(F.col(name).try_cast("bigint").asc_nulls_last(), name)
+
+
 def column_products(p: DataFrame) -> DataFrame:
     """(i, k, l, v): P[i, l] * P[k, l], each column's outer product with itself."""
     left = p.select(F.col("j").alias("l"), "i", "v")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import conj, pair, phase, times
+from .matrix import from_local, local
+from .solve import generalized_eigh
 
 
 def translation_vectors(spark: SparkSession, mesh: tuple[int, int, int], lattice: DataFrame) -> DataFrame:
@@ -47,3 +50,43 @@ def orbitals_to_supercell(coefficients: DataFrame, phase_table: DataFrame) -> Da
     re, im = times(pair("pr", "pi"), pair("re", "im"))
     rows = coefficients.join(phase_table.select("r", "k", F.col("re").alias("pr"), F.col("im").alias("pi")), "k")
     return rows.select("r", "p", "k", "m", "e", re.alias("re"), im.alias("im"))
+
+
+def gamma_orbitals(orbitals: DataFrame, overlap: np.ndarray, n_ao: int, threshold: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Real supercell orbitals from orbitals_to_supercell(): energies in order, and coefficients (ao, orbital).
+
+    Orbitals are ordered by energy, k-point and number.  Those that stand apart from both neighbours are real
+    up to a phase, which is turned away; groups of near-degenerate ones are rotated so that they are real,
+    by diagonalizing the energy in the space of their real and imaginary parts.  overlap is real (ao, ao).
+    """
+    order = orbitals.select("k", "m", "e").distinct().orderBy("e", "k", "m").collect()  # a row per orbital
+    place = {(r.k, r.m): j for j, r in enumerate(order)}
+    e = np.array([r.e for r in order])
+    c = np.zeros((n_ao, len(order)), np.complex128)
+    for r in orbitals.collect():
+        c[r.r * (n_ao // max(1, len({q.k for q in order}))) + r.p, place[r.k, r.m]] = complex(r.re, r.im)
+    out = np.zeros((n_ao, len(order)))
+    a = 0
+    while a < len(e):
+        b = a + 1
+        while b < len(e) and e[b] - e[b - 1] < threshold:
+            b += 1
+        block = c[:, a:b]
+        if b - a == 1:
+            k = abs(block[:, 0]).argmax()
+            out[:, a] = (block[:, 0] * np.exp(-1j * np.angle(block[k, 0]))).real
+        else:
+            density = (block @ block.conj().T).real
+            energy = ((block * e[a:b]) @ block.conj().T).real
+            # inside the group's space: eigenvectors of the density that belong to it, then of the energy
+            _, v = generalized_eigh(-overlap @ density @ overlap, overlap)
+            v = v[:, : b - a]
+            e[a:b], u = np.linalg.eigh(v.T @ overlap @ energy @ overlap @ v)
+            out[:, a:b] = v @ u
+        a = b
+    return e, out
+
+
+def rotated_to(spark: SparkSession, a: DataFrame, c: np.ndarray) -> DataFrame:
+    """C^T A C of a supercell matrix (i, j, re, im) or (i, j, v) and real orbitals."""
+    return from_local(spark, c.T @ local(a, len(c), len(c)) @ c)

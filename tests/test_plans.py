@@ -124,3 +124,54 @@ def test_query(spark, sf, duck, name):
 def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["i", "j", "v"]
+
+
+def test_molecular_run(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    points, orbitals, aux = 10, 4, 5
+    eta, df = rng.normal(size=(points, orbitals)), rng.normal(size=(aux, orbitals, orbitals))
+    df = df + df.transpose(0, 2, 1)
+    h, c = rng.normal(size=(orbitals, orbitals)), rng.normal(size=(orbitals, orbitals))
+    source, target = Catalog(spark, f"file://{tmp_path}/in"), Catalog(spark, f"file://{tmp_path}/out")
+    for name, a in (("etaPm", eta), ("eri_df", df.reshape(aux, -1)), ("hcore", h), ("mo_coeff", c), ("nelec", np.array([[2.0, 1.0]])), ("enuc", np.array([[1.5, 0.0]]))):
+        source.save(name, matrix.from_local(spark, a), a.shape)
+    d, m = molecular.run_molecular(source, target)
+    assert target.shape("Hamiltonian/THC/Luv") == (points, aux) and target.shape("Hamiltonian/THC/HalfTransformedOccOrbitals") == (2, points)
+    np.testing.assert_allclose(matrix.local(target.load("Hamiltonian/THC/Luv"), points, aux), d.T, atol=1e-12)
+    np.testing.assert_allclose(matrix.local(target.load("Hamiltonian/hcore"), orbitals, orbitals), c.T @ h @ c, atol=1e-10)
+    np.testing.assert_allclose(matrix.local(target.load("Hamiltonian/THC/HalfTransformedFullOrbitals"), orbitals, points), (eta @ c).T, atol=1e-10)
+    source.save("BxL", molecular.fit_b(spark.createDataFrame([(a, i, k, float(df[a, i, k])) for a in range(aux) for i in range(orbitals) for k in range(orbitals)], "l long, i long, k long, v double"), matrix.from_local(spark, eta).select(F.col("i").alias("u"), F.col("j").alias("i"), "v")), (aux, points))
+    again, _ = molecular.run_molecular(source, target, density_fitting=False)
+    np.testing.assert_allclose(again, d, atol=1e-9)
+    e = matrix.from_local(spark, eta).select(F.col("i").alias("u"), F.col("j").alias("i"), "v")
+    half = matrix.local(molecular.metric_half(e.where("i < 2"), e.where("i >= 2")), points, points)
+    np.testing.assert_allclose(half, (eta[:, :2] @ eta[:, :2].T) * (eta[:, 2:] @ eta[:, 2:].T), atol=1e-12)
+
+
+def test_prepared_orbitals(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    ao, c = rng.normal(size=(20, 4)) + 1j * rng.normal(size=(20, 4)), rng.normal(size=(4, 3))
+    rows = spark.createDataFrame([(g, ao[g].real.tolist(), ao[g].imag.tolist()) for g in range(20)], "g long, re array<double>, im array<double>")
+    phi, full, occ = job.prepare_orbitals(rows, c, 2)
+    want = ao @ c
+    for r in phi.collect():
+        np.testing.assert_allclose(np.array(r.re) + 1j * np.array(r.im), want[r.g], atol=1e-12)
+    assert all(abs(r.w - (abs(want[r.g]) ** 2).sum()) < 1e-10 for r in full.collect()) and all(abs(r.w - (abs(want[r.g, :2]) ** 2).sum()) < 1e-10 for r in occ.collect())
+    out = Catalog(spark, f"file://{tmp_path}/meta")
+    job.write_metadata(out, matrix.from_local(spark, np.eye(3)), 3, (2, 1), -1.25, 9)
+    assert [r.v for r in out.load("Hamiltonian/dims").orderBy("j").collect()] == [0, 9, 3, 2, 1] and out.load("Hamiltonian/Energies").first().v == -1.25
+
+
+def test_gamma_orbitals(spark):
+    """A ring of cells with one basis function each: orbitals at k and -k are degenerate and become real."""
+    n = 6
+    k = spark.createDataFrame([(q, 2 * np.pi * q / n, 0.0, 0.0) for q in range(n)], "k long, x double, y double, z double")
+    cells = spark.createDataFrame([(r, float(r), 0.0, 0.0) for r in range(n)], "r long, x double, y double, z double")
+    ph = supercell.phases(cells, k, n)
+    c = spark.createDataFrame([(q, 0, 0, float(-2 * np.cos(2 * np.pi * q / n)), 1.0, 0.0) for q in range(n)], "k long, p long, m long, e double, re double, im double")
+    e, orbitals = supercell.gamma_orbitals(supercell.orbitals_to_supercell(c, ph), np.eye(n), n)
+    h = -(np.roll(np.eye(n), 1, 0) + np.roll(np.eye(n), -1, 0))
+    np.testing.assert_allclose(orbitals.T @ orbitals, np.eye(n), atol=1e-10)
+    np.testing.assert_allclose(orbitals.T @ h @ orbitals, np.diag(e), atol=1e-10)
+    turned = supercell.rotated_to(spark, matrix.from_local(spark, h), orbitals)
+    np.testing.assert_allclose(matrix.local(turned, n, n), np.diag(e), atol=1e-10)
