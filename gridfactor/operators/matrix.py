@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import dense
 from ..functions.scalars import conj, pair, times
 
 #: The most entries that a matrix may have which the driver holds (factorizations of point by point size).
@@ -125,7 +126,7 @@ def gram_of_rows(rows: DataFrame, values: str) -> DataFrame:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            x = np.array(batch[values].to_pylist(), np.float64)
+            x = dense(batch[values])
             if len(x):
                 total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
@@ -141,7 +142,7 @@ def times_local(rows: DataFrame, index: str, values: str, right: np.ndarray) ->
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                y = np.array(batch[values].to_pylist(), np.float64) @ right
+                y = dense(batch[values]) @ right
                 i = np.repeat(batch[index].to_numpy(zero_copy_only=False).astype(np.int64), y.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.tile(np.arange(y.shape[1]), len(y))), pa.array(y.ravel())], ["i", "j", "v"])
 

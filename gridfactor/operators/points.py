@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import dense_complex
 from .reduce import argmin, sampled
 
 AXES = ("x", "y", "z")
@@ -135,8 +136,8 @@ def pivots(left: DataFrame, right: DataFrame, n: int, tolerance: float = 1e-7) -
             g = batch["g"].to_numpy()
             if not len(g):
                 continue
-            x = np.array(batch["lr"].to_pylist()) + 1j * np.array(batch["li"].to_pylist())
-            y = np.array(batch["rr"].to_pylist()) + 1j * np.array(batch["ri"].to_pylist())
+            x = dense_complex(batch, "lr", "li")
+            y = dense_complex(batch, "rr", "ri")
             d = (abs(x) ** 2).sum(1) * (abs(y) ** 2).sum(1)
             cols = (x @ np.array(px).conj().T) * (y.conj() @ np.array(py).T) @ solve if n else np.zeros((len(g), 0), np.complex128)
             d = d - (abs(cols) ** 2).sum(1)

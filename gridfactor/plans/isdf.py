@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import dense_complex, lists
 from ..operators.fourier import fft_rows
 from ..operators.solve import applied, cholesky, least_squares, rank
 
@@ -29,8 +30,8 @@ def _mapped(phi: DataFrame, f) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                y = f(np.array(batch["re"].to_pylist()) + 1j * np.array(batch["im"].to_pylist()))
-                yield pa.RecordBatch.from_arrays([batch["g"], pa.array(list(y.real)), pa.array(list(y.imag))], ["g", "re", "im"])
+                y = f(dense_complex(batch))
+                yield pa.RecordBatch.from_arrays([batch["g"], lists(y.real), lists(y.imag)], ["g", "re", "im"])
 
     return phi.select("g", "re", "im").mapInArrow(run, "g long, re array<double>, im array<double>")
 
@@ -74,8 +75,8 @@ def contracted(zeta: DataFrame, kernel: DataFrame, other: DataFrame | None = Non
         total = None
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch["re"].to_pylist()) + 1j * np.array(batch["im"].to_pylist())
-                y = np.array(batch["lr"].to_pylist()) + 1j * np.array(batch["li"].to_pylist())
+                x = dense_complex(batch)
+                y = dense_complex(batch, "lr", "li")
                 part = (y.conj() if flip else y).T @ (x * batch["v"].to_numpy()[:, None])
                 total = part if total is None else total + part
         if total is not None:
