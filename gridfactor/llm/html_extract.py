@@ -90,7 +90,8 @@ class _Lines(HTMLParser):
         if tag in CHROME:
             return True
         if tag in ("html", "body", "main", "article"):
-            return False
+            classes = " ".join(value or "" for name, value in attrs if name == "class").lower()
+            return tag == "article" and "comment" in re.split(r"[^a-z0-9]+", classes)
         inside = self.regions[-1][1] in ("article", "main")
         if tag == "header":
             return not inside
