@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one to three longs that a join may broadcast, if they were counted.
+BROADCAST_ROWS = 1 << 20
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """Computed once; marked for a broadcast join if it has no more than BROADCAST_ROWS rows, else joined by shuffle."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def u64(x: int) -> np.uint64:
     return np.uint64(x & 0xFFFFFFFFFFFFFFFF)
 
@@ -107,6 +118,21 @@ def binary_values(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]] if len(off) else raw[:0], off - off[0] if len(off) else np.zeros(1, np.int64)
 
 
+def blocks(offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many bytes together, a longer text alone."""
+    a = 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1)
+        yield a, b
+        a = b
+
+
+def flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... sizes[0] of them, then those of starts[1] and so on."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
 def n_cells(df: DataFrame, text_col: str, cell_mb: int = 4, least: int = 4) -> int:
     """Cells of about cell_mb MB of text each: their number grows with the table, a cell doesn't."""
     size = df.agg(F.coalesce(F.sum(F.octet_length(text_col).cast("long")), F.lit(0))).first()[0]

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_1, SpanHash, binary_values, checkpointed, in_cells, mix, n_cells, stored, u64
+from .common import BASE_1, SpanHash, binary_values, blocks, checkpointed, counted, flat, in_cells, mix, n_cells, stored, u64
 from .components import components
 
 SAMPLE = 4
@@ -96,7 +96,9 @@ class Cell:
         self.of = np.zeros(len(self.ids), np.int64)
         self.sets: list[np.ndarray] = []
         owner = []
-        found = shingle_sets(raw, off, k)
+        found = []
+        for a, b in blocks(off, 1 << 20):
+            found += shingle_sets(raw[off[a] : off[b]], off[a : b + 1] - off[a], k)
         for row in order:
             s = found[row]
             name = s.tobytes()
@@ -314,10 +316,13 @@ def link_components(sets: list[np.ndarray], n: np.ndarray, percent: int) -> np.n
     each pair of different components is compared.
     """
     label = np.arange(len(sets))
-    distinct, tokens = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    _, tokens = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    holder = np.repeat(np.arange(len(sets)), sizes)[np.argsort(tokens, kind="stable")]  # by token
+    n_holders = np.bincount(tokens)
+    first = np.cumsum(n_holders) - n_holders
     asked = np.zeros(len(sets), bool)
-    held = np.zeros(len(distinct), np.int32)
     while True:
         largest = np.bincount(label).argmax()
         todo = np.flatnonzero(~asked & (label != largest)) if asked.any() else np.zeros(1, np.int64)
@@ -326,9 +331,7 @@ def link_components(sets: list[np.ndarray], n: np.ndarray, percent: int) -> np.n
         j = todo[0]
         asked[j] = True
         own = tokens[starts[j] : starts[j + 1]]
-        held[own] = 1
-        both = np.add.reduceat(held[tokens], starts[:-1])
-        held[own] = 0
+        both = np.bincount(holder[flat(first[own], n_holders[own])], minlength=len(sets))
         both[j] = n[j]  # tokens that no other set has are left out
         linked = np.unique(label[100 * both >= percent * (n + n[j] - both)])
         label[np.isin(label, linked)] = linked.min()
@@ -343,11 +346,8 @@ def _cluster(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"ref": refs, "component": least[label]})
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = 16, family_tokens: int = 1 << 22, cells: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links).  percent is 80 to 99: below, small sets could share too few tokens for the prefixes."""
-    if not 80 <= percent < 100:
-        raise ValueError("percent has to be from 80 to 99")
-    cells = cells or n_cells(docs, text_col)
+def indexed_sets(docs: DataFrame, k: int, percent: int, frequent: int, cells: int, id_col: str, text_col: str) -> DataFrame:
+    """Steps 1 to 3, stored, so that the shuffled texts can be dropped: rows of _index()."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("b"))
     groups = in_cells(rows, cells, "doc_id", "b").groupBy("cell")
 
@@ -365,8 +365,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent:
     first = answer(groups.applyInArrow(sample, SENT))
     second = answer(groups.cogroup(first.groupBy("cell")).applyInArrow(count, SENT))
     both = first.unionByName(second)
-    found = stored(groups.cogroup(both.groupBy("cell")).applyInArrow(lambda key, t, a: _index(key[0].as_py(), t, a, k, cells, percent, frequent), FOUND))
+    return stored(groups.cogroup(both.groupBy("cell")).applyInArrow(lambda key, t, a: _index(key[0].as_py(), t, a, k, cells, percent, frequent), FOUND))
+
 
+def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = 16, family_tokens: int = 1 << 22, cells: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links).  percent is 80 to 99: below, small sets could share too few tokens for the prefixes."""
+    if not 80 <= percent < 100:
+        raise ValueError("percent has to be from 80 to 99")
+    found = indexed_sets(docs, k, percent, frequent, cells or n_cells(docs, text_col), id_col, text_col)
     ties = found.where("kind = 1").groupBy("bucket").applyInArrow(lambda key, t: _ties(t), "a long, b long")
     sets = found.where("kind = 2").select("ref", "owner", "n", "data")
     links = checkpointed(linked_components(sets.drop("owner"), ties, percent, frequent, family_tokens))
@@ -379,7 +385,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent:
 
 def linked_components(sets: DataFrame, ties: DataFrame, percent: int, frequent: int, family_tokens: int) -> DataFrame:
     """sets(ref, n, data) and ties(a, b) that connect all that could link: (ref, component), the component's least ref."""
-    families = components(ties).select(F.col("node").alias("ref"), F.col("root").alias("family"))
+    families = counted(components(ties).select(F.col("node").alias("ref"), F.col("root").alias("family")))
     sets = sets.join(families, "ref")
     sizes = checkpointed(sets.groupBy("family").agg(F.sum(F.octet_length("data") / 8).alias("tokens")))
     large = sizes.where(F.col("tokens") > family_tokens).select("family")
