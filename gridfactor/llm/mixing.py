@@ -112,9 +112,10 @@ def drawn_documents(docs: DataFrame, mix: DataFrame, seed: int = 0, id_col: str
     mix: mix_sources(docs, seed=seed).  Rows that agree in id and text are told apart by their order.
     """
     lists = mix.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_list("draws").alias("__lists"))
-    rows = docs.withColumn("__k", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(id_col, "__k").orderBy(F.lit(0))))
-    rows = rows.join(lists, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__h")))
+    rows = docs.withColumn("__k", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))).repartition("__k")  # for the window and the join
+    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__k", id_col).orderBy(F.lit(0))))
+    same_id = (F.col(id_col) == F.col("__id")) | (F.col(id_col).isNull() & F.col("__id").isNull())
+    rows = rows.join(lists, (F.col("__k") == F.col("__h")) & same_id)
     rows = rows.withColumn("__d", F.explode(F.element_at("__lists", F.col("__nth"))))
     mine = [c for c in docs.columns if c not in ("mix_shard", "mix_place")]
     return rows.select(*mine, F.col("__d.shard").alias("mix_shard"), F.xxhash64("__d.shard", "__k", "__d.pass").alias("mix_place"))
