@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridfactor.llm.common import shared_dir, table
+from gridfactor.llm.common import counted, shared_dir, table
 from gridfactor.llm.decontaminate import contamination
 from gridfactor.llm.jaccard_join import jaccard_components
 from gridfactor.llm.language_id import fit_profiles, identified
@@ -25,18 +25,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (5-word shingles, similarity 0.8 or more), the document with the smallest id stays.
 
-    Of repeated rows (equal id and text) one stays; rows without an id stay.
+    Of repeated rows (equal id and text) one stays; rows without an id stay.  Rows that share an id are taken for one document.
     """
-    found = jaccard_components(docs, k=5, percent=80)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").withColumn("__t", F.xxhash64("text"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__t").orderBy("source", "lang"))
-    return kept.withColumn("__nth", nth).where(F.col("doc_id").isNull() | (F.col("__nth") == 1)).select(docs.columns)
+    found = jaccard_components(docs, k=5, percent=80).where("doc_id IS NOT NULL")
+    gone = counted(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
+    kept = docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
+    key = F.xxhash64("doc_id", "text")
+    again = counted(docs.where("doc_id IS NOT NULL").groupBy(key.alias("__key")).agg(F.count("*").alias("__n")).where("__n > 1").select("__key"))
+    kept = kept.withColumn("__k", key)
+    nth = F.row_number().over(Window.partitionBy("__k", "doc_id").orderBy("source", "lang"))
+    repeated = kept.join(again, F.col("__k") == F.col("__key"), "left_semi").withColumn("__nth", nth).where("__nth = 1")
+    once = kept.join(again, F.col("__k") == F.col("__key"), "left_anti")
+    return once.select(docs.columns).unionByName(repeated.select(docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth of the words or more are in benchmark windows go."""
-    bad = contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct()
+    bad = counted(contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct())
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__t")), "left_anti")
 
 
