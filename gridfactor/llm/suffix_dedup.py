@@ -12,8 +12,10 @@ several) is its anchor; equal windows have equal anchors, so windows are dealt b
    their prefix.  Equal windows lie side by side; the smallest document of each run goes back;
 3. each cell marks and removes its bytes.
 
-A cell sends a context once however many of its documents hold it, so a bucket's share of a passage
-grows with the cells and not with the documents.  The cells' texts are shuffled once for all three steps.
+A cell sends a context once however many of its documents hold it.  A passage in very many documents has
+as many surroundings, hence contexts of one anchor: anchors that more than `hot_cells` cells have are sent
+window by window instead, dealt by the window.  So what one key brings to a bucket grows with the cells
+and not with the documents.  The cells' texts are shuffled once for all three steps.
 
 Nulls: a null text is empty, a null id counts as larger than every other.  Equal ids aren't smaller than
 each other, so a repeated row keeps what its like keeps.  Texts under LENGTH bytes lose nothing.  Very
@@ -30,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_1, BASE_2, SpanHash, binary_values, in_cells, n_cells
+from .common import BASE_1, BASE_2, SpanHash, binary_values, flat, in_cells, n_cells
 
 LENGTH, GRAM = 50, 20
 WIDTH = LENGTH - GRAM + 1
 BLOCK = 1 << 20
 SHALLOW = 16
 KEY_BYTES = 5
+HOT_CELLS = 4096
 LAST = np.iinfo(np.int64).max
 SENT = "bucket int, cell int, data binary"
 
@@ -99,6 +102,12 @@ class Cell:
         self.lo, self.hi, self.key, self.whole = anchors(self.data, self.offsets)
         self.text = np.searchsorted(self.offsets, self.lo, side="right") - 1
 
+    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some runs, in order: all window starts, their texts and the windows' hashes."""
+        n = self.hi[runs] - self.lo[runs] + 1
+        starts = flat(self.lo[runs], n)
+        return starts, np.repeat(self.text[runs], n), SpanHash(self.data, BASE_1).of(starts, starts + LENGTH)
+
     def by_bucket(self, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """bucket, its distinct short keys in order, and whether several texts here have each."""
         bucket = ((self.key >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64)
@@ -126,8 +135,8 @@ def _send_anchors(cell: int, table: pa.Table, buckets: int) -> pa.Table:
     return _rows(out)
 
 
-def _shared_anchors(bucket: int, table: pa.Table) -> pa.Table:
-    """For each cell, a bit for each anchor it sent: whether several texts, here or elsewhere, have it."""
+def _shared_anchors(bucket: int, table: pa.Table, hot_cells: int) -> pa.Table:
+    """For each cell, two bits for each anchor it sent: whether several texts, here or elsewhere, have it; whether more than hot_cells cells do."""
     cells, blobs = table["cell"].to_pylist(), table["data"].to_pylist()
     keys, flags, sizes = [], [], []
     for blob in blobs:
@@ -143,8 +152,12 @@ def _shared_anchors(bucket: int, table: pa.Table) -> pa.Table:
     shared = np.zeros(len(every), bool)
     shared[order] = same[1:] | same[:-1]
     shared |= np.concatenate(flags)
+    head = np.flatnonzero(~same[:-1])
+    hot = np.zeros(len(every), bool)
+    hot[order] = np.repeat(np.diff(np.append(head, len(order))) > hot_cells, np.diff(np.append(head, len(order))))
+    bits = lambda a, b: np.packbits(shared[a:b]).tobytes() + np.packbits(hot[a:b]).tobytes()
     ends = np.cumsum(sizes)
-    return _rows([(bucket, c, np.packbits(shared[e - n : e]).tobytes()) for c, n, e in zip(cells, sizes, ends) if shared[e - n : e].any()])
+    return _rows([(bucket, c, bits(e - n, e)) for c, n, e in zip(cells, sizes, ends) if shared[e - n : e].any()])
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -159,12 +172,6 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def _flat(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, ... sizes[0] of them, then those of starts[1] and so on."""
-    before = np.cumsum(sizes) - sizes
-    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
-
-
 def _send_contexts(cell: int, table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     c = Cell(table)
     bits = dict(zip(answers["bucket"].to_pylist(), answers["data"].to_pylist()))
@@ -172,21 +179,38 @@ def _send_contexts(cell: int, table: pa.Table, answers: pa.Table, buckets: int)
     short = c.key & np.uint64((1 << 8 * KEY_BYTES) - 1)
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1)) if len(order) else np.zeros(buckets + 1, np.int64)
-    out = []
+    out, single = [], []
     for b, keys, _ in c.by_bucket(buckets):
         if b not in bits:
             continue
-        mask = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=len(keys)).astype(bool)
+        both = np.frombuffer(bits[b], np.uint8)
+        shared, hot = (np.unpackbits(x, count=len(keys)).astype(bool) for x in np.split(both, 2))
         mine = order[edges[b] : edges[b + 1]]
-        mine = mine[mask[np.searchsorted(keys, short[mine])]]
+        at = np.searchsorted(keys, short[mine])
+        single.append(mine[hot[at]])
+        mine = mine[shared[at] & ~hot[at]]
+        if not len(mine):
+            continue
         # one context for each class; texts are in order of id, so the first run has the smallest document
         _, first, of, n = np.unique(c.whole[mine] ^ c.key[mine], return_index=True, return_inverse=True, return_counts=True)
         run = mine[first]
         last = np.zeros(len(first), np.int64)
         np.maximum.at(last, of, c.text[mine])
         size = c.hi[run] - c.lo[run] + LENGTH
-        ctx = c.data[_flat(c.lo[run], size)]
+        ctx = c.data[flat(c.lo[run], size)]
         out.append((b, cell, _pack(run.astype(np.int32), c.owner[c.text[run]], (last != c.text[run]), short[run], size.astype(np.int16), ctx)))
+    hot_runs = np.sort(np.concatenate(single)) if single else np.zeros(0, np.int64)
+    if len(hot_runs):
+        starts, text, key = c.windows(hot_runs)
+        key, first, of = np.unique(key, return_index=True, return_inverse=True)
+        last = np.zeros(len(key), np.int64)
+        np.maximum.at(last, of, text)
+        bucket, start, text = ((key >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64), starts[first], text[first]
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
+        for part in np.split(order, cuts[1:]):
+            size = np.full(len(part), LENGTH)
+            out.append((int(bucket[part[0]]), cell, _pack((-start[part] - 1).astype(np.int32), c.owner[text[part]], last[part] != text[part], key[part] & np.uint64((1 << 8 * KEY_BYTES) - 1), size.astype(np.int16), c.data[flat(start[part], size)])))
     return _rows(out)
 
 
@@ -247,7 +271,7 @@ def _smallest(bucket: int, table: pa.Table) -> pa.Table:
     base = np.cumsum(windows) - windows
     todo = np.flatnonzero(mixed)
     for part in _batches(todo, group, windows):
-        starts, where = _flat(at[lead[part]], windows[part]), _flat(base[part], windows[part])
+        starts, where = flat(at[lead[part]], windows[part]), flat(base[part], windows[part])
         by, fresh = deep_shallow(buf, starts)
         head = np.flatnonzero(fresh)
         least[where[by]] = np.repeat(np.minimum.reduceat(least[where[by]], head), np.diff(np.append(head, len(by))))
@@ -260,7 +284,7 @@ def _smallest(bucket: int, table: pa.Table) -> pa.Table:
     last = np.append(begin[1:], len(least)) - 1 - base[owner]
     runs = np.bincount(owner, minlength=len(lead))
     from_ = np.cumsum(runs) - runs
-    take = _flat(from_[kind], runs[kind])
+    take = flat(from_[kind], runs[kind])
     who = np.repeat(np.arange(len(kind)), runs[kind])
     keep = several[who] | (least[begin[take]] < doc[who])
     take, who = take[keep], who[keep]
@@ -292,14 +316,30 @@ def _removed(table: pa.Table, answers: pa.Table, with_bytes: bool) -> pa.Table:
     ident = c.whole ^ c.key
     order = np.argsort(ident, kind="stable")
     ranked = ident[order]
+    at, low = [], []  # windows that came alone, and their smallest documents
     for blob in answers["data"].to_pylist():
         run, first, last, least = _unpack(blob, np.int32, np.int16, np.int16, np.int64)
+        alone = run < 0
+        if alone.any():
+            at.append(-run[alone].astype(np.int64) - 1)
+            low.append(least[alone])
+            run, first, last, least = run[~alone], first[~alone], last[~alone], least[~alone]
         a, b = np.searchsorted(ranked, ident[run]), np.searchsorted(ranked, ident[run], side="right")
-        like = order[_flat(a, b - a)]  # all runs of the class
+        like = order[flat(a, b - a)]  # all runs of the class
         first, last, least = (np.repeat(x, b - a) for x in (first, last, least))
         gone = c.owner[c.text[like]] > least
         np.add.at(steps, c.lo[like[gone]] + first[gone], 1)
         np.add.at(steps, c.lo[like[gone]] + last[gone] + LENGTH, -1)
+    if at:
+        at, low = np.concatenate(at), np.concatenate(low)
+        theirs = np.unique(c.key[np.searchsorted(c.lo, at, side="right") - 1])
+        starts, text, window = c.windows(np.flatnonzero(np.isin(c.key, theirs)))
+        asked = SpanHash(c.data, BASE_1).of(at, at + LENGTH)
+        by = np.argsort(asked)
+        place = np.minimum(np.searchsorted(asked[by], window), len(by) - 1)
+        gone = (asked[by][place] == window) & (c.owner[text] > low[by][place])
+        np.add.at(steps, starts[gone], 1)
+        np.add.at(steps, starts[gone] + LENGTH, -1)
     cover = np.cumsum(steps[:-1]) > 0
     rows = []
     raw_ids = table["doc_id"].combine_chunks()
@@ -313,7 +353,7 @@ def _removed(table: pa.Table, answers: pa.Table, with_bytes: bool) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), KEPT)], schema=KEPT)
 
 
-def remove_repeats(docs: DataFrame, with_bytes: bool = True, cells: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, with_bytes: bool = True, cells: int | None = None, hot_cells: int = HOT_CELLS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_bytes the bytes `kept` and the removed spans' ends `removed` (start, end, start, ...)."""
     cells = cells or n_cells(docs, text_col)
     buckets = cells
@@ -321,7 +361,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = True, cells: int | None =
     rows = in_cells(rows, cells, "doc_id", "b")
     groups = rows.groupBy("cell")
     sent = groups.applyInArrow(lambda key, t: _send_anchors(key[0].as_py(), t, buckets), SENT)
-    shared = sent.groupBy("bucket").applyInArrow(lambda key, t: _shared_anchors(key[0].as_py(), t), SENT)
+    shared = sent.groupBy("bucket").applyInArrow(lambda key, t: _shared_anchors(key[0].as_py(), t, hot_cells), SENT)
     contexts = groups.cogroup(shared.groupBy("cell")).applyInArrow(lambda key, t, a: _send_contexts(key[0].as_py(), t, a, buckets), SENT)
     least = contexts.groupBy("bucket").applyInArrow(lambda key, t: _smallest(key[0].as_py(), t), SENT)
     return groups.cogroup(least.groupBy("cell")).applyInArrow(lambda key, t, a: _removed(t, a, with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<long>")

@@ -66,6 +66,11 @@ def test_html_without_article():
     assert html_extract.main_text(html) == "Head " + text.strip() + " Short."
 
 
+def test_html_comment_articles():
+    html = '<main><article><p>Story text.</p></article><article class="comment"><p>I think that this is a very long comment about it.</p></article></main>'
+    assert html_extract.main_text(html) == "Story text."
+
+
 def test_html_odd(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (None, "u", "<p>x", 1), (3, "u", "no markup &lt;", 1), (3, "u", "<article><p>" + "y " * 100_000, 1)], "page_id long, url string, html string, text int")
     got = {(r.page_id, r.text[:20], r.n_chars) for r in html_extract.op1_html_extract(pages).collect()}
@@ -223,10 +228,10 @@ def brute_removed(rows):
     return out
 
 
-@pytest.mark.parametrize("cells", [1, 3])
-def test_suffix_dedup(docs, odd, cells):
+@pytest.mark.parametrize("cells, hot_cells", [(1, 4096), (3, 4096), (4, 2), (3, 0)])
+def test_suffix_dedup(docs, odd, cells, hot_cells):
     for rows, d in (([(r.doc_id, r.text) for r in docs.collect()], docs), ([r[:2] for r in odd_rows()], odd)):
-        got = suffix_dedup.remove_repeats(d, cells=cells).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+        got = suffix_dedup.remove_repeats(d, cells=cells, hot_cells=hot_cells).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
         assert Counter(map(tuple, got)) == brute_removed(rows)
 
 
