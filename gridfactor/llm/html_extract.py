@@ -3,10 +3,11 @@
 The standard library's HTMLParser streams events.  A line is the text between two block boundaries; it
 counts the tags seen since the last line.  Lines inside navigation, page headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, hidden elements and reader comments are chrome: they take part
-in smoothing, but are never content.  The smoothed ratios of all lines are split into two clusters by the
+in smoothing, but are never content.  The smoothed ratios of all other lines are split into two clusters by the
 threshold between the clusters' means; a region (the article or main element around a line; without any,
-the innermost sectioning block) is content if a line of it is in the upper cluster.  All lines of content
-regions but chrome are kept, so that short paragraphs and headings of an article stay.
+the innermost sectioning block) is content if a line of it is in the upper cluster.  An article or main
+element is a region's extent and else only a prior: one with half of the page's text or more is content
+too.  All lines of content regions but chrome are kept, so that short paragraphs and headings stay.
 
 Nulls: a null or empty page gives an empty text.  Repeated rows are kept, an empty table gives no rows.
 Very long pages are parsed whole.  Broken markup: end tags without a start are ignored, an end tag closes
@@ -181,13 +182,13 @@ def main_text(html: str | None) -> str:
         return ""
     ratios = np.array([len(text) / max(1, tags) for text, tags, *_ in lines])
     level = smoothed(ratios)
-    upper = level >= threshold(level)
-    kinds = {line[4] for line in lines if not line[2]}
-    eligible = "article" if "article" in kinds else "main" if "main" in kinds else None
-    mine = [not line[2] and (eligible is None or line[4] == eligible) for line in lines]
-    chosen = {line[3] for line, ok, up in zip(lines, mine, upper) if ok and up}
-    if not chosen or eligible is not None and len({line[3] for line, ok in zip(lines, mine) if ok}) == 1:
-        chosen = {line[3] for line, ok in zip(lines, mine) if ok}
+    mine = np.array([not line[2] for line in lines])
+    if not mine.any():
+        return ""
+    region = np.array([line[3] for line in lines])
+    chosen = set(region[mine & (level >= threshold(level[mine]))])
+    size = np.array([len(line[0]) for line in lines]) * mine
+    chosen |= {line[3] for line in lines if line[4] in ("article", "main") and 2 * size[region == line[3]].sum() >= size.sum()}
     return " ".join(line[0] for line, ok in zip(lines, mine) if ok and line[3] in chosen)
 
 

@@ -71,6 +71,23 @@ def test_html_comment_articles():
     assert html_extract.main_text(html) == "Story text."
 
 
+STORY = "A long paragraph of the story that goes on and on, with many words and hardly any markup in it. " * 3
+
+
+@pytest.mark.parametrize("teaser", ['<article class="teaser"><h3><a href=x>More</a></h3><p><a href=x>Read on</a></p></article>', "<main><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></main>"])
+def test_html_article_is_not_the_main_text(teaser):
+    """The story is in a div; the article or main element holds a teaser."""
+    links = "<nav><ul>" + "<li><a href=z>l</a>" * 4 + "</ul></nav>"
+    for html in (f"<body><div class=story><h1>Head</h1><p>{STORY}</p><p>{STORY}</p></div>{links}{teaser}</body>", f"<body>{teaser}{links}<div class=story><h1>Head</h1><p>{STORY}</p><p>{STORY}</p></div></body>"):
+        assert html_extract.main_text(html) == " ".join(["Head", STORY.strip(), STORY.strip()])
+
+
+def test_html_article_of_short_lines():
+    lines = [f"Short line {k} of a poem" for k in range(40)]
+    html = f"<body><article>{''.join(f'<p>{x}</p>' for x in lines)}</article><div><p>{STORY}</p></div></body>"
+    assert html_extract.main_text(html) == " ".join([*lines, STORY.strip()])
+
+
 def test_html_odd(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (None, "u", "<p>x", 1), (3, "u", "no markup &lt;", 1), (3, "u", "<article><p>" + "y " * 100_000, 1)], "page_id long, url string, html string, text int")
     got = {(r.page_id, r.text[:20], r.n_chars) for r in html_extract.op1_html_extract(pages).collect()}
