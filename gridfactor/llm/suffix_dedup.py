@@ -13,9 +13,11 @@ several) is its anchor; equal windows have equal anchors, so windows are dealt b
 3. each cell marks and removes its bytes.
 
 A cell sends a context once however many of its documents hold it.  A passage in very many documents has
-as many surroundings, hence contexts of one anchor: anchors that more than `hot_cells` cells have are sent
-window by window instead, dealt by the window.  So what one key brings to a bucket grows with the cells
-and not with the documents.  The cells' texts are shuffled once for all three steps.
+as many surroundings, hence contexts of one anchor: cells report how many they have of each anchor, and
+anchors with more than `hot_contexts` in all (or in more than `hot_cells` cells) are sent window by window
+instead, dealt by the window.  So an anchor brings at most `hot_contexts` contexts to a bucket, and a window
+at most one from each cell, however many documents there are; the windows of such anchors, up to WIDTH for
+each surrounding, are spread over all buckets.  The cells' texts are shuffled once for all three steps.
 
 Nulls: a null text is empty, a null id counts as larger than every other.  Equal ids aren't smaller than
 each other, so a repeated row keeps what its like keeps.  Texts under LENGTH bytes lose nothing.  Very
@@ -40,6 +42,7 @@ BLOCK = 1 << 20
 SHALLOW = 16
 KEY_BYTES = 5
 HOT_CELLS = 4096
+HOT_CONTEXTS = 1 << 14
 LAST = np.iinfo(np.int64).max
 SENT = "bucket int, cell int, data binary"
 
@@ -108,18 +111,20 @@ class Cell:
         starts = flat(self.lo[runs], n)
         return starts, np.repeat(self.text[runs], n), SpanHash(self.data, BASE_1).of(starts, starts + LENGTH)
 
-    def by_bucket(self, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """bucket, its distinct short keys in order, and whether several texts here have each."""
+    def by_bucket(self, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """bucket, its distinct short keys in order, whether several texts here have each, and its distinct contexts here."""
         bucket = ((self.key >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64)
         short = self.key & np.uint64((1 << 8 * KEY_BYTES) - 1)
-        order = np.lexsort((self.text, short, bucket))
+        order = np.lexsort((self.whole ^ self.key, short, bucket))
+        ctx = (self.whole ^ self.key)[order]
+        differs = np.concatenate([[True], (bucket[order][1:] != bucket[order][:-1]) | (short[order][1:] != short[order][:-1]) | (ctx[1:] != ctx[:-1])]) if len(order) else np.zeros(0, bool)
         bucket, short, text = bucket[order], short[order], self.text[order]
         new = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (short[1:] != short[:-1])])) if len(order) else np.zeros(0, np.int64)
-        last = np.append(new[1:], len(order)) - 1
-        several = text[new] != text[last] if len(new) else np.zeros(0, bool)
+        several = np.minimum.reduceat(text, new) != np.maximum.reduceat(text, new) if len(new) else np.zeros(0, bool)
+        contexts = np.add.reduceat(differs.astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
         cuts = np.flatnonzero(np.concatenate([[True], bucket[new][1:] != bucket[new][:-1]])) if len(new) else []
         for a, b in zip(cuts, [*cuts[1:], len(new)]):
-            yield int(bucket[new[a]]), short[new[a:b]], several[a:b]
+            yield int(bucket[new[a]]), short[new[a:b]], several[a:b], contexts[a:b]
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
@@ -129,22 +134,27 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 
 def _send_anchors(cell: int, table: pa.Table, buckets: int) -> pa.Table:
     out = []
-    for bucket, keys, several in Cell(table).by_bucket(buckets):
+    for bucket, keys, several, contexts in Cell(table).by_bucket(buckets):
         short = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
-        out.append((bucket, cell, np.int64(len(keys)).tobytes() + short.tobytes() + np.packbits(several).tobytes()))
+        many = np.flatnonzero(contexts > 1)
+        head = np.array([len(keys), len(many)], np.int64)
+        out.append((bucket, cell, head.tobytes() + short.tobytes() + many.astype(np.int32).tobytes() + contexts[many].astype(np.int32).tobytes() + np.packbits(several).tobytes()))
     return _rows(out)
 
 
-def _shared_anchors(bucket: int, table: pa.Table, hot_cells: int) -> pa.Table:
-    """For each cell, two bits for each anchor it sent: whether several texts, here or elsewhere, have it; whether more than hot_cells cells do."""
+def _shared_anchors(bucket: int, table: pa.Table, hot_cells: int, hot_contexts: int) -> pa.Table:
+    """For each cell, two bits for each anchor it sent: whether several texts, here or elsewhere, have it; whether more than hot_cells cells do, or they have more than hot_contexts contexts of it."""
     cells, blobs = table["cell"].to_pylist(), table["data"].to_pylist()
-    keys, flags, sizes = [], [], []
+    keys, flags, contexts, sizes = [], [], [], []
     for blob in blobs:
-        n = int(np.frombuffer(blob, np.int64, 1)[0])
+        n, m = (int(x) for x in np.frombuffer(blob, np.int64, 2))
         wide = np.zeros((n, 8), np.uint8)
-        wide[:, :KEY_BYTES] = np.frombuffer(blob, np.uint8, n * KEY_BYTES, 8).reshape(n, KEY_BYTES)
+        wide[:, :KEY_BYTES] = np.frombuffer(blob, np.uint8, n * KEY_BYTES, 16).reshape(n, KEY_BYTES)
+        c, at = np.ones(n, np.int32), 16 + n * KEY_BYTES
+        c[np.frombuffer(blob, np.int32, m, at)] = np.frombuffer(blob, np.int32, m, at + 4 * m)
         keys.append(wide.view("<u8").ravel())
-        flags.append(np.unpackbits(np.frombuffer(blob, np.uint8, offset=8 + n * KEY_BYTES), count=n).astype(bool))
+        contexts.append(c)
+        flags.append(np.unpackbits(np.frombuffer(blob, np.uint8, offset=at + 8 * m), count=n).astype(bool))
         sizes.append(n)
     every = np.concatenate(keys)
     order = np.argsort(every)
@@ -154,7 +164,10 @@ def _shared_anchors(bucket: int, table: pa.Table, hot_cells: int) -> pa.Table:
     shared |= np.concatenate(flags)
     head = np.flatnonzero(~same[:-1])
     hot = np.zeros(len(every), bool)
-    hot[order] = np.repeat(np.diff(np.append(head, len(order))) > hot_cells, np.diff(np.append(head, len(order))))
+    n_cells_of = np.diff(np.append(head, len(order)))
+    n_contexts = np.add.reduceat(np.concatenate(contexts)[order], head, dtype=np.int64)
+    hot[order] = np.repeat((n_cells_of > hot_cells) | (n_contexts > hot_contexts), n_cells_of)
+    hot &= shared  # what one text alone has needn't be sent
     bits = lambda a, b: np.packbits(shared[a:b]).tobytes() + np.packbits(hot[a:b]).tobytes()
     ends = np.cumsum(sizes)
     return _rows([(bucket, c, bits(e - n, e)) for c, n, e in zip(cells, sizes, ends) if shared[e - n : e].any()])
@@ -180,7 +193,7 @@ def _send_contexts(cell: int, table: pa.Table, answers: pa.Table, buckets: int)
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1)) if len(order) else np.zeros(buckets + 1, np.int64)
     out, single = [], []
-    for b, keys, _ in c.by_bucket(buckets):
+    for b, keys, *_ in c.by_bucket(buckets):
         if b not in bits:
             continue
         both = np.frombuffer(bits[b], np.uint8)
@@ -228,12 +241,13 @@ def deep_shallow(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
         order[open_] = order[open_][by]
         symbol, g = symbol[by], group[open_]
         new[open_] |= np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (g[1:] != g[:-1])])[: len(open_)]
+    tails = np.lib.stride_tricks.sliding_window_view(buf[SHALLOW:], LENGTH - SHALLOW)
     # blind tries, all groups level by level: a node is where members first differ; they branch by that byte alone
     open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
     while len(open_):
         head = np.flatnonzero(new[open_])
         size = np.diff(np.append(head, len(open_)))
-        tail = buf[starts[order[open_]][:, None] + np.arange(SHALLOW, LENGTH)]
+        tail = tails[starts[order[open_]]]
         differ = tail != np.repeat(tail[head], size, axis=0)
         node = np.minimum.reduceat(np.where(differ.any(1), differ.argmax(1), LENGTH), head)
         branch = np.repeat(node, size) < LENGTH
@@ -296,7 +310,7 @@ def _smallest(bucket: int, table: pa.Table) -> pa.Table:
 
 
 def _batches(todo: np.ndarray, group: np.ndarray, windows: np.ndarray) -> Iterator[np.ndarray]:
-    """Classes in batches of about BLOCK windows; those of one anchor stay together."""
+    """Classes in batches of about BLOCK windows; those of one anchor stay together, at most HOT_CONTEXTS * WIDTH windows or half a BLOCK."""
     if not len(todo):
         return
     heads = np.flatnonzero(np.concatenate([[True], group[todo][1:] != group[todo][:-1]]))
@@ -353,7 +367,7 @@ def _removed(table: pa.Table, answers: pa.Table, with_bytes: bool) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), KEPT)], schema=KEPT)
 
 
-def remove_repeats(docs: DataFrame, with_bytes: bool = True, cells: int | None = None, hot_cells: int = HOT_CELLS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, with_bytes: bool = True, cells: int | None = None, hot_cells: int = HOT_CELLS, hot_contexts: int = HOT_CONTEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_bytes the bytes `kept` and the removed spans' ends `removed` (start, end, start, ...)."""
     cells = cells or n_cells(docs, text_col)
     buckets = cells
@@ -361,7 +375,7 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = True, cells: int | None =
     rows = in_cells(rows, cells, "doc_id", "b")
     groups = rows.groupBy("cell")
     sent = groups.applyInArrow(lambda key, t: _send_anchors(key[0].as_py(), t, buckets), SENT)
-    shared = sent.groupBy("bucket").applyInArrow(lambda key, t: _shared_anchors(key[0].as_py(), t, hot_cells), SENT)
+    shared = sent.groupBy("bucket").applyInArrow(lambda key, t: _shared_anchors(key[0].as_py(), t, hot_cells, hot_contexts), SENT)
     contexts = groups.cogroup(shared.groupBy("cell")).applyInArrow(lambda key, t, a: _send_contexts(key[0].as_py(), t, a, buckets), SENT)
     least = contexts.groupBy("bucket").applyInArrow(lambda key, t: _smallest(key[0].as_py(), t), SENT)
     return groups.cogroup(least.groupBy("cell")).applyInArrow(lambda key, t, a: _removed(t, a, with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<long>")

@@ -252,6 +252,28 @@ def test_suffix_dedup(docs, odd, cells, hot_cells):
         assert Counter(map(tuple, got)) == brute_removed(rows)
 
 
+def footers(n):
+    """Texts that share one passage and nothing around it."""
+    rng = np.random.default_rng(5)
+    noise = lambda: "".join(chr(x) for x in rng.integers(97, 123, 90))
+    return [(k, noise() + "All rights are reserved by the owners of this text, and copies need a written licence." + noise()) for k in range(n)]
+
+
+def test_suffix_contexts_of_one_anchor(spark):
+    """Few cells, one passage, many surroundings: no anchor brings more than hot_contexts contexts to a bucket."""
+    rows, limit = footers(200), 16
+    tables = [suffix_dedup.pa.table({"doc_id": [k for k, _ in rows[c::2]], "b": [x.encode() for _, x in rows[c::2]]}) for c in range(2)]
+    sent = [suffix_dedup._send_anchors(c, t, 1) for c, t in enumerate(tables)]
+    answer = suffix_dedup._shared_anchors(0, suffix_dedup.pa.concat_tables(sent), 4096, limit)
+    brought = Counter()
+    for c, t in enumerate(tables):
+        for blob in suffix_dedup._send_contexts(c, t, answer.filter(suffix_dedup.pa.array([x == c for x in answer["cell"].to_pylist()])), 1)["data"].to_pylist():
+            brought.update(suffix_dedup._unpack(blob, np.int32, np.int64, bool, np.uint64)[3].tolist())
+    assert len(brought) > 100 and max(brought.values()) <= limit
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), cells=2, hot_contexts=limit).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert Counter(map(tuple, got)) == brute_removed(rows)
+
+
 def test_suffix_periodic(spark, none):
     rows = [(3, "ab" * 60), (1, "ba" * 26 + "x"), (2, "z" * 49), (4, "z" * 50), (5, "z" * 120 + "ab" * 30), (6, "q" * 50), (7, "q" * 51)]
     got = suffix_dedup.op5_deep_shallow(spark.createDataFrame(rows, "doc_id long, text string")).collect()
