@@ -16,9 +16,12 @@ distinct set once.  All exchanges below are between cells and buckets of tokens.
 4. Sets that share an index entry are candidates.  An entry's sets are tied to the first of them only;
    the connected families of these ties hold all links.  Each family's sets meet once, in one task, and
    are compared exactly: a hub with all others, until what is left can't link across components.
-5. A family above `family_tokens` tokens is first divided: all its sets are compared with one hub, in
-   parallel.  Those that link to it are settled as one component; what else could link must lie, by the
-   triangle inequality of the Jaccard distance, near the rim.  Rim and rest are indexed anew.
+5. A family above `family_tokens` tokens is first divided: all its sets are compared with HUBS of its sets,
+   in parallel.  Those that link to a hub are settled as its component; what else could link must lie, by
+   the triangle inequality of the Jaccard distance, near the rim.  Rims and rest are indexed anew, once.
+6. Families that are still above it are joined in blocks of half that size: each pair of blocks meets in
+   one task and is compared exactly.  So there are two rounds whatever the sets are; the block join of a
+   family of T tokens sends 2 * T / family_tokens copies of it.
 
 Nulls: a null text and one without words have an empty set, which links with nothing.  A null id is kept;
 it is larger than all ids.  Repeated rows are documents of their own that link with each other.  An empty
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BASE_1, SpanHash, binary_values, blocks, checkpointed, counted, flat, in_cells, mix, n_cells, stored, u64
@@ -41,6 +44,7 @@ SAMPLE = 4
 LAST = np.iinfo(np.int64).max
 KEY_BYTES = 5
 EXACT = 96
+HUBS = 32
 SENT = "kind int, bucket int, cell int, data binary"
 #: Lower case of A-Z, and the bytes that separate words.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -385,40 +389,78 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent:
 
 def linked_components(sets: DataFrame, ties: DataFrame, percent: int, frequent: int, family_tokens: int) -> DataFrame:
     """sets(ref, n, data) and ties(a, b) that connect all that could link: (ref, component), the component's least ref."""
+    small, large = _families(sets, ties, percent, family_tokens)
+    return small if large is None else small.unionByName(_divided(large, percent, frequent, family_tokens))
+
+
+def _families(sets: DataFrame, ties: DataFrame, percent: int, family_tokens: int) -> tuple[DataFrame, DataFrame | None]:
+    """(ref, component) in families up to family_tokens; the sets of larger ones, with the `family` and its number of `blocks`."""
     families = counted(components(ties).select(F.col("node").alias("ref"), F.col("root").alias("family")))
     sets = sets.join(families, "ref")
-    sizes = checkpointed(sets.groupBy("family").agg(F.sum(F.octet_length("data") / 8).alias("tokens")))
-    large = sizes.where(F.col("tokens") > family_tokens).select("family")
+    sizes = checkpointed(sets.groupBy("family").agg(F.sum(F.octet_length("data") / 8).alias("tokens"), F.count("*").alias("members")))
+    blocks = F.least(F.ceil(2 * F.col("tokens") / family_tokens), "members").cast("int").alias("blocks")
+    large = sizes.where(F.col("tokens") > family_tokens).select("family", blocks)
     if large.isEmpty():
-        return sets.groupBy("family").applyInArrow(lambda key, t: _cluster(t, percent), "ref long, component long")
+        return sets.groupBy("family").applyInArrow(lambda key, t: _cluster(t, percent), "ref long, component long"), None
     small = sets.join(large, "family", "left_anti").groupBy("family").applyInArrow(lambda key, t: _cluster(t, percent), "ref long, component long")
-    return small.unionByName(_divided(sets.join(large, "family"), percent, frequent, family_tokens))
-
-
-def _against_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns = (batch[c].to_pylist() for c in ("ref", "n", "data", "hub_ref", "hub"))
-        both = [n if ref == hub_ref else len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for ref, n, a, hub_ref, b in zip(*columns)]
-        kept = ["family", "ref", "n", "data", "hub_n"]
-        yield pa.RecordBatch.from_arrays([batch[c] for c in kept] + [pa.array(both, pa.int64())], [*kept, "both"])
+    return small, sets.join(large, "family")
+
+
+def _against_hubs(table: pa.Table, percent: int) -> pa.Table:
+    """A part of a family and its hubs (kind 1): the links of sets to hubs with their distances, and for each hub, without a ref, the least distance of the others."""
+    refs, n, data = table["ref"].to_numpy(), table["n"].to_numpy(), table["data"].to_pylist()
+    is_hub = np.array(table["kind"].to_pylist()) == 1
+    hubs, sets = np.flatnonzero(is_hub), np.flatnonzero(~is_hub)
+    tokens = np.concatenate([np.frombuffer(data[j], np.uint64) for j in hubs])
+    holder = np.repeat(np.arange(len(hubs)), [len(data[j]) // 8 for j in hubs])
+    order = np.argsort(tokens, kind="stable")
+    tokens, holder = tokens[order], holder[order]
+    out, nearest = [(refs[:0], refs[:0], np.zeros(0))], np.full(len(hubs), 2.0)
+    for j in sets:
+        own = np.frombuffer(data[j], np.uint64)
+        a, b = np.searchsorted(tokens, own), np.searchsorted(tokens, own, side="right")
+        both = np.bincount(holder[flat(a, b - a)], minlength=len(hubs))
+        both[refs[hubs] == refs[j]] = n[j]  # tokens that no other set has are left out
+        union = n[j] + n[hubs] - both
+        core, far = 100 * both >= percent * union, 1 - both / union
+        out.append((refs[hubs[core]], np.full(int(core.sum()), refs[j]), far[core]))
+        nearest = np.where(core, nearest, np.minimum(nearest, far))
+    hub, ref, far = (np.concatenate([x[k] for x in out]) for k in range(3))
+    ref = pa.concat_arrays([pa.array(ref, pa.int64()), pa.nulls(len(hubs), pa.int64())])
+    return pa.table({"hub": np.concatenate([hub, refs[hubs]]), "ref": ref, "far": np.concatenate([far, nearest])})
 
 
 def _divided(sets: DataFrame, percent: int, frequent: int, family_tokens: int) -> DataFrame:
-    """Large families: all sets against one hub of each; then the core's rim and the rest by an index of their own."""
-    hub = sets.groupBy("family").agg(F.min("ref").alias("ref"))
-    hub = hub.join(sets.select("ref", F.col("n").alias("hub_n"), F.col("data").alias("hub")), "ref").withColumnRenamed("ref", "hub_ref")
-    seen = stored(sets.join(hub, "family").mapInArrow(_against_hub, "family long, ref long, n long, data binary, hub_n long, both long"))
-    union = F.col("n") + F.col("hub_n") - F.col("both")
-    seen = seen.withColumn("core", 100 * F.col("both") >= percent * union).withColumn("far", 1 - F.col("both") / union)
-    core, rest = seen.where("core"), seen.where("not core")
-    nearest = rest.groupBy("family").agg(F.min("far").alias("nearest"))
-    rim = core.join(nearest, "family").where(F.col("far") >= F.col("nearest") - ((100 - percent) / 100 + 1e-9))
-    again = rest.select("ref", "n", "data").unionByName(rim.select("ref", "n", "data"))
-    outer = checkpointed(linked_components(again, _ties_of(again, percent, frequent), percent, frequent, family_tokens))
-    # a core is one component; rim sets connect it with what they link to
-    ties = core.select(F.col("family").alias("a"), F.col("ref").alias("b")).unionByName(outer.select(F.col("component").alias("a"), F.col("ref").alias("b")))
+    """Large families: all sets against HUBS hubs of each; then the cores' rims and the rest by an index of their own, and in blocks what it leaves together."""
+    nth = F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64("ref"), "ref"))
+    hubs = checkpointed(sets.select("family", "ref", "blocks").withColumn("nth", nth).where(F.col("nth") <= HUBS).select("family", "ref", "blocks"))
+    # parts of a family, each with all hubs
+    part = F.pmod(F.xxhash64("ref"), F.col("blocks")).cast("int").alias("part")
+    parts = sets.select("family", part, "ref", "n", "data", F.lit(0).alias("kind"))
+    sent = hubs.join(sets.select("ref", "n", "data"), "ref").select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "ref", "n", "data", F.lit(1).alias("kind"))
+    seen = parts.unionByName(sent).groupBy("family", "part").applyInArrow(lambda key, t: _against_hubs(t, percent), "hub long, ref long, far double")
+    seen = stored(seen)
+    core = seen.where("ref IS NOT NULL")
+    # a set needs no further comparison if for one hub that it links to, all sets that don't are too far off
+    nearest = seen.where("ref IS NULL").groupBy("hub").agg(F.min("far").alias("nearest"))
+    settled = core.join(nearest, "hub").where(F.col("far") < F.col("nearest") - ((100 - percent) / 100 + 1e-9)).select("ref").distinct()
+    again = stored(sets.select("ref", "n", "data").join(settled, "ref", "left_anti"))
+    small, large = _families(again, _ties_of(again, percent, frequent), percent, family_tokens)
+    outer = small if large is None else small.unionByName(_blocks(large, percent))
+    # what links to a hub is one component; rim sets connect it with what they link to
+    ties = core.select(F.col("hub").alias("a"), F.col("ref").alias("b")).unionByName(outer.select(F.col("component").alias("a"), F.col("ref").alias("b")))
     roots = components(ties)
-    return seen.select("ref").join(roots, seen["ref"] == roots["node"], "left").select("ref", F.coalesce("root", "ref").alias("component"))
+    mine = sets.select("ref")
+    return mine.join(roots, mine["ref"] == roots["node"], "left").select("ref", F.coalesce("root", "ref").alias("component"))
+
+
+def _blocks(sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of each family's sets, by pairs of its blocks: ties (ref, component)."""
+    block = F.pmod(F.xxhash64("ref", F.lit(1)), F.col("blocks")).cast("int")
+    other = F.explode(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block"))).alias("other")
+    pairs = sets.withColumn("block", block).select("family", "ref", "n", "data", "block", other)
+    pairs = pairs.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "ref", "n", "data")
+    return pairs.groupBy("family", "low", "high").applyInArrow(lambda key, t: _cluster(t, percent), "ref long, component long")
 
 
 def _ties_of(sets: DataFrame, percent: int, frequent: int) -> DataFrame:

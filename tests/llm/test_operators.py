@@ -147,6 +147,25 @@ def test_jaccard_near_copies(spark, percent, k, more):
     assert got == brute_components(rows, k, percent)
 
 
+def test_jaccard_form_letters(spark, monkeypatch):
+    """Letters that share most shingles but don't link, with a few that do: rounds don't grow with the letters."""
+    rng = np.random.default_rng(11)
+    form, rows = [f"w{j}" for j in range(300)], []
+    for k in range(40):
+        words = list(form)
+        for f, at in enumerate(rng.choice(np.arange(5, 290, 6), 9, replace=False)):
+            words[at] = f"field{k}x{f}"
+        rows.append((k, " ".join(words)))
+        if k % 10 == 3:
+            rows.append((100 + k, " ".join([*words[:-1], f"end{k}"])))
+    found, calls = jaccard_join.components, []
+    monkeypatch.setattr(jaccard_join, "components", lambda edges: calls.append(1) or found(edges))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), cells=2, family_tokens=3000).collect()), key=str)
+    want = brute_components(rows, 4, 85)
+    assert got == want and len({x[2] for x in want}) > 30
+    assert len(calls) <= 3
+
+
 def test_jaccard_empty(none):
     assert jaccard_join.op2_combination_prefix(none).count() == 0
 
