@@ -3,7 +3,10 @@
 The standard library's HTMLParser streams events.  A line is the text between two block boundaries; it
 counts the tags seen since the last line.  Lines inside navigation, page headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, hidden elements and reader comments are chrome: they take part
-in smoothing, but are never content.  The smoothed ratios of all other lines are split into two clusters by the
+in smoothing, but are never content.  Class and id words that articles use too (discussion, related, share and
+the like; in an article or main element also menu, side, search and the like beside other words) only raise
+a doubt: such an element is chrome if all its lines are in the lower cluster of smoothed ratios or most of
+its text is links.  The id of a heading or section raises none.  The smoothed ratios of all other lines are split into two clusters by the
 threshold between the clusters' means; a region (the article or main element around a line; without any,
 the innermost sectioning block) is content if a line of it is in the upper cluster.  An article or main
 element is a region's extent and else only a prior: one with half of the page's text or more is content
@@ -40,6 +43,10 @@ MARKED = frozenset(
 )
 MARKED_UNLESS_CONTENT = frozenset("nav navbar navigation menu topbar header masthead footer sidebar side widget widgets banner toolbar search".split())
 CONTENT = frozenset("content article main post entry story body text page wrapper container layout".split())
+#: Words of MARKED that articles use too.
+UNSURE = frozenset("discussion related recommended share sharing social respond replies subscribe promotion consent notice notices login signup modal overlay cookie cookies advertising sponsor".split())
+NAMED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
+FOREIGN = frozenset("svg math".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -71,8 +78,13 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []  # name, whether it is chrome
+        self.open: list[tuple[str, int]] = []  # name, whether it is chrome (1) or in doubt (2)
         self.chrome = 0
+        self.doubts: list[int] = []  # of open elements
+        self.n_doubts = 0
+        self.links = 0  # open ones
+        self.linked = 0  # characters of the line in links
+        self.more: list[tuple[tuple[int, ...], int]] = []  # of each line: its doubts, characters in links
         self.regions: list[tuple[int, str]] = [(0, "")]  # of open elements: number and kind
         self.at: list[int] = []  # depth of self.open at each region
         self.count = 0
@@ -85,9 +97,12 @@ class _Lines(HTMLParser):
         self.parts.clear()
         if text:
             self.lines.append((text, self.tags, self.chrome > 0, *self.regions[-1]))
+            self.more.append((tuple(self.doubts), self.linked))
             self.tags = 0
+        self.linked = 0
 
-    def is_chrome(self, tag: str, attrs: list) -> bool:
+    def is_chrome(self, tag: str, attrs: list) -> int:
+        """1 for chrome, 2 for a doubt, else 0."""
         if tag in CHROME:
             return True
         if tag in ("html", "body", "main", "article"):
@@ -96,20 +111,34 @@ class _Lines(HTMLParser):
         inside = self.regions[-1][1] in ("article", "main")
         if tag == "header":
             return not inside
+        doubt = 0
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and HIDDEN.search(value)):
                 return True
             if name == "role" and value and value.lower() in ROLES:
                 return True
             if name in ("class", "id") and value:
-                words = set(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", value).lower()))
-                if words & MARKED or (words & MARKED_UNLESS_CONTENT and not words & CONTENT and not (inside and "header" in words)):
+                every = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", value).lower()
+                words = set(re.split(r"[^a-z0-9]+", every))
+                by_part = words & MARKED_UNLESS_CONTENT and not words & CONTENT and not (inside and "header" in words)
+                if words & MARKED - UNSURE or by_part and not inside:
                     return True
-        return False
+                if not words & MARKED and not by_part or name == "id" and tag in NAMED:
+                    continue
+                # several marking words alone, as in cookie-notice, leave no doubt; nor does sidebar or nav in an article
+                names = [set(re.split(r"[^a-z0-9]+", x)) - {""} for x in every.split()]
+                if any(x and x <= MARKED | MARKED_UNLESS_CONTENT and (len(x) > 1 or x <= MARKED_UNLESS_CONTENT) and (by_part or x & MARKED) for x in names):
+                    return True
+                doubt = 2
+        return doubt
 
     def pop_to(self, depth: int) -> None:
         while len(self.open) > depth:
-            self.chrome -= self.open.pop()[1]
+            name, kind = self.open.pop()
+            self.chrome -= kind == 1
+            self.links -= name == "a"
+            if kind == 2:
+                self.doubts.pop()
         while self.at and self.at[-1] >= depth:
             self.at.pop()
             self.regions.pop()
@@ -143,12 +172,25 @@ class _Lines(HTMLParser):
             self.count += 1
             self.regions.append((self.count, tag))
             self.at.append(len(self.open))
-        self.open.append((tag, chrome))
-        self.chrome += chrome
+        self.open.append((tag, int(chrome)))
+        self.chrome += chrome == 1
+        self.links += tag == "a"
+        if chrome == 2:
+            self.n_doubts += 1
+            self.doubts.append(self.n_doubts)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
+        if tag in FOREIGN or self.in_foreign():
+            self.tags += 1  # closes itself; of HTML elements only void ones do
+            return
         self.handle_starttag(tag, attrs)
 
+    def in_foreign(self) -> bool:
+        for name, _ in reversed(self.open):
+            if name in FOREIGN or name in ("foreignobject", "annotation-xml"):
+                return name in FOREIGN
+        return False
+
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag == "br":
@@ -167,6 +209,8 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        if self.links:
+            self.linked += len(data.strip())
 
 
 def main_text(html: str | None) -> str:
@@ -183,12 +227,22 @@ def main_text(html: str | None) -> str:
     ratios = np.array([len(text) / max(1, tags) for text, tags, *_ in lines])
     level = smoothed(ratios)
     mine = np.array([not line[2] for line in lines])
+    if not mine.any():
+        return ""
+    upper = level >= threshold(level[mine])
+    doubtful: dict[int, list[int]] = {}
+    for k, (doubts, _) in enumerate(parser.more):
+        for doubt in doubts if not lines[k][2] else ():
+            doubtful.setdefault(doubt, []).append(k)
+    for of in doubtful.values():
+        if not upper[of].any() or 2 * sum(parser.more[k][1] for k in of) > sum(len(lines[k][0]) for k in of):
+            mine[of] = False
     if not mine.any():
         return ""
     region = np.array([line[3] for line in lines])
     chosen = set(region[mine & (level >= threshold(level[mine]))])
-    size = np.array([len(line[0]) for line in lines]) * mine
-    chosen |= {line[3] for line in lines if line[4] in ("article", "main") and 2 * size[region == line[3]].sum() >= size.sum()}
+    size = np.bincount(region, np.array([len(line[0]) for line in lines]) * mine)
+    chosen |= {line[3] for line in lines if line[4] in ("article", "main") and 2 * size[line[3]] >= size.sum()}
     return " ".join(line[0] for line, ok in zip(lines, mine) if ok and line[3] in chosen)
 
 

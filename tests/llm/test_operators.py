@@ -88,6 +88,19 @@ def test_html_article_of_short_lines():
     assert html_extract.main_text(html) == " ".join([*lines, STORY.strip()])
 
 
+def test_html_foreign_elements_that_close_themselves():
+    html = f"<article><svg width=1 /><h1>Head</h1><p>a <svg/> b <math/> c</p><svg><g/><text>no</text></svg><p>{STORY}</p></article>"
+    assert html_extract.main_text(html) == "Head a b c " + STORY.strip()
+
+
+@pytest.mark.parametrize("name", ["section id=discussion", "section id=related-work", 'div class="market-share"', 'div class="side-effects"', 'section class="discussion"'])
+def test_html_words_that_articles_use(name):
+    tag = name.split()[0]
+    links = '<div class="related"><a href=x>One thing</a> <a href=y>Other</a></div><div class=share><a href=z>Share</a></div>'
+    html = f"<article><h1>Head</h1><p>{STORY}</p><{name}><h2 id=social-history>Part</h2><p>{STORY}</p></{tag}>{links}<div class='nav-menu'>Menu</div></article>"
+    assert html_extract.main_text(html) == " ".join(["Head", STORY.strip(), "Part", STORY.strip()])
+
+
 def test_html_odd(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (None, "u", "<p>x", 1), (3, "u", "no markup &lt;", 1), (3, "u", "<article><p>" + "y " * 100_000, 1)], "page_id long, url string, html string, text int")
     got = {(r.page_id, r.text[:20], r.n_chars) for r in html_extract.op1_html_extract(pages).collect()}
