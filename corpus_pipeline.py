@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridfactor.llm.common import counted, shared_dir, table
+from gridfactor.llm.common import checkpointed, counted, shared_dir, table
 from gridfactor.llm.decontaminate import contamination
 from gridfactor.llm.jaccard_join import jaccard_components
 from gridfactor.llm.language_id import fit_profiles, identified
@@ -23,19 +23,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (5-word shingles, similarity 0.8 or more), the document with the smallest id stays.
+    """Of each component of near copies (5-word shingles, similarity 0.8 or more), the row with the smallest key stays.
 
-    Of repeated rows (equal id and text) one stays; rows without an id stay.  Rows that share an id are taken for one document.
+    A row's key is its id (null is the largest), its text's hash together with the id, and its number among equal
+    rows; so rows that share an id, and rows without one, are compared like others.  Of repeated rows (equal id
+    and text) one stays, but all rows that have neither an id nor a word.
     """
-    found = jaccard_components(docs, k=5, percent=80).where("doc_id IS NOT NULL")
-    gone = counted(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
-    kept = docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
     key = F.xxhash64("doc_id", "text")
-    again = counted(docs.where("doc_id IS NOT NULL").groupBy(key.alias("__key")).agg(F.count("*").alias("__n")).where("__n > 1").select("__key"))
-    kept = kept.withColumn("__k", key)
-    nth = F.row_number().over(Window.partitionBy("__k", "doc_id").orderBy("source", "lang"))
-    repeated = kept.join(again, F.col("__k") == F.col("__key"), "left_semi").withColumn("__nth", nth).where("__nth = 1")
-    once = kept.join(again, F.col("__k") == F.col("__key"), "left_anti")
+    keyed = docs.withColumn("__key", key)
+    found = jaccard_components(keyed, k=5, percent=80, id_col="__key")
+    links = checkpointed(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__component")).distinct())
+    heads = links.select(F.col("__component").alias("__row"), "__component").distinct()
+    members = counted(links.unionByName(heads))
+    rows = keyed.select("doc_id", "__key").join(members, F.col("__key") == F.col("__row")).select("__component", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__key").alias("row")).distinct()
+    first = rows.groupBy("__component").agg(F.min("row").alias("first"))
+    gone = counted(rows.join(first, "__component").where("row <> first").select(F.col("row.doc_id").alias("__id"), F.col("row.__key").alias("__gone")).distinct())
+    kept = keyed.join(gone, (F.col("__key") == F.col("__gone")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    named = F.col("doc_id").isNotNull() | F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0d]")
+    again = counted(keyed.where(named).groupBy(F.col("__key").alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1").select("__again"))
+    nth = F.row_number().over(Window.partitionBy("__key", "doc_id").orderBy("source", "lang"))
+    repeated = kept.join(again, F.col("__key") == F.col("__again"), "left_semi").withColumn("__nth", nth).where("__nth = 1")
+    once = kept.join(again, F.col("__key") == F.col("__again"), "left_anti")
     return once.select(docs.columns).unionByName(repeated.select(docs.columns))
 
 

@@ -49,3 +49,12 @@ def test_stages(spark, sf):
 
     before, after, _ = seen["sharding"]
     assert len(before) == len(after) and {r.shard for r in after} <= set(range(16))
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark, sf):
+    text = lambda name, end="": " ".join(f"{name}{j}" for j in range(60)) + end
+    rows = [(1, text("a")), (5, text("a", " x")), (5, text("clean")), (None, text("a", " y")), (None, text("d")), (None, text("d", " x")), (None, text("d")), (None, text("f"))]
+    rows += [(9, text("e")), (9, text("e", " x")), (7, text("g")), (7, text("g")), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = Counter((r.doc_id, (r.text or "-").split("0")[0]) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect())
+    assert kept == {(1, "a"): 1, (5, "clean"): 1, (None, "d"): 1, (None, "f"): 1, (9, "e"): 1, (7, "g"): 1, (None, "-"): 2}
