@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Odd multipliers of the polynomial hashes (64 bits, wrapping), and of the finalizer.
@@ -64,6 +64,21 @@ def counted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Beyond ASCII, a character that F.lower() would change: none other does.
+CHANGED_BY_LOWER = r"[\x{80}-\x{10FFFF}&&[\p{Lu}\p{Lt}\p{IsUppercase}]]"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def lower_ascii(text: Column) -> Column:
+    """A-Z in lower case, all else as it is; the slower translate() only where lower() would change more."""
+    return F.when(text.rlike(CHANGED_BY_LOWER), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+
+
+def split_words(text: Column, separators: str) -> Column:
+    """The words between runs of separators (a pattern that matches a whole run)."""
+    return F.array_remove(F.split(text, separators), "")
+
+
 def u64(x: int) -> np.uint64:
     return np.uint64(x & 0xFFFFFFFFFFFFFFFF)
 

@@ -3,11 +3,15 @@
 The records of the join are windows of 13 consecutive item words (a shorter item is one window); a
 window is a set of 4-word shingles (fewer words: itself).  A document holds a window only if it holds
 all of its shingles, so one necessary prefix token is enough: the shingle that the fewest documents
-have.  One pass over the documents finds where they hold any shingle of the benchmark; these few
-matches, each with the words around it, give the documents that each shingle is in, hence the order by
-rarity.  Matches of prefix tokens give candidates: the window has to start at the match's position less
-the token's offset in the window, inside the document (positional and length bounds).  Each candidate's
-words are then compared.
+have.
+
+1. One pass over the documents hashes the shingle at each position, in generated code, and keeps where
+   they hold any shingle of the benchmark: rows of (id, text's hash, position, shingle's hash) alone.
+2. These rows give the number of documents that each shingle is in, hence the order by rarity, and each
+   window's prefix token.  A window with a shingle that no document has is out.
+3. Places of prefix tokens alone are candidates: the window has to start at the place less the token's
+   offset in the window, inside the document (positional and length bounds).
+4. Documents with candidates are read again; each candidate's words are compared with the window's.
 
 The index of benchmark shingles is counted; up to `broadcast_rows` rows (16 bytes each) it is broadcast,
 beyond that the join is by shuffle of (id, position, hash) alone.
@@ -22,23 +26,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored
+from .common import checkpointed, counted, lower_ascii, split_words, stored
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 13, 4
 BROADCAST_ROWS = 1 << 20
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return split_words(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS)
+
+
+def _places(k: int) -> Column:
+    """For each position of the words w, the k words from there on (nulls behind the last)."""
+    return F.arrays_zip(*[(F.slice("w", j + 1, F.size("w")) if j else F.col("w")).alias(f"w{j}") for j in range(k)])
 
 
-def _shingles(of: Column, k: int) -> Column:
-    """Hashes of the k-word shingles at each position; none if there are fewer words."""
-    last = F.size(of) - F.lit(k)
-    hashed = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(k), *[F.get(of, i + j if j else i) for j in range(k)]))
-    return F.when(last >= 0, hashed).otherwise(F.array().cast("array<bigint>"))
+def _shingle(k: int) -> Column:
+    """The hash of the k words of a place z; null if there are fewer."""
+    return F.when(F.col(f"z.w{k - 1}").isNotNull(), F.xxhash64(F.lit(k), *[F.col(f"z.w{j}") for j in range(k)]))
 
 
 def item_windows(items: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -49,27 +55,27 @@ def item_windows(items: DataFrame, window: int = WINDOW, id_col: str = "item_id"
     return rows.select("item_id", F.explode(F.transform(starts, lambda s: F.array_join(F.slice(w, s, window), " "))).alias("window"), F.least(F.size(w), F.lit(window)).alias("len")).distinct()
 
 
-def _matches(docs: DataFrame, index: DataFrame, sizes: list[int], window: int, small: bool) -> DataFrame:
-    """A row for each place where a document holds an indexed shingle, with the words around it; and one for each document with pos -1.
+def _matches(docs: DataFrame, index: DataFrame, sizes: list[int], small: bool) -> DataFrame:
+    """(doc_id, t, n_words, mark, pos, h): a row for each place where a document holds an indexed shingle, and one with `mark` for each document, whose h may be null.
 
     docs(doc_id, t, w): id, hash of the text, words.
     """
-    def places(k: int) -> Column:
-        return F.transform(_shingles(F.col("w"), k), lambda h, p: F.struct(h.alias("h"), p.alias("pos"), F.lit(k).alias("k")))
-
-    arrays = [places(k) for k in sizes]
-    mark = F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(-1).alias("pos"), F.lit(0).alias("k")))
-    before = F.greatest(F.lit(0), F.col("m.pos") + F.col("m.k") - window)
-    around = [F.col("m.pos"), F.col("m.h"), (F.col("m.pos") - before).alias("before"), F.when(F.col("m.pos") >= 0, F.slice("w", before + 1, F.lit(2 * window))).alias("around")]
-    found = docs.select("doc_id", "t", F.size("w").alias("n_words"), "w", F.explode(F.concat(mark, *arrays) if arrays else mark).alias("m"))
+    rows = docs.select("doc_id", "t", F.size("w").alias("n_words"), "w")
+    if not sizes:
+        return rows.select("doc_id", "t", "n_words", F.lit(True).alias("mark"), F.lit(0).alias("pos"), F.lit(None).cast("bigint").alias("h"))
+    rows = rows.select("doc_id", "t", "n_words", F.posexplode_outer(_places(sizes[-1])).alias("pos", "z"))
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    if len(sizes) == 1:
+        rows = rows.select("doc_id", "t", "n_words", first.alias("mark"), "pos", _shingle(sizes[0]).alias("h"))
+    else:
+        each = F.array(*[F.struct((first & F.lit(j == 0)).alias("mark"), "pos", _shingle(k).alias("h")) for j, k in enumerate(sizes)])
+        rows = rows.select("doc_id", "t", "n_words", F.inline(each))
     if small:
-        hit = F.broadcast(index.union(index.sparkSession.createDataFrame([(None,)], "h long")))
-        return found.join(hit, F.col("m.h").eqNullSafe(hit["h"])).select("doc_id", "t", "n_words", *around)
-    hits = found.where("m.pos >= 0").select("doc_id", "t", "m").join(index, F.col("m.h") == index["h"], "left_semi")
-    marks = found.where("m.pos < 0").select("doc_id", "t", "n_words", *around)
-    again = docs.select(F.col("doc_id").alias("d2"), F.col("t").alias("t2"), "w").dropDuplicates(["d2", "t2"])
-    hits = hits.distinct().join(again, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2")))
-    return hits.select("doc_id", "t", F.size("w").alias("n_words"), *around).unionByName(marks)
+        hit = F.broadcast(index.withColumnRenamed("h", "indexed"))
+        return rows.join(hit, F.col("h") == F.col("indexed"), "left").where("mark OR indexed IS NOT NULL").select("doc_id", "t", "n_words", "mark", "pos", F.col("indexed").alias("h"))
+    hits = rows.where("h IS NOT NULL").join(index, "h", "left_semi").select("doc_id", "t", "n_words", F.lit(False).alias("mark"), "pos", "h")
+    marks = rows.where("mark").select("doc_id", "t", "n_words", "mark", "pos", F.lit(None).cast("bigint").alias("h"))
+    return hits.unionByName(marks)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, share: int = 20, broadcast_rows: int = BROADCAST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,26 +83,32 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     windows = checkpointed(item_windows(items, window))
     sets = windows.select("window", "len").distinct().withColumn("w", F.split("window", " "))
     sizes = sorted(r.k for r in windows.select(F.least("len", F.lit(shingle)).alias("k")).distinct().collect())  # at most `shingle` values
-    tokens = None
+    tokens = sets.select("window", "len", F.lit(0).alias("offset"), F.lit(0).cast("bigint").alias("h")).limit(0)
     for k in sizes:
-        part = sets.where(F.least("len", F.lit(shingle)) == k).select("window", "len", F.posexplode(_shingles(F.col("w"), k)).alias("offset", "h"))
-        tokens = part if tokens is None else tokens.unionByName(part)
-    tokens = checkpointed(tokens if tokens is not None else sets.select("window", "len", F.lit(0).alias("offset"), F.lit(0).cast("bigint").alias("h")))
-    index = tokens.select("h").distinct()
+        part = sets.where(F.least("len", F.lit(shingle)) == k).select("window", "len", F.posexplode(_places(k)).alias("offset", "z"))
+        tokens = tokens.unionByName(part.select("window", "len", "offset", _shingle(k).alias("h")).where("h IS NOT NULL"))
+    tokens = checkpointed(tokens)
+    index = checkpointed(tokens.select("h").distinct())
     small = index.count() <= broadcast_rows
 
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("t"), words(text).alias("w"))
-    matches = stored(_matches(rows, index, sizes, window, small))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    matches = stored(_matches(named.select("doc_id", "t", words(F.col("text")).alias("w")), index, sizes, small))
 
-    rarity = matches.where("pos >= 0").select("doc_id", "t", "h").distinct().groupBy("h").agg(F.count("*").alias("docs"))
+    places = matches.where("h IS NOT NULL")
+    rarity = places.select("doc_id", "t", "h").distinct().groupBy("h").agg(F.count("*").alias("docs"))
     prefix = tokens.join(rarity, "h").groupBy("window", "len").agg(F.min(F.struct("docs", "h", "offset")).alias("p"), F.count_distinct("h").alias("have"))
     whole = tokens.groupBy("window").agg(F.count_distinct("h").alias("need"))
     prefix = prefix.join(whole, "window").where("have = need").select("window", "len", F.col("p.h").alias("h"), F.col("p.offset").alias("offset"))
     start = F.col("pos") - F.col("offset")
-    held = matches.where("pos >= 0").join(prefix, "h").where((start >= 0) & (start + F.col("len") <= F.col("n_words")) & (F.col("offset") <= F.col("before")))
-    held = held.where(F.array_join(F.slice("around", F.col("before") - F.col("offset") + 1, F.col("len")), " ") == F.col("window"))
-    held = held.select("doc_id", "t", start.alias("start"), (start + F.col("len")).alias("end"), "window").distinct()
+    candidates = places.join(prefix, "h").where((start >= 0) & (start + F.col("len") <= F.col("n_words")))
+    candidates = checkpointed(candidates.select(F.col("doc_id").alias("d"), F.col("t").alias("k"), start.alias("start"), (start + F.col("len")).alias("end"), "window").distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("k"))
+    asked = counted(candidates.select("d", "k").distinct())
+    texts = named.join(asked, same, "left_semi").select("doc_id", "t", words(F.col("text")).alias("w"))
+    pairs = F.broadcast(candidates) if candidates.count() <= broadcast_rows // 8 else candidates  # with the windows' words
+    held = texts.join(pairs, same).where(F.array_join(F.slice("w", F.col("start") + 1, F.col("end") - F.col("start")), " ") == F.col("window"))
+    held = checkpointed(held.select("doc_id", "t", "start", "end", "window").distinct())
 
     spans = held.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
     covered = F.aggregate(
@@ -108,7 +120,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     hit = spans.select(F.col("doc_id").alias("d1"), F.col("t").alias("t1"), covered.cast("long").alias("n_hit"))
     listed = held.select("doc_id", "t", "window").distinct().join(windows.where("item_id IS NOT NULL").select("window", "item_id"), "window")
     listed = listed.groupBy(F.col("doc_id").alias("d2"), F.col("t").alias("t2")).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    out = matches.where("pos < 0").select("doc_id", "t", F.col("n_words").cast("long").alias("n_words"))
+    out = matches.where("mark").select("doc_id", "t", F.col("n_words").cast("long").alias("n_words"))
     out = out.join(hit, F.col("doc_id").eqNullSafe(F.col("d1")) & (F.col("t") == F.col("t1")), "left").join(listed, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     out = out.select("doc_id", "t", "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
