@@ -5,10 +5,12 @@ source's permuted order.  A source's target is met by whole passes over its bloc
 pass, whose one cut block is drawn document by document.  So each source has an exact number of block
 draws.  A binary tree over the output shards divides these quotas: at each node the left half gets a
 multivariate-hypergeometric sample of them, and the draws go to the shards in permuted order, each to
-one shard.  Inside a shard, rows are ordered by a hash of shard, document and pass.
+one shard.  Inside a shard, rows are ordered by a hash of shard, document and pass: a draw's `place`.
 
-What grows with the data is grouped by (source, block); the driver holds one row per source and its
-quota per shard.  Sizes are words `[^\\x20\\x09-\\x0D]+`.
+What grows with the data is grouped by (source, block); running sums over a source's blocks go over
+RUN blocks at a time, so that no task holds all blocks of a source.  The driver holds one row per source
+and its quota per shard, and refuses more than MOST_SOURCES sources; tables of sources are broadcast,
+which that bounds.  Sizes are words `[^\\x20\\x09-\\x0D]+`.
 
 Nulls: a null text has size 0, a null source is a source of its own (last), null ids are kept.
 Documents of size 0 are taken as the passes go, for 0 words.  Repeated rows are rows of their own.
@@ -23,9 +25,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, split_words
 
-WORD = r"[^\x20\x09-\x0D]+"
+SEPARATORS = r"[\x20\x09-\x0D]+"
+#: Blocks of a source that one running sum goes over; the most sources; the most block draws that a quota may hold.
+RUN, MOST_SOURCES, MOST_DRAWS = 1024, 1 << 20, 10**9 - 1
 
 
 def capped_targets(sizes: list[int], weights: list[int], cap: int = 3) -> list[Fraction]:
@@ -60,19 +64,23 @@ def split_quotas(counts: list[int], shards: int, seed: int = 0) -> np.ndarray:
 
 
 def mix_sources(docs: DataFrame, n_shards: int = 64, docs_per_block: int = 512, cap: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, and `draws`, an array of (pass, shard) with one entry for each time that the mix takes it."""
+    """Per row of docs: doc_id, source, size, source_size, target, block, and `draws`, an array of (pass, shard, place) with one entry for each time that the mix takes it."""
     spark = docs.sparkSession
     base = checkpointed(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            F.coalesce(F.size(split_words(F.col(text_col), SEPARATORS)), F.lit(0)).cast("long").alias("size"),
             F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"),
-        )
+        ).withColumn("size", F.greatest("size", F.lit(0).cast("long")))
     )
-    found = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row per source
+    by_source = checkpointed(base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
+    if by_source.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    found = by_source.collect()  # a row per source
     found.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
     targets = capped_targets([r["size"] for r in found], [k % 3 + 1 for k in range(len(found))], cap)
+    docs_per_block = max(docs_per_block, -(-2 * (cap + 1) * sum(r.n for r in found) // MOST_DRAWS))
     plan = []
     for k, (r, t) in enumerate(zip(found, targets)):
         passes = int(t // r["size"]) if r["size"] else 0
@@ -82,9 +90,14 @@ def mix_sources(docs: DataFrame, n_shards: int = 64, docs_per_block: int = 512,
     rows = base.withColumnRenamed("source", "s0").join(F.broadcast(sources), F.col("s0").eqNullSafe(F.col("source"))).drop("s0")
     rows = rows.withColumn("block", F.pmod("h", F.col("n_blocks")).cast("int"))
 
-    before = Window.partitionBy("sid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy("sid", "block", "n_blocks", "passes", "rest").agg(F.sum("size").alias("words"))
-    blocks = blocks.withColumn("extra", F.greatest(F.lit(0), F.least("words", F.col("rest") - F.coalesce(F.sum("words").over(before), F.lit(0)))))
+    blocks = checkpointed(blocks.withColumn("run", F.floor(F.col("block") / RUN)))
+    earlier = Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = blocks.groupBy("sid", "run").agg(F.sum("words").alias("words"))
+    runs = runs.select("sid", "run", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("start"))
+    before = Window.partitionBy("sid", "run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("inside", F.coalesce(F.sum("words").over(before), F.lit(0))).join(runs, ["sid", "run"])
+    blocks = blocks.withColumn("extra", F.greatest(F.lit(0), F.least("words", F.col("rest") - F.col("start") - F.col("inside")))).drop("run", "start", "inside")
     blocks = checkpointed(blocks.withColumn("kind", F.when(F.col("extra") == 0, 0).when(F.col("extra") == F.col("words"), 2).otherwise(1)))
     partial = dict(blocks.where("kind > 0").groupBy("sid").agg((F.max("block") + 1).alias("n")).collect())  # a row per source
     quotas = split_quotas([p[5] * p[4] + partial.get(p[0], 0) for p in plan], n_shards, seed)
@@ -103,7 +116,9 @@ def mix_sources(docs: DataFrame, n_shards: int = 64, docs_per_block: int = 512,
     inside = Window.partitionBy("sid", "block").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = rows.where("kind = 1").withColumn("more", F.sum("size").over(inside) * 2 - F.col("size") <= F.col("extra") * 2)
     rows = rows.where("kind != 1").withColumn("more", F.col("kind") == 2).unionByName(cut)
-    return rows.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("more"), F.concat("whole", F.array("last"))).otherwise(F.col("whole")).alias("draws"), "h")
+    draws = F.when(F.col("more"), F.concat("whole", F.array("last"))).otherwise(F.col("whole"))
+    placed = F.transform(draws, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.xxhash64(d["shard"], F.col("h"), d["pass"]).alias("place")))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "block", placed.alias("draws"), "h")
 
 
 def drawn_documents(docs: DataFrame, mix: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,7 +133,7 @@ def drawn_documents(docs: DataFrame, mix: DataFrame, seed: int = 0, id_col: str
     rows = rows.join(lists, (F.col("__k") == F.col("__h")) & same_id)
     rows = rows.withColumn("__d", F.explode(F.element_at("__lists", F.col("__nth"))))
     mine = [c for c in docs.columns if c not in ("mix_shard", "mix_place")]
-    return rows.select(*mine, F.col("__d.shard").alias("mix_shard"), F.xxhash64("__d.shard", "__k", "__d.pass").alias("mix_place"))
+    return rows.select(*mine, F.col("__d.shard").alias("mix_shard"), F.col("__d.place").alias("mix_place"))
 
 
 def write_mix(docs: DataFrame, mix: DataFrame, path: str, seed: int = 0) -> None:
@@ -128,4 +143,6 @@ def write_mix(docs: DataFrame, mix: DataFrame, path: str, seed: int = 0) -> None
 
 
 def op4_hypergeometric_mix(docs: DataFrame) -> DataFrame:
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+    """The digest columns, and each document's draws: the shard of each, and its place there, as lists in text."""
+    listed = lambda name: F.array_join(F.transform("draws", lambda d: d[name].cast("string")), ",")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "block", listed("shard").alias("shards"), listed("place").alias("places"))

@@ -220,26 +220,92 @@ def test_mpeg_rows(odd, none):
 
 
 # ---------------------------------------------------------------- 4
+def plain_targets(sizes, weights):
+    """Shares by weight; who is above three times its size is fixed there, one source at a time."""
+    fixed = {}
+    while True:
+        open_ = [k for k in range(len(sizes)) if k not in fixed and sizes[k]]
+        left = sum(sizes) - sum(fixed.values())
+        share = {k: left * weights[k] / sum(weights[j] for j in open_) for k in open_}
+        over = [k for k in open_ if share[k] > 3 * sizes[k] + 1e-9]
+        if not over:
+            return [fixed.get(k, share.get(k, 0)) for k in range(len(sizes))]
+        fixed[max(over, key=lambda k: share[k] / sizes[k])] = 3 * sizes[max(over, key=lambda k: share[k] / sizes[k])]
+
+
 def test_mix(docs, odd, none):
     for d in (docs, odd):
         rows = mixing.op4_hypergeometric_mix(d).collect()
         assert len(rows) == d.count() and Counter(map(tuple, rows)) == Counter(map(tuple, mixing.op4_hypergeometric_mix(d).collect()))
-        source = Counter()
-        by = defaultdict(list)
-        full = mixing.mix_sources(d).collect()
-        for r in full:
+        texts = Counter((r.doc_id, len(re.findall("[^\x20\x09-\x0d]+", r.text or ""))) for r in d.collect())
+        assert Counter((r.doc_id, r["size"]) for r in rows) == texts
+        source, by = Counter(), defaultdict(list)
+        for r in mixing.mix_sources(d).collect():
             by[r.source].append(r)
             source[r.source] += r["size"]
         names = sorted(by, key=lambda s: (s is None, (s or "").encode()))
-        want = mixing.capped_targets([source[s] for s in names], [k % 3 + 1 for k in range(len(names))])
+        want = plain_targets([source[s] for s in names], [k % 3 + 1 for k in range(len(names))])
+        assert abs(sum(want) - sum(source.values())) < 1e-6 * max(1, sum(want))
         for s, t in zip(names, want):
             taken = sum(r["size"] * len(r.draws) for r in by[s])
             assert abs(taken - t) <= max([r["size"] for r in by[s]], default=0)
-            assert {r.source_size for r in by[s]} == {source[s]} and {round(r.target - float(t), 6) for r in by[s]} == {0}
+            assert {r.source_size for r in by[s]} == {source[s]} and all(abs(r.target - t) < 1e-6 * max(1, t) for r in by[s])
             assert all(len(r.draws) <= 3 for r in by[s])
+        assert sorted(r.shards for r in rows) == sorted(",".join(str(x.shard) for x in r.draws) for s in by for r in by[s])
     assert mixing.op4_hypergeometric_mix(none).count() == 0
 
 
+@pytest.mark.parametrize("run", [1024, 3])
+def test_mix_draws_follow_the_tree(docs, run, monkeypatch):
+    """Each block draw is in one shard; shards have the quotas of the tree; another tree gives another result."""
+    monkeypatch.setattr(mixing, "RUN", run)
+    given = []
+    split = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda counts, shards, seed=0: given.append(split(counts, shards, seed)) or given[-1])
+    rows = mixing.mix_sources(docs, n_shards=5, docs_per_block=4).collect()
+    quotas = given[0]
+    names = sorted({r.source for r in rows}, key=lambda s: (s is None, (s or "").encode()))
+    where, takers = defaultdict(set), Counter()
+    for r in rows:
+        assert sorted({x["pass"] for x in r.draws}) == list(range(len(r.draws)))  # a pass takes a document once
+        for x in r.draws:
+            where[r.source, r.block, x["pass"]].add(x.shard)
+    assert all(len(x) == 1 for x in where.values())  # draws are disjoint among shards
+    for (s, _, _), (shard,) in where.items():
+        takers[s, shard] += 1
+    got = np.array([[takers[s, k] for s in names] for k in range(5)])
+    empty = quotas - got  # a block of which the cut took no document
+    assert (empty >= 0).all() and empty.sum() <= len(names) and max(quotas.sum(1)) - min(quotas.sum(1)) <= 2
+    words = Counter()
+    for r in rows:
+        for x in r.draws:
+            words[x.shard] += r["size"]
+    assert min(words.values()) > 0
+    zero = lambda counts, shards, seed=0: np.array([counts] + [[0] * len(counts)] * (shards - 1))
+    monkeypatch.setattr(mixing, "split_quotas", zero)
+    assert {x.shard for r in mixing.mix_sources(docs, n_shards=5, docs_per_block=4).collect() for x in r.draws} == {0}
+
+
+def test_mix_written(spark, docs, tmp_path):
+    """Files of a shard hold its draws, in the order of their places."""
+    mix = mixing.mix_sources(docs, n_shards=3)
+    mixing.write_mix(docs, mix, f"file://{tmp_path}/mix")
+    want, place = Counter(), {}
+    for r in mix.collect():
+        for x in r.draws:
+            want[r.doc_id, x.shard] += 1
+            place.setdefault((r.doc_id, x.shard), []).append(x.place)
+    got = Counter()
+    for k in range(3):
+        for file in sorted((tmp_path / "mix" / f"mix_shard={k}").glob("*.parquet")):
+            ids = [r.doc_id for r in spark.read.parquet(f"file://{file}").collect()]
+            got.update((i, k) for i in ids)
+            if all(len(place[i, k]) == 1 for i in ids):
+                order = [place[i, k][0] for i in ids]
+                assert order == sorted(order) and ids != sorted(ids)
+    assert got == want
+
+
 def test_mix_targets_and_quotas():
     t = mixing.capped_targets([10, 10, 1000], [1, 2, 3])
     assert t == [30, 30, 960]
