@@ -69,12 +69,16 @@ ORACLE_SQL: dict[str, str] = {
  c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT doc_id, s, n FROM h)) GROUP BY 1),
  l AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY 1)
  SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)""",
-    "op8_preference": f"""WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, role, text, {_PIECE} AS head, replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body FROM conversations WHERE conv_id IS NOT NULL),
- n AS (SELECT pair_id, min(conv_id) FILTER (side = 0) AS chosen_id, min(conv_id) FILTER (side = 1) AS rejected_id, least(count(*) FILTER (side = 0), count(*) FILTER (side = 1)) AS least FROM t GROUP BY 1),
- m AS (SELECT a.pair_id, min(a.k) - 1 AS m FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.k = b.k AND a.side = 0 AND b.side = 1 WHERE a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text GROUP BY 1),
- p AS (SELECT n.*, coalesce(m, least) AS np FROM n LEFT JOIN m USING (pair_id)),
- u AS (SELECT t.*, np, coalesce(sum(CASE WHEN k > np THEN length(head) + length(body) END) OVER (PARTITION BY pair_id, side ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM t JOIN p USING (pair_id)),
+    "op8_preference": f"""WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k, role, text FROM conversations WHERE conv_id IS NOT NULL),
+ a AS (SELECT conv_id, k, text, row_number() OVER (PARTITION BY conv_id ORDER BY k) AS nth, row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS m FROM o WHERE role = 'assistant'),
+ x AS (SELECT a.conv_id, a.k, b.conv_id AS other, b.text AS answer FROM a JOIN a b ON xor(a.conv_id, 1) = b.conv_id AND b.back = 1 WHERE a.nth = ((a.conv_id % a.m) + a.m) % a.m + 1),
+ t AS (SELECT conv_id AS pair_id, 0 AS side, k, role, text FROM o UNION ALL SELECT o.conv_id, 1, o.k, o.role, o.text FROM o JOIN x ON o.conv_id = x.conv_id AND o.k < x.k UNION ALL SELECT conv_id, 1, k, 'assistant', answer FROM x),
+ q AS (SELECT *, {_PIECE} AS head, replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body FROM t),
+ n AS (SELECT pair_id, least(count(*) FILTER (side = 0), count(*) FILTER (side = 1)) AS least FROM q GROUP BY 1),
+ m AS (SELECT c.pair_id, min(c.k) - 1 AS m FROM q c JOIN q d ON c.pair_id = d.pair_id AND c.k = d.k AND c.side = 0 AND d.side = 1 WHERE c.role IS DISTINCT FROM d.role OR c.text IS DISTINCT FROM d.text GROUP BY 1),
+ p AS (SELECT n.pair_id, coalesce(m, least) AS np, other FROM n LEFT JOIN m USING (pair_id) LEFT JOIN x ON x.conv_id = n.pair_id),
+ u AS (SELECT q.*, np, coalesce(sum(CASE WHEN k > np THEN length(head) + length(body) END) OVER (PARTITION BY pair_id, side ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM q JOIN p USING (pair_id)),
  v AS (SELECT pair_id, string_agg(head || body, '' ORDER BY k) FILTER (side = 0 AND k <= np) AS prompt, string_agg(head || body, '' ORDER BY k) FILTER (side = 0 AND k > np) AS c, string_agg(head || body, '' ORDER BY k) FILTER (side = 1 AND k > np) AS r,
   string_agg((pos + length(head)) || '-' || (pos + length(head) + length(body)), ' ' ORDER BY k) FILTER (side = 0 AND k > np AND role = 'assistant') AS cm, string_agg((pos + length(head)) || '-' || (pos + length(head) + length(body)), ' ' ORDER BY k) FILTER (side = 1 AND k > np AND role = 'assistant') AS rm FROM u GROUP BY 1)
- SELECT pair_id, chosen_id, rejected_id, CAST(np AS INTEGER) AS n_prompt_turns, coalesce(prompt, '') AS prompt, CASE WHEN chosen_id IS NOT NULL THEN coalesce(c, '') END AS chosen, CASE WHEN rejected_id IS NOT NULL THEN coalesce(r, '') END AS rejected, CASE WHEN chosen_id IS NOT NULL THEN coalesce(cm, '') END AS chosen_mask, CASE WHEN rejected_id IS NOT NULL THEN coalesce(rm, '') END AS rejected_mask FROM p JOIN v USING (pair_id)""",
+ SELECT pair_id, pair_id AS chosen_id, other AS rejected_id, CAST(np AS INTEGER) AS n_prompt_turns, coalesce(prompt, '') AS prompt, coalesce(c, '') AS chosen, CASE WHEN other IS NOT NULL THEN coalesce(r, '') END AS rejected, coalesce(cm, '') AS chosen_mask, CASE WHEN other IS NOT NULL THEN coalesce(rm, '') END AS rejected_mask FROM p JOIN v USING (pair_id)""",
 }

@@ -483,16 +483,58 @@ def test_preference(spark):
     assert chat_format.preference_pairs(df.limit(0)).count() == 0
 
 
+def brute_preferences(rows):
+    by = defaultdict(list)
+    for conv, turn, role, text, *_ in rows:
+        if conv is not None:
+            by[conv].append((turn, role, text))
+    key = lambda t: tuple((x is not None, x if x is not None else 0) for x in t)
+    by = {c: [(role, text) for _, role, text in sorted(turns, key=key)] for c, turns in by.items()}
+    out = Counter()
+    clean = lambda x: (x or "").replace("<|", "< |")
+
+    def rendered(turns):
+        text, spans = "", []
+        for role, x in turns:
+            text += f"<|{clean(role)}|>\n"
+            a = len(text)
+            text += clean(x) + "<|end|>\n"
+            if role == "assistant":
+                spans.append(f"{a}-{len(text)}")
+        return text, " ".join(spans)
+
+    for conv, c in by.items():
+        mine = [k for k, (role, _) in enumerate(c) if role == "assistant"]
+        others = [x for role, x in by.get(conv ^ 1, []) if role == "assistant"]
+        n, r = 0, None
+        if mine and others:
+            r = c[: mine[conv % len(mine)]] + [("assistant", others[-1])]
+            while n < min(len(c), len(r)) and c[n] == r[n]:
+                n += 1
+        chosen, rejected = rendered(c[n:]), rendered(r[n:]) if r is not None else (None, None)
+        out[conv, conv, conv ^ 1 if r is not None else None, n, rendered(c[:n])[0], chosen[0], rejected[0], chosen[1], rejected[1]] += 1
+    return out
+
+
 def test_preference_table(spark, sf):
+    """Every conversation's pair against plain code; prompts of several turns occur."""
     c = table(spark, sf, "conversations")
-    by = defaultdict(list)
-    for r in c.collect():
-        by[r.conv_id].append((r.turn, r.role, r.text))
-    for r in chat_format.preference_pairs(chat_format.paired_by_id(c)).collect():
-        for conv, text in ((r.chosen_id, r.chosen), (r.rejected_id, r.rejected)):
-            if conv is not None:
-                want = "".join(f"<|{role}|>\n{x}<|end|>\n" for _, role, x in sorted(by[conv]))
-                assert r.prompt + text == want
+    rows = chat_format.op8_preference(c).collect()
+    assert Counter(map(tuple, rows)) == brute_preferences([(r.conv_id, r.turn, r.role, r.text) for r in c.collect()])
+    assert sum(r.n_prompt_turns > 0 for r in rows) > len(rows) // 2 and len({r.n_prompt_turns for r in rows}) > 3
+    assert any(r.rejected_mask for r in rows)
+
+
+def test_preference_odd(spark):
+    long = "long " * 50_000 + "<|end|>"
+    rows = [(0, 0, "user", "Q"), (0, 1, "assistant", None), (1, 0, "user", "Q"), (1, None, "system", "S"), (1, 2, "assistant", "same"), (1, 4, "assistant", "same"), (1, 4, "assistant", "same"), (1, 3, None, None)]
+    rows += [(2, 0, "user", "no answer"), (3, 0, "assistant", long), (None, 0, "assistant", "lost"), (None, 1, "user", "lost"), (6, 0, "assistant", "x"), (-4, 0, "assistant", ""), (-3, 0, "user", "a"), (-3, 1, "assistant", "<|"), (8, 0, "user", "Q"), (8, 1, "assistant", "A"), (9, 0, "user", "R"), (9, 1, "assistant", "A")]
+    turns = spark.createDataFrame([(*r, 1, 2, "c", 5) for r in rows], "conv_id long, turn long, role string, text string, side int, pair_id int, c string, at int")
+    got = chat_format.op8_preference(turns).collect()
+    assert Counter(map(tuple, got)) == brute_preferences(rows)
+    same = next(r for r in got if r.pair_id == 8)
+    assert same.n_prompt_turns == 2 and same.chosen == same.rejected == ""
+    assert chat_format.op8_preference(turns.limit(0)).count() == 0
 
 
 # ---------------------------------------------------------------- 9
