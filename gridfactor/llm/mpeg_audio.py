@@ -1,4 +1,4 @@
-"""Media columns: MPEG audio streams that carry payload bytes, and a reader of any MPEG-1/2/2.5 audio stream.
+"""Media columns: MPEG audio streams that carry payload bytes, and a reader of MPEG-1/2/2.5 audio streams.
 
 The writer makes a stream of MPEG-1 Layer III frames (mono, 48 kHz, 224 kbit/s, 672 bytes, CRC-protected,
 silent: all side information is zero).  The main data of each frame is ancillary and holds 576 payload
@@ -6,11 +6,16 @@ bytes.  An ID3v2 tag and a frame with a variable-bitrate ("Info") table of 100 s
 
 The reader finds the first frame after any tags and resynchronises behind damage: a header counts if the
 next one, at the distance that its bitrate says, has the same version, layer and sample rate (or the
-stream ends there).  It verifies each frame's CRC-16 and the table's frame and byte counts, and yields
-the exact duration as samples and the sample rate, and each frame's byte offset for seeks.
-
-Nulls: a null text is an empty payload.  Empty payloads get one frame of 576 filling bytes.  Ids are not
-stored, so equal texts have equal media.  Empty tables give no rows; repeated rows are kept.
+stream ends there).  It reads ID3v2.2 to 2.4 and ID3v1 tags, and the tables Xing, Info and VBRI, whose frame
+and byte counts it compares with the stream.  It verifies the CRC-16 of Layer I and Layer III frames; those
+of Layer II, which cover bits that only a decoder's allocation tables tell, are counted as unverified.  It
+yields the exact duration as samples and the sample rate, and each frame's byte offset for seeks.  Free
+bitrates aren't read.
+
+Nulls: a null text is an empty payload; a null stream has null features, and one without frames has no
+sample rate and no duration.  A stream without the writer's tag has null n_bytes.  Empty payloads get one
+frame of 576 filling bytes.  Ids are not stored, so equal texts have equal media.  Empty tables give no
+rows; repeated rows are kept.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import stored
 
@@ -44,6 +50,8 @@ KBITS = {
 HERTZ = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 2.5: (11025, 12000, 8000)}
 SAMPLES = {(1, 1): 384, (1, 2): 1152, (1, 3): 1152, (2, 1): 384, (2, 2): 1152, (2, 3): 576}
 VERSIONS = {0: 2.5, 2: 2, 3: 1}
+#: Text encodings of ID3v2 frames.
+ENCODINGS = {b"\x00": "latin-1", b"\x01": "utf-16", b"\x02": "utf-16-be", b"\x03": "utf-8"}
 
 
 def crc16(data: bytes) -> int:
@@ -121,22 +129,46 @@ def tag_bytes(data: bytes, at: int = 0) -> int:
 
 
 def tags(data: bytes) -> dict[str, str]:
-    """The text frames of an ID3v2.4 tag at the stream's start; user texts by their description."""
-    out, at, end = {}, 10, tag_bytes(data)
-    while at + 10 <= end and data[at] >= 65:
-        a, b, c, d = data[at + 4 : at + 8]
-        body = data[at + 10 : at + 10 + (a << 21 | b << 14 | c << 7 | d)]
-        name = data[at : at + 4].decode("latin-1")
-        if name[0] == "T" and body[:1] in (b"\x00", b"\x03"):
-            parts = body[1:].decode("utf-8" if body[0] == 3 else "latin-1").split("\0")
-            out[parts[0] if name == "TXXX" else name] = parts[-1] if name == "TXXX" else parts[0]
-        at += 10 + len(body)
+    """The text frames of an ID3v2 tag at the stream's start, user texts by their description; else title, artist and so on of an ID3v1 tag."""
+    out, end = {}, tag_bytes(data)
+    old = end and data[3] == 2  # version 2.2: names of three letters, sizes of three bytes
+    at, name_size, size_of = 10, 3 if old else 4, 3 if old else 4
+    if end and data[3] >= 3 and data[5] & 0x40:  # an extended header
+        n = sum(x << (7 if data[3] == 4 else 8) * k for k, x in enumerate(reversed(data[10:14])))
+        at += n if data[3] == 4 else n + 4
+    while at + name_size + size_of <= end and data[at] >= 48:
+        n = sum(x << (7 if data[3] == 4 else 8) * k for k, x in enumerate(reversed(data[at + name_size : at + name_size + size_of])))
+        name, at = data[at : at + name_size].decode("latin-1"), at + name_size + size_of + (0 if old else 2)
+        body = data[at : at + n]
+        if name[0] == "T" and body[:1] in ENCODINGS:
+            parts = body[1:].decode(ENCODINGS[body[:1]], "replace").split("\0")
+            user = name in ("TXXX", "TXX")
+            out[parts[0].lstrip("\ufeff") if user else name] = (parts[min(1, len(parts) - 1)] if user else parts[0]).lstrip("\ufeff")
+        at += n
+    if not end and len(data) >= 128 and data[-128:-125] == b"TAG":
+        for key, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
+            out[key] = data[-128 + a : -128 + b].split(b"\0")[0].decode("latin-1").rstrip()
     return out
 
 
+def crc_of(data: bytes, at: int, h: tuple) -> bool | None:
+    """Whether a protected frame's CRC is right; None for Layer II."""
+    version, layer, _, _, _, _, _, mono = h
+    start = at + 6
+    if layer == 3:
+        covered = data[start : start + ((17 if mono else 32) if version == 1 else (9 if mono else 17))]
+    elif layer == 1:
+        mode, bound = data[at + 3] >> 6, 4 * (data[at + 3] >> 4 & 3) + 4
+        bits = 128 if mono else 4 * (2 * bound + 32 - bound) if mode == 1 else 256  # joint stereo shares the subbands from the bound
+        covered = data[start : start + bits // 8]
+    else:
+        return None
+    return crc16(data[at + 2 : at + 4] + covered) == data[at + 4] << 8 | data[at + 5]
+
+
 def scan(data: bytes) -> dict:
     """Everything about a stream: frames' offsets, samples, Hz, CRCs, the variable-bitrate table, skipped bytes."""
-    at, first, offsets, samples, bad, checked, skipped, table, bits = tag_bytes(data), None, [], 0, 0, 0, 0, None, set()
+    at, first, offsets, samples, bad, checked, unverified, skipped, table, bits = tag_bytes(data), None, [], 0, 0, 0, 0, 0, None, set()
     end = len(data) - (128 if len(data) >= 128 and data[-128:-125] == b"TAG" else 0)
     while at < end:
         h = header(data, at)
@@ -149,38 +181,53 @@ def scan(data: bytes) -> dict:
             skipped += (nxt if nxt >= 0 else end) - at
             at = nxt if nxt >= 0 else end
             continue
-        side = (17 if h[7] else 32) if h[0] == 1 else (9 if h[7] else 17)
-        start = at + 4 + 2 * h[2]
-        if h[2] and h[1] == 3:
-            checked += 1
-            bad += crc16(data[at + 2 : at + 4] + data[start : start + side]) != data[at + 4] << 8 | data[at + 5]
+        if h[2]:
+            right = crc_of(data, at, h)
+            checked += right is not None
+            bad += right is False
+            unverified += right is None
         if first is None:
             first = h
-            if h[1] == 3 and data[start + side : start + side + 4] in (b"Xing", b"Info"):
-                table = _table(data, start + side)
+            table = _table(data, at, h)
+            if table is not None:
                 at += h[5]
                 continue
         offsets.append(at)
         bits.add(h[3])
         samples += h[6]
         at += h[5]
-    return {"header": first, "offsets": offsets, "samples": samples, "bad_crc": bad, "crc": checked, "skipped": skipped, "table": table, "vbr": len(bits) > 1}
+    return {"header": first, "offsets": offsets, "samples": samples, "bad_crc": bad, "crc": checked, "unverified": unverified, "skipped": skipped, "table": table, "vbr": len(bits) > 1}
 
 
-def _table(data: bytes, at: int) -> dict:
-    flags, at, out = struct.unpack_from(">I", data, at + 4)[0], at + 8, {}
-    for bit, name in ((1, "frames"), (2, "bytes")):
-        if flags & bit:
-            out[name] = struct.unpack_from(">I", data, at)[0]
-            at += 4
-    out["seek"] = data[at : at + 100] if flags & 4 else None
-    return out
+def _table(data: bytes, frame: int, h: tuple) -> dict | None:
+    """The variable-bitrate table in a Layer III frame: its kind, frames, bytes and seek points (byte offsets from the table's frame on)."""
+    if h[1] != 3:
+        return None
+    stop = frame + h[5]
+    at = frame + 4 + 2 * h[2] + ((17 if h[7] else 32) if h[0] == 1 else (9 if h[7] else 17))
+    kind = data[at : at + 4]
+    if kind in (b"Xing", b"Info") and at + 8 <= stop:
+        out: dict = {"kind": kind.decode(), "seek": None}
+        flags, at = struct.unpack_from(">I", data, at + 4)[0], at + 8
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit and at + 4 <= stop:
+                out[name] = struct.unpack_from(">I", data, at)[0]
+                at += 4
+        if flags & 4 and at + 100 <= stop:
+            out["seek"] = [x * out["bytes"] // 256 for x in data[at : at + 100]] if "bytes" in out else None
+        return out
+    at = frame + 36  # VBRI comes 32 bytes behind the header, whatever the channels
+    if data[at : at + 4] == b"VBRI" and at + 26 <= stop:
+        n_bytes, frames, entries, scale, width, _ = struct.unpack_from(">IIHHHH", data, at + 10)
+        steps = [int.from_bytes(data[at + 26 + k * width : at + 26 + (k + 1) * width], "big") * scale for k in range(entries)] if at + 26 + entries * width <= stop else []
+        return {"kind": "VBRI", "frames": frames, "bytes": n_bytes, "seek": [sum(steps[:k]) for k in range(len(steps))] or None}
+    return None
 
 
 def decode(data: bytes, found: dict) -> bytes:
     """The padded payload from the frames that scan() found in a stream of encode()."""
     start = len(_PREFIX)
-    return b"".join(data[at + start : at + start + UNIT] for at in found["offsets"])
+    return b"".join(data[at + start : at + start + UNIT] for at in found["offsets"])  # of other streams: what lies there
 
 
 ENCODED = pa.schema([("doc_id", pa.int64()), ("media", pa.binary())])
@@ -198,19 +245,23 @@ def _encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(media, pa.binary())], schema=ENCODED)
 
 
+def _read(doc_id: int | None, data: bytes | None) -> tuple:
+    if data is None:
+        return (doc_id, *[None] * (len(READ) - 1))
+    found = scan(data)
+    payload = decode(data, found)
+    version, layer, _, _, hertz, *_ = found["header"] or (0, 0, None, None, None)
+    table = found["table"] or {}
+    whole = table.get("frames") == len(found["offsets"]) and table.get("bytes") == len(data) - tag_bytes(data)
+    feature = f"MPEG-{version:g} layer {layer}; {hertz} Hz; frames {len(found['offsets'])}; samples {found['samples']}; crc {found['crc'] - found['bad_crc']}/{found['crc']}; skipped {found['skipped']}; table {'whole' if whole else 'wrong' if table else 'none'}; {'vbr' if found['vbr'] else 'cbr'}"
+    n_bytes = tags(data).get("payload_bytes", "")
+    sums = hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest()
+    return (doc_id, int(n_bytes) if n_bytes.isdecimal() else None, len(payload), *sums, feature if found["header"] else "no frames", found["samples"], hertz, found["samples"] / hertz if hertz else None, found["offsets"])
+
+
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for doc_id, media in zip(batch["doc_id"].to_pylist(), batch["media"]):
-            data = media.as_py()
-            found = scan(data)
-            payload = decode(data, found)
-            version, layer, _, _, hertz, *_ = found["header"]
-            table = found["table"] or {}
-            whole = table.get("frames") == len(found["offsets"]) and table.get("bytes") == len(data) - tag_bytes(data)
-            feature = f"MPEG-{version:g} layer {layer}; {hertz} Hz; frames {len(found['offsets'])}; samples {found['samples']}; crc {found['crc'] - found['bad_crc']}/{found['crc']}; skipped {found['skipped']}; table {'whole' if whole else 'wrong' if table else 'none'}; {'vbr' if found['vbr'] else 'cbr'}"
-            sums = hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest()
-            rows.append((doc_id, int(tags(data)["payload_bytes"]), len(payload), *sums, feature, found["samples"], hertz, found["samples"] / hertz, found["offsets"]))
+        rows = [_read(doc_id, media.as_py()) for doc_id, media in zip(batch["doc_id"].to_pylist(), batch["media"])]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), READ)], schema=READ)
 
@@ -226,4 +277,7 @@ def media_features(media: DataFrame) -> DataFrame:
 
 
 def op3_mpeg_audio(docs: DataFrame) -> DataFrame:
-    return media_features(stored(media_column(docs))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    """The digest columns, the exact duration, and the frames' seek offsets as a list in text."""
+    found = media_features(stored(media_column(docs)))
+    seek = F.array_join(F.transform("seek_offsets", lambda x: x.cast("string")), ",").alias("seek_offsets")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_samples", "sample_rate", "duration_s", seek)

@@ -206,6 +206,72 @@ def test_mpeg_crc_and_resync():
     assert mpeg_audio.header(bytes([0xFF, 0xFB, 0x90, 0x00]), 0)[3:7] == (128000, 44100, 417, 1152)
 
 
+def frames(version_bits, layer, indices, hertz_index=0, mono=True, protected=False):
+    """A stream of empty frames with some bitrates."""
+    out = b""
+    for k in indices:
+        head = bytes([0xFF, 0xE0 | version_bits << 3 | (4 - layer) << 1 | (not protected), k << 4 | hertz_index << 2, 0xC0 if mono else 0x40])
+        h = mpeg_audio.header(head, 0)
+        body = bytes(h[5] - 4)
+        if protected:
+            n = (17 if mono else 32) if layer == 3 else (16 if mono else (2 * 4 + 28) // 2)
+            body = mpeg_audio.crc16(head[2:] + bytes(n)).to_bytes(2, "big") + body[2:]
+        out += head + body
+    return out
+
+
+@pytest.mark.parametrize(
+    "version, layer, index, hertz, bits, size, samples",
+    [(3, 1, 1, 44100, 32000, 32, 384), (3, 1, 14, 44100, 448000, 484, 384), (3, 2, 14, 44100, 384000, 1253, 1152), (3, 3, 14, 44100, 320000, 1044, 1152), (2, 1, 14, 22050, 256000, 556, 384), (2, 2, 14, 22050, 160000, 1044, 1152), (2, 3, 8, 22050, 64000, 208, 576), (0, 3, 14, 11025, 160000, 1044, 576)],
+)
+def test_mpeg_headers(version, layer, index, hertz, bits, size, samples):
+    """Sizes by the standard's formula: 144 (Layer I: 12 slots of 4; Layer III of MPEG-2: 72) times the bitrate over the rate."""
+    data = frames(version, layer, [index] * 3)
+    got = mpeg_audio.header(data, 0)
+    assert (got[3], got[4], got[5], got[6]) == (bits, hertz, size, samples)
+    found = mpeg_audio.scan(data)
+    assert found["offsets"] == [0, size, 2 * size] and found["samples"] == 3 * samples and not found["vbr"]
+
+
+def test_mpeg_variable_bitrates():
+    data = frames(3, 3, [9, 9, 14, 1, 5, 5])
+    found = mpeg_audio.scan(data)
+    sizes = [mpeg_audio.header(data, at)[5] for at in found["offsets"]]
+    assert found["vbr"] and found["offsets"] == list(np.cumsum([0, *sizes[:-1]])) and sum(sizes) == len(data) and found["samples"] == 6 * 1152
+    body = mpeg_audio.struct.pack(">HHHIIHHHH", 1, 0, 75, len(data), 5, 2, 10, 2, 3) + (30).to_bytes(2, "big") + (50).to_bytes(2, "big")
+    vbri = bytearray(data)
+    vbri[36 : 40 + len(body)] = b"VBRI" + body
+    table = mpeg_audio.scan(bytes(vbri))
+    assert table["table"] == {"kind": "VBRI", "frames": 5, "bytes": len(data), "seek": [0, 300]} and table["offsets"] == found["offsets"][1:]
+
+
+@pytest.mark.parametrize("layer, mono", [(1, True), (1, False), (3, True), (3, False), (2, True)])
+def test_mpeg_checksums(layer, mono):
+    data = bytearray(frames(3, layer, [9] * 4, mono=mono, protected=True))
+    found = mpeg_audio.scan(bytes(data))
+    assert (found["crc"], found["bad_crc"], found["unverified"]) == ((4, 0, 0) if layer != 2 else (0, 0, 4))
+    data[found["offsets"][2] + 8] ^= 4
+    assert mpeg_audio.scan(bytes(data))["bad_crc"] == (layer != 2)
+
+
+def test_mpeg_other_tags():
+    body = frames(3, 3, [9] * 3)
+    utf16 = b"\x01" + "Ünï".encode("utf-16")
+    v23 = b"ID3\x03\x00\x00" + mpeg_audio._syncsafe(10 + len(utf16)) + b"TIT2" + len(utf16).to_bytes(4, "big") + b"\x00\x00" + utf16
+    assert mpeg_audio.tags(v23 + body) == {"TIT2": "Ünï"} and mpeg_audio.scan(v23 + body)["offsets"][0] == len(v23)
+    v22 = b"ID3\x02\x00\x00" + mpeg_audio._syncsafe(6 + 4) + b"TT2" + (4).to_bytes(3, "big") + b"\x00abc"
+    assert mpeg_audio.tags(v22 + body) == {"TT2": "abc"}
+    v1 = (b"TAG" + b"song".ljust(30, b"\0") + b"who".ljust(30) + b"\0" * 30 + b"1999").ljust(128, b"\0")
+    assert mpeg_audio.tags(body + v1) == {"title": "song", "artist": "who", "album": "", "year": "1999"} and mpeg_audio.scan(body + v1)["skipped"] == 0
+
+
+def test_mpeg_foreign_rows(spark):
+    rows = [(1, None), (2, b""), (3, b"no audio at all"), (4, frames(3, 3, [9] * 3)), (None, mpeg_audio.encode(b"abc"))]
+    got = {r.doc_id: r for r in mpeg_audio.media_features(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert got[1].feature is None and got[1].media_bytes is None and got[2].feature == got[3].feature == "no frames" and got[3].duration_s is None
+    assert got[4].n_bytes is None and got[4].duration_s == 3 * 1152 / 44100 and got[4].seek_offsets == [0, 417, 834] and got[None].n_bytes == 3
+
+
 def test_mpeg_rows(odd, none):
     for r, (doc, text, *_) in zip(rows_of(mpeg_audio.op3_mpeg_audio(odd)), sorted(odd_rows(), key=lambda r: (r[0] is None, r[0]))):
         assert r.doc_id == doc
@@ -216,6 +282,11 @@ def test_mpeg_rows(odd, none):
         p = mpeg_audio.padded(data)
         want[doc, len(data), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-576:])] += 1
     assert got == want
+    for r in mpeg_audio.op3_mpeg_audio(odd).collect():
+        n = r.payload_bytes // 576
+        assert r.n_samples == 1152 * n and r.duration_s == 1152 * n / 48000
+        first = r.media_bytes - 672 * n
+        assert r.seek_offsets == ",".join(str(first + 672 * k) for k in range(n))
     assert mpeg_audio.op3_mpeg_audio(none).count() == 0
 
 
