@@ -1,16 +1,23 @@
 """HTML extraction: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The standard library's HTMLParser streams events.  A line is the text between two block boundaries; it
-counts the tags seen since the last line.  Lines inside navigation, page headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, hidden elements and reader comments are chrome: they take part
-in smoothing, but are never content.  Class and id words that articles use too (discussion, related, share and
-the like; in an article or main element also menu, side, search and the like beside other words) only raise
-a doubt: such an element is chrome if all its lines are in the lower cluster of smoothed ratios or most of
-its text is links.  The id of a heading or section raises none.  The smoothed ratios of all other lines are split into two clusters by the
-threshold between the clusters' means; a region (the article or main element around a line; without any,
-the innermost sectioning block) is content if a line of it is in the upper cluster.  An article or main
-element is a region's extent and else only a prior: one with half of the page's text or more is content
-too.  All lines of content regions but chrome are kept, so that short paragraphs and headings stay.
+counts the tags seen since the last line; its ratio is characters to tags.  Names are a prior: the ratio of
+a line inside navigation, page headers, footers, sidebars, notices, adverts, forms and reader comments, by
+element, class, id or role, is multiplied by PRIOR.  What a page doesn't show (scripts, styles, hidden
+elements, choices of a list) has no lines.  Ratios are smoothed inside runs of lines with one prior, so that
+an advert between long paragraphs isn't lifted by them.  The smoothed ratios of lines are split into two
+clusters by the threshold between the clusters' means.
+
+A region (the article or main element around a line; without any, the innermost sectioning block) is content
+if a line of it is in the upper cluster that isn't mostly links (without any such line, one that is).  An article or main element is a region's extent and else only a
+prior: one with half of the page's text or more is content too.  Kept are all lines of content regions but
+those with the low prior, so that short paragraphs and headings stay; of lines with the low prior, those
+whose ratio is in the upper cluster all the same.
+
+Class and id words that articles use too (discussion, related, share and the like; in an article or main
+element also menu, side, search and the like beside other words) only raise a doubt: such an element gets the
+low prior if all its lines are in the lower cluster or most of its text is links.  The id of a heading or
+section raises none.
 
 Nulls: a null or empty page gives an empty text.  Repeated rows are kept, an empty table gives no rows.
 Very long pages are parsed whole.  Broken markup: end tags without a start are ignored, an end tag closes
@@ -30,7 +37,8 @@ from pyspark.sql import DataFrame
 # Names of HTML elements by their part in a page, and words of class and id attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-CHROME = frozenset("nav footer aside form button select option textarea script style noscript template iframe svg math object canvas menu dialog head title audio video".split())
+CHROME = frozenset("nav footer aside form menu dialog".split())
+UNSEEN = frozenset("button select option textarea script style noscript template iframe svg math object canvas head title audio video".split())
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
     "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead"), "tfoot": ("tr", "td", "th", "tbody"),
@@ -47,12 +55,20 @@ CONTENT = frozenset("content article main post entry story body text page wrappe
 UNSURE = frozenset("discussion related recommended share sharing social respond replies subscribe promotion consent notice notices login signup modal overlay cookie cookies advertising sponsor".split())
 NAMED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 FOREIGN = frozenset("svg math".split())
+#: What the ratios of lines in chrome are multiplied by; beyond MOST characters a tag, a ratio says no more.
+PRIOR, MOST = 2.0**-8, 1024.0
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
-    """Ratios after a Gaussian kernel; at the ends, the kernel is what is inside."""
+def smoothed(ratios: np.ndarray, kinds: np.ndarray, sigma: float = 1.0) -> np.ndarray:
+    """Ratios after a Gaussian kernel inside each run of lines of one kind."""
+    cuts = np.flatnonzero(kinds[1:] != kinds[:-1]) + 1
+    return np.concatenate([_smoothed_run(run, sigma) for run in np.split(ratios, cuts)])
+
+
+def _smoothed_run(ratios: np.ndarray, sigma: float) -> np.ndarray:
+    """At the ends, the kernel is what is inside."""
     half = max(1, int(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2)
     inside = np.convolve(np.ones(len(ratios)), kernel)[half : half + len(ratios)]
@@ -80,6 +96,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int]] = []  # name, whether it is chrome (1) or in doubt (2)
         self.chrome = 0
+        self.unseen = 0
         self.doubts: list[int] = []  # of open elements
         self.n_doubts = 0
         self.links = 0  # open ones
@@ -93,7 +110,7 @@ class _Lines(HTMLParser):
         self.lines: list[tuple[str, int, bool, int, str]] = []
 
     def end_line(self) -> None:
-        text = " ".join("".join(self.parts).split())
+        text = " ".join("".join(self.parts).split()) if not self.unseen else ""
         self.parts.clear()
         if text:
             self.lines.append((text, self.tags, self.chrome > 0, *self.regions[-1]))
@@ -102,9 +119,11 @@ class _Lines(HTMLParser):
         self.linked = 0
 
     def is_chrome(self, tag: str, attrs: list) -> int:
-        """1 for chrome, 2 for a doubt, else 0."""
+        """1 for chrome, 2 for a doubt, 3 for what isn't shown, else 0."""
+        if tag in UNSEEN:
+            return 3
         if tag in CHROME:
-            return True
+            return 1
         if tag in ("html", "body", "main", "article"):
             classes = " ".join(value or "" for name, value in attrs if name == "class").lower()
             return tag == "article" and "comment" in re.split(r"[^a-z0-9]+", classes)
@@ -114,28 +133,31 @@ class _Lines(HTMLParser):
         doubt = 0
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and HIDDEN.search(value)):
-                return True
+                return 3
             if name == "role" and value and value.lower() in ROLES:
-                return True
+                doubt = 1
+                continue
             if name in ("class", "id") and value:
                 every = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", value).lower()
                 words = set(re.split(r"[^a-z0-9]+", every))
                 by_part = words & MARKED_UNLESS_CONTENT and not words & CONTENT and not (inside and "header" in words)
                 if words & MARKED - UNSURE or by_part and not inside:
-                    return True
+                    doubt = 1
+                    continue
                 if not words & MARKED and not by_part or name == "id" and tag in NAMED:
                     continue
                 # several marking words alone, as in cookie-notice, leave no doubt; nor does sidebar or nav in an article
                 names = [set(re.split(r"[^a-z0-9]+", x)) - {""} for x in every.split()]
                 if any(x and x <= MARKED | MARKED_UNLESS_CONTENT and (len(x) > 1 or x <= MARKED_UNLESS_CONTENT) and (by_part or x & MARKED) for x in names):
-                    return True
-                doubt = 2
+                    doubt = 1
+                doubt = doubt or 2
         return doubt
 
     def pop_to(self, depth: int) -> None:
         while len(self.open) > depth:
             name, kind = self.open.pop()
             self.chrome -= kind == 1
+            self.unseen -= kind == 3
             self.links -= name == "a"
             if kind == 2:
                 self.doubts.pop()
@@ -174,6 +196,7 @@ class _Lines(HTMLParser):
             self.at.append(len(self.open))
         self.open.append((tag, int(chrome)))
         self.chrome += chrome == 1
+        self.unseen += chrome == 3
         self.links += tag == "a"
         if chrome == 2:
             self.n_doubts += 1
@@ -224,26 +247,30 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratios = np.array([len(text) / max(1, tags) for text, tags, *_ in lines])
-    level = smoothed(ratios)
     mine = np.array([not line[2] for line in lines])
     if not mine.any():
         return ""
+    ratios = np.array([min(MOST, len(text) / max(1, tags)) for text, tags, *_ in lines])
+    level = smoothed(np.where(mine, ratios, PRIOR * ratios), mine)
     upper = level >= threshold(level[mine])
     doubtful: dict[int, list[int]] = {}
     for k, (doubts, _) in enumerate(parser.more):
         for doubt in doubts if not lines[k][2] else ():
             doubtful.setdefault(doubt, []).append(k)
-    for of in doubtful.values():
-        if not upper[of].any() or 2 * sum(parser.more[k][1] for k in of) > sum(len(lines[k][0]) for k in of):
-            mine[of] = False
+    low = [of for of in doubtful.values() if not upper[of].any() or 2 * sum(parser.more[k][1] for k in of) > sum(len(lines[k][0]) for k in of)]
+    for of in low:
+        mine[of] = False
     if not mine.any():
         return ""
+    if low:
+        level = smoothed(np.where(mine, ratios, PRIOR * ratios), mine)
+    upper = level >= threshold(level[mine])
     region = np.array([line[3] for line in lines])
-    chosen = set(region[mine & (level >= threshold(level[mine]))])
+    links = np.array([2 * linked > len(line[0]) for (_, linked), line in zip(parser.more, lines)])
+    chosen = set(region[mine & upper & ~links]) or set(region[mine & upper])
     size = np.bincount(region, np.array([len(line[0]) for line in lines]) * mine)
     chosen |= {line[3] for line in lines if line[4] in ("article", "main") and 2 * size[line[3]] >= size.sum()}
-    return " ".join(line[0] for line, ok in zip(lines, mine) if ok and line[3] in chosen)
+    return " ".join(line[0] for line, ok, up in zip(lines, mine, upper) if (line[3] in chosen if ok else up))
 
 
 def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

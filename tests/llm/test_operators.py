@@ -101,6 +101,39 @@ def test_html_words_that_articles_use(name):
     assert html_extract.main_text(html) == " ".join(["Head", STORY.strip(), "Part", STORY.strip()])
 
 
+SOUP = "<body><div><a href=a>Home</a> <a href=b>News</a></div><div><ul>" + "<li><a href=c>Topic</a></li>" * 12 + f"</ul></div><div><h2>Head</h2><p>{STORY}</p><p>Short one.</p><p>{STORY}</p></div><div><p><a href=d>About</a> <a href=e>Jobs</a></p></div></body>"
+
+
+def test_html_ratios_decide_without_names():
+    """Neither an article nor a name: the ratios alone find the story."""
+    assert html_extract.main_text(SOUP) == " ".join(["Head", STORY.strip(), "Short one.", STORY.strip()])
+
+
+def test_html_story_with_a_misleading_name():
+    html = f"<body><div class=widget><p>{STORY}</p></div><div>" + "<b><i><u>x</u></i></b><br>" * 9 + "</div></body>"
+    assert STORY.strip() in html_extract.main_text(html)
+
+
+def test_html_long_chrome_between_paragraphs():
+    notice = "<div class=newsletter-signup>" + "Subscribe to it now. " * 900 + "</div>"
+    html = f"<article><p>{STORY}</p>{notice}<p>{STORY}</p></article><section class=comments><p>{STORY * 40}</p></section><footer>{STORY}</footer>"
+    assert html_extract.main_text(html) == " ".join([STORY.strip()] * 2)
+
+
+def test_html_noise_instead_of_ratios(spark, sf, monkeypatch):
+    """The given pages' texts come from the ratios: noise in their place changes them, names alone don't make them."""
+    pages = [r.html for r in table(spark, sf, "pages").collect()] + [SOUP]
+    right = [html_extract.main_text(x) for x in pages]
+    with monkeypatch.context() as m:
+        m.setattr(html_extract, "PRIOR", 1.0)  # names have no say
+        plain = [html_extract.main_text(x) for x in pages]
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(html_extract, "smoothed", lambda ratios, kinds: rng.uniform(0, 100, len(ratios)))
+    noisy = [html_extract.main_text(x) for x in pages]
+    assert sum(a != b for a, b in zip(right, noisy)) > 0.9 * len(pages)
+    assert sum(a == b for a, b in zip(right, plain)) > 0.9 * len(pages)
+
+
 def test_html_odd(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (None, "u", "<p>x", 1), (3, "u", "no markup &lt;", 1), (3, "u", "<article><p>" + "y " * 100_000, 1)], "page_id long, url string, html string, text int")
     got = {(r.page_id, r.text[:20], r.n_chars) for r in html_extract.op1_html_extract(pages).collect()}
