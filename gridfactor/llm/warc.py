@@ -4,9 +4,15 @@ A record ends with two CRLFs, so archives are text files with that line separato
 can write to will do.  Records of equal payloads are written once as `response`; the others are
 `revisit` records, which name the response and have its digest but no payload.
 
+Only ids, digests, targets and sizes are shuffled to find the revisits; payloads stay where they were read
+as long as the revisits' keys are few enough to be broadcast (they are counted).
+
 The reader plans one partition for about `split_mb` MB of whole files (records can't be found from the
-middle of a file).  It parses header blocks first; the predicates that Spark pushes down (record type,
-page id) and the options decide whether a payload is decoded or skipped by its Content-Length.
+middle of a file).  It parses header blocks first; the predicates that Spark pushes down (record type and
+page id, equal or in a list) and the options decide whether a payload is decoded or skipped by its
+Content-Length (a compressed one is inflated, but neither decoded nor verified).  Records of other writers
+have their id in `record_id` and no page_id; a digest other than a SHA-1 isn't verified.  Spark asks a Python
+source for its filters only with spark.sql.python.filterPushdown.enabled, which read_warc() sets.
 
 Nulls: a null html is an empty payload, a null url is written as an empty target; line breaks in a URL
 are percent-encoded.  A null page_id is kept as null; it comes after all others when the smallest is
@@ -25,13 +31,13 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
-from .common import shared_dir
+from .common import counted, shared_dir
 
 END = "\r\n\r\n"
 PAGE = "urn:page:"
-SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload string"
+SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload string, record_id string"
 #: The digits of base 32, by value, and those of F.conv().  Fixed values of RFC 4648 and of Spark.
 BASE32, CONV32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
@@ -47,31 +53,33 @@ def warc_records(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html): page_id, record_type and `record`, the text of its WARC record."""
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"), html.alias("html"), sha1_base32(html.cast("binary")).alias("digest"))
-    first = rows.groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, F.col("digest") == F.col("d")).withColumn("response", F.col("page_id").eqNullSafe(F.col("first")))
-    size = F.octet_length("html")
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit(END))
-    kind = F.when(F.col("response"), F.lit("response")).otherwise(F.lit("revisit"))
-    block = F.when(F.col("response"), F.concat(http, F.col("html"))).otherwise(http)
-    extra = F.when(F.col("response"), F.lit("")).otherwise(
-        F.concat(F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <{PAGE}"), F.coalesce(F.col("first").cast("string"), F.lit("")), F.lit(">\r\n"))
-    )
+    light = rows.select("page_id", "url", "digest", F.octet_length("html").alias("size"))
+    shared = counted(light.groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("d", "first"))
+    revisits = light.join(shared, F.col("digest") == F.col("d")).where(~F.col("page_id").eqNullSafe(F.col("first")))
+    again = counted(revisits.select(F.col("page_id").alias("p"), F.col("digest").alias("q")).distinct())
+    responses = rows.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("q")), "left_anti").withColumn("size", F.octet_length("html"))
+    return _records(responses, "response").unionByName(_records(revisits, "revisit"))
+
+
+def _records(rows: DataFrame, kind: str) -> DataFrame:
+    """rows(page_id, url, digest, size), responses with html, revisits with the first page's id."""
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END))
+    block = F.concat(http, F.col("html")) if kind == "response" else http
+    first = F.concat(F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <{PAGE}"), F.coalesce(F.col("first").cast("string"), F.lit("")), F.lit(">\r\n")) if kind == "revisit" else F.lit("")
     head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "),
-        kind,
-        F.lit(f"\r\nWARC-Record-ID: <{PAGE}"),
+        F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{PAGE}"),
         F.coalesce(F.col("page_id").cast("string"), F.lit("")),
         F.lit(">\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: "),
         F.col("url"),
         F.lit("\r\nWARC-Payload-Digest: sha1:"),
         F.col("digest"),
         F.lit("\r\n"),
-        extra,
+        first,
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "),
         F.octet_length(block).cast("string"),
         F.lit(END),
     )
-    return rows.select("page_id", kind.alias("record_type"), F.concat(head, block).alias("record"))
+    return rows.select("page_id", F.lit(kind).alias("record_type"), F.concat(head, block).alias("record"))
 
 
 def write_warc(pages: DataFrame, path: str, per_file: int = 20_000) -> None:
@@ -112,8 +120,10 @@ def _head(file: io.BufferedIOBase, limit: int | None = None) -> tuple[str, dict[
 
 
 def _id(field: str | None) -> int | None:
-    inside = (field or "").strip("<>").removeprefix(PAGE)
-    return int(inside) if inside else None
+    """The page id in a record id of write_warc(); None for others."""
+    inside = (field or "").strip("<>")
+    digits = inside.removeprefix(PAGE)
+    return int(digits) if inside.startswith(PAGE) and digits.lstrip("-").isdecimal() else None
 
 
 class WarcReader(DataSourceReader):
@@ -127,10 +137,11 @@ class WarcReader(DataSourceReader):
 
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("record_type",):
-                self.types = {f.value} & (self.types or {f.value})
-            elif isinstance(f, EqualTo) and f.attribute == ("page_id",):
-                self.pages = {f.value} & (self.pages or {f.value})
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if values is not None and f.attribute == ("record_type",):
+                self.types = values if self.types is None else self.types & values
+            elif values is not None and f.attribute == ("page_id",):
+                self.pages = values if self.pages is None else self.pages & values
             else:
                 yield f
 
@@ -160,19 +171,22 @@ class WarcReader(DataSourceReader):
             if (self.types is not None and kind not in self.types) or (self.pages is not None and page not in self.pages):
                 self.skip(file, left + 4)
                 continue
-            _, http, n = _head(file, left)
+            http, n = {}, 0
+            if fields.get("content-type", "").startswith("application/http"):
+                _, http, n = _head(file, left)
             left -= n
-            size, digest, text = int(http.get("content-length", left)), fields.get("warc-payload-digest", "").removeprefix("sha1:"), None
-            if kind == "response" and (self.payload or self.verify):
+            size, text = int(http.get("content-length", left)), None
+            algorithm, _, digest = fields.get("warc-payload-digest", "").rpartition(":")
+            if kind != "revisit" and (self.payload or self.verify):
                 data = file.read(left)
-                if self.verify:
+                if self.verify and algorithm == "sha1":
                     have = base64.b32encode(hashlib.sha1(data).digest()).decode()
                     if have != digest or len(data) != size:
-                        raise ValueError(f"record {page}: the payload has digest {have} and {len(data)} bytes, its header says {digest} and {size}")
-                text = data.decode("utf-8") if self.payload else None
+                        raise ValueError(f"record {fields.get('warc-record-id')}: the payload has digest {have} and {len(data)} bytes, its header says {digest} and {size}")
+                text = data.decode("utf-8", "replace") if self.payload else None
                 left = 0
             self.skip(file, left + 4)
-            yield page, fields.get("warc-target-uri") or None, kind, size, digest, _id(fields.get("warc-refers-to")), text
+            yield page, fields.get("warc-target-uri") or None, kind, size, digest, _id(fields.get("warc-refers-to")), text, fields.get("warc-record-id")
 
     @staticmethod
     def skip(file: io.BufferedIOBase, n: int) -> None:

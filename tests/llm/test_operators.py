@@ -532,6 +532,29 @@ def test_warc_files_and_predicates(spark, tmp_path):
         warc.read_warc(spark, path).collect()
 
 
+def test_warc_of_others(spark, tmp_path):
+    """Records with other ids, types and digests; predicates that contradict each other give nothing."""
+    record = lambda kind, name, body, more="": f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\n{more}Content-Length: {len(body.encode())}\r\n\r\n{body}\r\n\r\n"
+    http = "HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    text = record("warcinfo", "urn:uuid:1", "software: y\r\n", "Content-Type: application/warc-fields\r\n") + record("response", "urn:uuid:2", http + "é<p>", "WARC-Payload-Digest: md5:abc\r\nWARC-Target-URI: http://z\r\nContent-Type: application/http; msgtype=response\r\n")
+    text += record("response", "urn:page:7", http + "mine", "Content-Type: application/http\r\n")
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "part-0.warc").write_bytes(text.encode())
+    records = warc.read_warc(spark, f"file://{tmp_path}/o")
+    got = {r.record_id: (r.page_id, r.record_type, r.url, r.payload_bytes, r.payload) for r in records.collect()}
+    assert got == {"<urn:uuid:1>": (None, "warcinfo", None, 13, "software: y\r\n"), "<urn:uuid:2>": (None, "response", "http://z", 5, "é<p>"), "<urn:page:7>": (7, "response", None, 4, "mine")}
+    assert [r.page_id for r in records.where(F.col("page_id").isin(7, 9, 11)).collect()] == [7]
+    reader = warc.WarcReader({"files": "[]"})
+    rest = list(reader.pushFilters([warc.In(("page_id",), (7, 9)), warc.EqualTo(("page_id",), 8), warc.EqualTo(("page_id",), 7)]))
+    assert rest == [] and reader.pages == set()
+
+
+def test_warc_shuffles_no_payload(spark):
+    pages = spark.createDataFrame([(k, "u", f"<p>{k % 3}</p>") for k in range(9)], "page_id long, url string, html string")
+    plan = warc.warc_records(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
 # ---------------------------------------------------------------- 7
 def brute_hits(rows, items):
     cut = lambda x: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (x or "").translate(ASCII))
@@ -655,6 +678,38 @@ def test_language(spark, sf, odd, none):
     assert {r.lang_pred for r in language_id.op9_rank_order(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def plain_language(rows, size=300):
+    """(held out, language, score) of each document, by the out-of-place distance in plain code; all labelled documents are learned from."""
+
+    def ranked(texts):
+        n = Counter()
+        for text in texts:
+            clean = "".join(c if c.isalpha() else " " for c in text.lower())
+            for word in clean.split():
+                word = f" {word} "
+                n.update(word[j : j + k] for k in (1, 2, 3) for j in range(len(word) - k + 1) if word[j : j + k] != " ")
+        return [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], [ord(c) if c != " " else 32 for c in x[0].rjust(3, "\0")]))][:size]
+
+    by, out = defaultdict(list), []
+    for doc, text, lang in rows:
+        if doc is not None and lang is not None and zlib.crc32(str(doc).encode()) % 4 != 2:
+            by[lang].append(text or "")
+    profiles = {lang: {g: k for k, g in enumerate(ranked(texts))} for lang, texts in by.items()}
+    for doc, text, _ in rows:
+        top = ranked([text or ""])
+        held = doc is not None and zlib.crc32(str(doc).encode()) % 4 == 2
+        far = {lang: sum(abs(p[g] - k) if g in p else size for k, g in enumerate(top)) for lang, p in profiles.items()}
+        best = min(sorted(far, key=str.encode), key=lambda x: far[x]) if top and any(profiles.values()) else "und"
+        out.append((doc, held, best, round(1 - far[best] / (size * len(top)), 9) if best != "und" else 0.0))
+    return Counter(out)
+
+
+def test_language_against_plain_code(docs, odd):
+    for d in (docs, odd):
+        got = Counter((r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in language_id.op9_rank_order(d).collect())
+        assert got == plain_language([(r.doc_id, r.text, r.lang) for r in d.collect()])
+
+
 def test_ngrams():
     grams, n = language_id.ngram_counts("Ab, ab! 1c")
     text = lambda g: "".join(chr(int(g) >> s & 0x1FFFFF) for s in (42, 21, 0) if int(g) >> s & 0x1FFFFF)
