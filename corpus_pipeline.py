@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridfactor.llm.common import checkpointed, counted, shared_dir, table
+from gridfactor.llm.common import checkpointed, counted, scratch, shared_dir, table
 from gridfactor.llm.decontaminate import contamination
 from gridfactor.llm.jaccard_join import jaccard_components
 from gridfactor.llm.language_id import fit_profiles, identified
@@ -18,7 +18,10 @@ from gridfactor.llm.sharding import minimax_shards
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: no text, no letter in it, or hardly an n-gram that any language has."""
+    """Documents without a language go: no text, no letter in it, or hardly an n-gram that any language has (a score under 0.1).
+
+    Where no document has a label, no language is known, and only documents without a letter go.
+    """
     return identified(docs, fit_profiles(docs), least_score=0.1)
 
 
@@ -69,10 +72,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each stage's rows are written and read again."""
+    """Apply the stages to documents; each stage's rows are written and read again, and what it stored on the way is deleted."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        out, path = stage(spark, docs, sf_dir), shared_dir(spark)
-        out.write.parquet(path)
+        path = shared_dir(spark)
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
     return docs

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's name below spark.checkpoint.dir, or below a temporary folder if that is unset (tests)."""
-    return f"{checkpoint_root(spark)}/{uuid.uuid4().hex}"
+    return f"{_scratch[-1] if _scratch else checkpoint_root(spark)}/{uuid.uuid4().hex}"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -40,6 +41,26 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """While open, what the operators store and checkpoint goes below one new folder, which is deleted at the end: write results before."""
+    sc = spark.sparkContext
+    root = checkpoint_root(spark)
+    before, folder = sc.getCheckpointDir() or root, shared_dir(spark)
+    _scratch.append(folder)
+    sc.setCheckpointDir(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.pop()
+        sc.setCheckpointDir(before)
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage; the files are in the shared folder."""
     checkpoint_root(df.sparkSession)

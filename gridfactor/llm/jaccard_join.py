@@ -316,29 +316,59 @@ def _index(cell_no: int, table: pa.Table, answers: pa.Table, k: int, buckets: in
 def link_components(sets: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
     """Exact components of a family: n are the full sizes, sets hold at least all tokens that two sets share.
 
-    A hub is compared with all sets at once.  Every set outside the largest component becomes a hub, so
-    each pair of different components is compared.
+    A hub is compared with the sets that share a token with it in both prefixes (tokens in order of the sets
+    that have them, those of no other set first).  Every set outside the largest component becomes a hub, so
+    each pair of different components that could link is compared.
     """
-    label = np.arange(len(sets))
     _, tokens = np.unique(np.concatenate(sets), return_inverse=True)
     sizes = np.array([len(s) for s in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    holder = np.repeat(np.arange(len(sets)), sizes)[np.argsort(tokens, kind="stable")]  # by token
-    n_holders = np.bincount(tokens)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    count = np.bincount(tokens)
+    order = np.lexsort((tokens, count[tokens], owner))
+    tokens = tokens[order]  # rare ones first, set by set
+    prefix = np.clip(n - -(-percent * n // 100) + 1 - (n - sizes), 0, sizes)  # less the tokens that no other set has
+    inside = np.arange(len(tokens)) - starts[owner] < prefix[owner]
+    listed, holder = tokens[inside], owner[inside]
+    by = np.argsort(listed, kind="stable")
+    holder, n_holders = holder[by], np.bincount(listed, minlength=len(count))
     first = np.cumsum(n_holders) - n_holders
-    asked = np.zeros(len(sets), bool)
-    while True:
-        largest = np.bincount(label).argmax()
-        todo = np.flatnonzero(~asked & (label != largest)) if asked.any() else np.zeros(1, np.int64)
-        if not len(todo):
-            return label
-        j = todo[0]
-        asked[j] = True
-        own = tokens[starts[j] : starts[j + 1]]
-        both = np.bincount(holder[flat(first[own], n_holders[own])], minlength=len(sets))
-        both[j] = n[j]  # tokens that no other set has are left out
-        linked = np.unique(label[100 * both >= percent * (n + n[j] - both)])
-        label[np.isin(label, linked)] = linked.min()
+    asked, mine = np.zeros(len(sets), bool), np.zeros(len(count), bool)
+    members, parent = np.ones(len(sets), np.int64), list(range(len(sets)))  # members of each root
+
+    def find(j: int) -> int:
+        while parent[j] != j:
+            parent[j] = parent[parent[j]]
+            j = parent[j]
+        return j
+
+    order, largest = np.argsort(-sizes, kind="stable"), int(np.argmax(sizes))
+    todo = order[:1]
+    while len(todo):
+        for j in todo:
+            if asked[j] or (find(j) == find(largest) and asked.any()):
+                continue
+            asked[j] = True
+            own = tokens[starts[j] : starts[j + 1]]
+            near = own[: prefix[j]]
+            other = np.unique(holder[flat(first[near], n_holders[near])])
+            other = other[other != j]
+            if not len(other):
+                continue
+            mine[own] = True
+            ends = np.cumsum(sizes[other])
+            both = np.add.reduceat(mine[tokens[flat(starts[other], sizes[other])]].astype(np.int64), ends - sizes[other])
+            mine[own] = False
+            for k in other[100 * both >= percent * (n[other] + n[j] - both)]:
+                a, b = sorted((find(int(k)), find(int(j))))
+                if a != b:
+                    parent[b] = a
+                    members[a] += members[b]
+            if members[find(j)] > members[find(largest)]:
+                largest = find(j)
+        root = np.array([find(j) for j in range(len(sets))])
+        todo = order[~asked[order] & (root[order] != find(largest))]
+    return np.array([find(j) for j in range(len(sets))])
 
 
 def _cluster(table: pa.Table, percent: int) -> pa.Table:

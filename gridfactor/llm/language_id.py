@@ -132,8 +132,8 @@ def predict_language(docs: DataFrame, profiles: dict[str, list[int]], size: int
 
 
 def identified(docs: DataFrame, profiles: dict[str, list[int]], least_score: float = 0.0, size: int = 300, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text has a language with at least this score."""
-    guess = guesser(profiles, size)
+    """The rows of docs, all columns as they are, whose text has a language with at least this score; without profiles, those whose text has a letter."""
+    guess = guesser(profiles, size) if profiles else lambda text: ("", 1.0) if len(ngram_counts(text)[0]) else (UND, 0.0)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

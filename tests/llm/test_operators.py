@@ -212,6 +212,40 @@ def test_jaccard_form_letters(spark, monkeypatch):
     assert len(calls) <= 3
 
 
+@pytest.mark.parametrize("percent, seed", [(80, 0), (85, 1), (90, 2), (85, 3)])
+def test_family_components(percent, seed):
+    """Families of sets in one task against all pairs: chains, hubs, equal sets, tokens of their own."""
+    rng = np.random.default_rng(seed)
+    sets = []
+    for family in range(4):
+        s = set(rng.integers(0, 60, int(rng.integers(3, 40))).tolist())
+        for _ in range(25):
+            s = set(s)
+            for _ in range(int(rng.integers(0, 3))):
+                s.discard(next(iter(s))) if len(s) > 2 and rng.random() < 0.5 else s.add(int(rng.integers(0, 90)))
+            sets.append(s)
+    own = rng.integers(0, 3, len(sets))
+    label = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            union = len(sets[a]) + own[a] + len(sets[b]) + own[b] - both
+            if 100 * both >= percent * union and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    got = jaccard_join.link_components([np.array(sorted(s), np.uint64) for s in sets], np.array([len(s) for s in sets]) + own, percent)
+    assert [label.index(x) for x in label] == [got.tolist().index(x) for x in got]
+
+
+def test_family_without_links_is_not_compared_pair_by_pair(monkeypatch):
+    """Sets that share one token only: a hub meets none of them."""
+    sets = [np.array([0, *range(1 + 9 * k, 10 + 9 * k)], np.uint64) for k in range(2000)]
+    seen, flat = [], jaccard_join.flat
+    monkeypatch.setattr(jaccard_join, "flat", lambda a, b: seen.append(int(b.sum())) or flat(a, b))
+    assert len(set(jaccard_join.link_components(sets, np.full(2000, 10), 85).tolist())) == 2000
+    assert sum(seen) < 20 * len(sets)
+
+
 def test_jaccard_empty(none):
     assert jaccard_join.op2_combination_prefix(none).count() == 0
 
