@@ -11,7 +11,7 @@ def dense(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    return flat.reshape(len(column), len(flat) // len(column)) if len(column) else flat.reshape(0, 0)
 
 
 def dense_complex(batch, re: str = "re", im: str = "im") -> np.ndarray:
@@ -20,5 +20,5 @@ def dense_complex(batch, re: str = "re", im: str = "im") -> np.ndarray:
 
 def lists(x: np.ndarray) -> pa.Array:
     """The rows of a matrix as a column of lists."""
-    offsets = np.arange(0, x.size + 1, max(1, x.shape[1]), dtype=np.int32)[: len(x) + 1]
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * np.int32(x.shape[1])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(x).ravel()))

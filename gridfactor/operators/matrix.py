@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import dense
+from ..functions.arrays import dense, dense_complex
 from ..functions.scalars import conj, pair, times
 
-#: The most entries that a matrix may have which the driver holds (factorizations of point by point size).
+#: The most entries that a matrix may have which the driver holds (factorizations of point by point size): at most 2 GB as Arrow columns.
 LOCAL_ENTRIES = 1 << 26
 
 
@@ -32,7 +32,8 @@ def from_arrays(rows: DataFrame, index: str, values: str) -> DataFrame:
 
 def complex_from_arrays(rows: DataFrame, index: str, values: str) -> DataFrame:
     """Complex entries from arrays in which real and imaginary parts alternate."""
-    return from_arrays(rows, index, values).groupBy("i", F.floor(F.col("j") / 2).alias("j")).agg(F.sum(F.when(F.pmod("j", F.lit(2)) == 0, F.col("v"))).alias("re"), F.sum(F.when(F.pmod("j", F.lit(2)) == 1, F.col("v"))).alias("im"))
+    z = complex_rows(rows, index, values).select(F.col("g").alias("i"), F.posexplode(F.arrays_zip("re", "im")).alias("j", "z"))
+    return z.select("i", F.col("j").cast("bigint").alias("j"), "z.re", "z.im")
 
 
 def complex_rows(rows: DataFrame, index: str, values: str) -> DataFrame:
@@ -120,20 +121,40 @@ def gram(a: DataFrame, triangle: bool = False) -> DataFrame:
     return both.agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
 
 
-def gram_of_rows(rows: DataFrame, values: str) -> DataFrame:
-    """X^T X of a tall matrix whose rows are arrays: a task sums its rows' outer products, then tasks' sums are added."""
+def gram_of_rows(rows: DataFrame, values: str, right: str | None = None) -> DataFrame:
+    """X^T X of a tall matrix whose rows are arrays, or X^T Y with Y's rows in another column: a task sums its rows' outer products, then tasks' sums are added."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             x = dense(batch[values])
             if len(x):
-                total = x.T @ x if total is None else total + x.T @ x
+                part = x.T @ (x if right is None else dense(batch[right]))
+                total = part if total is None else total + part
         if total is not None:
             i, j = np.divmod(np.arange(total.size), total.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], ["i", "j", "v"])
 
-    return rows.select(values).mapInArrow(partial, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    columns = [values] if right is None else [values, right]
+    return rows.select(*columns).mapInArrow(partial, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def gram_of_complex_rows(rows: DataFrame, triangle: bool = False) -> DataFrame:
+    """A^H A of row-arrays (g, re, im), by tasks' sums; with triangle, only where i >= j."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = dense_complex(batch)
+                part = x.conj().T @ x
+                total = part if total is None else total + part
+        if total is not None:
+            i, j = np.tril_indices(len(total)) if triangle else np.divmod(np.arange(total.size), total.shape[1])
+            z = total[i, j]
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(z.real.copy()), pa.array(z.imag.copy())], ["i", "j", "re", "im"])
+
+    return rows.select("re", "im").mapInArrow(partial, "i long, j long, re double, im double").groupBy("i", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
 def times_local(rows: DataFrame, index: str, values: str, right: np.ndarray) -> DataFrame:
@@ -189,9 +210,10 @@ def local(a: DataFrame, nrows: int, ncols: int) -> np.ndarray:
     """A small matrix as an array of the driver; LOCAL_ENTRIES is the bound."""
     if nrows * ncols > LOCAL_ENTRIES:
         raise ValueError(f"{nrows} x {ncols} entries are more than the driver holds")
+    found = a.select("i", "j", *values_of(a)).toArrow()
+    column = lambda c: found[c].to_numpy()
     out = np.zeros((nrows, ncols), np.complex128 if is_complex(a) else np.float64)
-    for r in a.collect():
-        out[r.i, r.j] = complex(r.re, r.im) if is_complex(a) else r.v
+    out[column("i"), column("j")] = column("re") + 1j * column("im") if is_complex(a) else column("v")
     return out
 
 

@@ -13,35 +13,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import dense_complex
+from ..functions.arrays import dense_complex, lists
+from ..functions.storage import stored
 from .reduce import argmin, sampled
 
 AXES = ("x", "y", "z")
 
 
-def _square_distance() -> object:
-    return sum((F.col(a) - F.col(f"c{a}")) * (F.col(a) - F.col(f"c{a}")) for a in AXES)
+def with_class(points: DataFrame, centroids: DataFrame) -> DataFrame:
+    """points(g, x, y, z, ...) with `c`, the nearest of centroids(c, x, y, z), the least number of several.
+
+    All centroids, as many as chosen points, are one array that each point's row is compared with: one row is broadcast.
+    """
+    every = centroids.agg(F.collect_list(F.struct("c", *AXES)).alias("centroids"))
+    far = lambda q: F.sqrt(sum((F.col(a) - q[a]) * (F.col(a) - q[a]) for a in AXES))
+    nearest = F.array_min(F.transform("centroids", lambda q: F.struct(far(q).alias("d"), q["c"].alias("c"))))["c"]
+    return points.join(F.broadcast(every)).withColumn("c", nearest).drop("centroids")
 
 
 def classify(grid: DataFrame, centroids: DataFrame) -> DataFrame:
-    """grid(g, x, y, z) and centroids(c, x, y, z): (g, c), the nearest centroid, the least number of several.
+    """grid(g, x, y, z) and centroids(c, x, y, z): (g, c), the nearest centroid, the least number of several."""
+    return with_class(grid, centroids).select("g", "c")
 
-    Centroids are as many as chosen points and are broadcast; each point is compared with each.
-    """
-    c = centroids.select("c", *[F.col(a).alias(f"c{a}") for a in AXES])
-    return grid.crossJoin(F.broadcast(c)).groupBy("g").agg(argmin("c", F.sqrt(_square_distance())).alias("c"))
+
+def means(classified: DataFrame) -> DataFrame:
+    """Weighted means (c, w, x, y, z) of points(x, y, z, w, c), by class."""
+    return classified.groupBy("c").agg(F.sum("w").alias("w"), *[F.try_divide(F.sum(F.col("w") * F.col(a)), F.sum("w")).alias(a) for a in AXES])
 
 
 def update(grid: DataFrame, classes: DataFrame, weights: DataFrame) -> DataFrame:
     """Weighted means: (c, w, x, y, z) of the points of each class; weights(g, w)."""
-    rows = grid.join(classes, "g").join(weights, "g")
-    return rows.groupBy("c").agg(F.sum("w").alias("w"), *[F.try_divide(F.sum(F.col("w") * F.col(a)), F.sum("w")).alias(a) for a in AXES])
+    return means(grid.join(classes, "g").join(weights, "g"))
+
+
+def step(points: DataFrame, centroids: DataFrame) -> DataFrame:
+    """One step of k-means: points(x, y, z, w) are read once, and only sums are shuffled."""
+    return means(with_class(points.select(*AXES, "w"), centroids.select("c", *AXES)))
 
 
 def snap(grid: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(c, g): the grid point nearest to each centroid, the least of several."""
-    c = centroids.select("c", *[F.col(a).alias(f"c{a}") for a in AXES])
-    return grid.crossJoin(F.broadcast(c)).groupBy("c").agg(argmin("g", F.sqrt(_square_distance())).alias("g"))
+    """(c, g): the grid point nearest to each centroid, the least of several; centroids are as many as chosen points."""
+    rows = sorted(centroids.select("c", *AXES).collect())
+    place = centroids.sparkSession.createDataFrame([(k, r.c) for k, r in enumerate(rows)], "k long, number long")
+    found = _snap_rows(grid, np.array([r[1:] for r in rows], np.float64).reshape(-1, 3)).withColumnRenamed("c", "k")
+    return found.join(F.broadcast(place), "k").select(F.col("number").alias("c"), "g")
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -98,7 +113,7 @@ def _snap_rows(points: DataFrame, centroids: np.ndarray) -> DataFrame:
         for batch in batches:
             x, g = np.stack([batch[a].to_numpy() for a in AXES], 1), batch["g"].to_numpy()
             order = np.argsort(g)
-            d = ((x[order][:, None, :] - centroids[None]) ** 2).sum(2)
+            d = np.sqrt(((x[order][:, None, :] - centroids[None]) ** 2).sum(2))
             if len(d):
                 k = d.argmin(0)
                 low, at = d[k, np.arange(len(centroids))], g[order][k]
@@ -110,49 +125,62 @@ def _snap_rows(points: DataFrame, centroids: np.ndarray) -> DataFrame:
     return points.mapInArrow(nearest, "c long, g long, d double").groupBy("c").agg(argmin("g", F.col("d")).alias("g"))
 
 
-def pivots(left: DataFrame, right: DataFrame, n: int, tolerance: float = 1e-7) -> list[tuple[int, float]]:
+def pivots(left: DataFrame, right: DataFrame, n: int, tolerance: float = 1e-7, block: int = 16) -> list[tuple[int, float]]:
     """Points and |R| diagonals of a column-pivoted QR of Z[ik, g] = conj(left_i(g)) right_k(g), without Z.
 
     left and right are row-arrays (g, re, im).  Z^H Z is the product of two small Gram kernels, entry by
     entry, so a step of pivoted Cholesky needs its columns at the pivots alone.  Each step is one pass over
-    the points, which keeps nothing of them: a task forms its rows of these columns, solves with the
-    pivots' triangular factor, and returns its point with the largest residual.  Below `tolerance` of the
-    first diagonal the rest is noise: asking for points there is an error.
+    the points that returns each batch's point with the largest residual.  After every `block` pivots the
+    points' entries of these columns and their residuals are written next to them, so that a pass forms at
+    most a block of columns: with N points and n pivots, N n block work a pass and N n^2 block in all.
+    Below `tolerance` of the first diagonal the rest is noise: asking for points there is an error.
     """
     a = left.select("g", F.col("re").alias("lr"), F.col("im").alias("li"))
-    rows = a.join(right.select("g", F.col("re").alias("rr"), F.col("im").alias("ri")), "g").persist()
+    rows = a.join(right.select("g", F.col("re").alias("rr"), F.col("im").alias("ri")), "g")
+    none = F.array().cast("array<double>")
+    rows = stored(rows.withColumns({"cr": none, "ci": none, "d": F.lit(None).cast("double")}))
     chosen: list[tuple[int, float]] = []
-    px: list[np.ndarray] = []
-    py: list[np.ndarray] = []
-    factor: list[np.ndarray] = []  # the pivots' rows of the triangular factor
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(factor)
-        triangle = np.zeros((n, n), np.complex128)
-        for j, row in enumerate(factor):
-            triangle[j, : j + 1] = row
-        solve = np.linalg.inv(triangle).conj().T if n else triangle
+    fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]] = []  # pivots since the last write: both orbitals, all earlier entries, diagonal
+
+    def formed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The residuals, and the entries of all columns of this batch's points."""
+        x, y = dense_complex(batch, "lr", "li"), dense_complex(batch, "rr", "ri")
+        had = dense_complex(batch, "cr", "ci").reshape(len(x), -1)
+        d = batch["d"].to_numpy(zero_copy_only=False) if batch["d"].null_count == 0 else (abs(x) ** 2).sum(1) * (abs(y) ** 2).sum(1)
+        cols = np.concatenate([had, np.zeros((len(x), len(fresh)), np.complex128)], 1)
+        k = had.shape[1]
+        for px, py, before, r in fresh:
+            z = (x @ px.conj()) * (y.conj() @ py)
+            cols[:, k] = (z - cols[:, :k] @ before.conj()) / r
+            d = d - abs(cols[:, k]) ** 2
+            k += 1
+        d = d.copy()
+        d[np.isin(batch["g"].to_numpy(), [g for g, _ in chosen])] = -1.0
+        return d, cols
+
+    def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d, cols = formed(batch)
+                k = int(np.lexsort((batch["g"].to_numpy(), -d))[0])
+                one = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([one["g"], pa.array([float(d[k])]), *[one[c] for c in ("lr", "li", "rr", "ri")], lists(cols[k : k + 1].real), lists(cols[k : k + 1].imag)], ["g", "d", "lr", "li", "rr", "ri", "cr", "ci"])
+
+    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            g = batch["g"].to_numpy()
-            if not len(g):
-                continue
-            x = dense_complex(batch, "lr", "li")
-            y = dense_complex(batch, "rr", "ri")
-            d = (abs(x) ** 2).sum(1) * (abs(y) ** 2).sum(1)
-            cols = (x @ np.array(px).conj().T) * (y.conj() @ np.array(py).T) @ solve if n else np.zeros((len(g), 0), np.complex128)
-            d = d - (abs(cols) ** 2).sum(1)
-            d[np.isin(g, [c for c, _ in chosen])] = -1.0
-            k = np.lexsort((g, -d))[0]
-            yield pa.RecordBatch.from_arrays([pa.array([int(g[k])]), pa.array([float(d[k])]), pa.array([cols[k].real.tolist()], pa.list_(pa.float64())), pa.array([cols[k].imag.tolist()], pa.list_(pa.float64()))], ["g", "d", "re", "im"])
-
-    for _ in range(n):
-        best = rows.mapInArrow(step, "g long, d double, re array<double>, im array<double>").orderBy(F.desc("d"), "g").first()
+            if batch.num_rows:
+                d, cols = formed(batch)
+                yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("g", "lr", "li", "rr", "ri")], lists(cols.real), lists(cols.imag), pa.array(d)], ["g", "lr", "li", "rr", "ri", "cr", "ci", "d"])
+
+    kinds = "lr array<double>, li array<double>, rr array<double>, ri array<double>, cr array<double>, ci array<double>"
+    for k in range(n):
+        if len(fresh) == block:
+            rows = stored(rows.mapInArrow(extended, f"g long, {kinds}, d double"))
+            fresh.clear()
+        best = rows.mapInArrow(best_of, f"g long, d double, {kinds}").orderBy(F.desc("d"), "g").first()
         if best is None or best.d <= 0 or (chosen and best.d**0.5 < tolerance * chosen[0][1]):
             raise ValueError(f"{n} points are asked for, but the products have rank {len(chosen)}")
-        r = rows.where(F.col("g") == best.g).first()
-        px.append(np.array(r.lr) + 1j * np.array(r.li))
-        py.append(np.array(r.rr) + 1j * np.array(r.ri))
-        factor.append(np.append(np.array(best.re) + 1j * np.array(best.im), best.d**0.5))
+        z = lambda re, im: np.array(re, np.float64) + 1j * np.array(im, np.float64)
         chosen.append((best.g, best.d**0.5))
-    rows.unpersist()
+        fresh.append((z(best.lr, best.li), z(best.rr, best.ri), z(best.cr, best.ci), best.d**0.5))
     return chosen

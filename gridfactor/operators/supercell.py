@@ -52,41 +52,79 @@ def orbitals_to_supercell(coefficients: DataFrame, phase_table: DataFrame) -> Da
     return rows.select("r", "p", "k", "m", "e", re.alias("re"), im.alias("im"))
 
 
-def gamma_orbitals(orbitals: DataFrame, overlap: np.ndarray, n_ao: int, threshold: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def gamma_orbitals(orbitals: DataFrame, overlap: np.ndarray, n_ao: int, threshold: float = 1e-3, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Real supercell orbitals from orbitals_to_supercell(): energies in order, and coefficients (ao, orbital).
 
     Orbitals are ordered by energy, k-point and number.  Those that stand apart from both neighbours are real
     up to a phase, which is turned away; groups of near-degenerate ones are rotated so that they are real,
-    by diagonalizing the energy in the space of their real and imaginary parts.  overlap is real (ao, ao).
+    by diagonalizing the energy in the space of their real and imaginary parts.  If an orbital that stands
+    apart isn't real up to `tolerance`, all orbitals are taken as one group.  overlap is real (ao, ao); all
+    coefficients are n_ao x n_ao at most, which the driver's bound on matrices limits.
     """
-    order = orbitals.select("k", "m", "e").distinct().orderBy("e", "k", "m").collect()  # a row per orbital
-    place = {(r.k, r.m): j for j, r in enumerate(order)}
-    e = np.array([r.e for r in order])
-    c = np.zeros((n_ao, len(order)), np.complex128)
-    for r in orbitals.collect():
-        c[r.r * (n_ao // max(1, len({q.k for q in order}))) + r.p, place[r.k, r.m]] = complex(r.re, r.im)
-    out = np.zeros((n_ao, len(order)))
-    a = 0
-    while a < len(e):
-        b = a + 1
-        while b < len(e) and e[b] - e[b - 1] < threshold:
-            b += 1
-        block = c[:, a:b]
-        if b - a == 1:
-            k = abs(block[:, 0]).argmax()
-            out[:, a] = (block[:, 0] * np.exp(-1j * np.angle(block[k, 0]))).real
-        else:
-            density = (block @ block.conj().T).real
-            energy = ((block * e[a:b]) @ block.conj().T).real
-            # inside the group's space: eigenvectors of the density that belong to it, then of the energy
-            _, v = generalized_eigh(-overlap @ density @ overlap, overlap)
-            v = v[:, : b - a]
-            e[a:b], u = np.linalg.eigh(v.T @ overlap @ energy @ overlap @ v)
-            out[:, a:b] = v @ u
-        a = b
+    order = orbitals.select("k", "m", "e").distinct().orderBy("e", "k", "m").toPandas()  # a row per orbital
+    n, cells = len(order), orbitals.agg((F.max("r") + 1).alias("n")).first().n or 1
+    number = {key: j for j, key in enumerate(zip(order.k.tolist(), order.m.tolist()))}
+    places = orbitals.sparkSession.createDataFrame([(k, m, j) for (k, m), j in number.items()], "k long, m long, j long")
+    entries = orbitals.join(F.broadcast(places), ["k", "m"]).select((F.col("r") * (n_ao // cells) + F.col("p")).alias("i"), "j", "re", "im")
+    c = local(entries, n_ao, n)
+    e = order.e.to_numpy(dtype=np.float64, copy=True)
+    groups = np.split(np.arange(n), np.flatnonzero(np.diff(e) >= threshold) + 1) if n else []
+    turned = {g[0]: _turned(c[:, g[0]]) for g in groups if len(g) == 1}
+    if any(abs(x.imag).max() > tolerance for x in turned.values()):
+        groups = [np.arange(n)]
+    out = np.zeros((n_ao, n))
+    for g in groups:
+        if len(g) == 1:
+            out[:, g[0]] = turned[g[0]].real
+            continue
+        block = c[:, g]
+        density, energy = block @ block.conj().T, (block * e[g]) @ block.conj().T
+        if max(abs(density.imag).max(), abs(energy.imag).max()) > tolerance:
+            raise ValueError(f"levels {g[0]} to {g[-1]} can't be made real: the group lacks the partner of one of its orbitals")
+        # inside the group's space: eigenvectors of the density that belong to it, then of the energy
+        _, v = generalized_eigh(-overlap @ density.real @ overlap, overlap)
+        v = v[:, : len(g)]
+        e[g], u = np.linalg.eigh(v.T @ overlap @ energy.real @ overlap @ v)
+        out[:, g] = v @ u
     return e, out
 
 
+def _turned(x: np.ndarray) -> np.ndarray:
+    return x * np.exp(-1j * np.angle(x[abs(x).argmax()]))
+
+
+def k_to_gamma(orbitals: DataFrame, phase_table: DataFrame, overlaps: DataFrame, gamma: np.ndarray) -> DataFrame:
+    """How k-point orbitals make up gamma-point orbitals: (k, i, j, re, im) = sum conj(C_k[u, i]) S_k[u, v] conj(phase[r, k]) C_gamma[rv, j].
+
+    orbitals(k, p, m, re, im) and overlaps(k, p, q, re, im) are of the unit cell; gamma is (cells * basis functions, orbitals).
+    """
+    n_ao = overlaps.agg((F.max("q") + 1).alias("n")).first().n
+    rows = from_local(orbitals.sparkSession, gamma).select(F.floor(F.col("i") / n_ao).alias("r"), F.pmod("i", F.lit(n_ao)).alias("q"), "j", "v")
+    left = orbitals.select("k", "p", F.col("m").alias("i"), F.col("re").alias("cr"), F.col("im").alias("ci"))
+    re, im = times(conj(pair("cr", "ci")), pair("re", "im"))
+    half = left.join(overlaps, ["k", "p"]).groupBy("k", "i", "q").agg(F.sum(re).alias("hr"), F.sum(im).alias("hi"))
+    folded = phase_table.join(rows, "r").groupBy("k", "q", "j").agg(F.sum(F.col("re") * F.col("v")).alias("gr"), F.sum(-F.col("im") * F.col("v")).alias("gi"))
+    re, im = times(pair("hr", "hi"), pair("gr", "gi"))
+    return half.join(folded, ["k", "q"]).groupBy("k", "i", "j").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+
+
+def gamma_of_spins(orbitals: DataFrame, occupations: DataFrame, phase_table: DataFrame, overlap: np.ndarray, n_ao: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(energies, coefficients, occupations) of one or two spins: one if restricted, else spin up and down.
+
+    orbitals(spin, k, p, m, e, re, im), occupations(spin, k, m, occ); spins are 0, or 0 and 1.  Occupations follow the energies' order.
+    """
+    spins = [r.spin for r in orbitals.select("spin").distinct().orderBy("spin").limit(3).collect()]
+    if spins not in ([0], [0, 1]):
+        raise ValueError(f"spins are 0, or 0 and 1, but not {spins}")
+    out = []
+    for spin in spins:
+        mine = orbitals.where(F.col("spin") == spin).drop("spin")
+        e, c = gamma_orbitals(orbitals_to_supercell(mine, phase_table), overlap, n_ao)
+        order = mine.select("k", "m", "e").distinct().join(occupations.where(F.col("spin") == spin), ["k", "m"]).orderBy("e", "k", "m")
+        out.append((e, c, order.select("occ").toPandas().occ.to_numpy()))
+    return out
+
+
 def rotated_to(spark: SparkSession, a: DataFrame, c: np.ndarray) -> DataFrame:
     """C^T A C of a supercell matrix (i, j, re, im) or (i, j, v) and real orbitals."""
     return from_local(spark, c.T @ local(a, len(c), len(c)) @ c)

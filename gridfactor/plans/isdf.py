@@ -7,6 +7,7 @@ comes back to the driver is points x points.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dense_complex, lists
+from ..functions.storage import stored
 from ..operators.fourier import fft_rows
+from ..operators.matrix import local
 from ..operators.solve import applied, cholesky, least_squares, rank
 
 
@@ -65,38 +68,57 @@ def fit(phi: DataFrame, points: list[int], occupied: int | None = None) -> tuple
     return at, rank(cct), applied(czt(phi, at, occupied), solve, conjugate=True)
 
 
-def contracted(zeta: DataFrame, kernel: DataFrame, other: DataFrame | None = None) -> np.ndarray:
-    """sum_G v(G) conj(zeta_u(G)) zeta_v(G), or with other: other_u(G) zeta_v(G) without conjugation; kernel(g, v)."""
-    left = zeta if other is None else other
-    rows = zeta.join(left.select("g", F.col("re").alias("lr"), F.col("im").alias("li")), "g").join(kernel.select("g", "v"), "g")
-    flip = other is None
+def contracted(zeta: DataFrame, kernel: DataFrame) -> np.ndarray:
+    """sum_G v(G) conj(zeta_u(G)) zeta_v(G) of rows (g, re, im) and kernel(g, v)."""
+    return _summed(zeta, kernel, lambda x: (x.conj(), x))
+
+
+def contracted_halves(both: DataFrame, kernel: DataFrame) -> np.ndarray:
+    """sum_G v(G) left_u(G) right_v(G), of rows that hold the left functions and then as many right ones."""
+    return _summed(both, kernel, lambda x: np.split(x, 2, axis=1))
+
+
+def _summed(rows: DataFrame, kernel: DataFrame, sides) -> np.ndarray:
+    rows = rows.join(kernel.select("g", "v"), "g")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             if batch.num_rows:
-                x = dense_complex(batch)
-                y = dense_complex(batch, "lr", "li")
-                part = (y.conj() if flip else y).T @ (x * batch["v"].to_numpy()[:, None])
+                left, right = sides(dense_complex(batch))
+                part = left.T @ (right * batch["v"].to_numpy()[:, None])
                 total = part if total is None else total + part
         if total is not None:
             i, j = np.divmod(np.arange(total.size), total.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.real.ravel()), pa.array(total.imag.ravel())], ["i", "j", "re", "im"])
 
-    sums = rows.mapInArrow(partial, "i long, j long, re double, im double").groupBy("i", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).toPandas()
-    n = int(sums.i.max()) + 1
-    out = np.zeros((n, n), np.complex128)
-    out[sums.i, sums.j] = sums.re + 1j * sums.im
-    return out
+    sums = rows.mapInArrow(partial, "i long, j long, re double, im double").groupBy("i", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    sums = stored(sums)
+    n = sums.agg((F.coalesce(F.max("i"), F.lit(-1)) + 1).alias("n")).first().n
+    return local(sums, n, n)
+
+
+def both_directions(zeta: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """The backward transform of each function and then the forward ones, by one pass: the backward transform is the conjugate of the conjugate's forward one."""
+    doubled = _mapped(zeta, lambda x: np.concatenate([x.conj(), x], 1))
+    return _mapped(fft_rows(doubled, shape), lambda x: np.concatenate([x[:, : x.shape[1] // 2].conj(), x[:, x.shape[1] // 2 :]], 1))
+
+
+def interaction(zeta: DataFrame, shape: tuple[int, int, int], kernel: DataFrame, half: bool) -> np.ndarray:
+    """Of vectors zeta(g, re, im): sum_G v conj(zeta_u) zeta_v with forward transforms, or if half, backward_u times forward_v without conjugation."""
+    return contracted_halves(both_directions(zeta, shape), kernel) if half else contracted(fft_rows(zeta, shape), kernel)
 
 
 def factorize(phi: DataFrame, points: list[int], shape: tuple[int, int, int], kernel: DataFrame, occupied: int | None = None) -> Factors:
-    """The interaction between fitted vectors: full, or half-rotated with the first `occupied` orbitals on the left."""
+    """The interaction between fitted vectors: full, or half-rotated with the first `occupied` orbitals on the left.
+
+    Fewer independent products than points are no error, since the fit has the least norm, but a warning.
+    """
     points = sorted(points)
     at, r, zeta = fit(phi, points, occupied)
-    forward = fft_rows(zeta, shape)
-    m = contracted(forward, kernel) if occupied is None else contracted(forward, kernel, fft_rows(zeta, shape, backward=True))
-    return Factors(points, at, r, zeta, m)
+    if r < len(points):
+        warnings.warn(f"the products at {len(points)} points have rank {r}: fewer points would do", stacklevel=2)
+    return Factors(points, at, r, zeta, interaction(zeta, shape, kernel, occupied is not None))
 
 
 def luv(m: np.ndarray) -> np.ndarray:

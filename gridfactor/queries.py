@@ -8,17 +8,22 @@ don't.  Chosen points are the operator's own sample (its size is the feature).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce as reduce_
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.scalars import multi_index, rounded
+from .functions.storage import new_folder
 from .operators import fourier, matrix, points, reduce, solve, supercell
-from .plans import isdf, molecular
+from .plans import isdf, job, molecular
+from .sources.catalog import Catalog
+from .sources.config import JobConfig
 
-CHOSEN, SEED = 16, 5
+CHOSEN, SEED, STEPS = 16, 5, 40
 OCC = 8
 
 
@@ -43,7 +48,7 @@ def grid(s: SparkSession, d: str) -> DataFrame:
 
 
 def weights(s: SparkSession, d: str) -> DataFrame:
-    return reduce.density(phi(s, d))
+    return reduce.density_of_rows(phi_rows(s, d))
 
 
 def q(s: SparkSession, d: str) -> DataFrame:
@@ -64,7 +69,7 @@ def centroids(s: SparkSession, d: str) -> DataFrame:
 
 
 def shape(s: SparkSession, d: str) -> tuple[int, int, int]:
-    return _table(s, d, "embeddings").count() // 100, 10, 10
+    return fourier.near_cubic(_table(s, d, "embeddings").count())
 
 
 def kernel(s: SparkSession, d: str) -> DataFrame:
@@ -91,12 +96,12 @@ def long(a: DataFrame, name: str) -> DataFrame:
 def small(s: SparkSession, d: str) -> DataFrame:
     """A 64 x 64 matrix: the mean outer product of the vectors."""
     n = _table(s, d, "embeddings").count()
-    return matrix.scaled(matrix.gram(x(s, d)), F.lit(1.0 / max(1, n)))
+    return matrix.scaled(matrix.gram_of_rows(_table(s, d, "embeddings"), "embedding"), F.lit(1.0 / max(1, n)))
 
 
 def small_complex(s: SparkSession, d: str) -> DataFrame:
     n = _table(s, d, "embeddings").count()
-    return matrix.scaled(matrix.gram(phi(s, d)), F.lit(1.0 / max(1, n)))
+    return matrix.scaled(matrix.gram_of_complex_rows(phi_rows(s, d)), F.lit(1.0 / max(1, n)))
 
 
 def zeta(s: SparkSession, d: str, occupied: int | None = None) -> DataFrame:
@@ -105,16 +110,13 @@ def zeta(s: SparkSession, d: str, occupied: int | None = None) -> DataFrame:
 
 
 def muv(s: SparkSession, d: str, occupied: int | None = None) -> np.ndarray:
-    z = zeta(s, d, occupied)
-    forward = fourier.fft_rows(z, shape(s, d))
-    return isdf.contracted(forward, kernel(s, d), None if occupied is None else fourier.fft_rows(z, shape(s, d), backward=True))
+    return isdf.interaction(zeta(s, d, occupied), shape(s, d), kernel(s, d), occupied is not None)
 
 
 def three_steps(s: SparkSession, d: str) -> DataFrame:
-    g, c = grid(s, d), centroids(s, d)
-    w = weights(s, d)
+    rows, c = grid(s, d).join(weights(s, d), "g"), centroids(s, d)
     for _ in range(3):
-        c = points.update(g, points.classify(g, c), w)
+        c = points.step(rows, c)
     return c
 
 
@@ -127,7 +129,7 @@ def lstsq(s: SparkSession, d: str) -> DataFrame:
 
 def svd(s: SparkSession, d: str) -> tuple[np.ndarray, np.ndarray]:
     """Singular values and right vectors of X, from its Gram matrix."""
-    e, v = np.linalg.eigh(matrix.local(matrix.gram(x(s, d)), 64, 64))
+    e, v = np.linalg.eigh(matrix.local(matrix.gram_of_rows(_table(s, d, "embeddings"), "embedding"), 64, 64))
     return np.sqrt(np.maximum(e[::-1], 0)), v[:, ::-1]
 
 
@@ -139,7 +141,7 @@ def svd_reconstruct(s: SparkSession, d: str) -> DataFrame:
 
 
 def pinv_identity(s: SparkSession, d: str) -> DataFrame:
-    a = matrix.local(molecular.metric(eta(s, d)), 64, 64)
+    a = matrix.local(molecular.metric_of_orbitals(_table(s, d, "embeddings"), "embedding"), 64, 64)
     inverse, _ = solve.pseudo_inverse(a)
     return matrix.from_local(s, a @ inverse @ a)
 
@@ -156,9 +158,24 @@ def df_of_lines(s: SparkSession, d: str) -> DataFrame:
     return rows.agg((F.sum("l_quantity") / 1000).alias("v"))
 
 
-def eta_small(s: SparkSession, d: str) -> DataFrame:
-    """Chosen vectors are points u (their number in order), places are orbitals i."""
-    return matrix.gathered_columns(matrix.transpose(x(s, d)), chosen(s, d)).select(F.col("j").alias("u"), "i", "v")
+def fitted_integrals(s: SparkSession, d: str) -> np.ndarray:
+    """df_of_lines as an array (auxiliary, places, places)."""
+    flat = df_of_lines(s, d).select((F.col("l") - 1).alias("i"), (F.col("i") * 64 + F.col("k")).alias("j"), "v")
+    return matrix.local(flat, 7, 64 * 64).reshape(7, 64, 64)
+
+
+def b_of_vectors(s: SparkSession, d: str) -> DataFrame:
+    """B[l, u]: the vectors are points u, numbered from 0 without gaps in the table, and their places orbitals."""
+    return molecular.fit_b_rows(fitted_integrals(s, d), _table(s, d, "embeddings"), "vec_id", "embedding")
+
+
+def molecular_smsb(s: SparkSession, d: str) -> DataFrame:
+    """S M S of the factorized integrals of all vectors as points, which is B^T B."""
+    n = _table(s, d, "embeddings").count()
+    one, two = (x(s, d).select(F.col("i").alias(c), "j", F.col("v").alias(v)) for c, v in (("a", "v"), ("b", "w")))
+    metric = matrix.local(one.join(two, "j").groupBy(F.col("a").alias("i"), F.col("b").alias("j")).agg(F.pow(F.sum(F.col("v") * F.col("w")), 2).alias("v")), n, n)
+    _, m = molecular.factorize(None, None, n, 7, b_of_vectors(s, d), metric)
+    return matrix.from_local(s, metric @ m @ metric)
 
 
 def k_points(s: SparkSession, d: str) -> DataFrame:
@@ -199,6 +216,23 @@ def pivot_first(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(g, r)], "g long, r double").select("g", rounded(F.col("r")).alias("r"))
 
 
+def shifted_rows(s: SparkSession, d: str) -> DataFrame:
+    """Each vector and the same with its places moved by one, the last to the front."""
+    moved = F.concat(F.slice("embedding", -1, 1), F.slice("embedding", 1, 63))
+    return _table(s, d, "embeddings").select("embedding", moved.alias("shifted"))
+
+
+def asymmetry(s: SparkSession, d: str) -> DataFrame:
+    """z: what the entries of X^T X / n differ by from its transpose's."""
+    a = small(s, d)
+    return a.join(matrix.transpose(a).withColumnRenamed("v", "w"), ["i", "j"]).select((F.col("v") - F.col("w")).alias("z"))
+
+
+def ordered_quantities(s: SparkSession, d: str) -> DataFrame:
+    """(i, j, v long): numbers of lineitem rows by line number and key modulo 8."""
+    return _table(s, d, "lineitem").groupBy((F.col("l_linenumber") - 1).cast("bigint").alias("i"), F.pmod("l_partkey", F.lit(8)).cast("bigint").alias("j")).agg(F.count("*").alias("v"))
+
+
 def both_vectors(s: SparkSession, d: str) -> DataFrame:
     """v and its neighbour's value w: X beside X with places moved by one."""
     moved = x(s, d).select("i", F.pmod(F.col("j") + 1, F.lit(64)).alias("j"), F.col("v").alias("w"))
@@ -206,37 +240,90 @@ def both_vectors(s: SparkSession, d: str) -> DataFrame:
 
 
 def kmeans_points(s: SparkSession, d: str) -> DataFrame:
-    found = points.kmeans(grid(s, d), weights(s, d), CHOSEN, 1e-5, 50, SEED)
+    found = points.kmeans(grid(s, d), weights(s, d), CHOSEN, 1e-9, STEPS, SEED)
     return s.createDataFrame(list(enumerate(found)), "pos long, g long")
 
 
 def pivot_points(s: SparkSession, d: str) -> DataFrame:
-    found = points.pivots(phi_rows(s, d), phi_rows(s, d), CHOSEN)
-    return s.createDataFrame([(k, g, r) for k, (g, r) in enumerate(found)], "step long, g long, r double")
+    found = points.pivots(phi_rows(s, d), phi_rows(s, d), CHOSEN, block=6)
+    return out(s.createDataFrame([(k, g, r) for k, (g, r) in enumerate(found)], "step long, g long, r double"))
+
+
+def pivot_points_half(s: SparkSession, d: str) -> DataFrame:
+    left = phi_rows(s, d).select("g", F.slice("re", 1, OCC).alias("re"), F.slice("im", 1, OCC).alias("im"))
+    found = points.pivots(left, phi_rows(s, d), CHOSEN)
+    return out(s.createDataFrame([(k, g, r) for k, (g, r) in enumerate(found)], "step long, g long, r double"))
 
 
 def isdf_m(s: SparkSession, d: str, occupied: int | None = None) -> DataFrame:
+    """C M C^H of a factorization's M, C the products at the points: the interaction of the unfitted vectors.
+
+    A half-rotated M belongs to conjugated vectors: conj(C) M conj(C)^T.
+    """
     f = isdf.factorize(phi_rows(s, d), chosen_list(s, d), shape(s, d), kernel(s, d), occupied)
-    return matrix.from_local(s, f.m)
+    at, o = f.orbitals, f.orbitals.shape[1] if occupied is None else occupied
+    c = (at[:, :o].conj() @ at[:, :o].T) * (at.conj() @ at.T).conj()
+    return matrix.from_local(s, c @ f.m @ c.conj().T if occupied is None else c.conj() @ f.m @ c.conj().T)
+
+
+def luv_reconstruct(s: SparkSession, d: str) -> DataFrame:
+    """L L^H of the lower factor of the full interaction of the unfitted vectors."""
+    low = isdf.luv(muv(s, d))
+    return matrix.from_local(s, low @ low.conj().T)
 
 
-def molecular_m(s: SparkSession, d: str) -> DataFrame:
-    _, m = molecular.factorize(eta_small(s, d), df_of_lines(s, d).withColumn("l", F.col("l") - 1), CHOSEN, 7)
-    return matrix.from_local(s, m)
+def csvd_energy(s: SparkSession, d: str) -> DataFrame:
+    """The sum of the squares and the largest of the complex orbitals' singular values, from those of a square root of their Gram matrix."""
+    e, v = np.linalg.eigh(matrix.local(matrix.gram_of_complex_rows(phi_rows(s, d)), 32, 32))
+    values = solve.singular_values((v * np.sqrt(np.maximum(e, 0))) @ v.conj().T)
+    return out(s.createDataFrame([(float((values**2).sum()), int((np.diff(values) <= 0).all()))], "energy double, descending long"))
+
+
+def saved(s: SparkSession, a: DataFrame, size: tuple[int, int], rows: tuple[int, int] | None = None, write_transposed: bool = False, transposed: bool = False) -> DataFrame:
+    """A matrix after a round trip through a catalog."""
+    c = Catalog(s, new_folder(s))
+    c.save("group/name", a, size, transposed=write_transposed)
+    if c.shape("group/name") != (size[::-1] if write_transposed else size):
+        raise ValueError("the catalog has another shape")
+    return out(c.load("group/name", rows, transposed))
+
+
+def n_vectors(s: SparkSession, d: str) -> int:
+    return _table(s, d, "embeddings").count()
+
+
+def job_through_catalog(s: SparkSession, d: str) -> Catalog:
+    """A whole half-rotated run of CHOSEN // 8 points for each of 8 orbitals, from a written input and a JSON configuration."""
+    source, target = (Catalog(s, new_folder(s)) for _ in range(2))
+    few = phi_rows(s, d).select("g", F.slice("re", 1, OCC).alias("re"), F.slice("im", 1, OCC).alias("im"))
+    job.write_input(source, grid(s, d), shape(s, d), kernel(s, d), few, np.eye(OCC), np.diag(np.arange(1.0, OCC + 1)), (OCC // 2, 1), -1.25)
+    text = {"orbital_file": source.root, "output_file": target.root, "thc_cfac": CHOSEN // OCC, "half_rotated": True, "interpolating_points": {"qrcp": {}}}
+    job.run_config(s, JobConfig.from_json(json.dumps(text)))
+    return target
+
+
+def job_run(s: SparkSession, d: str) -> DataFrame:
+    """The points' indices and the sizes that a run wrote: (name, i, v)."""
+    c = job_through_catalog(s, d)
+    rows = [c.load(f"Hamiltonian/{name}").select(F.lit(name).alias("name"), "i", "v") for name in ("dims", "THC/dims", "occups", "THC/InterpIndx", "THC/HalfTransformedOccInterpIndx")]
+    return reduce_(DataFrame.unionByName, rows)
 
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
-    "metric_s": lambda s, d: out(molecular.metric(eta(s, d))),
+    "metric_s": lambda s, d: out(molecular.metric_of_orbitals(_table(s, d, "embeddings"), "embedding")),
     "gram_rows": lambda s, d: out(matrix.gram_of_rows(_table(s, d, "embeddings"), "embedding")),
     "matmul_nn": lambda s, d: out(matrix.product(x(s, d), small(s, d))),
-    "matmul_tn": lambda s, d: out(matrix.product(x(s, d), x(s, d), "T")),
+    "matmul_tn": lambda s, d: out(matrix.gram_of_rows(shifted_rows(s, d), "embedding", "shifted")),
     "matmul_nt": lambda s, d: out(matrix.product(x(s, d), small(s, d), "N", "T")),
     "matmul_tt": lambda s, d: out(matrix.product(small(s, d), x(s, d), "T", "T")),
     "sparse_matvec": lambda s, d: out(matrix.product(q(s, d), _table(s, d, "part").select(F.col("p_partkey").alias("i"), F.lit(0).cast("bigint").alias("j"), F.col("p_retailprice").alias("v")))),
     "cmatmul_nn": lambda s, d: out(matrix.product(phi(s, d), small_complex(s, d))),
-    "cmatmul_cn": lambda s, d: out(matrix.product(phi(s, d), phi(s, d), "C")),
-    "herk_lower": lambda s, d: out(matrix.gram(phi(s, d), triangle=True)),
+    "cmatmul_cn": lambda s, d: out(matrix.gram_of_complex_rows(phi_rows(s, d))),
+    "cmatmul_tn": lambda s, d: out(matrix.product(small_complex(s, d), small_complex(s, d), "T")),
+    "cmatmul_nc": lambda s, d: out(matrix.product(phi(s, d), small_complex(s, d), "N", "C")),
+    "cmatmul_nt": lambda s, d: out(matrix.product(phi(s, d), small_complex(s, d), "N", "T")),
+    "herk_lower": lambda s, d: out(matrix.gram_of_complex_rows(phi_rows(s, d), triangle=True)),
     "transpose_real": lambda s, d: out(matrix.transpose(q(s, d))),
     "transpose_hermitian": lambda s, d: out(matrix.transpose(phi(s, d), hermitian=True)),
     "hadamard_self": lambda s, d: out(matrix.squared(phi(s, d))),
@@ -252,11 +339,11 @@ QUERIES: dict[str, Query] = {
     "orbital_pairs": lambda s, d: out(matrix.orbital_pairs(phi(s, d), phi(s, d)), 9),
     "orbital_pairs_half": lambda s, d: out(matrix.orbital_pairs(phi(s, d).where(F.col("j") < OCC), phi(s, d)), 9),
     "density_full": lambda s, d: out(weights(s, d)),
-    "density_occ": lambda s, d: out(reduce.density(phi(s, d), OCC)),
+    "density_occ": lambda s, d: out(reduce.density_of_rows(phi_rows(s, d), OCC)),
     "vector_sum": lambda s, d: out(q(s, d).agg(F.sum("v").alias("total"))),
     "minmax": lambda s, d: out(q(s, d).groupBy("i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), reduce.argmin("j", F.col("v")).alias("at_lo"), reduce.argmax("j", F.col("v")).alias("at_hi"))),
     "norm_diff": lambda s, d: out(reduce.normed_difference(both_vectors(s, d), "v", "w")),
-    "is_zero": lambda s, d: reduce.all_zero(both_vectors(s, d).withColumn("z", F.col("v") - F.col("v")), "z"),
+    "is_zero": lambda s, d: reduce.all_zero(asymmetry(s, d), "z", 1e-9),
     "pct_change": lambda s, d: out(reduce.percent_changed(points.classify(grid(s, d), centroids(s, d)).join(points.classify(grid(s, d), points.update(grid(s, d), points.classify(grid(s, d), centroids(s, d)), weights(s, d))).withColumnRenamed("c", "c2"), "g"), "c", "c2")),
     "hermiticity": lambda s, d: out(reduce.hermiticity(small_complex(s, d))),
     "axis_counts": lambda s, d: out(reduce.axis_counts(k_points(s, d), ["x", "y", "z"])),
@@ -286,16 +373,29 @@ QUERIES: dict[str, Query] = {
     "svd_reconstruct": lambda s, d: out(svd_reconstruct(s, d)),
     "svd_energy": lambda s, d: out(s.createDataFrame([(float((svd(s, d)[0] ** 2).sum()), solve.rank(matrix.local(small(s, d), 64, 64)))], "energy double, rank long")),
     "pinv_identity": lambda s, d: out(pinv_identity(s, d)),
-    "fit_b": lambda s, d: out(molecular.fit_b(df_of_lines(s, d), eta_small(s, d)), 4),
+    "fit_b": lambda s, d: out(b_of_vectors(s, d), 4),
     "mo_rotate": lambda s, d: out(molecular.rotated(matrix.lower(small(s, d)), small(s, d))),
     "mo_orbitals": lambda s, d: out(molecular.rotated_orbitals(x(s, d).select(F.col("i").alias("u"), F.col("j").alias("i"), "v"), small(s, d))),
     "translation_vectors": lambda s, d: out(cells(s, d)),
     "translation_map": lambda s, d: out(supercell.translation_map(_table(s, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("i")), _table(s, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("j")), 25)),
     "supercell_phase": lambda s, d: out(phase_table(s, d)),
     "supercell_matrix": lambda s, d: out(supercell.to_supercell(k_matrices(s, d), phase_table(s, d)), 4),
-    "isdf_full": isdf_m,
-    "isdf_half": lambda s, d: isdf_m(s, d, OCC),
-    "molecular_full": molecular_m,
+    "isdf_full": lambda s, d: out(isdf_m(s, d), 4),
+    "isdf_half": lambda s, d: out(isdf_m(s, d, OCC), 4),
+    "molecular_full": lambda s, d: out(molecular_smsb(s, d), 2),
+    "pivot_points_half": pivot_points_half,
+    "luv_reconstruct": lambda s, d: out(luv_reconstruct(s, d), 4),
+    "ccholesky_reconstruct": lambda s, d: out(matrix.from_local(s, (lambda low: low @ low.conj().T)(solve.cholesky(matrix.local(small_complex(s, d), 32, 32))))),
+    "csvd_energy": csvd_energy,
+    "catalog_real": lambda s, d: saved(s, x(s, d), (n_vectors(s, d), 64)),
+    "catalog_complex": lambda s, d: saved(s, phi(s, d), (n_vectors(s, d), 32)),
+    "catalog_integers": lambda s, d: saved(s, ordered_quantities(s, d), (8, 8)),
+    "catalog_rows": lambda s, d: saved(s, x(s, d), (n_vectors(s, d), 64), rows=(10, 100)),
+    "catalog_write_transposed": lambda s, d: saved(s, x(s, d), (n_vectors(s, d), 64), write_transposed=True),
+    "catalog_load_transposed": lambda s, d: saved(s, x(s, d), (n_vectors(s, d), 64), transposed=True),
+    "masked_columns": lambda s, d: out(matrix.masked_columns(matrix.transpose(x(s, d)), grid(s, d).select(F.col("g").alias("j"), F.signum("x").cast("int").alias("flag")))),
+    "numeric_names": lambda s, d: matrix.by_numeric_name(_table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("name")), "name").limit(50),
+    "job_run": job_run,
 }
 
 # ---------------------------------------------------------------- the same in DuckDB SQL
@@ -306,7 +406,11 @@ _SMALLC = _PHI + ", sc AS (SELECT a.j AS i, b.j, sum(a.re * b.re + a.im * b.im)
 _GRID = _PHI + ", grid AS (SELECT CAST(vec_id AS BIGINT) AS g, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings), w AS (SELECT i AS g, sum(re * re + im * im) AS w FROM phi GROUP BY 1)"
 _CHOSEN = _GRID + f", chosen AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS pos FROM (SELECT g FROM grid ORDER BY (g * 7919 + {SEED}) % 100003, g LIMIT {CHOSEN}))"
 _C0 = _CHOSEN + ", c0 AS (SELECT pos AS c, x, y, z FROM grid JOIN chosen USING (g))"
-_SHAPE = ", sh AS (SELECT count(*) // 100 AS n FROM embeddings), gk AS (SELECT g, g // 100 AS a, (g // 10) % 10 AS b, g % 10 AS c FROM grid), kernel AS (SELECT g, 1.0e0 / (1.0e0 + least(a, n - a) ** 2 + least(b, 10 - b) ** 2 + least(c, 10 - c) ** 2) AS v FROM gk, sh)"
+_SHAPE = (
+    ", sh0 AS (SELECT count(*) AS n FROM embeddings), sh1 AS (SELECT n, max(k) AS c FROM sh0, (SELECT unnest(range(1, 2000)) AS k) WHERE k * k * k <= n AND n % k = 0 GROUP BY n)"
+    ", sh AS (SELECT n // (c * max(k)) AS a, max(k) AS b, c FROM sh1, (SELECT unnest(range(1, 20000)) AS k) WHERE k * k <= n // c AND (n // c) % k = 0 GROUP BY n, c)"
+    ", gk AS (SELECT g, g // (sh.b * sh.c) AS p, (g // sh.c) % sh.b AS q, g % sh.c AS r, sh.a, sh.b, sh.c FROM grid, sh), kernel AS (SELECT g, 1.0e0 / (1.0e0 + least(p, a - p) ** 2 + least(q, b - q) ** 2 + least(r, c - r) ** 2) AS v FROM gk)"
+)
 
 
 def _class(k: int) -> str:
@@ -326,15 +430,51 @@ _CZT = _CHOSEN + _P + ", full_ AS (SELECT u, g, re * re + im * im AS re, 0.0e0 A
 
 
 def _dft(src: str, name: str, sign: str, row: str) -> str:
-    angle = lambda n: f"{sign} 2 * pi() * ((r.k * s.p) % {n}) / {n}"
     out_, cur = "", src
-    for axis, (n, at, rest) in enumerate((("(SELECT n FROM sh)", "g // 100", "g % 100"), ("10", "(g // 10) % 10", "g - 10 * ((g // 10) % 10)"), ("10", "g % 10", "g - g % 10"))):
-        step, nxt = (100, 10, 1)[axis], f"{name}{axis}"
-        out_ += f", {nxt} AS (SELECT s.{row}, s.rest + r.k * {step} AS g, sum(s.re * cos({angle(n)}) - s.im * sin({angle(n)})) AS re, sum(s.re * sin({angle(n)}) + s.im * cos({angle(n)})) AS im FROM (SELECT {row}, re, im, {at} AS p, {rest} AS rest FROM {cur}) s, (SELECT unnest(range(0, {n})) AS k) r GROUP BY 1, 2)"
+    axes = (("a", "g // (sh.b * sh.c)", "g % (sh.b * sh.c)", "sh.b * sh.c"), ("b", "(g // sh.c) % sh.b", "g - sh.c * ((g // sh.c) % sh.b)", "sh.c"), ("c", "g % sh.c", "g - g % sh.c", "1"))
+    for axis, (n, at, rest, step) in enumerate(axes):
+        angle = f"{sign} 2 * pi() * ((r.k * s.p) % s.n) / s.n"
+        nxt = f"{name}{axis}"
+        out_ += f", {nxt} AS (SELECT s.{row}, s.rest + r.k * s.step AS g, sum(s.re * cos({angle}) - s.im * sin({angle})) AS re, sum(s.re * sin({angle}) + s.im * cos({angle})) AS im FROM (SELECT {row}, re, im, {at} AS p, {rest} AS rest, sh.{n} AS n, {step} AS step FROM {cur}, sh) s, (SELECT unnest(range(0, (SELECT {n} FROM sh))) AS k) r GROUP BY 1, 2)"
         cur = nxt
     return out_
 
 
+def _pivots(steps: int, occupied: int) -> str:
+    """Pivoted Cholesky, unrolled: after each step, the residuals d and the entries of all columns so far (real and imaginary parts).
+
+    The kernel is the product of the Gram kernels of the first `occupied` orbitals, conjugated, and of all.
+    """
+    sql = f", o AS (SELECT i AS g, sum(re * re + im * im) AS w FROM phi WHERE j < {occupied} GROUP BY 1), s0 AS (SELECT g, w.w * o.w AS d FROM w JOIN o USING (g))"
+    for k in range(steps):
+        sql += f", p{k} AS (SELECT * FROM s{k} ORDER BY d DESC, g LIMIT 1)"
+        ab = "sum(a.re * b.re + a.im * b.im)", "sum(a.im * b.re - a.re * b.im)"  # x(g) conj(x(p))
+        some = [f"{x} FILTER (a.j < {occupied})" for x in ab]
+        sql += f", k{k} AS (SELECT a.i AS g, {some[0]} AS xr, {some[1]} AS xi, {ab[0]} AS yr, -({ab[1]}) AS yi FROM phi a JOIN (SELECT phi.* FROM phi JOIN p{k} ON i = g) b ON a.j = b.j GROUP BY 1)"
+        re = " - ".join(["(q.xr * q.yr - q.xi * q.yi)", *[f"(s.r{m} * p.r{m} + s.i{m} * p.i{m})" for m in range(k)]])
+        im = " - ".join(["(q.xr * q.yi + q.xi * q.yr)", *[f"(s.i{m} * p.r{m} - s.r{m} * p.i{m})" for m in range(k)]])
+        old = "".join(f", s.r{m}, s.i{m}" for m in range(k))
+        keep = "".join(f", r{m}, i{m}" for m in range(k + 1))
+        sql += f", t{k} AS (SELECT s.g, s.d, p.g AS pg, ({re}) / sqrt(p.d) AS r{k}, ({im}) / sqrt(p.d) AS i{k}{old} FROM s{k} s JOIN k{k} q USING (g), p{k} p)"
+        sql += f", s{k + 1} AS (SELECT g, CASE WHEN g = pg THEN -1e0 ELSE d - r{k} * r{k} - i{k} * i{k} END AS d{keep} FROM t{k})"
+    return sql
+
+
+def _pivot_sql(occupied: int) -> str:
+    rows = " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS step, g, round(sqrt(d), 6) + 0.0e0 AS r FROM p{k}" for k in range(CHOSEN))
+    return f"WITH {_GRID}{_pivots(CHOSEN, occupied)} {rows}"
+
+
+def _job_sql() -> str:
+    """Pivots of the first OCC orbitals alone, in ascending order, and the sizes."""
+    rows = " UNION ALL ".join(f"SELECT g FROM p{k}" for k in range(CHOSEN))
+    few = _GRID.replace("FROM x GROUP BY 1, 2)", f"FROM x WHERE j < {2 * OCC} GROUP BY 1, 2)")
+    sizes = {"dims": (-1, 0, 0, OCC, OCC // 2, 1, 0, 0), "THC/dims": (OCC, CHOSEN, CHOSEN), "occups": (0,) * (OCC // 2 + 1)}
+    values = ", ".join(f"('{name}', CAST({k} AS BIGINT), CAST({v} AS BIGINT))" for name, vs in sizes.items() for k, v in enumerate(vs))
+    names = "(VALUES ('THC/InterpIndx'), ('THC/HalfTransformedOccInterpIndx')) n(name)"
+    return f"WITH {few}{_pivots(CHOSEN, OCC)} SELECT name, row_number() OVER (PARTITION BY name ORDER BY g) - 1 AS i, g AS v FROM ({rows}), {names} UNION ALL SELECT * FROM (VALUES {values}) t(name, i, v)"
+
+
 _Q = "q AS (SELECT l_suppkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
 _BOTH = _X + ", b AS (SELECT a.i, a.j, a.v, c.v AS w FROM x a JOIN x c ON a.i = c.i AND a.j = (c.j + 1) % 64)"
 _K = "kp AS (SELECT CAST(n_nationkey AS BIGINT) AS k, (coalesce(a.n, 0) % 3) / 3.0e0 AS x, (coalesce(b.n, 0) % 3) / 3.0e0 AS y, (n_nationkey % 3) / 3.0e0 AS z FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) a ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) b ON s_nationkey = n_nationkey)"
@@ -344,10 +484,13 @@ _COMPLEX = f"{_r('re')}, {_r('im')}"
 _LEVELS = "l AS (SELECT p_partkey AS m, CAST(p_size AS BIGINT) AS k, p_retailprice AS e FROM part)"
 _GRAM = f"WITH {_X} SELECT a.j AS i, b.j, round(sum(a.v * b.v), 6) + 0.0e0 AS v FROM x a JOIN x b ON a.i = b.i GROUP BY 1, 2"
 
+_M_FULL = "SELECT a.u AS i, b.u AS j, round(sum(v * (a.re * b.re + a.im * b.im)), 4) + 0.0e0 AS re, round(sum(v * (a.re * b.im - a.im * b.re)), 4) + 0.0e0 AS im FROM t2 a JOIN t2 b USING (g) JOIN kernel USING (g) GROUP BY 1, 2"
+_B = "df AS (SELECT CAST(l_linenumber AS BIGINT) AS l, l_partkey % 64 AS i, l_suppkey % 64 AS k, sum(l_quantity) / 1000 AS v FROM lineitem GROUP BY 1, 2, 3), h AS (SELECT l, a.i AS u, df.k, sum(df.v * a.v) AS v FROM df JOIN x a ON df.i = a.j GROUP BY 1, 2, 3), bm AS (SELECT l - 1 AS l, u, sum(h.v * b.v) AS v FROM h JOIN x b ON h.u = b.i AND h.k = b.j GROUP BY 1, 2)"
+
 ORACLE_SQL: dict[str, str] = {
     "metric_s": f"WITH {_X} SELECT a.j AS i, b.j, round(sum(a.v * b.v) * sum(a.v * b.v), 6) + 0.0e0 AS v FROM x a JOIN x b ON a.i = b.i GROUP BY 1, 2",
     "gram_rows": _GRAM,
-    "matmul_tn": _GRAM,
+    "matmul_tn": f"WITH {_X} SELECT a.j AS i, (b.j + 1) % 64 AS j, round(sum(a.v * b.v), 6) + 0.0e0 AS v FROM x a JOIN x b ON a.i = b.i GROUP BY 1, 2",
     "matmul_nn": f"WITH {_SMALL} SELECT a.i, b.j, round(sum(a.v * b.v), 6) + 0.0e0 AS v FROM x a JOIN small b ON a.j = b.i GROUP BY 1, 2",
     "matmul_nt": f"WITH {_SMALL} SELECT a.i, b.i AS j, round(sum(a.v * b.v), 6) + 0.0e0 AS v FROM x a JOIN small b ON a.j = b.j GROUP BY 1, 2",
     "matmul_tt": f"WITH {_SMALL} SELECT b.j AS i, a.i AS j, round(sum(a.v * b.v), 6) + 0.0e0 AS v FROM x a JOIN small b ON a.j = b.i GROUP BY 1, 2",
@@ -374,7 +517,7 @@ ORACLE_SQL: dict[str, str] = {
     "vector_sum": f"WITH {_Q} SELECT round(sum(v), 6) + 0.0e0 AS total FROM q",
     "minmax": f"WITH {_Q}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY v, j) AS a, row_number() OVER (PARTITION BY i ORDER BY v DESC, j) AS b FROM q) SELECT i, round(min(v), 6) + 0.0e0 AS lo, round(max(v), 6) + 0.0e0 AS hi, max(j) FILTER (a = 1) AS at_lo, max(j) FILTER (b = 1) AS at_hi FROM r GROUP BY i",
     "norm_diff": f"WITH {_BOTH} SELECT round(sqrt(sum((v - w) * (v - w))), 6) + 0.0e0 AS norm FROM b",
-    "is_zero": f"WITH {_BOTH} SELECT bool_and(abs(v - v) <= 1e-12) AS is_zero FROM b",
+    "is_zero": f"WITH {_SMALL} SELECT bool_and(abs(a.v - b.v) <= 1e-9) AS is_zero FROM small a JOIN small b ON a.i = b.j AND a.j = b.i",
     "pct_change": f"WITH {_C0}{_step(0)}{_class(1)} SELECT round(100.0e0 * count(*) FILTER (k0.c <> k1.c) / count(*), 6) + 0.0e0 AS percent FROM k0 JOIN k1 USING (g)",
     "hermiticity": f"WITH {_SMALLC} SELECT round(max(sqrt((a.re - b.re) * (a.re - b.re) + (a.im + b.im) * (a.im + b.im))), 6) + 0.0e0 AS worst FROM sc a JOIN sc b ON a.i = b.j AND a.j = b.i",
     "axis_counts": f"WITH {_K} SELECT count(DISTINCT round(x, 8)) AS x, count(DISTINCT round(y, 8)) AS y, count(DISTINCT round(z, 8)) AS z FROM kp",
@@ -394,14 +537,35 @@ ORACLE_SQL: dict[str, str] = {
     "dft_forward": f"WITH {_GRID}{_SHAPE}, f AS (SELECT 0 AS i, g, w AS re, 0.0e0 AS im FROM w){_dft('f', 't', '-', 'i')} SELECT g, {_COMPLEX} FROM t2",
     "dft_backward": f"WITH {_GRID}{_SHAPE}, f AS (SELECT j AS i, i AS g, re, im FROM phi){_dft('f', 't', '', 'i')} SELECT i, g, {_COMPLEX} FROM t2",
     "fft_rows": f"WITH {_GRID}{_SHAPE}, f AS (SELECT j AS i, i AS g, re, im FROM phi){_dft('f', 't', '-', 'i')} SELECT i, g, {_COMPLEX} FROM t2",
-    "m_full": f"WITH {_CZT}{_SHAPE}{_dft('full_', 't', '-', 'u')} SELECT a.u AS i, b.u AS j, round(sum(v * (a.re * b.re + a.im * b.im)), 4) + 0.0e0 AS re, round(sum(v * (a.re * b.im - a.im * b.re)), 4) + 0.0e0 AS im FROM t2 a JOIN t2 b USING (g) JOIN kernel USING (g) GROUP BY 1, 2",
+    "m_full": f"WITH {_CZT}{_SHAPE}{_dft('full_', 't', '-', 'u')} {_M_FULL}",
     "m_half": f"WITH {_CZT}{_SHAPE}{_dft('half_', 't', '-', 'u')}{_dft('half_', 's', '', 'u')} SELECT a.u AS i, b.u AS j, round(sum(v * (a.re * b.re - a.im * b.im)), 4) + 0.0e0 AS re, round(sum(v * (a.re * b.im + a.im * b.re)), 4) + 0.0e0 AS im FROM s2 a JOIN t2 b USING (g) JOIN kernel USING (g) GROUP BY 1, 2",
     "lstsq_reconstruct": f"WITH {_CZT} SELECT u, g, {_r('re', 4)}, {_r('im', 4)} FROM full_",
     "cholesky_reconstruct": f"WITH {_SMALL} SELECT i, j, {_r('v')} FROM small",
     "svd_reconstruct": f"WITH {_X} SELECT i, j, {_r('v')} FROM x",
     "pinv_identity": f"WITH {_X} SELECT a.j AS i, b.j, round(sum(a.v * b.v) * sum(a.v * b.v), 6) + 0.0e0 AS v FROM x a JOIN x b ON a.i = b.i GROUP BY 1, 2",
     "svd_energy": f"WITH {_X} SELECT round(sum(v * v), 6) + 0.0e0 AS energy, CAST(64 AS BIGINT) AS rank FROM x",
-    "fit_b": f"WITH {_CHOSEN}, e AS (SELECT pos AS u, x.j AS i, v FROM x JOIN chosen ON i = g), df AS (SELECT CAST(l_linenumber AS BIGINT) AS l, l_partkey % 64 AS i, l_suppkey % 64 AS k, sum(l_quantity) / 1000 AS v FROM lineitem GROUP BY 1, 2, 3) SELECT l AS i, a.u AS j, round(sum(df.v * a.v * b.v), 4) + 0.0e0 AS v FROM df JOIN e a ON df.i = a.i JOIN e b ON df.k = b.i AND a.u = b.u GROUP BY 1, 2",
+    "fit_b": f"WITH {_X}, {_B} SELECT l AS i, u AS j, {_r('v', 4)} FROM bm",
+    "molecular_full": f"WITH {_X}, {_B} SELECT a.u AS i, b.u AS j, round(sum(a.v * b.v), 2) + 0.0e0 AS v FROM bm a JOIN bm b USING (l) GROUP BY 1, 2",
+    "isdf_full": f"WITH {_CZT}{_SHAPE}{_dft('full_', 't', '-', 'u')} {_M_FULL}",
+    "luv_reconstruct": f"WITH {_CZT}{_SHAPE}{_dft('full_', 't', '-', 'u')} {_M_FULL}",
+    "isdf_half": f"WITH {_CZT}{_SHAPE}{_dft('half_', 't', '-', 'u')}{_dft('half_', 's', '', 'u')} SELECT b.u AS i, a.u AS j, round(sum(v * (a.re * b.re - a.im * b.im)), 4) + 0.0e0 AS re, round(-sum(v * (a.re * b.im + a.im * b.re)), 4) + 0.0e0 AS im FROM s2 a JOIN t2 b USING (g) JOIN kernel USING (g) GROUP BY 1, 2",
+    "kmeans_points": f"WITH {_C0}{''.join(_step(k) for k in range(STEPS))}, near AS (SELECT c, g, row_number() OVER (PARTITION BY c ORDER BY d, g) AS r FROM (SELECT q.c, p.g, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)) AS d FROM grid p, c{STEPS} q)) SELECT row_number() OVER (ORDER BY g) - 1 AS pos, g FROM near WHERE r = 1",
+    "pivot_points": _pivot_sql(32),
+    "pivot_points_half": _pivot_sql(OCC),
+    "job_run": _job_sql(),
+    "cmatmul_tn": f"WITH {_SMALLC} SELECT a.j AS i, b.j, round(sum(a.re * b.re - a.im * b.im), 6) + 0.0e0 AS re, round(sum(a.re * b.im + a.im * b.re), 6) + 0.0e0 AS im FROM sc a JOIN sc b ON a.i = b.i GROUP BY 1, 2",
+    "cmatmul_nc": f"WITH {_SMALLC} SELECT a.i, b.i AS j, round(sum(a.re * b.re + a.im * b.im), 6) + 0.0e0 AS re, round(sum(a.im * b.re - a.re * b.im), 6) + 0.0e0 AS im FROM phi a JOIN sc b ON a.j = b.j GROUP BY 1, 2",
+    "cmatmul_nt": f"WITH {_SMALLC} SELECT a.i, b.i AS j, round(sum(a.re * b.re - a.im * b.im), 6) + 0.0e0 AS re, round(sum(a.re * b.im + a.im * b.re), 6) + 0.0e0 AS im FROM phi a JOIN sc b ON a.j = b.j GROUP BY 1, 2",
+    "ccholesky_reconstruct": f"WITH {_SMALLC} SELECT i, j, {_COMPLEX} FROM sc",
+    "csvd_energy": f"WITH {_PHI} SELECT round(sum(re * re + im * im), 6) + 0.0e0 AS energy, CAST(1 AS BIGINT) AS descending FROM phi",
+    "catalog_real": f"WITH {_X} SELECT i, j, {_r('v')} FROM x",
+    "catalog_complex": f"WITH {_PHI} SELECT i, j, {_COMPLEX} FROM phi",
+    "catalog_integers": "SELECT CAST(l_linenumber - 1 AS BIGINT) AS i, CAST(l_partkey % 8 AS BIGINT) AS j, count(*) AS v FROM lineitem GROUP BY 1, 2",
+    "catalog_rows": f"WITH {_X} SELECT i, j, {_r('v')} FROM x WHERE i >= 10 AND i < 100",
+    "catalog_write_transposed": f"WITH {_X} SELECT j AS i, i AS j, {_r('v')} FROM x",
+    "catalog_load_transposed": f"WITH {_X} SELECT j AS i, i AS j, {_r('v')} FROM x",
+    "masked_columns": f"WITH {_GRID} SELECT x.j AS i, x.i AS j, {_r('v')} FROM x JOIN grid ON x.i = g WHERE grid.x > 0",
+    "numeric_names": "SELECT CAST(c_custkey AS VARCHAR) AS name FROM customer ORDER BY c_custkey LIMIT 50",
     "mo_rotate": f"WITH {_SMALL} SELECT a.j AS i, c.j, round(sum(a.v * h.v * c.v), 6) + 0.0e0 AS v FROM small a JOIN small h ON a.i = h.i AND h.i >= h.j JOIN small c ON h.j = c.i GROUP BY 1, 2",
     "mo_orbitals": f"WITH {_SMALL} SELECT a.i, b.j, round(sum(a.v * b.v), 6) + 0.0e0 AS v FROM x a JOIN small b ON a.j = b.i GROUP BY 1, 2",
     "translation_vectors": f"WITH {_CELLS} SELECT r, {_r('x')}, {_r('y')}, {_r('z')} FROM cells",

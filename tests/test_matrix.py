@@ -135,6 +135,42 @@ def test_fourier(spark):
             np.testing.assert_allclose(np.array(r.re) + 1j * np.array(r.im), want[:, r.g], atol=1e-10)
 
 
+def test_fourier_needs_whole_grids(spark):
+    rows = spark.createDataFrame([(g, [float(g)], [0.0]) for g in range(8)], "g long, re array<double>, im array<double>")
+    table = rows.select(F.lit(0).cast("long").alias("i"), "g", F.col("re")[0].alias("re"), F.col("im")[0].alias("im"))
+    for bad in ("g != 3", "g != 7"):
+        with pytest.raises(Exception, match="a line has"):
+            fourier.fft_rows(rows.where(bad), (2, 2, 2)).collect()
+        with pytest.raises(Exception, match="a line has"):
+            fourier.dft(table.where(bad), (2, 2, 2)).collect()
+    with pytest.raises(Exception, match="outside"):
+        fourier.fft_rows(rows, (1, 2, 2)).collect()
+    with pytest.raises(Exception, match="a line has"):
+        fourier.fft_rows(rows.where("g != 3").unionByName(rows.where("g = 2")), (2, 2, 2)).collect()
+
+
+def test_near_cubic():
+    for n in (1, 2, 7, 60, 97, 500, 2000, 10**6, 29**3):
+        a, b, c = fourier.near_cubic(n)
+        assert a * b * c == n and a >= b
+    assert fourier.near_cubic(2000) == (20, 10, 10) and fourier.near_cubic(29**3) == (29, 29, 29)
+
+
+def test_tall_forms(spark):
+    """Row forms are the products of entries; the complex Gram has one triangle if asked; nothing is joined."""
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(50, 4)), rng.normal(size=(50, 3))
+    rows = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y)], "x array<double>, y array<double>")
+    np.testing.assert_allclose(matrix.local(matrix.gram_of_rows(rows, "x", "y"), 4, 3), x.T @ y, atol=1e-12)
+    z = x + 1j * x[:, ::-1]
+    rows = spark.createDataFrame([(a.real.tolist(), a.imag.tolist()) for a in z], "re array<double>, im array<double>")
+    np.testing.assert_allclose(matrix.local(matrix.gram_of_complex_rows(rows), 4, 4), z.conj().T @ z, atol=1e-12)
+    np.testing.assert_allclose(matrix.local(matrix.gram_of_complex_rows(rows, triangle=True), 4, 4), np.tril(z.conj().T @ z), atol=1e-12)
+    assert "Join" not in matrix.gram_of_complex_rows(rows)._jdf.queryExecution().toString()
+    with pytest.raises(ValueError, match="more than the driver holds"):
+        matrix.local(matrix.gram_of_complex_rows(rows), 1 << 14, 1 << 13)
+
+
 def test_kmeans(spark):
     rng = np.random.default_rng(3)
     centers = np.array([[0, 0, 0], [10, 0, 0], [0, 10, 0]])
@@ -169,7 +205,7 @@ def test_pivots(spark, occupied):
     rows = lambda x: spark.createDataFrame([(g, x[g].real.tolist(), x[g].imag.tolist()) for g in range(60)], "g long, re array<double>, im array<double>")
     z = np.array([o[:, i].conj() * f[:, k] for i in range(o.shape[1]) for k in range(3)])
     n = len(z)
-    got, want = points.pivots(rows(o), rows(f), n), pivoted_qr(z, n)
+    got, want = points.pivots(rows(o), rows(f), n, block=2 if occupied else 16), pivoted_qr(z, n)
     assert [g for g, _ in got] == [g for g, _ in want]
     np.testing.assert_allclose([r for _, r in got], [r for _, r in want], atol=1e-10)
     with pytest.raises(ValueError, match="rank"):

@@ -52,11 +52,56 @@ def test_full_and_half_job(spark, crystal, tmp_path):
     np.testing.assert_allclose(zu @ half.m @ zu.T, exact, atol=1e-8 * abs(exact).max())
 
     out = Catalog(spark, f"file://{tmp_path}/out")
-    names = {r.name for r in out.names().collect()}
-    assert {"Hamiltonian/THC/Luv", "Hamiltonian/THC/HalfTransformedMuv", "Hamiltonian/THC/Orbitals", "Hamiltonian/THC/HalfTransformedOccOrbitals"} <= names
+    np.testing.assert_allclose(matrix.local(out.load("Hamiltonian/THC/Orbitals"), M, 9), f[full.points].T, atol=1e-12)
     np.testing.assert_allclose(matrix.local(out.load("Hamiltonian/THC/Luv"), 9, 9), got["luv"], atol=1e-12)
 
 
+LAYOUT = {  # name: shape and type, of a half-rotated run with 9 and 6 points of 3 orbitals, 2 + 1 electrons
+    "hcore": ((M, M), "complex"), "Energies": ((1, 1), "double"), "occups": ((3, 1), "bigint"), "dims": ((8, 1), "bigint"), "THC/dims": ((3, 1), "bigint"),
+    "THC/Orbitals": ((M, 9), "complex"), "THC/InterpIndx": ((9, 1), "bigint"), "THC/Luv": ((9, 9), "complex"), "THC/HalfTransformedMuv": ((6, 6), "complex"),
+    "THC/HalfTransformedFullOrbitals": ((M, 6), "complex"), "THC/HalfTransformedFullInterpIndx": ((6, 1), "bigint"),
+    "THC/HalfTransformedOccOrbitals": ((OCC, 6), "complex"), "THC/HalfTransformedOccInterpIndx": ((6, 1), "bigint"),
+}
+
+
+def test_job_from_its_file(spark, crystal, tmp_path):
+    """Input datasets, a JSON file and nothing else; every dataset of the output with shape, type and values."""
+    f, v, phi, kernel, grid, _ = crystal
+    rng = np.random.default_rng(9)
+    h = rng.normal(size=(M, M)) + 1j * rng.normal(size=(M, M))
+    h = h + h.conj().T
+    source = Catalog(spark, f"file://{tmp_path}/in")
+    job.write_input(source, grid, SHAPE, kernel, phi, np.eye(M), h, (OCC, 1), -1.25)
+    assert source.shape("aoR_half") == (NG, OCC) and source.shape("real_space_grid") == (NG, 3) and source.kind("fft_grid") == "bigint"
+    (tmp_path / "job.json").write_text(f'{{"orbital_file": "file://{tmp_path}/in", "output_file": "file://{tmp_path}/out",\n "thc_cfac": 3, "half_rotated": true, "thc_half_cfac": 2, "interpolating_points": {{"qrcp": {{}}}}}}')
+    got = job.run_file(spark, f"file://{tmp_path}/job.json")
+    out = Catalog(spark, f"file://{tmp_path}/out")
+    assert {r.name: ((r.nrows, r.ncols), r.kind) for r in out.names().collect()} == {f"Hamiltonian/{k}": x for k, x in LAYOUT.items()}
+    column = lambda name: [r.v for r in out.load(f"Hamiltonian/{name}").orderBy("i").collect()]
+    assert column("dims") == [-1, 0, 0, M, OCC, 1, 0, 0] and column("THC/dims") == [M, 9, 6] and column("occups") == [0] * 3 and column("Energies") == [-1.25]
+    assert column("THC/InterpIndx") == got["points"] and column("THC/HalfTransformedOccInterpIndx") == got["half"].points
+    whole = lambda name: matrix.local(out.load(f"Hamiltonian/{name}"), *LAYOUT[name][0])
+    np.testing.assert_allclose(whole("hcore"), h, atol=1e-12)
+    np.testing.assert_allclose(whole("THC/HalfTransformedOccOrbitals"), f[got["half"].points, :OCC].T, atol=1e-12)
+    np.testing.assert_allclose(whole("THC/HalfTransformedMuv"), got["half"].m, atol=1e-12)
+    with pytest.raises(ValueError, match="conjugate transpose"):
+        job.write_input(source, grid, SHAPE, kernel, phi, np.eye(M), h + np.triu(h, 1), (OCC, 1), 0.0)
+
+
+def test_rank_warning(spark, crystal):
+    _, _, phi, kernel, _, _ = crystal
+    with pytest.warns(UserWarning, match="rank 9"):
+        isdf.factorize(phi, list(range(12)), SHAPE, kernel)
+
+
+def test_density_label_and_kmeans_run(spark, crystal, tmp_path):
+    _, _, phi, kernel, grid, _ = crystal
+    source = Catalog(spark, f"file://{tmp_path}/in")
+    job.write_input(source, grid, SHAPE, kernel, phi, np.eye(M), np.eye(M), (OCC, 1), 0.0)
+    run = lambda label: job.run_config(spark, JobConfig(f"file://{tmp_path}/in", 2, find_interp_vec=False, max_it=30, density=label))["points"]
+    assert len(run("density")) == 6 and len(run("density_occ")) == 6
+
+
 def test_points_only(spark, crystal):
     _, _, phi, kernel, grid, weights = crystal
     config = JobConfig("orbitals", 2, find_interp_vec=False, solver="kmeans", max_it=30)
@@ -109,16 +154,15 @@ def duck(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"rank_one_products", "orbital_pairs", "kmeans_points"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"rank_one_products", "orbital_pairs"}))
 def test_query(spark, sf, duck, name):
     got = queries.QUERIES[name](spark, sf).toPandas()
     assert len(got)
-    if name in queries.ORACLE_SQL:
-        want = duck.execute(queries.ORACLE_SQL[name]).df()
-        columns = sorted(got.columns)
-        assert columns == sorted(want.columns)
-        a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (got, want))
-        assert a.astype(str).equals(b.astype(str))
+    want = duck.execute(queries.ORACLE_SQL[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (got, want))
+    assert a.astype(str).equals(b.astype(str))
 
 
 def test_entry(spark):
@@ -138,6 +182,11 @@ def test_molecular_run(spark, tmp_path):
     d, m = molecular.run_molecular(source, target)
     assert target.shape("Hamiltonian/THC/Luv") == (points, aux) and target.shape("Hamiltonian/THC/HalfTransformedOccOrbitals") == (2, points)
     np.testing.assert_allclose(matrix.local(target.load("Hamiltonian/THC/Luv"), points, aux), d.T, atol=1e-12)
+    column = lambda name: [r.v for r in target.load(f"Hamiltonian/{name}").orderBy("i").collect()]
+    assert column("dims") == [0, 0, 0, orbitals, 2, 1, 0, 0] and column("THC/dims") == [orbitals, points, points] and column("Energies") == [1.5, 0.0]
+    want = {"hcore", "Energies", "dims", "THC/dims", "THC/Luv", "THC/HalfTransformedMuv", "THC/Orbitals", "THC/HalfTransformedFullOrbitals", "THC/HalfTransformedOccOrbitals"}
+    assert {r.name for r in target.names().collect()} == {f"Hamiltonian/{x}" for x in want} and target.kind("Hamiltonian/dims") == "bigint"
+    np.testing.assert_allclose(matrix.local(target.load("Hamiltonian/THC/Orbitals"), orbitals, points), (eta @ c).T, atol=1e-10)
     np.testing.assert_allclose(matrix.local(target.load("Hamiltonian/hcore"), orbitals, orbitals), c.T @ h @ c, atol=1e-10)
     np.testing.assert_allclose(matrix.local(target.load("Hamiltonian/THC/HalfTransformedFullOrbitals"), orbitals, points), (eta @ c).T, atol=1e-10)
     source.save("BxL", molecular.fit_b(spark.createDataFrame([(a, i, k, float(df[a, i, k])) for a in range(aux) for i in range(orbitals) for k in range(orbitals)], "l long, i long, k long, v double"), matrix.from_local(spark, eta).select(F.col("i").alias("u"), F.col("j").alias("i"), "v")), (aux, points))
@@ -157,9 +206,6 @@ def test_prepared_orbitals(spark, tmp_path):
     for r in phi.collect():
         np.testing.assert_allclose(np.array(r.re) + 1j * np.array(r.im), want[r.g], atol=1e-12)
     assert all(abs(r.w - (abs(want[r.g]) ** 2).sum()) < 1e-10 for r in full.collect()) and all(abs(r.w - (abs(want[r.g, :2]) ** 2).sum()) < 1e-10 for r in occ.collect())
-    out = Catalog(spark, f"file://{tmp_path}/meta")
-    job.write_metadata(out, matrix.from_local(spark, np.eye(3)), 3, (2, 1), -1.25, 9)
-    assert [r.v for r in out.load("Hamiltonian/dims").orderBy("j").collect()] == [0, 9, 3, 2, 1] and out.load("Hamiltonian/Energies").first().v == -1.25
 
 
 def test_gamma_orbitals(spark):
@@ -175,3 +221,47 @@ def test_gamma_orbitals(spark):
     np.testing.assert_allclose(orbitals.T @ h @ orbitals, np.diag(e), atol=1e-10)
     turned = supercell.rotated_to(spark, matrix.from_local(spark, h), orbitals)
     np.testing.assert_allclose(matrix.local(turned, n, n), np.diag(e), atol=1e-10)
+
+
+def test_gamma_orbitals_that_need_all_levels(spark):
+    """Levels that stand apart but aren't real: k and -k differ in energy by more than the threshold of a group."""
+    n = 4
+    k = spark.createDataFrame([(q, 2 * np.pi * q / n, 0.0, 0.0) for q in range(n)], "k long, x double, y double, z double")
+    cells = spark.createDataFrame([(r, float(r), 0.0, 0.0) for r in range(n)], "r long, x double, y double, z double")
+    ph = supercell.phases(cells, k, n)
+    energies = [-2.0, 0.0, 2.0, 0.00105]
+    c = spark.createDataFrame([(q, 0, 0, energies[q], 1.0, 0.0) for q in range(n)], "k long, p long, m long, e double, re double, im double")
+    with pytest.raises(ValueError, match="can't be made real"):
+        supercell.gamma_orbitals(supercell.orbitals_to_supercell(c, ph), np.eye(n), n)
+    e, orbitals = supercell.gamma_orbitals(supercell.orbitals_to_supercell(c, ph), np.eye(n), n, tolerance=1e-3)
+    np.testing.assert_allclose(orbitals.T @ orbitals, np.eye(n), atol=1e-10)
+    np.testing.assert_allclose(e, [-2, 0.0005, 0.0005, 2], atol=1e-3)
+
+
+def test_k_to_gamma_and_spins(spark):
+    rng = np.random.default_rng(12)
+    n, ao = 3, 2
+    k = spark.createDataFrame([(q, 2 * np.pi * q / n, 0.0, 0.0) for q in range(n)], "k long, x double, y double, z double")
+    cells = spark.createDataFrame([(r, float(r), 0.0, 0.0) for r in range(n)], "r long, x double, y double, z double")
+    ph = supercell.phases(cells, k, n)
+    c = rng.normal(size=(n, ao, ao)) + 1j * rng.normal(size=(n, ao, ao))
+    s = rng.normal(size=(n, ao, ao)) + 1j * rng.normal(size=(n, ao, ao))
+    gamma = rng.normal(size=(n * ao, n * ao))
+    phase = np.exp(2j * np.pi * np.outer(np.arange(n), np.arange(n)) / n) / n**0.5
+    want = np.einsum("kui,kuv,rk,rvj->kij", c.conj(), s, phase.conj(), gamma.reshape(n, ao, -1))
+    rows = lambda x, names: spark.createDataFrame([(q, u, i, float(x[q, u, i].real), float(x[q, u, i].imag)) for q in range(n) for u in range(ao) for i in range(ao)], names)
+    got = supercell.k_to_gamma(rows(c, "k long, p long, m long, re double, im double"), ph, rows(s, "k long, p long, q long, re double, im double"), gamma)
+    for r in got.collect():
+        assert abs(complex(r.re, r.im) - want[r.k, r.i, r.j]) < 1e-12
+    assert got.count() == want.size
+
+    ring = lambda spin, t: [(spin, q, 0, 0, float(-2 * t * np.cos(2 * np.pi * q / n)), 1.0, 0.0) for q in range(n)]
+    both = spark.createDataFrame(ring(0, 1) + ring(1, 2), "spin int, k long, p long, m long, e double, re double, im double")
+    occ = spark.createDataFrame([(sp, q, 0, float(q == 0)) for sp in range(2) for q in range(n)], "spin int, k long, m long, occ double")
+    up, down = supercell.gamma_of_spins(both, occ, ph, np.eye(n), n)
+    np.testing.assert_allclose(up[0], [-2, 1, 1], atol=1e-12)
+    np.testing.assert_allclose(down[0], [-4, 2, 2], atol=1e-12)
+    assert up[2].tolist() == down[2].tolist() == [1, 0, 0]
+    assert len(supercell.gamma_of_spins(both.where("spin = 0"), occ, ph, np.eye(n), n)) == 1
+    with pytest.raises(ValueError, match="spins"):
+        supercell.gamma_of_spins(both.where("spin = 1"), occ, ph, np.eye(n), n)
