@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,8 +145,6 @@ class SpanHash:
 
 def binary_values(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of an Arrow string or binary array, and its n+1 offsets into them; nulls are empty."""
-    import pyarrow as pa
-
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
     large = column.type in (pa.large_string(), pa.large_binary())
@@ -180,3 +181,72 @@ def in_cells(df: DataFrame, cells: int, *keys: str) -> DataFrame:
     return df.withColumn("cell", F.pmod(F.xxhash64(*keys), F.lit(cells)).cast("int"))
 
 
+
+
+class Routes:
+    """Messages (kind, bucket, cell, data) between cells and buckets, as many of either as the table has cells.
+
+    A message from each cell to each bucket would be cells * cells rows: with up to `most_rows` they are sent
+    so.  Beyond that a sender packs the messages to `width` neighbours, about the root of the number, into one
+    row; a task takes such rows of `width` senders and deals them to their targets, one row each.  So there
+    are cells * width rows twice, whatever the cells are, and no message is lost.
+    """
+
+    COLUMNS = ("kind", "bucket", "cell", "data")
+    SCHEMA = "kind int, bucket int, cell int, data binary"
+
+    def __init__(self, cells: int, most_rows: int = 1 << 26):
+        self.width = 0 if cells * cells <= most_rows else math.isqrt(cells) + 1
+
+    @staticmethod
+    def table(rows: list[tuple]) -> pa.Table:
+        cols = list(zip(*rows)) or [(), (), (), ()]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], list(Routes.COLUMNS))
+
+    def sent(self, messages: pa.Table, to: str) -> pa.Table:
+        """A sender's messages, packed by neighbouring targets."""
+        if not self.width:
+            return messages
+        return self._packed(messages, to, [x // self.width for x in messages[to].to_pylist()])
+
+    def routed(self, df: DataFrame, to: str) -> DataFrame:
+        """Packed messages dealt to their targets."""
+        if not self.width:
+            return df
+        by = "cell" if to == "bucket" else "bucket"
+        deal = lambda t: self._dealt(t, to, by)
+        return df.withColumn("part", F.floor(F.col(by) / self.width).cast("int")).groupBy(to, "part").applyInArrow(lambda key, t: deal(t), self.SCHEMA)
+
+    def received(self, messages: pa.Table) -> pa.Table:
+        """The messages in a target's rows."""
+        return self._unpacked(messages) if self.width else messages
+
+    def _dealt(self, packed: pa.Table, to: str, by: str) -> pa.Table:
+        messages = self._unpacked(packed)
+        out = self._packed(messages, to, messages[to].to_pylist())
+        sender = pa.array([x // self.width for x in packed[by].to_pylist()[:1]] * out.num_rows, pa.int32())
+        return out.set_column(out.column_names.index(by), by, sender)
+
+    def _packed(self, messages: pa.Table, to: str, groups: list[int]) -> pa.Table:
+        numbers = np.array([messages[c].to_pylist() for c in self.COLUMNS[:3]], np.int64).reshape(3, -1).T
+        data, by, place = messages["data"].to_pylist(), defaultdict(list), self.COLUMNS.index(to)
+        for k, g in enumerate(groups):
+            by[g].append(k)
+        rows = []
+        for g, of in by.items():
+            head = np.concatenate([numbers[of], np.array([[len(data[k])] for k in of], np.int64)], 1)
+            row = [0, int(numbers[of[0]][1]), int(numbers[of[0]][2]), np.int64(len(of)).tobytes() + head.tobytes() + b"".join(data[k] for k in of)]
+            row[place] = g
+            rows.append(tuple(row))
+        return self.table(rows)
+
+    def _unpacked(self, messages: pa.Table) -> pa.Table:
+        rows = []
+        for blob in messages["data"].to_pylist():
+            n = int(np.frombuffer(blob, np.int64, 1)[0])
+            at = 8 + 32 * n
+            for kind, bucket, cell, size in np.frombuffer(blob, np.int64, 4 * n, 8).reshape(n, 4).tolist():
+                rows.append((kind, bucket, cell, blob[at : at + size]))
+                at += size
+        return self.table(rows)

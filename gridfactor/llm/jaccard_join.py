@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE_1, SpanHash, binary_values, blocks, checkpointed, counted, flat, in_cells, mix, n_cells, stored, u64
+from .common import BASE_1, Routes, SpanHash, binary_values, blocks, checkpointed, counted, flat, in_cells, mix, n_cells, stored, u64
 from .components import components
 
 SAMPLE = 4
@@ -45,7 +45,6 @@ LAST = np.iinfo(np.int64).max
 KEY_BYTES = 5
 EXACT = 96
 HUBS = 32
-SENT = "kind int, bucket int, cell int, data binary"
 #: Lower case of A-Z, and the bytes that separate words.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -120,11 +119,6 @@ class Cell:
         return (np.concatenate([self.sets[j] for j in which]) if len(which) else np.zeros(0, np.uint64)), ends
 
 
-def _rows(rows: list[tuple]) -> pa.Table:
-    cols = list(zip(*rows)) or [(), (), (), ()]
-    return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary())], ["kind", "bucket", "cell", "data"])
-
-
 def _by_bucket(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """bucket, the indices of its hashes in the order of their short keys."""
     bucket, short = _split(hashes, buckets)
@@ -167,7 +161,7 @@ def _answer_counts(bucket: int, table: pa.Table) -> pa.Table:
     out, ends = [], np.cumsum(sizes)
     for kind, c, n, e in zip(kinds, cells, sizes, ends):
         out.append((kind, bucket, c, rarity(total[e - n : e]).tobytes()))
-    return _rows(out)
+    return Routes.table(out)
 
 
 def rarity(sets: np.ndarray) -> np.ndarray:
@@ -380,33 +374,36 @@ def _cluster(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"ref": refs, "component": least[label]})
 
 
-def indexed_sets(docs: DataFrame, k: int, percent: int, frequent: int, cells: int, id_col: str, text_col: str) -> DataFrame:
+def indexed_sets(docs: DataFrame, k: int, percent: int, frequent: int, cells: int, most_rows: int, id_col: str, text_col: str) -> DataFrame:
     """Steps 1 to 3, stored, so that the shuffled texts can be dropped: rows of _index()."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("b"))
-    groups = in_cells(rows, cells, "doc_id", "b").groupBy("cell")
+    groups, r = in_cells(rows, cells, "doc_id", "b").groupBy("cell"), Routes(cells, most_rows)
 
     def sample(key, t):
         cell = Cell(t, k)
         tokens, _ = cell.tokens(np.flatnonzero(cell.sizes > 0))
-        return _rows(_send_counts(0, key[0].as_py(), tokens[tokens % np.uint64(SAMPLE) == 0], cells))
+        return r.sent(Routes.table(_send_counts(0, key[0].as_py(), tokens[tokens % np.uint64(SAMPLE) == 0], cells)), "bucket")
 
     def count(key, t, answers):
-        cell = Cell(t, k)
+        cell, answers = Cell(t, k), r.received(answers)
         given = dict(zip(answers["bucket"].to_pylist(), answers["data"].to_pylist()))
-        return _rows(_send_counts(1, key[0].as_py(), cell.tokens(_alive(cell, given, cells, percent))[0], cells))
+        return r.sent(Routes.table(_send_counts(1, key[0].as_py(), cell.tokens(_alive(cell, given, cells, percent))[0], cells)), "bucket")
+
+    def answer(df):
+        counted_ = r.routed(df, "bucket").groupBy("bucket").applyInArrow(lambda key, t: r.sent(_answer_counts(key[0].as_py(), r.received(t)), "cell"), r.SCHEMA)
+        return r.routed(counted_, "cell")
 
-    answer = lambda df: df.groupBy("bucket").applyInArrow(lambda key, t: _answer_counts(key[0].as_py(), t), SENT)
-    first = answer(groups.applyInArrow(sample, SENT))
-    second = answer(groups.cogroup(first.groupBy("cell")).applyInArrow(count, SENT))
+    first = answer(groups.applyInArrow(sample, r.SCHEMA))
+    second = answer(groups.cogroup(first.groupBy("cell")).applyInArrow(count, r.SCHEMA))
     both = first.unionByName(second)
-    return stored(groups.cogroup(both.groupBy("cell")).applyInArrow(lambda key, t, a: _index(key[0].as_py(), t, a, k, cells, percent, frequent), FOUND))
+    return stored(groups.cogroup(both.groupBy("cell")).applyInArrow(lambda key, t, a: _index(key[0].as_py(), t, r.received(a), k, cells, percent, frequent), FOUND))
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = 16, family_tokens: int = 1 << 22, cells: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, frequent: int = 16, family_tokens: int = 1 << 22, cells: int | None = None, most_rows: int = 1 << 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links).  percent is 80 to 99: below, small sets could share too few tokens for the prefixes."""
     if not 80 <= percent < 100:
         raise ValueError("percent has to be from 80 to 99")
-    found = indexed_sets(docs, k, percent, frequent, cells or n_cells(docs, text_col), id_col, text_col)
+    found = indexed_sets(docs, k, percent, frequent, cells or n_cells(docs, text_col), most_rows, id_col, text_col)
     ties = found.where("kind = 1").groupBy("bucket").applyInArrow(lambda key, t: _ties(t), "a long, b long")
     sets = found.where("kind = 2").select("ref", "owner", "n", "data")
     links = checkpointed(linked_components(sets.drop("owner"), ties, percent, frequent, family_tokens))

@@ -7,9 +7,10 @@ several) is its anchor; equal windows have equal anchors, so windows are dealt b
 
 1. each cell sends the distinct anchors it has; a bucket answers which of them other documents have too;
 2. each cell sends, for these, the distinct contexts (the bytes that an anchor's windows cover) with their
-   smallest document; a bucket sorts all windows as suffixes of the contexts, deep-shallow: multikey
-   quicksort on eight-byte symbols to a shallow depth, then blind tries for the groups that still share
-   their prefix.  Equal windows lie side by side; the smallest document of each run goes back;
+   smallest document; a bucket sorts all windows as suffixes of the contexts, deep-shallow: by
+   symbols of eight bytes to a shallow depth, as multikey quicksort does with bytes, then blind tries for the groups that still share
+   their prefix.  Equal windows lie side by side; the smallest document of each run goes back (contexts of
+   one anchor count as equal by a 64-bit hash; those of an anchor with one class needn't be sorted);
 3. each cell marks and removes its bytes.
 
 A cell sends a context once however many of its documents hold it.  A passage in very many documents has
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_1, BASE_2, SpanHash, binary_values, flat, in_cells, n_cells
+from .common import BASE_1, BASE_2, Routes, SpanHash, binary_values, flat, in_cells, n_cells
 
 LENGTH, GRAM = 50, 20
 WIDTH = LENGTH - GRAM + 1
@@ -44,7 +45,6 @@ KEY_BYTES = 5
 HOT_CELLS = 4096
 HOT_CONTEXTS = 1 << 14
 LAST = np.iinfo(np.int64).max
-SENT = "bucket int, cell int, data binary"
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -128,8 +128,7 @@ class Cell:
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    cols = list(zip(*rows)) or [(), (), ()]
-    return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["bucket", "cell", "data"])
+    return Routes.table([(0, *r) for r in rows])
 
 
 def _send_anchors(cell: int, table: pa.Table, buckets: int) -> pa.Table:
@@ -367,18 +366,23 @@ def _removed(table: pa.Table, answers: pa.Table, with_bytes: bool) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), KEPT)], schema=KEPT)
 
 
-def remove_repeats(docs: DataFrame, with_bytes: bool = True, cells: int | None = None, hot_cells: int = HOT_CELLS, hot_contexts: int = HOT_CONTEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_bytes the bytes `kept` and the removed spans' ends `removed` (start, end, start, ...)."""
+def remove_repeats(docs: DataFrame, with_bytes: bool = True, cells: int | None = None, hot_cells: int = HOT_CELLS, hot_contexts: int = HOT_CONTEXTS, most_rows: int = 1 << 26, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_bytes the bytes `kept` and the removed spans' ends `removed` (start, end, start, ...).
+
+    Messages between cells and buckets go by Routes(cells, most_rows).
+    """
     cells = cells or n_cells(docs, text_col)
-    buckets = cells
+    buckets, r = cells, Routes(cells, most_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("b"))
     rows = in_cells(rows, cells, "doc_id", "b")
     groups = rows.groupBy("cell")
-    sent = groups.applyInArrow(lambda key, t: _send_anchors(key[0].as_py(), t, buckets), SENT)
-    shared = sent.groupBy("bucket").applyInArrow(lambda key, t: _shared_anchors(key[0].as_py(), t, hot_cells, hot_contexts), SENT)
-    contexts = groups.cogroup(shared.groupBy("cell")).applyInArrow(lambda key, t, a: _send_contexts(key[0].as_py(), t, a, buckets), SENT)
-    least = contexts.groupBy("bucket").applyInArrow(lambda key, t: _smallest(key[0].as_py(), t), SENT)
-    return groups.cogroup(least.groupBy("cell")).applyInArrow(lambda key, t, a: _removed(t, a, with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<long>")
+    number = lambda key: key[0].as_py()
+
+    sent = groups.applyInArrow(lambda key, t: r.sent(_send_anchors(number(key), t, buckets), "bucket"), r.SCHEMA)
+    shared = r.routed(sent, "bucket").groupBy("bucket").applyInArrow(lambda key, t: r.sent(_shared_anchors(number(key), r.received(t), hot_cells, hot_contexts), "cell"), r.SCHEMA)
+    contexts = groups.cogroup(r.routed(shared, "cell").groupBy("cell")).applyInArrow(lambda key, t, a: r.sent(_send_contexts(number(key), t, r.received(a), buckets), "bucket"), r.SCHEMA)
+    least = r.routed(contexts, "bucket").groupBy("bucket").applyInArrow(lambda key, t: r.sent(_smallest(number(key), r.received(t)), "cell"), r.SCHEMA)
+    return groups.cogroup(r.routed(least, "cell").groupBy("cell")).applyInArrow(lambda key, t, a: _removed(t, r.received(a), with_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<long>")
 
 
 def op5_deep_shallow(docs: DataFrame) -> DataFrame:

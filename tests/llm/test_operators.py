@@ -9,10 +9,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gridfactor.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, mixing, mpeg_audio, sharding, suffix_dedup, warc
+from gridfactor.llm import common
 from gridfactor.llm.common import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, cell int, b string, w string, t long, shard int, u long, h long, component string"
@@ -169,7 +171,7 @@ def brute_components(rows, k, percent):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("more", [{}, {"cells": 3, "frequent": 1}, {"cells": 2, "frequent": 1, "family_tokens": 100}])
+@pytest.mark.parametrize("more", [{}, {"cells": 3, "frequent": 1}, {"cells": 2, "frequent": 1, "family_tokens": 100}, {"cells": 7, "most_rows": 0}])
 def test_jaccard_odd(odd, more):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(odd, **more).collect()), key=str)
     assert got == brute_components([r[:2] for r in odd_rows()], 4, 85)
@@ -481,10 +483,10 @@ def brute_removed(rows):
     return out
 
 
-@pytest.mark.parametrize("cells, hot_cells", [(1, 4096), (3, 4096), (4, 2), (3, 0)])
-def test_suffix_dedup(docs, odd, cells, hot_cells):
+@pytest.mark.parametrize("cells, hot_cells, most_rows", [(1, 4096, 99), (3, 4096, 99), (4, 2, 99), (3, 0, 99), (10, 4096, 0), (10, 2, 0)])
+def test_suffix_dedup(docs, odd, cells, hot_cells, most_rows):
     for rows, d in (([(r.doc_id, r.text) for r in docs.collect()], docs), ([r[:2] for r in odd_rows()], odd)):
-        got = suffix_dedup.remove_repeats(d, cells=cells, hot_cells=hot_cells).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+        got = suffix_dedup.remove_repeats(d, cells=cells, hot_cells=hot_cells, most_rows=most_rows).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
         assert Counter(map(tuple, got)) == brute_removed(rows)
 
 
@@ -799,3 +801,37 @@ def test_shards(docs, odd, none):
         found[r["size"], r.text_crc32].add(r.shard)
     assert set(found) == set(texts) and all(len(x) == 1 for x in found.values())
     assert sharding.op10_minimax_shards(none).count() == 0
+
+
+def test_shards_of_documents_against_plain_code(docs):
+    """The registered query's sizes, checksums and capacity: groups of equal texts in order of Spark's hash, cut by a plain search."""
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = sharding.op10_minimax_shards(docs).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.law) for r in rows) == Counter((k, len((x or "").encode()) + 1, zlib.crc32((x or "").encode()), "bytes") for k, x in texts.items())
+    groups = docs.groupBy(F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1).alias("u")).agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("size")).collect()
+    sizes, shards, load = [r["size"] for r in sorted(groups)], 16, Counter()
+    for r in rows:
+        load[r.shard] += r["size"]
+    for s in sorted(sizes, reverse=True):  # a group above an equal share is alone
+        if s * shards > sum(sizes) and shards > 1:
+            sizes.remove(s)
+            shards -= 1
+    assert max(x for k, x in load.items() if k >= 16 - shards) == least_capacity(sizes, shards)
+
+
+def test_routes():
+    """Packed and dealt messages are the messages."""
+    routes, rng = common.Routes(30, 0), np.random.default_rng(3)
+    messages = [(int(rng.integers(0, 2)), b, c, rng.bytes(int(rng.integers(0, 9)))) for c in range(30) for b in range(30) if rng.random() < 0.5]
+    packed = [routes.sent(common.Routes.table([m for m in messages if m[2] == c]), "bucket") for c in range(30)]
+    assert max(p.num_rows for p in packed) <= 5
+    got = []
+    for g in range(6):
+        for part in range(5):
+            mine = [p.filter(pa.array([x == g for x in p["bucket"].to_pylist()], pa.bool_())) for p in packed[6 * part : 6 * part + 6]]
+            got.append(routes._dealt(pa.concat_tables(mine), "bucket", "cell"))
+    whole = pa.concat_tables(got)
+    assert whole.num_rows <= 30 * 5
+    for b in range(30):
+        mine = routes.received(whole.filter(pa.array([x == b for x in whole["bucket"].to_pylist()])))
+        assert sorted(map(tuple, zip(*(mine[c].to_pylist() for c in common.Routes.COLUMNS)))) == sorted(m for m in messages if m[1] == b)
