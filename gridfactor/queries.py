@@ -146,11 +146,6 @@ def pinv_identity(s: SparkSession, d: str) -> DataFrame:
     return matrix.from_local(s, a @ inverse @ a)
 
 
-def eta(s: SparkSession, d: str) -> DataFrame:
-    """Real orbitals: the 64 places of the vectors are points u, the vectors are orbitals i."""
-    return x(s, d).select(F.col("j").alias("u"), "i", "v")
-
-
 def df_of_lines(s: SparkSession, d: str) -> DataFrame:
     """df(l, i, k, v): mean quantities of lineitem by line number and pairs of places from its part and supplier."""
     place = lambda c: F.pmod(F.col(c), F.lit(64))
