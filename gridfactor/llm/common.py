@@ -116,6 +116,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket in 0..buckets-1 for each 64-bit hash.  Up to 2**32 buckets get like shares, though the hashes be the least of several, as anchors and prefixes are."""
+    return ((mix(hashes) >> np.uint64(32)) * u64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -181,8 +186,6 @@ def in_cells(df: DataFrame, cells: int, *keys: str) -> DataFrame:
     return df.withColumn("cell", F.pmod(F.xxhash64(*keys), F.lit(cells)).cast("int"))
 
 
-
-
 class Routes:
     """Messages (kind, bucket, cell, data) between cells and buckets, as many of either as the table has cells.
 

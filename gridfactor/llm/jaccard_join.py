@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE_1, Routes, SpanHash, binary_values, blocks, checkpointed, counted, flat, in_cells, mix, n_cells, stored, u64
+from .common import BASE_1, Routes, SpanHash, binary_values, blocks, bucket_of, checkpointed, counted, flat, in_cells, mix, n_cells, stored, u64
 from .components import components
 
 SAMPLE = 4
@@ -85,7 +85,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarra
 
 
 def _split(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    return ((hashes >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64), hashes & np.uint64((1 << 8 * KEY_BYTES) - 1)
+    return bucket_of(hashes, buckets), hashes & np.uint64((1 << 8 * KEY_BYTES) - 1)
 
 
 class Cell:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_1, BASE_2, Routes, SpanHash, binary_values, flat, in_cells, n_cells
+from .common import BASE_1, BASE_2, Routes, SpanHash, binary_values, bucket_of, flat, in_cells, n_cells
 
 LENGTH, GRAM = 50, 20
 WIDTH = LENGTH - GRAM + 1
@@ -113,7 +113,7 @@ class Cell:
 
     def by_bucket(self, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """bucket, its distinct short keys in order, whether several texts here have each, and its distinct contexts here."""
-        bucket = ((self.key >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64)
+        bucket = bucket_of(self.key, buckets)
         short = self.key & np.uint64((1 << 8 * KEY_BYTES) - 1)
         order = np.lexsort((self.whole ^ self.key, short, bucket))
         ctx = (self.whole ^ self.key)[order]
@@ -187,7 +187,7 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
 def _send_contexts(cell: int, table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     c = Cell(table)
     bits = dict(zip(answers["bucket"].to_pylist(), answers["data"].to_pylist()))
-    bucket = ((c.key >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64)
+    bucket = bucket_of(c.key, buckets)
     short = c.key & np.uint64((1 << 8 * KEY_BYTES) - 1)
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1)) if len(order) else np.zeros(buckets + 1, np.int64)
@@ -217,7 +217,7 @@ def _send_contexts(cell: int, table: pa.Table, answers: pa.Table, buckets: int)
         key, first, of = np.unique(key, return_index=True, return_inverse=True)
         last = np.zeros(len(key), np.int64)
         np.maximum.at(last, of, text)
-        bucket, start, text = ((key >> np.uint64(44)) % np.uint64(buckets)).astype(np.int64), starts[first], text[first]
+        bucket, start, text = bucket_of(key, buckets), starts[first], text[first]
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]]))
         for part in np.split(order, cuts[1:]):
