@@ -40,6 +40,7 @@ from .common import BASE_1, BASE_2, Routes, SpanHash, binary_values, bucket_of,
 LENGTH, GRAM = 50, 20
 WIDTH = LENGTH - GRAM + 1
 BLOCK = 1 << 20
+SCAN = 1 << 17  # bytes scanned at once: their arrays stay in a core's cache
 SHALLOW = 16
 KEY_BYTES = 5
 HOT_CELLS = 4096
@@ -60,18 +61,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of window starts with one anchor, in order: first start, last start, anchor's hash, hash of the bytes from the first start to the last window's end."""
     out: list[list[np.ndarray]] = [[], [], [], []]
     last = len(data) - LENGTH
-    for a in range(0, max(0, last + 1), BLOCK):
-        b = min(a + BLOCK, last + 1)
+    for a in range(0, max(0, last + 1), SCAN):
+        b = min(a + SCAN, last + 1)
         part = data[a : b + LENGTH - 1]
         spans = SpanHash(part, BASE_1)
         at = np.arange(len(part) - GRAM + 1)
         grams = spans.of(at, at + GRAM)
         low = np.uint64((1 << 28) - 1)
         chosen = (_least(grams & ~low | at.astype(np.uint64), WIDTH) & low).astype(np.int64)
-        starts = np.arange(a, b)
-        doc = np.searchsorted(offsets, starts, side="right") - 1
-        fits = starts + LENGTH <= offsets[doc + 1]
-        edge = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (fits[1:] != fits[:-1]) | (doc[1:] != doc[:-1])]))
+        first, end = np.searchsorted(offsets, [a, b - 1], side="right") + [-1, 0]  # the texts of these starts
+        ends = np.repeat(offsets[first + 1 : end + 1], np.diff(np.clip(offsets[first : end + 1], a, b)))
+        fits = np.arange(a + LENGTH, b + LENGTH) <= ends  # never the last start of a text, so texts lie in runs of their own
+        edge = np.flatnonzero(np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (fits[1:] != fits[:-1])]))
         end = np.append(edge[1:], len(chosen)) - 1
         keep = fits[edge]
         edge, end = edge[keep], end[keep]
@@ -103,7 +104,7 @@ class Cell:
         self.data = np.frombuffer(b"".join(pieces), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in pieces])]).astype(np.int64)
         self.lo, self.hi, self.key, self.whole = anchors(self.data, self.offsets)
-        self.text = np.searchsorted(self.offsets, self.lo, side="right") - 1
+        self.text = np.repeat(np.arange(len(pieces)), np.diff(np.searchsorted(self.lo, self.offsets)))
 
     def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of some runs, in order: all window starts, their texts and the windows' hashes."""

@@ -519,6 +519,27 @@ def test_suffix_periodic(spark, none):
     assert suffix_dedup.op5_deep_shallow(none).count() == 0
 
 
+def test_anchors_do_not_depend_on_the_scan(monkeypatch):
+    """Each window's anchor, of texts that are empty, short or long, whatever the blocks are that are scanned at once."""
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        offsets = np.concatenate([[0], np.cumsum(rng.choice([0, 1, 30, 49, 50, 51, 70, 400], rng.integers(0, 8)))]).astype(np.int64)
+        data = rng.integers(97, 99, offsets[-1]).astype(np.uint8)
+        found = []
+        for scan in (1 << 20, 64, 7):
+            monkeypatch.setattr(suffix_dedup, "SCAN", scan)
+            lo, hi, key, _ = suffix_dedup.anchors(data, offsets)
+            found.append([(int(w), int(k)) for a, b, k in zip(lo, hi, key) for w in range(a, b + 1)])
+        starts = [w for a, b in zip(offsets[:-1], offsets[1:]) for w in range(a, b - suffix_dedup.LENGTH + 1)]
+        assert [w for w, _ in found[0]] == starts and found[0] == found[1] == found[2]
+
+
+def test_buckets_of_least_hashes():
+    least = np.random.default_rng(4).integers(0, 1 << 64, (100000, 31), np.uint64).min(1)
+    assert len(np.unique(common.bucket_of(least, 1 << 22))) > 95000
+    assert np.bincount(common.bucket_of(least, 16)).max() < 1.1 * len(least) / 16
+
+
 def test_deep_shallow_order():
     rng = np.random.default_rng(0)
     buf = np.concatenate([rng.integers(97, 99, 3000), np.tile([97, 98, 99], 100), np.zeros(70)]).astype(np.uint8)
