@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from gridfactor import queries
 from gridfactor.operators import matrix, supercell
-from gridfactor.plans import isdf, job, molecular
+from gridfactor.plans import isdf, job, molecular, prepare
 from gridfactor.sources.catalog import Catalog
 from gridfactor.sources.config import JobConfig
 from gridfactor.streaming import running
@@ -88,6 +88,31 @@ def test_job_from_its_file(spark, crystal, tmp_path):
         job.write_input(source, grid, SHAPE, kernel, phi, np.eye(M), h + np.triu(h, 1), (OCC, 1), 0.0)
 
 
+def test_prepare_command_line(spark, crystal, tmp_path):
+    """Raw tables by way of the command line give the same input as the tables themselves."""
+    f, v, phi, kernel, grid, _ = crystal
+    rng = np.random.default_rng(4)
+    c = rng.normal(size=(M, 2)) + 1j * rng.normal(size=(M, 2))
+    xyz = np.array([[g // 15, g // 5 % 3, g % 5] for g in range(NG)], float)
+    raw = Catalog(spark, f"file://{tmp_path}/raw")
+    for name, a in {"real_space_grid": xyz, "fft_coulomb": v[:, None], "ao": f, "mo_coeff": c, "hcore": np.diag([1.0, 2.0]), "constant_energy_factors": np.array([[0.5]])}.items():
+        raw.save(name, matrix.from_local(spark, a), a.shape)
+    job.save_integers(raw, "fft_grid", list(SHAPE))
+    raw.save("num_electrons", spark.createDataFrame([(0, 0, 1), (0, 1, 1)], "i long, j long, v long"), (1, 2))
+    prepare.main(["-i", f"file://{tmp_path}/raw", "-o", f"file://{tmp_path}/in"])
+    job.write_input(Catalog(spark, f"file://{tmp_path}/same"), grid, SHAPE, kernel, phi, c, np.diag([1.0, 2.0]), (1, 1), 0.5)
+    got, same = Catalog(spark, f"file://{tmp_path}/in"), Catalog(spark, f"file://{tmp_path}/same")
+    names = sorted(r.name for r in same.names().collect())
+    assert names == sorted(r.name for r in got.names().collect())
+    for name in names:
+        assert got.shape(name) == same.shape(name) and got.kind(name) == same.kind(name)
+        np.testing.assert_allclose(matrix.local(got.load(name), *got.shape(name)), matrix.local(same.load(name), *same.shape(name)), atol=1e-12)
+    np.testing.assert_allclose(matrix.local(got.load("aoR"), NG, 2), f @ c, atol=1e-12)
+    assert prepare.arguments(["-i", "raw"]).output == "orbitals"
+    with pytest.raises(SystemExit):
+        prepare.arguments([])
+
+
 def test_rank_warning(spark, crystal):
     _, _, phi, kernel, _, _ = crystal
     with pytest.warns(UserWarning, match="rank 9"):
