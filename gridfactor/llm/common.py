@@ -60,8 +60,7 @@ def scratch(spark: SparkSession) -> Iterator[str]:
     finally:
         _scratch.pop()
         sc.setCheckpointDir(before)
-        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        erased(spark, folder)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -186,6 +185,40 @@ def in_cells(df: DataFrame, cells: int, *keys: str) -> DataFrame:
     return df.withColumn("cell", F.pmod(F.xxhash64(*keys), F.lit(cells)).cast("int"))
 
 
+def finite(vector: str) -> Column:
+    """Whether an array is there and all its values are finite numbers."""
+    return F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+#: Integers of vectors stay below this, so that squared distances of up to 128 components fit a long.
+LARGEST = 1 << 27
+
+
+def integers(column, dims: int, scale: int) -> np.ndarray:
+    """floor(scale * x) of a column of lists of `dims` finite values, as longs."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    x = np.floor(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale).reshape(len(column), dims)
+    if x.size and abs(x).max() >= LARGEST:
+        raise ValueError(f"a component of {abs(x).max() / scale} is too large for distances in longs")
+    return x.astype(np.int64)
+
+
+def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Exact squared distances of all rows of x and y: as a product of doubles where these are exact, else in longs."""
+    largest = max(abs(x).max(initial=0), abs(y).max(initial=0))
+    if int(largest) ** 2 * x.shape[1] * 4 < 1 << 53:
+        a, b = x.astype(np.float64), y.astype(np.float64)
+        return ((a * a).sum(1)[:, None] - 2 * (a @ b.T) + (b * b).sum(1)).astype(np.int64)
+    return np.stack([((x - row) ** 2).sum(1) for row in y], 1)
+
+
+def erased(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 class Routes:
     """Messages (kind, bucket, cell, data) between cells and buckets, as many of either as the table has cells.
 
