@@ -87,6 +87,14 @@ def counted(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def spread_join(rows: DataFrame, few: DataFrame, key: str, how: str = "inner", salts: int = 32) -> DataFrame:
+    """rows joined with `few`, which counted() has marked or not; where it isn't broadcast, each of its rows is sent `salts` times, so that rows of one key are in as many tasks."""
+    if few.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(few), key, how)
+    salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")
+
+
 #: Beyond ASCII, a character that F.lower() would change: none other does.
 CHANGED_BY_LOWER = r"[\x{80}-\x{10FFFF}&&[\p{Lu}\p{Lt}\p{IsUppercase}]]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

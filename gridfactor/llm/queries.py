@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import op8_preference
 from .common import table
 from .decontaminate import op7_prefix_containment
+from .heap_clusters import op11_heap_bounds
 from .html_extract import op1_html_extract
 from .jaccard_join import op2_combination_prefix
 from .language_id import op9_rank_order
 from .mixing import op4_hypergeometric_mix
 from .mpeg_audio import op3_mpeg_audio
+from .quality_outliers import op13_mcd_outliers
 from .sharding import op10_minimax_shards
 from .suffix_dedup import op5_deep_shallow
+from .vector_codes import op12_equal_average
 from .warc import op6_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,6 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_preference": lambda s, d: op8_preference(table(s, d, "conversations")),
     "op9_rank_order": lambda s, d: op9_rank_order(table(s, d, "documents")),
     "op10_minimax_shards": lambda s, d: op10_minimax_shards(table(s, d, "documents")),
+    "op11_heap_bounds": lambda s, d: op11_heap_bounds(table(s, d, "embeddings")),
+    "op12_equal_average": lambda s, d: op12_equal_average(table(s, d, "embeddings")),
+    "op13_mcd_outliers": lambda s, d: op13_mcd_outliers(table(s, d, "documents")),
 }
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,6 +47,44 @@ def _words(pattern: str) -> str:
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[{k // 4 + 1}] >> {15 - 5 * (k % 4)}) & 31) + 1, 1)" for k in range(32))
 _PIECE = "'<|' || replace(coalesce(role, ''), '<|', '< |') || '|>' || chr(10)"
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0"
+
+
+def _integers(scale: int) -> str:
+    return f"list_transform(embedding, lambda e: CAST(floor({scale} * CAST(e AS DOUBLE)) AS BIGINT))"
+
+
+def _floor_mean(s: str, n: str) -> str:
+    """floor(s / n) of integers."""
+    return f"CAST(({s} - ({s} % {n} + {n}) % {n}) // {n} AS BIGINT)"
+
+
+def _far(a: str, b: str) -> str:
+    return f"CAST(list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+
+
+def _lloyd(rounds: int) -> str:
+    """a0, c1, a1, ...: assignments and centroids by turns, from x(vec_id, v) and c0(c, v)."""
+    sql = ""
+    for k in range(rounds + 1):
+        sql += f", a{k} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min({{'d': d, 'c': c}}) AS m FROM (SELECT vec_id, x.v, c, {_far('x.v', 'q.v')} AS d FROM x, c{k} q) GROUP BY vec_id)"
+        if k < rounds:
+            sums = f"SELECT c, list(s ORDER BY j) AS v FROM (SELECT c, j, {_floor_mean('sum(e)', 'count(*)')} AS s FROM (SELECT m.c AS c, unnest(range(1, 65)) AS j, unnest(v) AS e FROM a{k}) GROUP BY 1, 2) GROUP BY c"
+            sql += f", c{k + 1} AS MATERIALIZED (SELECT q.c, coalesce(s.v, q.v) AS v FROM c{k} q LEFT JOIN ({sums}) s USING (c))"
+    return sql
+
+
+def _quantized(rounds: int) -> str:
+    """a0, b1, a1, ...: codes and codebooks by turns, from parts x(vec_id, p, v) and b0(p, e, v)."""
+    sql = ""
+    for k in range(rounds + 1):
+        sql += f", a{k} AS MATERIALIZED (SELECT vec_id, p, any_value(v) AS v, min({{'d': d, 'e': e}}) AS m FROM (SELECT vec_id, x.p, x.v, e, {_far('x.v', 'q.v')} AS d FROM x JOIN b{k} q ON x.p = q.p) GROUP BY 1, 2)"
+        if k < rounds:
+            sums = f"SELECT p, e, list(s ORDER BY j) AS v FROM (SELECT p, e, j, {_floor_mean('sum(y)', 'count(*)')} AS s FROM (SELECT p, m.e AS e, unnest(range(1, len(v) + 1)) AS j, unnest(v) AS y FROM a{k}) GROUP BY 1, 2, 3) GROUP BY 1, 2"
+            sql += f", b{k + 1} AS MATERIALIZED (SELECT q.p, q.e, coalesce(s.v, q.v) AS v FROM b{k} q LEFT JOIN ({sums}) s ON q.p = s.p AND q.e = s.e)"
+    return sql
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_combination_prefix": f"""WITH RECURSIVE d AS (SELECT doc_id, {_words(r"[^\x20\x09-\x0D]+")} AS w FROM documents),
  s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM d),
@@ -81,4 +125,14 @@ ORACLE_SQL: dict[str, str] = {
  v AS (SELECT pair_id, string_agg(head || body, '' ORDER BY k) FILTER (side = 0 AND k <= np) AS prompt, string_agg(head || body, '' ORDER BY k) FILTER (side = 0 AND k > np) AS c, string_agg(head || body, '' ORDER BY k) FILTER (side = 1 AND k > np) AS r,
   string_agg((pos + length(head)) || '-' || (pos + length(head) + length(body)), ' ' ORDER BY k) FILTER (side = 0 AND k > np AND role = 'assistant') AS cm, string_agg((pos + length(head)) || '-' || (pos + length(head) + length(body)), ' ' ORDER BY k) FILTER (side = 1 AND k > np AND role = 'assistant') AS rm FROM u GROUP BY 1)
  SELECT pair_id, pair_id AS chosen_id, other AS rejected_id, CAST(np AS INTEGER) AS n_prompt_turns, coalesce(prompt, '') AS prompt, coalesce(c, '') AS chosen, CASE WHEN other IS NOT NULL THEN coalesce(r, '') END AS rejected, coalesce(cm, '') AS chosen_mask, CASE WHEN other IS NOT NULL THEN coalesce(rm, '') END AS rejected_mask FROM p JOIN v USING (pair_id)""",
+    "op11_heap_bounds": f"""WITH x AS MATERIALIZED (SELECT vec_id, {_integers(1024)} AS v FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}),
+ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT v, sha256('3:' || vec_id) AS h FROM x ORDER BY h LIMIT 8)){_lloyd(10)},
+ h AS (SELECT c, sha256(array_to_string(v, ',')) AS centroid_sha256 FROM c10)
+ SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a10 JOIN h ON h.c = m.c""",
+    "op12_equal_average": f"""WITH k AS MATERIALIZED (SELECT vec_id, label, {_integers(256)} AS v FROM embeddings WHERE {_FINITE}),
+ x AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16] AS v FROM k, unnest(range(0, 16)) t(p)),
+ b0 AS MATERIALIZED (SELECT p, dense_rank() OVER (ORDER BY vec_id) - 1 AS e, v FROM x WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 64)){_quantized(2)},
+ r AS (SELECT vec_id, string_agg(format('{{:02x}}', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a2 GROUP BY 1),
+ s AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+ SELECT r.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN k USING (vec_id), s""",
 }

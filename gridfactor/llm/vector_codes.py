@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpointed, finite, integers, squared_distances, stored
+from .common import checkpointed, finite, integers, spread_join, squared_distances, stored
 
-#: Parts of a run, entries that are compared at a time, and copies of a label's sum where labels are too many to broadcast.
-RUN, STRIDE, SALTS = 256, 4, 32
+#: Parts of a run, and entries that are compared at a time.
+RUN, STRIDE = 256, 4
 
 
 class Codebook:
@@ -158,18 +158,10 @@ def vector_codes(vectors: DataFrame, parts: int = 16, entries: int = 64, rounds:
 
 
 def with_label_errors(rows: DataFrame) -> DataFrame:
-    """rows(id, label, code, error) with `label_error`, the errors of equal labels (nulls together) added up.
-
-    Labels are broadcast after they are counted; beyond BROADCAST_ROWS they are joined with a salt, so that a
-    label of a third of the rows isn't in one task.
-    """
+    """rows(id, label, code, error) with `label_error`, the errors of equal labels (nulls together) added up."""
     key = F.struct(F.col("label").isNull().alias("none"), F.coalesce(F.col("label").cast("string"), F.lit("")).alias("of"))
     sums = checkpointed(rows.groupBy(key.alias("key")).agg(F.sum("error").alias("label_error")))
-    keyed = rows.withColumn("key", key)
-    if sums.count() <= BROADCAST_ROWS:
-        return keyed.join(F.broadcast(sums), "key").drop("key")
-    salted = sums.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return keyed.withColumn("salt", F.pmod(F.xxhash64("id", "code"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("key", "salt")
+    return spread_join(rows.withColumn("key", key), sums, "key").drop("key")
 
 
 def op12_equal_average(embeddings: DataFrame) -> DataFrame:
