@@ -4,27 +4,59 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: list[str] = []
+
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a folder of the warehouse, or a temporary one in local mode (tests)."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder in local mode (tests), and an error on a cluster, whose machines share none."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-") if sc.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
 def new_folder(spark: SparkSession) -> str:
-    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
+    """A new folder's name, in scratch() if that is open."""
+    return f"{_scratch[-1] if _scratch else shared_root(spark)}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Computed once, written, and read again: its lineage ends there."""
-    path = new_folder(df.sparkSession)
+    return stored_at(df, new_folder(df.sparkSession))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def erased(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """While open, what is stored and checkpointed goes below one new folder, which is deleted at the end: write results before."""
+    sc = spark.sparkContext
+    root = shared_root(spark)
+    before, folder = sc.getCheckpointDir() or root, new_folder(spark)
+    _scratch.append(folder)
+    sc.setCheckpointDir(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.pop()
+        sc.setCheckpointDir(before)
+        erased(spark, folder)
