@@ -1,32 +1,43 @@
 """Interpolative separable density fitting of periodic orbitals.
 
 Orbitals are row-arrays phi(g, re, im).  Points are chosen first; then every pass over the grid is a map
-with small matrices in the tasks (points x orbitals, points x points) or a grouped transform, and what
-comes back to the driver is points x points.
+with the orbitals at the points (points x orbitals) in the tasks, or a grouped transform.  Matrices of points by
+points are tiles: the fit's pseudo-inverse, the interaction and its lower factor are never whole in one place.
 """
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dense_complex, lists
 from ..functions.storage import stored
+from ..operators import tiles
 from ..operators.fourier import fft_rows
-from ..operators.matrix import local
-from ..operators.solve import applied, cholesky, least_squares, rank
+from ..operators.jacobi import pseudo_inverse
+from ..operators.matrix import LOCAL_ENTRIES
+from ..operators.tiles import SIZE, Tiled
 
 
 def rows_at(phi: DataFrame, points: list[int]) -> np.ndarray:
-    """The rows at some points, in their order: points x orbitals."""
-    found = {r.g: np.array(r.re) + 1j * np.array(r.im) for r in phi.where(F.col("g").isin(sorted(set(points)))).collect()}
-    return np.array([found[g] for g in points])
+    """The rows at some points, in their order: points x orbitals, which LOCAL_ENTRIES bounds."""
+    width = phi.select(F.size("re").alias("n")).first()
+    if width is not None and width.n * len(points) > LOCAL_ENTRIES:
+        raise ValueError(f"{len(points)} points of {width.n} orbitals are more than the driver holds")
+    wanted = phi.sparkSession.createDataFrame([(g,) for g in sorted(set(points))], "g long")
+    t = phi.select("g", "re", "im").join(F.broadcast(wanted), "g", "left_semi").toArrow()  # the chosen points
+    place = {g: k for k, g in enumerate(t["g"].to_pylist())}
+    missing = sorted(set(points) - set(place))
+    if missing:
+        raise ValueError(f"the grid has no points {missing[:10]}")
+    return dense_complex(t)[[place[g] for g in points]]
 
 
 def _mapped(phi: DataFrame, f) -> DataFrame:
@@ -56,46 +67,42 @@ class Factors:
     orbitals: np.ndarray  # at the points
     rank: int
     vectors: DataFrame  # zeta(g, re, im), arrays over the points
-    m: np.ndarray
+    m: Tiled
 
 
-def fit(phi: DataFrame, points: list[int], occupied: int | None = None) -> tuple[np.ndarray, int, DataFrame]:
-    """Solve CC^T X = CZ^T for the vectors zeta = X^H."""
-    at = rows_at(phi, points)
-    o = at.shape[1] if occupied is None else occupied
-    cct = ((at[:, :o].conj() @ at[:, :o].T) * (at.conj() @ at.T).conj())
-    solve, _, _ = least_squares(cct, 1e-12)
-    return at, rank(cct), applied(czt(phi, at, occupied), solve, conjugate=True)
+def products_at(spark: SparkSession, at: np.ndarray, occupied: int | None = None, size: int = SIZE) -> Tiled:
+    """CC^T, the products of orbitals at the points with each other: conj(A_occ A_occ^H) and A A^H entry by entry."""
+    every = tiles.from_local(spark, at, size)
+    some = every if occupied is None else tiles.from_local(spark, np.ascontiguousarray(at[:, :occupied]), size)
+    square = lambda a: tiles.product(a, a, "N", "C", hermitian=True)
+    return tiles.zipped(square(some), square(every), lambda x, y: x.conj() * y).stored()
 
 
-def contracted(zeta: DataFrame, kernel: DataFrame) -> np.ndarray:
-    """sum_G v(G) conj(zeta_u(G)) zeta_v(G) of rows (g, re, im) and kernel(g, v)."""
-    return _summed(zeta, kernel, lambda x: (x.conj(), x))
+def fit(phi: DataFrame, points: list[int], n_grid: int, occupied: int | None = None, size: int = SIZE) -> tuple[np.ndarray, int, DataFrame]:
+    """Solve CC^T X = CZ^T for the vectors zeta = X^H, with least norm where CC^T has no full rank."""
+    at = rows_at(phi, points)
+    inverse, s = pseudo_inverse(products_at(phi.sparkSession, at, occupied, size), 1e-12)
+    rank = int((s >= len(s) * s[0] * np.finfo(float).eps).sum())
+    return at, rank, tiles.rows_times(czt(phi, at, occupied), n_grid, tiles.transposed(inverse.stored()), conjugate=True)
 
 
-def contracted_halves(both: DataFrame, kernel: DataFrame) -> np.ndarray:
-    """sum_G v(G) left_u(G) right_v(G), of rows that hold the left functions and then as many right ones."""
-    return _summed(both, kernel, lambda x: np.split(x, 2, axis=1))
+def contracted(zeta: DataFrame, kernel: DataFrame, n_grid: int, n: int, size: int = SIZE) -> Tiled:
+    """sum_G v(G) conj(zeta_u(G)) zeta_v(G) of rows (g, re, im) and kernel(g, v), by tiles: no task holds a sum of all u and v."""
+    zeta = stored(zeta)
+    by_tiles = lambda rows: tiles.from_rows(rows, n_grid, n, size=size)
+    return tiles.product(by_tiles(zeta), by_tiles(_weighted(zeta, kernel)), "C", "N", hermitian=True)
 
 
-def _summed(rows: DataFrame, kernel: DataFrame, sides) -> np.ndarray:
-    rows = rows.join(kernel.select("g", "v"), "g")
+def contracted_halves(both: DataFrame, kernel: DataFrame, n_grid: int, n: int, size: int = SIZE) -> Tiled:
+    """sum_G v(G) left_u(G) right_v(G), of rows that hold the left functions and then as many right ones."""
+    both = stored(both)
+    half = lambda rows, first: tiles.from_rows(rows.select("g", *[F.slice(c, first, n).alias(c) for c in ("re", "im")]), n_grid, n, size=size)
+    return tiles.product(half(both, 1), half(_weighted(both, kernel), n + 1), "T", "N").stored()
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            if batch.num_rows:
-                left, right = sides(dense_complex(batch))
-                part = left.T @ (right * batch["v"].to_numpy()[:, None])
-                total = part if total is None else total + part
-        if total is not None:
-            i, j = np.divmod(np.arange(total.size), total.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.real.ravel()), pa.array(total.imag.ravel())], ["i", "j", "re", "im"])
 
-    sums = rows.mapInArrow(partial, "i long, j long, re double, im double").groupBy("i", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
-    sums = stored(sums)
-    n = sums.agg((F.coalesce(F.max("i"), F.lit(-1)) + 1).alias("n")).first().n
-    return local(sums, n, n)
+def _weighted(rows: DataFrame, kernel: DataFrame) -> DataFrame:
+    times = lambda c: F.transform(c, lambda x: x * F.col("v")).alias(c)
+    return rows.join(kernel.select("g", "v"), "g").select("g", times("re"), times("im"))
 
 
 def both_directions(zeta: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
@@ -104,23 +111,25 @@ def both_directions(zeta: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     return _mapped(fft_rows(doubled, shape), lambda x: np.concatenate([x[:, : x.shape[1] // 2].conj(), x[:, x.shape[1] // 2 :]], 1))
 
 
-def interaction(zeta: DataFrame, shape: tuple[int, int, int], kernel: DataFrame, half: bool) -> np.ndarray:
-    """Of vectors zeta(g, re, im): sum_G v conj(zeta_u) zeta_v with forward transforms, or if half, backward_u times forward_v without conjugation."""
-    return contracted_halves(both_directions(zeta, shape), kernel) if half else contracted(fft_rows(zeta, shape), kernel)
+def interaction(zeta: DataFrame, n: int, shape: tuple[int, int, int], kernel: DataFrame, half: bool, size: int = SIZE) -> Tiled:
+    """Of n vectors zeta(g, re, im): sum_G v conj(zeta_u) zeta_v with forward transforms, or if half, backward_u times forward_v without conjugation."""
+    n_grid = math.prod(shape)
+    return contracted_halves(both_directions(zeta, shape), kernel, n_grid, n, size) if half else contracted(fft_rows(zeta, shape), kernel, n_grid, n, size)
 
 
-def factorize(phi: DataFrame, points: list[int], shape: tuple[int, int, int], kernel: DataFrame, occupied: int | None = None) -> Factors:
+def factorize(phi: DataFrame, points: list[int], shape: tuple[int, int, int], kernel: DataFrame, occupied: int | None = None, size: int = SIZE) -> Factors:
     """The interaction between fitted vectors: full, or half-rotated with the first `occupied` orbitals on the left.
 
     Fewer independent products than points are no error, since the fit has the least norm, but a warning.
     """
     points = sorted(points)
-    at, r, zeta = fit(phi, points, occupied)
+    at, r, zeta = fit(phi, points, math.prod(shape), occupied, size)
     if r < len(points):
         warnings.warn(f"the products at {len(points)} points have rank {r}: fewer points would do", stacklevel=2)
-    return Factors(points, at, r, zeta, interaction(zeta, shape, kernel, occupied is not None))
+    return Factors(points, at, r, zeta, interaction(zeta, len(points), shape, kernel, occupied is not None, size))
 
 
-def luv(m: np.ndarray) -> np.ndarray:
-    """The lower factor of a full interaction matrix."""
-    return cholesky((m + m.conj().T) / 2)
+def luv(m: Tiled) -> Tiled:
+    """The lower factor of a full interaction matrix, panel by panel; tiles above the diagonal are there, as zeros."""
+    even = tiles.zipped(m, tiles.transposed(m, hermitian=True), lambda x, y: (x + y) / 2)
+    return tiles.completed(tiles.cholesky(even), complex_=True).stored()

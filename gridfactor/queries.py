@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .functions.scalars import multi_index, rounded
 from .functions.storage import new_folder
-from .operators import fourier, matrix, points, reduce, solve, supercell
+from .operators import fourier, jacobi, matrix, points, reduce, supercell, tall, tiles
 from .plans import isdf, job, molecular
 from .sources.catalog import Catalog
 from .sources.config import JobConfig
@@ -109,8 +109,8 @@ def zeta(s: SparkSession, d: str, occupied: int | None = None) -> DataFrame:
     return isdf.czt(phi_rows(s, d), isdf.rows_at(phi_rows(s, d), chosen_list(s, d)), occupied)
 
 
-def muv(s: SparkSession, d: str, occupied: int | None = None) -> np.ndarray:
-    return isdf.interaction(zeta(s, d, occupied), shape(s, d), kernel(s, d), occupied is not None)
+def muv(s: SparkSession, d: str, occupied: int | None = None) -> tiles.Tiled:
+    return isdf.interaction(zeta(s, d, occupied), CHOSEN, shape(s, d), kernel(s, d), occupied is not None)
 
 
 def three_steps(s: SparkSession, d: str) -> DataFrame:
@@ -121,29 +121,76 @@ def three_steps(s: SparkSession, d: str) -> DataFrame:
 
 
 def lstsq(s: SparkSession, d: str) -> DataFrame:
-    p, at = phi_rows(s, d), isdf.rows_at(phi_rows(s, d), chosen_list(s, d))
-    cct = abs(at.conj() @ at.T) ** 2
-    inverse, _, _ = solve.least_squares(cct)
-    return long(solve.applied(solve.applied(isdf.czt(p, at), inverse), cct), "u")
+    p, n, at = phi_rows(s, d), n_vectors(s, d), isdf.rows_at(phi_rows(s, d), chosen_list(s, d))
+    cct = isdf.products_at(s, at)
+    inverse = jacobi.pseudo_inverse(cct)[0].stored()
+    fitted = tiles.rows_times(isdf.czt(p, at), n, tiles.transposed(inverse))
+    return long(tiles.rows_times(fitted, n, tiles.transposed(cct)), "u")
 
 
-def svd(s: SparkSession, d: str) -> tuple[np.ndarray, np.ndarray]:
-    """Singular values and right vectors of X, from its Gram matrix."""
-    e, v = np.linalg.eigh(matrix.local(matrix.gram_of_rows(_table(s, d, "embeddings"), "embedding"), 64, 64))
-    return np.sqrt(np.maximum(e[::-1], 0)), v[:, ::-1]
+def lstsq_lines(s: SparkSession, d: str) -> DataFrame:
+    """Prices, discounts and taxes of all lineitem rows by a constant and the quantity: (k, constant, slope, residual)."""
+    rows = _table(s, d, "lineitem").select(F.array(F.lit(1.0), F.col("l_quantity").cast("double")).alias("a"), F.array(F.col("l_extendedprice") / 1000, F.col("l_discount") * 100, F.col("l_tax") * 100).cast("array<double>").alias("b"))
+    fit = tall.least_squares(rows, "a", "b")
+    return s.createDataFrame([(k, *map(float, fit.x[:, k]), float(fit.residuals[k])) for k in range(3)], "k long, constant double, slope double, residual double")
+
+
+def svd_x(s: SparkSession, d: str) -> jacobi.Tall:
+    return jacobi.svd_of_rows(_table(s, d, "embeddings"), "vec_id", "embedding", width=32)
 
 
 def svd_reconstruct(s: SparkSession, d: str) -> DataFrame:
-    """U diag(s) V^T with U = X V / s."""
-    values, v = svd(s, d)
-    u = matrix.times_local(_table(s, d, "embeddings"), "vec_id", "embedding", v / values)
-    return matrix.product(u, matrix.from_local(s, (v * values).T))
+    """U diag(s) V^T."""
+    found = svd_x(s, d)
+    return matrix.from_arrays(tall.times(found.u, "g", "v", (found.v * found.s).T), "g", "v")
+
+
+def moments(s: SparkSession, values: np.ndarray) -> DataFrame:
+    """The sums of the singular values' second, fourth and sixth powers."""
+    return out(s.createDataFrame([tuple(float((values**k).sum()) for k in (2, 4, 6))], "second double, fourth double, sixth double"), 4)
+
+
+def phi_named(s: SparkSession, d: str) -> DataFrame:
+    return phi_rows(s, d).select("g", F.col("re").alias("p_re"), F.col("im").alias("p_im"))
+
+
+def nations_rank(s: SparkSession, d: str) -> DataFrame:
+    """The rank of customers by flags of their nation and its region: as many as nations have customers."""
+    c, n = _table(s, d, "customer"), _table(s, d, "nation")
+    flag = lambda c, m: F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda k: (k == F.col(c)).cast("double"))
+    rows = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).select(F.concat(flag("n_nationkey", 25), flag("n_regionkey", 5)).alias("a"))
+    r = tall.triangle(rows, "a")
+    values = jacobi.right_vectors(s, r, 8)[0]
+    return s.createDataFrame([(int((values > 1e-12 * values[0]).sum()), len(values))], "rank long, flags long")
+
+
+def x_tiles(s: SparkSession, d: str, size: int = 128) -> tiles.Tiled:
+    return tiles.from_rows(_table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")), n_vectors(s, d), 64, "vec_id", "embedding", None, size)
+
+
+def xxt(s: SparkSession, d: str) -> tiles.Tiled:
+    """The products of all vectors with each other."""
+    x_ = x_tiles(s, d).stored()
+    return tiles.product(x_, x_, "N", "T", hermitian=True)
+
+
+def cholesky_of_points(s: SparkSession, d: str) -> DataFrame:
+    """L L^T of the products of all vectors, with 1 added on the diagonal."""
+    shifted = tiles.mapped(xxt(s, d), lambda v, bi, bj: v + np.eye(len(v)) if bi == bj else v)
+    low = tiles.cholesky(shifted)
+    return tiles.to_entries(tiles.product(low, low, "N", "T", hermitian=True), False)
+
+
+def cholesky_of(a: DataFrame, n: int, complex_: bool) -> DataFrame:
+    """L L^H of an n x n matrix's factor, in tiles of 16."""
+    low = tiles.cholesky(tiles.from_entries(a, n, n, 16))
+    return tiles.to_entries(tiles.product(low, low, "N", "C", hermitian=True), complex_)
 
 
 def pinv_identity(s: SparkSession, d: str) -> DataFrame:
-    a = matrix.local(molecular.metric_of_orbitals(_table(s, d, "embeddings"), "embedding"), 64, 64)
-    inverse, _ = solve.pseudo_inverse(a)
-    return matrix.from_local(s, a @ inverse @ a)
+    a = tiles.from_entries(molecular.metric_of_orbitals(_table(s, d, "embeddings"), "embedding"), 64, 64, 32).stored()
+    inverse = jacobi.pseudo_inverse(a)[0]
+    return tiles.to_entries(tiles.product(tiles.product(a, inverse), a), False)
 
 
 def df_of_lines(s: SparkSession, d: str) -> DataFrame:
@@ -166,11 +213,9 @@ def b_of_vectors(s: SparkSession, d: str) -> DataFrame:
 
 def molecular_smsb(s: SparkSession, d: str) -> DataFrame:
     """S M S of the factorized integrals of all vectors as points, which is B^T B."""
-    n = _table(s, d, "embeddings").count()
-    one, two = (x(s, d).select(F.col("i").alias(c), "j", F.col("v").alias(v)) for c, v in (("a", "v"), ("b", "w")))
-    metric = matrix.local(one.join(two, "j").groupBy(F.col("a").alias("i"), F.col("b").alias("j")).agg(F.pow(F.sum(F.col("v") * F.col("w")), 2).alias("v")), n, n)
-    _, m = molecular.factorize(None, None, n, 7, b_of_vectors(s, d), metric)
-    return matrix.from_local(s, metric @ m @ metric)
+    metric = molecular.metric_tiles(x_tiles(s, d, 256).stored()).stored()
+    _, m = molecular.factorize(metric, b_of_vectors(s, d), 7)
+    return tiles.to_entries(tiles.product(tiles.product(metric, m), metric), False)
 
 
 def k_points(s: SparkSession, d: str) -> DataFrame:
@@ -256,22 +301,16 @@ def isdf_m(s: SparkSession, d: str, occupied: int | None = None) -> DataFrame:
     A half-rotated M belongs to conjugated vectors: conj(C) M conj(C)^T.
     """
     f = isdf.factorize(phi_rows(s, d), chosen_list(s, d), shape(s, d), kernel(s, d), occupied)
-    at, o = f.orbitals, f.orbitals.shape[1] if occupied is None else occupied
-    c = (at[:, :o].conj() @ at[:, :o].T) * (at.conj() @ at.T).conj()
-    return matrix.from_local(s, c @ f.m @ c.conj().T if occupied is None else c.conj() @ f.m @ c.conj().T)
+    c = isdf.products_at(s, f.orbitals, occupied)
+    if occupied is not None:
+        c = tiles.mapped(c, lambda v, bi, bj: v.conj())
+    return tiles.to_entries(tiles.product(tiles.product(c, f.m), c, "N", "C" if occupied is None else "T"), True)
 
 
 def luv_reconstruct(s: SparkSession, d: str) -> DataFrame:
     """L L^H of the lower factor of the full interaction of the unfitted vectors."""
     low = isdf.luv(muv(s, d))
-    return matrix.from_local(s, low @ low.conj().T)
-
-
-def csvd_energy(s: SparkSession, d: str) -> DataFrame:
-    """The sum of the squares and the largest of the complex orbitals' singular values, from those of a square root of their Gram matrix."""
-    e, v = np.linalg.eigh(matrix.local(matrix.gram_of_complex_rows(phi_rows(s, d)), 32, 32))
-    values = solve.singular_values((v * np.sqrt(np.maximum(e, 0))) @ v.conj().T)
-    return out(s.createDataFrame([(float((values**2).sum()), int((np.diff(values) <= 0).all()))], "energy double, descending long"))
+    return tiles.to_entries(tiles.product(low, low, "N", "C", hermitian=True), True)
 
 
 def saved(s: SparkSession, a: DataFrame, size: tuple[int, int], rows: tuple[int, int] | None = None, write_transposed: bool = False, transposed: bool = False) -> DataFrame:
@@ -361,12 +400,12 @@ QUERIES: dict[str, Query] = {
     "dft_forward": lambda s, d: out(fourier.dft(weights(s, d).select(F.lit(0).cast("bigint").alias("i"), "g", F.col("w").alias("re"), F.lit(0.0).alias("im")), shape(s, d)).select("g", "re", "im")),
     "dft_backward": lambda s, d: out(fourier.dft(phi(s, d).select(F.col("j").alias("i"), F.col("i").alias("g"), "re", "im"), shape(s, d), backward=True)),
     "fft_rows": lambda s, d: out(long(fourier.fft_rows(phi_rows(s, d), shape(s, d)), "i")),
-    "m_full": lambda s, d: out(matrix.from_local(s, muv(s, d)), 4),
-    "m_half": lambda s, d: out(matrix.from_local(s, muv(s, d, OCC)), 4),
+    "m_full": lambda s, d: out(tiles.to_entries(muv(s, d), True), 4),
+    "m_half": lambda s, d: out(tiles.to_entries(muv(s, d, OCC), True), 4),
     "lstsq_reconstruct": lambda s, d: out(lstsq(s, d), 4),
-    "cholesky_reconstruct": lambda s, d: out(matrix.from_local(s, (lambda low: low @ low.T)(solve.cholesky(matrix.local(small(s, d), 64, 64))))),
+    "cholesky_reconstruct": lambda s, d: out(cholesky_of(small(s, d), 64, False)),
     "svd_reconstruct": lambda s, d: out(svd_reconstruct(s, d)),
-    "svd_energy": lambda s, d: out(s.createDataFrame([(float((svd(s, d)[0] ** 2).sum()), solve.rank(matrix.local(small(s, d), 64, 64)))], "energy double, rank long")),
+    "svd_energy": lambda s, d: moments(s, svd_x(s, d).s),
     "pinv_identity": lambda s, d: out(pinv_identity(s, d)),
     "fit_b": lambda s, d: out(b_of_vectors(s, d), 4),
     "mo_rotate": lambda s, d: out(molecular.rotated(matrix.lower(small(s, d)), small(s, d))),
@@ -380,8 +419,8 @@ QUERIES: dict[str, Query] = {
     "molecular_full": lambda s, d: out(molecular_smsb(s, d), 2),
     "pivot_points_half": pivot_points_half,
     "luv_reconstruct": lambda s, d: out(luv_reconstruct(s, d), 4),
-    "ccholesky_reconstruct": lambda s, d: out(matrix.from_local(s, (lambda low: low @ low.conj().T)(solve.cholesky(matrix.local(small_complex(s, d), 32, 32))))),
-    "csvd_energy": csvd_energy,
+    "ccholesky_reconstruct": lambda s, d: out(cholesky_of(small_complex(s, d), 32, True)),
+    "csvd_energy": lambda s, d: moments(s, jacobi.right_vectors(s, tall.triangle(phi_named(s, d), "p", complex_=True), 16)[0]),
     "catalog_real": lambda s, d: saved(s, x(s, d), (n_vectors(s, d), 64)),
     "catalog_complex": lambda s, d: saved(s, phi(s, d), (n_vectors(s, d), 32)),
     "catalog_integers": lambda s, d: saved(s, ordered_quantities(s, d), (8, 8)),
@@ -391,6 +430,11 @@ QUERIES: dict[str, Query] = {
     "masked_columns": lambda s, d: out(matrix.masked_columns(matrix.transpose(x(s, d)), grid(s, d).select(F.col("g").alias("j"), F.signum("x").cast("int").alias("flag")))),
     "numeric_names": lambda s, d: matrix.by_numeric_name(_table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("name")), "name").limit(50),
     "job_run": job_run,
+    "tiles_xxt": lambda s, d: out(tiles.to_entries(xxt(s, d), False)),
+    "tiles_aha": lambda s, d: out(tiles.to_entries(tiles.gram(tiles.from_rows(phi_rows(s, d), n_vectors(s, d), 32, size=16)), True)),
+    "cholesky_points": lambda s, d: out(cholesky_of_points(s, d)),
+    "lstsq_lines": lambda s, d: out(lstsq_lines(s, d), 4),
+    "nations_rank": nations_rank,
 }
 
 # ---------------------------------------------------------------- the same in DuckDB SQL
@@ -538,7 +582,7 @@ ORACLE_SQL: dict[str, str] = {
     "cholesky_reconstruct": f"WITH {_SMALL} SELECT i, j, {_r('v')} FROM small",
     "svd_reconstruct": f"WITH {_X} SELECT i, j, {_r('v')} FROM x",
     "pinv_identity": f"WITH {_X} SELECT a.j AS i, b.j, round(sum(a.v * b.v) * sum(a.v * b.v), 6) + 0.0e0 AS v FROM x a JOIN x b ON a.i = b.i GROUP BY 1, 2",
-    "svd_energy": f"WITH {_X} SELECT round(sum(v * v), 6) + 0.0e0 AS energy, CAST(64 AS BIGINT) AS rank FROM x",
+    "svd_energy": f"WITH {_X}, g AS (SELECT a.j AS i, b.j, sum(a.v * b.v) AS v FROM x a JOIN x b ON a.i = b.i GROUP BY 1, 2) SELECT (SELECT round(sum(v), 4) FROM g WHERE i = j) + 0.0e0 AS second, (SELECT round(sum(v * v), 4) FROM g) + 0.0e0 AS fourth, (SELECT round(sum(a.v * b.v * c.v), 4) FROM g a JOIN g b ON a.j = b.i JOIN g c ON b.j = c.i AND c.j = a.i) + 0.0e0 AS sixth",
     "fit_b": f"WITH {_X}, {_B} SELECT l AS i, u AS j, {_r('v', 4)} FROM bm",
     "molecular_full": f"WITH {_X}, {_B} SELECT a.u AS i, b.u AS j, round(sum(a.v * b.v), 2) + 0.0e0 AS v FROM bm a JOIN bm b USING (l) GROUP BY 1, 2",
     "isdf_full": f"WITH {_CZT}{_SHAPE}{_dft('full_', 't', '-', 'u')} {_M_FULL}",
@@ -552,7 +596,7 @@ ORACLE_SQL: dict[str, str] = {
     "cmatmul_nc": f"WITH {_SMALLC} SELECT a.i, b.i AS j, round(sum(a.re * b.re + a.im * b.im), 6) + 0.0e0 AS re, round(sum(a.im * b.re - a.re * b.im), 6) + 0.0e0 AS im FROM phi a JOIN sc b ON a.j = b.j GROUP BY 1, 2",
     "cmatmul_nt": f"WITH {_SMALLC} SELECT a.i, b.i AS j, round(sum(a.re * b.re - a.im * b.im), 6) + 0.0e0 AS re, round(sum(a.re * b.im + a.im * b.re), 6) + 0.0e0 AS im FROM phi a JOIN sc b ON a.j = b.j GROUP BY 1, 2",
     "ccholesky_reconstruct": f"WITH {_SMALLC} SELECT i, j, {_COMPLEX} FROM sc",
-    "csvd_energy": f"WITH {_PHI} SELECT round(sum(re * re + im * im), 6) + 0.0e0 AS energy, CAST(1 AS BIGINT) AS descending FROM phi",
+    "csvd_energy": f"WITH {_PHI}, g AS (SELECT a.j AS i, b.j, sum(a.re * b.re + a.im * b.im) AS re, sum(a.re * b.im - a.im * b.re) AS im FROM phi a JOIN phi b ON a.i = b.i GROUP BY 1, 2), h AS (SELECT a.i, b.j, sum(a.re * b.re - a.im * b.im) AS re, sum(a.re * b.im + a.im * b.re) AS im FROM g a JOIN g b ON a.j = b.i GROUP BY 1, 2) SELECT (SELECT round(sum(re), 4) FROM g WHERE i = j) + 0.0e0 AS second, (SELECT round(sum(re), 4) FROM h WHERE i = j) + 0.0e0 AS fourth, (SELECT round(sum(h.re * g.re - h.im * g.im), 4) FROM h JOIN g ON h.i = g.j AND h.j = g.i) + 0.0e0 AS sixth",
     "catalog_real": f"WITH {_X} SELECT i, j, {_r('v')} FROM x",
     "catalog_complex": f"WITH {_PHI} SELECT i, j, {_COMPLEX} FROM phi",
     "catalog_integers": "SELECT CAST(l_linenumber - 1 AS BIGINT) AS i, CAST(l_partkey % 8 AS BIGINT) AS j, count(*) AS v FROM lineitem GROUP BY 1, 2",
@@ -568,4 +612,9 @@ ORACLE_SQL: dict[str, str] = {
     "supercell_phase": f"WITH {_PHASE} SELECT r, k, {_COMPLEX} FROM ph",
     "energy_order": f"WITH {_LEVELS} SELECT m, k, {_r('e')}, row_number() OVER (PARTITION BY k ORDER BY l.e, m) - 1 AS place FROM l",
     "supercell_matrix": f"WITH {_PHASE}, a AS (SELECT CAST(c_nationkey AS BIGINT) AS k, CAST(ascii(o_orderpriority) AS BIGINT) AS p, CAST(ascii(o_orderstatus) AS BIGINT) AS q, sum(o_totalprice) / 1e6 AS re, count(*) / 1e3 AS im FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2, 3) SELECT s.r AS r, p, t.r AS s, q, round(sum((s.re * t.re + s.im * t.im) * a.re - (s.im * t.re - s.re * t.im) * a.im), 4) + 0.0e0 AS re, round(sum((s.re * t.re + s.im * t.im) * a.im + (s.im * t.re - s.re * t.im) * a.re), 4) + 0.0e0 AS im FROM a JOIN ph s USING (k) JOIN ph t USING (k) GROUP BY 1, 2, 3, 4",
+    "tiles_xxt": f"WITH {_X} SELECT a.i, b.i AS j, round(sum(a.v * b.v), 6) + 0.0e0 AS v FROM x a JOIN x b ON a.j = b.j GROUP BY 1, 2",
+    "tiles_aha": f"WITH {_PHI} SELECT a.j AS i, b.j, round(sum(a.re * b.re + a.im * b.im), 6) + 0.0e0 AS re, round(sum(a.re * b.im - a.im * b.re), 6) + 0.0e0 AS im FROM phi a JOIN phi b ON a.i = b.i GROUP BY 1, 2",
+    "cholesky_points": f"WITH {_X} SELECT a.i, b.i AS j, round(sum(a.v * b.v) + CASE WHEN a.i = b.i THEN 1 ELSE 0 END, 6) + 0.0e0 AS v FROM x a JOIN x b ON a.j = b.j GROUP BY a.i, b.i",
+    "lstsq_lines": "WITH y AS (SELECT CAST(l_quantity AS DOUBLE) AS q, unnest([CAST(0 AS BIGINT), 1, 2]) AS k, unnest([CAST(l_extendedprice AS DOUBLE) / 1000, CAST(l_discount AS DOUBLE) * 100, CAST(l_tax AS DOUBLE) * 100]) AS v FROM lineitem) SELECT k, round(regr_intercept(v, q), 4) + 0.0e0 AS constant, round(regr_slope(v, q), 4) + 0.0e0 AS slope, round(sqrt(regr_syy(v, q) - regr_slope(v, q) * regr_sxy(v, q)), 4) + 0.0e0 AS residual FROM y GROUP BY k",
+    "nations_rank": "SELECT count(DISTINCT c_nationkey) AS rank, CAST(30 AS BIGINT) AS flags FROM customer JOIN nation ON c_nationkey = n_nationkey",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gridfactor import queries
-from gridfactor.operators import matrix, supercell
+from gridfactor.operators import matrix, supercell, tiles
 from gridfactor.plans import isdf, job, molecular, prepare
 from gridfactor.sources.catalog import Catalog
 from gridfactor.sources.config import JobConfig
@@ -42,18 +42,19 @@ def test_full_and_half_job(spark, crystal, tmp_path):
     zg = transformed(z)
     exact = (zg.conj() * v) @ zg.T
     zu = z[:, full.points]
-    np.testing.assert_allclose(zu.conj() @ full.m @ zu.T, exact, atol=1e-8 * abs(exact).max())
-    assert full.rank == 9 and np.abs(got["luv"] @ got["luv"].conj().T - full.m).max() < 1e-8 * abs(full.m).max()
+    m, low = tiles.local(full.m), tiles.local(got["luv"])
+    np.testing.assert_allclose(zu.conj() @ m @ zu.T, exact, atol=1e-8 * abs(exact).max())
+    assert full.rank == 9 and np.abs(low @ low.conj().T - m).max() < 1e-8 * abs(m).max() and not np.triu(low, 1).any()
 
     half = got["half"]
     zo = np.array([f[:, i].conj() * f[:, k] for i in range(OCC) for k in range(M)])
     exact = (transformed(zo, True) * v) @ transformed(zo).T
     zu = zo[:, half.points]
-    np.testing.assert_allclose(zu @ half.m @ zu.T, exact, atol=1e-8 * abs(exact).max())
+    np.testing.assert_allclose(zu @ tiles.local(half.m) @ zu.T, exact, atol=1e-8 * abs(exact).max())
 
     out = Catalog(spark, f"file://{tmp_path}/out")
     np.testing.assert_allclose(matrix.local(out.load("Hamiltonian/THC/Orbitals"), M, 9), f[full.points].T, atol=1e-12)
-    np.testing.assert_allclose(matrix.local(out.load("Hamiltonian/THC/Luv"), 9, 9), got["luv"], atol=1e-12)
+    np.testing.assert_allclose(matrix.local(out.load("Hamiltonian/THC/Luv"), 9, 9), low, atol=1e-12)
 
 
 LAYOUT = {  # name: shape and type, of a half-rotated run with 9 and 6 points of 3 orbitals, 2 + 1 electrons
@@ -83,7 +84,7 @@ def test_job_from_its_file(spark, crystal, tmp_path):
     whole = lambda name: matrix.local(out.load(f"Hamiltonian/{name}"), *LAYOUT[name][0])
     np.testing.assert_allclose(whole("hcore"), h, atol=1e-12)
     np.testing.assert_allclose(whole("THC/HalfTransformedOccOrbitals"), f[got["half"].points, :OCC].T, atol=1e-12)
-    np.testing.assert_allclose(whole("THC/HalfTransformedMuv"), got["half"].m, atol=1e-12)
+    np.testing.assert_allclose(whole("THC/HalfTransformedMuv"), tiles.local(got["half"].m), atol=1e-12)
     with pytest.raises(ValueError, match="conjugate transpose"):
         job.write_input(source, grid, SHAPE, kernel, phi, np.eye(M), h + np.triu(h, 1), (OCC, 1), 0.0)
 
@@ -142,8 +143,9 @@ def test_molecular(spark):
     d = spark.createDataFrame([(a, i, k, float(df[a, i, k])) for a in range(aux) for i in range(orbitals) for k in range(orbitals)], "l long, i long, k long, v double")
     b = matrix.local(molecular.fit_b(d, e), aux, points)
     np.testing.assert_allclose(b, np.einsum("lik,ui,uk->lu", df, eta, eta), atol=1e-10)
-    factor, m = molecular.factorize(e, d, points, aux)
-    assert factor.shape == (aux, points)
+    factor, m = molecular.factorize(molecular.metric_tiles(tiles.from_local(spark, eta, 4)), molecular.fit_b(d, e), aux)
+    assert (factor.nrows, factor.ncols) == (aux, points)
+    m = tiles.local(m)
     exact = np.einsum("lik,ljm->ikjm", df, df)
     np.testing.assert_allclose(np.einsum("ui,uk,uv,vj,vm->ikjm", eta, eta, m, eta, eta), exact, atol=1e-8 * abs(exact).max())
 
@@ -206,7 +208,7 @@ def test_molecular_run(spark, tmp_path):
         source.save(name, matrix.from_local(spark, a), a.shape)
     d, m = molecular.run_molecular(source, target)
     assert target.shape("Hamiltonian/THC/Luv") == (points, aux) and target.shape("Hamiltonian/THC/HalfTransformedOccOrbitals") == (2, points)
-    np.testing.assert_allclose(matrix.local(target.load("Hamiltonian/THC/Luv"), points, aux), d.T, atol=1e-12)
+    np.testing.assert_allclose(matrix.local(target.load("Hamiltonian/THC/Luv"), points, aux), tiles.local(d).T, atol=1e-12)
     column = lambda name: [r.v for r in target.load(f"Hamiltonian/{name}").orderBy("i").collect()]
     assert column("dims") == [0, 0, 0, orbitals, 2, 1, 0, 0] and column("THC/dims") == [orbitals, points, points] and column("Energies") == [1.5, 0.0]
     want = {"hcore", "Energies", "dims", "THC/dims", "THC/Luv", "THC/HalfTransformedMuv", "THC/Orbitals", "THC/HalfTransformedFullOrbitals", "THC/HalfTransformedOccOrbitals"}
@@ -216,7 +218,7 @@ def test_molecular_run(spark, tmp_path):
     np.testing.assert_allclose(matrix.local(target.load("Hamiltonian/THC/HalfTransformedFullOrbitals"), orbitals, points), (eta @ c).T, atol=1e-10)
     source.save("BxL", molecular.fit_b(spark.createDataFrame([(a, i, k, float(df[a, i, k])) for a in range(aux) for i in range(orbitals) for k in range(orbitals)], "l long, i long, k long, v double"), matrix.from_local(spark, eta).select(F.col("i").alias("u"), F.col("j").alias("i"), "v")), (aux, points))
     again, _ = molecular.run_molecular(source, target, density_fitting=False)
-    np.testing.assert_allclose(again, d, atol=1e-9)
+    np.testing.assert_allclose(tiles.local(again), tiles.local(d), atol=1e-9)
     e = matrix.from_local(spark, eta).select(F.col("i").alias("u"), F.col("j").alias("i"), "v")
     half = matrix.local(molecular.metric_half(e.where("i < 2"), e.where("i >= 2")), points, points)
     np.testing.assert_allclose(half, (eta[:, :2] @ eta[:, :2].T) * (eta[:, 2:] @ eta[:, 2:].T), atol=1e-12)
