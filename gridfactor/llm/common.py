@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import erased, new_folder, scratch, shared_root, stored  # noqa: F401
+
+shared_dir = new_folder
+
 #: Odd multipliers of the polynomial hashes (64 bits, wrapping), and of the finalizer.
 BASE_1 = 0x9E3779B97F4A7C15
 BASE_2 = 0xD6E8FEB86659FD93
@@ -25,58 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder's name below spark.checkpoint.dir, or below a temporary folder if that is unset (tests)."""
-    return f"{_scratch[-1] if _scratch else checkpoint_root(spark)}/{uuid.uuid4().hex}"
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not root:
-        root = sc.getCheckpointDir()
-    if not root:
-        local = sc.master.startswith("local")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-        sc.setCheckpointDir(root)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-_scratch: list[str] = []
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[str]:
-    """While open, what the operators store and checkpoint goes below one new folder, which is deleted at the end: write results before."""
-    sc = spark.sparkContext
-    root = checkpoint_root(spark)
-    before, folder = sc.getCheckpointDir() or root, shared_dir(spark)
-    _scratch.append(folder)
-    sc.setCheckpointDir(folder)
-    try:
-        yield folder
-    finally:
-        _scratch.pop()
-        sc.setCheckpointDir(before)
-        erased(spark, folder)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage; the files are in the shared folder."""
-    checkpoint_root(df.sparkSession)
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As checkpointed(), as compressed columns."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of one to three longs that a join may broadcast, if they were counted.
 BROADCAST_ROWS = 1 << 20
 
@@ -221,12 +176,6 @@ def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.stack([((x - row) ** 2).sum(1) for row in y], 1)
 
 
-def erased(spark: SparkSession, path: str) -> None:
-    """Delete a folder that nothing reads any more."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 class Routes:
     """Messages (kind, bucket, cell, data) between cells and buckets, as many of either as the table has cells.
 

@@ -15,9 +15,9 @@ those with the low prior, so that short paragraphs and headings stay; of lines w
 whose ratio is in the upper cluster all the same.
 
 Class and id words that articles use too (discussion, related, share and the like; in an article or main
-element also menu, side, search and the like beside other words) only raise a doubt: such an element gets the
+element all such words beside others, as in ad-hoc-analysis) only raise a doubt: such an element gets the
 low prior if all its lines are in the lower cluster or most of its text is links.  The id of a heading or
-section raises none.
+section raises none, a heading in an article none at all.  Formulas are text, their annotations aren't.
 
 Nulls: a null or empty page gives an empty text.  Repeated rows are kept, an empty table gives no rows.
 Very long pages are parsed whole.  Broken markup: end tags without a start are ignored, an end tag closes
@@ -36,9 +36,10 @@ from pyspark.sql import DataFrame
 
 # Names of HTML elements by their part in a page, and words of class and id attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+MATH = frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup mover munder munderover mtable mtr mtd mstyle mpadded mspace menclose semantics".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CHROME = frozenset("nav footer aside form menu dialog".split())
-UNSEEN = frozenset("button select option textarea script style noscript template iframe svg math object canvas head title audio video".split())
+UNSEEN = frozenset("button select option textarea script style noscript template iframe svg object canvas head title audio video annotation annotation-xml mphantom".split())
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
     "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead"), "tfoot": ("tr", "td", "th", "tbody"),
@@ -51,12 +52,17 @@ MARKED = frozenset(
 )
 MARKED_UNLESS_CONTENT = frozenset("nav navbar navigation menu topbar header masthead footer sidebar side widget widgets banner toolbar search".split())
 CONTENT = frozenset("content article main post entry story body text page wrapper container layout".split())
+#: Words that only say what is marked, as in ad-slot or comment-list.
+NEUTRAL = frozenset("area bar block box btn button card cell col container content entry footer form group header holder inline inner inpage item items left link links list lists main message module outer page panel post right row section site slot strip thread title top unit widget widgets wrap wrapper".split())
 #: Words of MARKED that articles use too.
 UNSURE = frozenset("discussion related recommended share sharing social respond replies subscribe promotion consent notice notices login signup modal overlay cookie cookies advertising sponsor".split())
-NAMED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NAMED = HEADINGS | {"section"}
 FOREIGN = frozenset("svg math".split())
 #: What the ratios of lines in chrome are multiplied by; beyond MOST characters a tag, a ratio says no more.
 PRIOR, MOST = 2.0**-8, 1024.0
+#: The share of the upper cluster's text that a region has to hold.
+MOST_OF = 0.8
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -105,6 +111,9 @@ class _Lines(HTMLParser):
         self.regions: list[tuple[int, str]] = [(0, "")]  # of open elements: number and kind
         self.at: list[int] = []  # depth of self.open at each region
         self.count = 0
+        self.elements: list[tuple[int, str]] = [(0, "")]  # parent and name of every element but inline ones
+        self.inside: list[tuple[int, int]] = [(0, -1)]  # the open ones, and their depth in self.open
+        self.where: list[int] = []  # each line's innermost element
         self.parts: list[str] = []
         self.tags = 0
         self.lines: list[tuple[str, int, bool, int, str]] = []
@@ -115,6 +124,7 @@ class _Lines(HTMLParser):
         if text:
             self.lines.append((text, self.tags, self.chrome > 0, *self.regions[-1]))
             self.more.append((tuple(self.doubts), self.linked))
+            self.where.append(self.inside[-1][0])
             self.tags = 0
         self.linked = 0
 
@@ -141,14 +151,17 @@ class _Lines(HTMLParser):
                 every = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", value).lower()
                 words = set(re.split(r"[^a-z0-9]+", every))
                 by_part = words & MARKED_UNLESS_CONTENT and not words & CONTENT and not (inside and "header" in words)
-                if words & MARKED - UNSURE or by_part and not inside:
+                if inside and tag in HEADINGS:
+                    continue
+                tokens = [{w for w in re.split(r"[^a-z0-9]+", x) if w and not w.isdigit()} for x in every.split()]
+                only_marks = any(x & MARKED - UNSURE and x <= MARKED | MARKED_UNLESS_CONTENT | NEUTRAL for x in tokens)
+                if only_marks or not inside and words & MARKED - UNSURE or by_part and not inside:
                     doubt = 1
                     continue
                 if not words & MARKED and not by_part or name == "id" and tag in NAMED:
                     continue
                 # several marking words alone, as in cookie-notice, leave no doubt; nor does sidebar or nav in an article
-                names = [set(re.split(r"[^a-z0-9]+", x)) - {""} for x in every.split()]
-                if any(x and x <= MARKED | MARKED_UNLESS_CONTENT and (len(x) > 1 or x <= MARKED_UNLESS_CONTENT) and (by_part or x & MARKED) for x in names):
+                if any(x and x <= MARKED | MARKED_UNLESS_CONTENT and (len(x) > 1 or x <= MARKED_UNLESS_CONTENT) and (by_part or x & MARKED) for x in tokens):
                     doubt = 1
                 doubt = doubt or 2
         return doubt
@@ -161,6 +174,8 @@ class _Lines(HTMLParser):
             self.links -= name == "a"
             if kind == 2:
                 self.doubts.pop()
+        while self.inside[-1][1] >= depth:
+            self.inside.pop()
         while self.at and self.at[-1] >= depth:
             self.at.pop()
             self.regions.pop()
@@ -194,6 +209,9 @@ class _Lines(HTMLParser):
             self.count += 1
             self.regions.append((self.count, tag))
             self.at.append(len(self.open))
+        if tag not in INLINE:
+            self.elements.append((self.inside[-1][0], tag))
+            self.inside.append((len(self.elements) - 1, len(self.open)))
         self.open.append((tag, int(chrome)))
         self.chrome += chrome == 1
         self.unseen += chrome == 3
@@ -268,9 +286,60 @@ def main_text(html: str | None) -> str:
     region = np.array([line[3] for line in lines])
     links = np.array([2 * linked > len(line[0]) for (_, linked), line in zip(parser.more, lines)])
     chosen = set(region[mine & upper & ~links]) or set(region[mine & upper])
-    size = np.bincount(region, np.array([len(line[0]) for line in lines]) * mine)
+    sizes = np.array([len(line[0]) for line in lines])
+    size = np.bincount(region, sizes * mine)
     chosen |= {line[3] for line in lines if line[4] in ("article", "main") and 2 * size[line[3]] >= size.sum()}
-    return " ".join(line[0] for line, ok, up in zip(lines, mine, upper) if (line[3] in chosen if ok else up))
+    near = grown(parser, sizes, mine, upper & mine, links)
+    return " ".join(line[0] for line, ok, up, more in zip(lines, mine, upper, near) if (line[3] in chosen or more if ok else up))
+
+
+def grown(parser: _Lines, sizes: np.ndarray, mine: np.ndarray, upper: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Lines of the smallest element with most of the upper cluster's text, and of the elements beside it that read like it.
+
+    Beside it: on either side, up to the first that is chrome, mostly links, or without a paragraph or heading.
+    Lines that are links and in the lower cluster aren't taken, but in an article or main element.
+    """
+    elements, where = parser.elements, np.array(parser.where)
+    best = sizes * (upper & ~links if (upper & ~links).any() else upper)
+    of = lambda weight: _within(elements, where, weight)
+    found = of(best)
+    at, total = 0, found[0]
+    children: dict[int, list[int]] = {}
+    for k in range(1, len(elements)):
+        children.setdefault(elements[k][0], []).append(k)
+    while child := next((k for k in children.get(at, ()) if found[k] >= MOST_OF * total), None):
+        at = child
+    for kind in ("main", "article"):
+        up = at
+        while up and elements[up][1] != kind:
+            up = elements[up][0]
+        at = up or at
+    all_, bad, linked = of(sizes), of(sizes * ~mine), of(np.array([n for _, n in parser.more]))
+    plain = of(sizes * np.array([elements[k][1] == "p" or elements[k][1] in HEADINGS for k in where]))
+    count, of_links = of(np.ones(len(where))), of(links * 1.0)
+    reads = lambda k: all_[k] and not bad[k] and 2 * linked[k] <= all_[k] and 2 * of_links[k] <= count[k] and plain[k]
+    taken = {at}
+    if at:
+        row = [k for k in children[elements[at][0]] if all_[k]]
+        place = row.index(at)
+        for side in (row[place + 1 :], row[:place][::-1]):
+            for k in side:
+                if not reads(k):
+                    break
+                taken.add(k)
+    whole = elements[at][1] in ("article", "main")
+    inside = np.zeros(len(elements), bool)
+    for k in range(len(elements)):
+        inside[k] = k in taken or (k and inside[elements[k][0]])
+    return inside[where] & (whole | upper | ~links)
+
+
+def _within(elements: list[tuple[int, str]], where: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The weight of the lines inside each element."""
+    out = np.bincount(where, weight, len(elements))
+    for k in range(len(elements) - 1, 0, -1):
+        out[elements[k][0]] += out[k]
+    return out
 
 
 def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

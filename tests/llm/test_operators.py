@@ -123,11 +123,11 @@ def test_html_long_chrome_between_paragraphs():
 
 
 def test_html_noise_instead_of_ratios(spark, sf, monkeypatch):
-    """The given pages' texts come from the ratios: noise in their place changes them, names alone don't make them."""
+    """On the given pages noise in place of the ratios changes the texts; with no prior on chrome's ratios they stay (names still say what is chrome)."""
     pages = [r.html for r in table(spark, sf, "pages").collect()] + [SOUP]
     right = [html_extract.main_text(x) for x in pages]
     with monkeypatch.context() as m:
-        m.setattr(html_extract, "PRIOR", 1.0)  # names have no say
+        m.setattr(html_extract, "PRIOR", 1.0)
         plain = [html_extract.main_text(x) for x in pages]
     rng = np.random.default_rng(1)
     monkeypatch.setattr(html_extract, "smoothed", lambda ratios, kinds: rng.uniform(0, 100, len(ratios)))
@@ -136,6 +136,38 @@ def test_html_noise_instead_of_ratios(spark, sf, monkeypatch):
     assert sum(a == b for a, b in zip(right, plain)) > 0.9 * len(pages)
 
 
+def test_html_smoothing_matters(monkeypatch):
+    """A long line alone among links, without a name that says so, isn't content; without smoothing it would be."""
+    links = "".join(f"<p><a href=x{k}>Topic {k}</a></p>" for k in range(6))
+    teaser = "<p>" + "A line between links that is as long as a paragraph of the story, though nothing else is near it. " * 2 + "</p>"
+    html = f"<body><div><h1>Head</h1>{f'<p>{STORY}</p>' * 4}</div><div>{links}{teaser}{links}</div></body>"
+    want = " ".join(["Head", *[STORY.strip()] * 4])
+    assert html_extract.main_text(html) == want
+    monkeypatch.setattr(html_extract, "smoothed", lambda ratios, kinds: ratios)
+    assert html_extract.main_text(html) != want
+
+
+S = STORY.strip()
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f'<article><h1>T</h1><p>{STORY}</p><h2 id="ads-and-auctions">Ads and auctions</h2><p>{STORY}</p></article>', f"T {S} Ads and auctions {S}"),
+        (f'<article><p>{STORY}</p><section id="comments-on-methods"><h2>On methods</h2><p>{STORY}</p></section></article>', f"{S} On methods {S}"),
+        (f'<article><p>{STORY}</p><div class="ad-hoc-analysis"><p>{STORY}</p></div></article>', f"{S} {S}"),
+        (f'<article><p>{STORY}</p><blockquote class="sponsored-study">{STORY}</blockquote></article>', f"{S} {S}"),
+        (f"<article><p>{STORY} where <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article>", f"{S} where x=2 holds."),
+        (f"<body><div><a href=a>Home</a> <a href=b>News</a></div><div><h1>Title</h1></div><div><p>{STORY}</p><p>{STORY}</p></div><div><p>The end.</p></div><div><a href=c>About</a></div></body>", f"Title {S} {S} The end."),
+        (f"<body><ul><li><a href=q>x</a></ul><section><h2>One</h2><p>{STORY}</p><p>{STORY}</p></section><section><h2>Two</h2><p>Short.</p></section></body>", f"One {S} {S} Two Short."),
+        (f"<body><article><h1>A</h1><p>{STORY}</p></article><article><h1>B</h1><p>Short second.</p></article></body>", f"A {S} B Short second."),
+        (f'<body><article><p>{STORY}</p><div class="comments"><p>{STORY}</p></div><div id="ad-slot-3"><p>{STORY}</p></div><div class="comment-list"><p>{STORY}</p></div></article></body>', S),
+    ],
+)
+def test_html_loses_no_text(html, want):
+    assert html_extract.main_text(html) == want
+
+
 def test_html_odd(spark):
     pages = spark.createDataFrame([(1, "u", None, 1), (2, None, "", 1), (None, "u", "<p>x", 1), (3, "u", "no markup &lt;", 1), (3, "u", "<article><p>" + "y " * 100_000, 1)], "page_id long, url string, html string, text int")
     got = {(r.page_id, r.text[:20], r.n_chars) for r in html_extract.op1_html_extract(pages).collect()}

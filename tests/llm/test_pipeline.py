@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from test_operators import DOCS, brute_hits, odd_rows, plain_targets
 
-from gridfactor.llm import common
+from gridfactor.functions import storage
 from gridfactor.llm.common import table
 
 ASCII = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -106,8 +106,8 @@ def test_stages_on_odd_rows(spark, sf):
 
 
 def test_run_leaves_stage_outputs_alone(spark, sf, tmp_path, monkeypatch):
-    monkeypatch.setattr(common, "checkpoint_root", lambda spark: f"file://{tmp_path}/ck")
+    monkeypatch.setattr(storage, "shared_root", lambda spark: f"file://{tmp_path}/ck")
     assert corpus_pipeline.run(spark, sf).count() > 0
     left = [p for p in (tmp_path / "ck").iterdir() if not p.name.startswith(".") and any(p.iterdir())]
     assert len(left) == len(corpus_pipeline.STAGES) and all((p / "_SUCCESS").exists() for p in left)
-    assert common._scratch == []
+    assert storage._scratch == []
