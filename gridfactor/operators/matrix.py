@@ -11,11 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dense, dense_complex
 from ..functions.scalars import conj, pair, times
+from .order import ranged, with_place
 
 #: The most entries that a matrix may have which the driver holds (factorizations of point by point size): at most 2 GB as Arrow columns.
 LOCAL_ENTRIES = 1 << 26
@@ -172,7 +173,7 @@ def times_local(rows: DataFrame, index: str, values: str, right: np.ndarray) ->
 
 def gathered_columns(a: DataFrame, indices: DataFrame) -> DataFrame:
     """The columns whose index is in indices(g), in ascending order, numbered from 0."""
-    place = indices.select(F.col("g").alias("j"), (F.row_number().over(Window.orderBy("g")) - 1).cast("bigint").alias("pos"))
+    place = with_place(ranged(indices.select(F.col("g").alias("j")), ["j"]), ["j"], "pos").select("j", "pos")
     return a.join(place, "j").select("i", F.col("pos").alias("j"), *values_of(a))
 
 

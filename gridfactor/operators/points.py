@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.arrays import dense_complex, lists
 from ..functions.storage import stored
@@ -20,15 +21,91 @@ from .reduce import argmin, sampled
 AXES = ("x", "y", "z")
 
 
+class Cells:
+    """Places in space by the cell of a regular grid that they are in, about PER_CELL of them in each.
+
+    A search goes from the cell of a point outward, a shell of cells at a time, until no place outside what was
+    seen can be as near as the best: with n places it computes some tens of distances in place of n, and the
+    memory of a batch doesn't grow with n.
+    """
+
+    PER_CELL, MOST_CELLS = 2, 1 << 10
+
+    def __init__(self, places: np.ndarray):
+        self.places = places
+        n, (self.low, high) = len(places), (places.min(0), places.max(0))
+        extent = high - self.low
+        wide = extent > 0
+        side = np.exp((np.log(extent[wide]).sum() + np.log(self.PER_CELL / n)) / wide.sum()) if wide.any() else 1.0
+        self.n = np.where(wide, np.clip(np.ceil(extent / side), 1, self.MOST_CELLS), 1).astype(np.int64)
+        self.side = np.where(wide, extent / self.n, 1.0)
+        flat = self._flat(self._cell(places))
+        self.order = np.argsort(flat, kind="stable")
+        self.starts = np.searchsorted(flat[self.order], np.arange(int(np.prod(self.n)) + 1))
+
+    def _cell(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor((x - self.low) / self.side), 0, self.n - 1).astype(np.int64)
+
+    def _flat(self, cell: np.ndarray) -> np.ndarray:
+        return (cell[..., 0] * self.n[1] + cell[..., 1]) * self.n[2] + cell[..., 2]
+
+    def _reach(self, x: np.ndarray, cell: np.ndarray, r: int) -> np.ndarray:
+        """How far from each point the nearest place outside of its cell's r shells is at least."""
+        out = np.full(len(x), np.inf)
+        for a in range(3):
+            below, above = cell[:, a] - r, cell[:, a] + r + 1
+            left = x[:, a] - (self.low[a] + below * self.side[a])
+            right = self.low[a] + above * self.side[a] - x[:, a]
+            out = np.minimum(out, np.where(below > 0, left, np.inf))
+            out = np.minimum(out, np.where(above < self.n[a], right, np.inf))
+        return out
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """The nearest place of each point (the lower number of several), the squared distance, and how many distances were computed."""
+        best, where, computed = np.full(len(x), np.inf), np.zeros(len(x), np.int64), 0
+        cell, rows, r = self._cell(x), np.arange(len(x)), 0
+        while len(rows):
+            reach = range(-r, r + 1)
+            for off in [(i, j, k) for i in reach for j in reach for k in reach if max(abs(i), abs(j), abs(k)) == r]:
+                at = cell[rows] + np.array(off)
+                of = rows[((at >= 0) & (at < self.n)).all(1)]
+                flat = self._flat(cell[of] + np.array(off))
+                first, count = self.starts[flat], self.starts[flat + 1] - self.starts[flat]
+                for k in range(int(count.max(initial=0))):
+                    has = count > k
+                    of, first, count = of[has], first[has], count[has]
+                    number = self.order[first + k]
+                    d = x[of] - self.places[number]
+                    d = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+                    take = (d < best[of]) | ((d == best[of]) & (number < where[of]))
+                    best[of[take]], where[of[take]] = d[take], number[take]
+                    computed += len(of)
+            outside = self._reach(x[rows], cell[rows], r)
+            rows = rows[(outside < np.inf) & ~(best[rows] < (outside * (1 - 1e-12)) ** 2 * (outside > 0))]
+            r += 1
+        return where, best, computed
+
+
+def _xyz(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch[a].to_numpy(zero_copy_only=False).astype(np.float64) for a in AXES], 1)
+
+
 def with_class(points: DataFrame, centroids: DataFrame) -> DataFrame:
     """points(g, x, y, z, ...) with `c`, the nearest of centroids(c, x, y, z), the least number of several.
 
-    All centroids, as many as chosen points, are one array that each point's row is compared with: one row is broadcast.
+    The centroids, as many as chosen points, are in every task, with an index of their cells.
     """
-    every = centroids.agg(F.collect_list(F.struct("c", *AXES)).alias("centroids"))
-    far = lambda q: F.sqrt(sum((F.col(a) - q[a]) * (F.col(a) - q[a]) for a in AXES))
-    nearest = F.array_min(F.transform("centroids", lambda q: F.struct(far(q).alias("d"), q["c"].alias("c"))))["c"]
-    return points.join(F.broadcast(every)).withColumn("c", nearest).drop("centroids")
+    rows = sorted(tuple(r) for r in centroids.select("c", *AXES).collect())
+    if not rows:
+        raise ValueError("there are no centroids")
+    numbers, cells = np.array([r[0] for r in rows], np.int64), Cells(np.array([r[1:] for r in rows], np.float64))
+
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = numbers[cells.nearest(_xyz(batch))[0]] if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(c)], [*batch.schema.names, "c"])
+
+    return points.mapInArrow(classify, StructType([*points.schema.fields, StructField("c", LongType())]))
 
 
 def classify(grid: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -59,19 +136,14 @@ def snap(grid: DataFrame, centroids: DataFrame) -> DataFrame:
     return found.join(F.broadcast(place), "k").select(F.col("number").alias("c"), "g")
 
 
-def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    return ((x[:, None, :] - centroids[None]) ** 2).sum(2).argmin(1)
-
-
 def _cluster_sums(points: DataFrame, centroids: np.ndarray) -> DataFrame:
     """points(x, y, z, w): each task's weighted sums by nearest centroid, added up: (c, w, x, y, z)."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(centroids), 4))
+        total, cells = np.zeros((len(centroids), 4)), Cells(centroids)
         for batch in batches:
-            x = np.stack([batch[a].to_numpy() for a in AXES], 1)
-            w = batch["w"].to_numpy()
-            c = _nearest(x, centroids)
+            x, w = _xyz(batch), batch["w"].to_numpy()
+            c = cells.nearest(x)[0]
             for k, v in enumerate((w, *(w[:, None] * x).T)):
                 total[:, k] += np.bincount(c, v, len(centroids))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centroids)))] + [pa.array(t) for t in total.T.copy()], ["c", "w", *AXES])
@@ -111,12 +183,11 @@ def _snap_rows(points: DataFrame, centroids: np.ndarray) -> DataFrame:
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, where = np.full(len(centroids), np.inf), np.zeros(len(centroids), np.int64)
         for batch in batches:
-            x, g = np.stack([batch[a].to_numpy() for a in AXES], 1), batch["g"].to_numpy()
-            order = np.argsort(g)
-            d = np.sqrt(((x[order][:, None, :] - centroids[None]) ** 2).sum(2))
-            if len(d):
-                k = d.argmin(0)
-                low, at = d[k, np.arange(len(centroids))], g[order][k]
+            if batch.num_rows:
+                x, g = _xyz(batch), batch["g"].to_numpy()
+                by_g = np.argsort(g, kind="stable")
+                k, low, _ = Cells(x[by_g]).nearest(centroids)
+                at = g[by_g][k]
                 take = (low < best) | ((low == best) & (at < where))
                 best[take], where[take] = low[take], at[take]
         keep = np.isfinite(best)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .functions.scalars import multi_index, rounded
 from .functions.storage import new_folder
-from .operators import fourier, jacobi, matrix, points, reduce, supercell, tall, tiles
+from .operators import fourier, jacobi, matrix, order, points, reduce, supercell, tall, tiles
 from .plans import isdf, job, molecular
 from .sources.catalog import Catalog
 from .sources.config import JobConfig
@@ -251,6 +251,13 @@ def levels(s: SparkSession, d: str) -> DataFrame:
     return _table(s, d, "part").select(F.col("p_partkey").alias("m"), F.col("p_size").cast("bigint").alias("k"), F.col("p_retailprice").alias("e"))
 
 
+def running_quantities(s: SparkSession, d: str) -> DataFrame:
+    """Quantities of all lineitem rows before each, in the order of prices, orders and lines."""
+    keys = ["e", "o", "l", "p"]
+    rows = _table(s, d, "lineitem").select(F.col("l_extendedprice").alias("e"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").cast("bigint").alias("l"), F.col("l_partkey").alias("p"), F.col("l_quantity").cast("bigint").alias("n"))
+    return order.with_place(order.with_running(order.ranged(rows, keys, 4096), keys, F.col("n")), keys).select("o", "l", "p", "n", "start", "place")
+
+
 def pivot_first(s: SparkSession, d: str) -> DataFrame:
     g, r = points.pivots(phi_rows(s, d), phi_rows(s, d), 1)[0]
     return s.createDataFrame([(g, r)], "g long, r double").select("g", rounded(F.col("r")).alias("r"))
@@ -430,6 +437,8 @@ QUERIES: dict[str, Query] = {
     "masked_columns": lambda s, d: out(matrix.masked_columns(matrix.transpose(x(s, d)), grid(s, d).select(F.col("g").alias("j"), F.signum("x").cast("int").alias("flag")))),
     "numeric_names": lambda s, d: matrix.by_numeric_name(_table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("name")), "name").limit(50),
     "job_run": job_run,
+    "global_order": lambda s, d: order.near_degenerate(levels(s, d), "e", ["m"], 0.005, 512).select("m", "k", rounded(F.col("e")).alias("e"), "place", "degenerate"),
+    "running_quantities": running_quantities,
     "tiles_xxt": lambda s, d: out(tiles.to_entries(xxt(s, d), False)),
     "tiles_aha": lambda s, d: out(tiles.to_entries(tiles.gram(tiles.from_rows(phi_rows(s, d), n_vectors(s, d), 32, size=16)), True)),
     "cholesky_points": lambda s, d: out(cholesky_of_points(s, d)),
@@ -617,4 +626,6 @@ ORACLE_SQL: dict[str, str] = {
     "cholesky_points": f"WITH {_X} SELECT a.i, b.i AS j, round(sum(a.v * b.v) + CASE WHEN a.i = b.i THEN 1 ELSE 0 END, 6) + 0.0e0 AS v FROM x a JOIN x b ON a.j = b.j GROUP BY a.i, b.i",
     "lstsq_lines": "WITH y AS (SELECT CAST(l_quantity AS DOUBLE) AS q, unnest([CAST(0 AS BIGINT), 1, 2]) AS k, unnest([CAST(l_extendedprice AS DOUBLE) / 1000, CAST(l_discount AS DOUBLE) * 100, CAST(l_tax AS DOUBLE) * 100]) AS v FROM lineitem) SELECT k, round(regr_intercept(v, q), 4) + 0.0e0 AS constant, round(regr_slope(v, q), 4) + 0.0e0 AS slope, round(sqrt(regr_syy(v, q) - regr_slope(v, q) * regr_sxy(v, q)), 4) + 0.0e0 AS residual FROM y GROUP BY k",
     "nations_rank": "SELECT count(DISTINCT c_nationkey) AS rank, CAST(30 AS BIGINT) AS flags FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "global_order": f"WITH {_LEVELS} SELECT m, k, {_r('e')}, row_number() OVER w - 1 AS place, coalesce(abs(lead(l.e) OVER w - l.e) < 0.005e0, false) OR coalesce(abs(lag(l.e) OVER w - l.e) < 0.005e0, false) AS degenerate FROM l WINDOW w AS (ORDER BY l.e, m)",
+    "running_quantities": "SELECT l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS l, l_partkey AS p, CAST(l_quantity AS BIGINT) AS n, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, row_number() OVER w - 1 AS place FROM lineitem WINDOW w AS (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey)",
 }
