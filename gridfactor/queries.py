@@ -258,6 +258,25 @@ def running_quantities(s: SparkSession, d: str) -> DataFrame:
     return order.with_place(order.with_running(order.ranged(rows, keys, 4096), keys, F.col("n")), keys).select("o", "l", "p", "n", "start", "place")
 
 
+def prime_axis(s: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """The points' densities f(i, g, re, im) on one axis of a prime length, with zeros after them."""
+    n = n_vectors(s, d)
+    p = next(k for k in range(max(2, n), 2 * n + 3) if all(k % m for m in range(2, int(k**0.5) + 1)))
+    rows = s.range(p).select(F.col("id").alias("g")).join(weights(s, d), "g", "left")
+    return rows.select(F.lit(0).cast("bigint").alias("i"), "g", F.coalesce("w", F.lit(0.0)).alias("re"), F.lit(0.0).alias("im")), p
+
+
+def dft_prime(s: SparkSession, d: str, backward: bool = False) -> DataFrame:
+    f, p = prime_axis(s, d)
+    return fourier.dft(f, (p, 1, 1), backward).select("g", "re", "im")
+
+
+def fft_prime(s: SparkSession, d: str) -> DataFrame:
+    """The same by lines of 64 points at most."""
+    f, p = prime_axis(s, d)
+    return fourier.fft_rows(f.select("g", F.array("re").alias("re"), F.array("im").alias("im")), (p, 1, 1), backward=True, most=64).select("g", F.col("re")[0].alias("re"), F.col("im")[0].alias("im"))
+
+
 def pivot_first(s: SparkSession, d: str) -> DataFrame:
     g, r = points.pivots(phi_rows(s, d), phi_rows(s, d), 1)[0]
     return s.createDataFrame([(g, r)], "g long, r double").select("g", rounded(F.col("r")).alias("r"))
@@ -439,6 +458,8 @@ QUERIES: dict[str, Query] = {
     "job_run": job_run,
     "global_order": lambda s, d: order.near_degenerate(levels(s, d), "e", ["m"], 0.005, 512).select("m", "k", rounded(F.col("e")).alias("e"), "place", "degenerate"),
     "running_quantities": running_quantities,
+    "dft_prime": lambda s, d: out(dft_prime(s, d)),
+    "fft_prime": lambda s, d: out(fft_prime(s, d)),
     "tiles_xxt": lambda s, d: out(tiles.to_entries(xxt(s, d), False)),
     "tiles_aha": lambda s, d: out(tiles.to_entries(tiles.gram(tiles.from_rows(phi_rows(s, d), n_vectors(s, d), 32, size=16)), True)),
     "cholesky_points": lambda s, d: out(cholesky_of_points(s, d)),
@@ -488,6 +509,12 @@ def _dft(src: str, name: str, sign: str, row: str) -> str:
     return out_
 
 
+def _prime(sign: str) -> str:
+    p = "p AS (SELECT min(k) AS n FROM (SELECT unnest(range(greatest(2, (SELECT count(*) FROM w)), 2 * (SELECT count(*) FROM w) + 3)) AS k) c WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, 2000)) AS m) d WHERE m * m <= k AND k % m = 0))"
+    angle = f"{sign} 2 * pi() * ((w.g * k) % p.n) / p.n"
+    return f"WITH {_GRID}, {p} SELECT k AS g, round(sum(w * cos({angle})), 6) + 0.0e0 AS re, round(sum(w * sin({angle})), 6) + 0.0e0 AS im FROM w, p, (SELECT unnest(range(0, (SELECT n FROM p))) AS k) t GROUP BY 1"
+
+
 def _pivots(steps: int, occupied: int) -> str:
     """Pivoted Cholesky, unrolled: after each step, the residuals d and the entries of all columns so far (real and imaginary parts).
 
@@ -628,4 +655,6 @@ ORACLE_SQL: dict[str, str] = {
     "nations_rank": "SELECT count(DISTINCT c_nationkey) AS rank, CAST(30 AS BIGINT) AS flags FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "global_order": f"WITH {_LEVELS} SELECT m, k, {_r('e')}, row_number() OVER w - 1 AS place, coalesce(abs(lead(l.e) OVER w - l.e) < 0.005e0, false) OR coalesce(abs(lag(l.e) OVER w - l.e) < 0.005e0, false) AS degenerate FROM l WINDOW w AS (ORDER BY l.e, m)",
     "running_quantities": "SELECT l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS l, l_partkey AS p, CAST(l_quantity AS BIGINT) AS n, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, row_number() OVER w - 1 AS place FROM lineitem WINDOW w AS (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey)",
+    "dft_prime": _prime("-"),
+    "fft_prime": _prime(""),
 }

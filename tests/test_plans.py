@@ -292,3 +292,71 @@ def test_k_to_gamma_and_spins(spark):
     assert len(supercell.gamma_of_spins(both.where("spin = 0"), occ, ph, np.eye(n), n)) == 1
     with pytest.raises(ValueError, match="spins"):
         supercell.gamma_of_spins(both.where("spin = 1"), occ, ph, np.eye(n), n)
+
+
+def test_a_failed_write_leaves_the_old_matrix(spark, tmp_path, monkeypatch):
+    c = Catalog(spark, f"file://{tmp_path}/m")
+    a = matrix.from_local(spark, np.arange(12.0).reshape(4, 3))
+    c.save("g/a", a, (4, 3))
+    broken = a.withColumn("v", F.when(F.col("i") == 3, F.raise_error(F.lit("stop")).cast("double")).otherwise(1.0))
+    with pytest.raises(Exception, match="stop"):
+        c.save("g/a", broken, (7, 7))
+    with monkeypatch.context() as m:  # stopped between the entries and the commit
+        m.setattr(Catalog, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("gone")))
+        with pytest.raises(RuntimeError):
+            c.save("g/a", a.withColumn("v", F.lit(9.0)), (7, 7))
+    assert c.shape("g/a") == (4, 3)
+    np.testing.assert_array_equal(matrix.local(c.load("g/a"), 4, 3), np.arange(12.0).reshape(4, 3))
+    for k in range(3):  # by what was read from it
+        c.save("g/a", matrix.scaled(c.load("g/a"), F.lit(2.0)), (4, 3))
+    np.testing.assert_array_equal(matrix.local(c.load("g/a"), 4, 3), 8 * np.arange(12.0).reshape(4, 3))
+    assert len([p for p in (tmp_path / "m/data/g/a").iterdir() if not p.name.startswith(".")]) <= 3  # the last two and the one without a commit
+    with pytest.raises(KeyError, match="no matrix b"):
+        c.load("b")
+
+
+def test_row_chunks_open_only_their_files(spark, tmp_path):
+    c = Catalog(spark, f"file://{tmp_path}/m")
+    x = np.arange(100.0 * 3).reshape(100, 3)
+    c.save("a", matrix.from_local(spark, x), (100, 3), row_chunk=16)
+    part = c.load("a", rows=(20, 40))
+    scanned = {r.f for r in part.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert len(scanned) == 2 and all("chunk=1" in f or "chunk=2" in f for f in scanned)
+    np.testing.assert_array_equal(matrix.local(part.withColumn("i", F.col("i") - 20), 20, 3), x[20:40])
+    assert c.load("a").columns == ["i", "j", "v"]
+
+
+def test_a_stopped_job_goes_on_after_its_last_stage(spark, crystal, tmp_path, monkeypatch):
+    f, v, phi, kernel, grid, _ = crystal
+    source = Catalog(spark, f"file://{tmp_path}/in")
+    job.write_input(source, grid, SHAPE, kernel, phi, np.eye(M), np.eye(M), (OCC, 1), 0.0)
+    config = lambda out: JobConfig(f"file://{tmp_path}/in", 3, f"file://{tmp_path}/{out}", half_rotated=True, thc_half_cfac=2, solver="qrcp")
+    job.run_config(spark, config("whole"))
+    stop = lambda *a, **k: (_ for _ in ()).throw(RuntimeError("stopped"))
+    with monkeypatch.context() as m:
+        m.setattr(job, "factorize", stop)
+        with pytest.raises(RuntimeError):
+            job.run_config(spark, config("out"))
+    with monkeypatch.context() as m:
+        m.setattr(job, "pivots", lambda left, right, n: stop() if n == 9 else points_pivots(left, right, n))
+        again = job.run_config(spark, config("out"))
+    assert "full" in again and "half" in again
+    with monkeypatch.context() as m:
+        m.setattr(job, "factorize", stop)
+        m.setattr(job, "pivots", stop)
+        assert job.run_config(spark, config("out"))["half_points"] == again["half_points"]
+    one, two = (Catalog(spark, f"file://{tmp_path}/{x}") for x in ("whole", "out"))
+    for r in one.names().collect():
+        rows = [sorted(map(tuple, c.load(r.name).collect())) for c in (one, two)]
+        assert rows[0] == rows[1], r.name
+    source.save("fft_coulomb", source.load("fft_coulomb"), (NG, 1))  # another input: all anew
+    with monkeypatch.context() as m:
+        m.setattr(job, "factorize", stop)
+        with pytest.raises(RuntimeError):
+            job.run_config(spark, config("out"))
+
+
+def points_pivots(left, right, n):
+    from gridfactor.operators.points import pivots
+
+    return pivots(left, right, n)
