@@ -196,6 +196,51 @@ def _snap_rows(points: DataFrame, centroids: np.ndarray) -> DataFrame:
     return points.mapInArrow(nearest, "c long, g long, d double").groupBy("c").agg(argmin("g", F.col("d")).alias("g"))
 
 
+Pivot = tuple[np.ndarray, np.ndarray, np.ndarray, float]  # both orbitals, the entries of all earlier columns, the diagonal
+KINDS = "lr array<double>, li array<double>, rr array<double>, ri array<double>, cr array<double>, ci array<double>"
+
+
+def _state(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Both orbitals of each point, with the entries of its columns (cr, ci) and its residual d, of which there are none yet."""
+    a = left.select("g", F.col("re").alias("lr"), F.col("im").alias("li"))
+    rows = a.join(right.select("g", F.col("re").alias("rr"), F.col("im").alias("ri")), "g")
+    none = F.array().cast("array<double>")
+    return stored(rows.withColumns({"cr": none, "ci": none, "d": F.lit(None).cast("double")}))
+
+
+def _formed(batch: pa.RecordBatch, fresh: list[Pivot], chosen: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The residuals, -1 at pivots, and the entries of all columns of this batch's points: those it has, and those of fresh pivots."""
+    x, y = dense_complex(batch, "lr", "li"), dense_complex(batch, "rr", "ri")
+    had = dense_complex(batch, "cr", "ci").reshape(len(x), -1)
+    d = batch["d"].to_numpy(zero_copy_only=False) if batch["d"].null_count == 0 else (abs(x) ** 2).sum(1) * (abs(y) ** 2).sum(1)
+    cols = np.concatenate([had, np.zeros((len(x), len(fresh)), np.complex128)], 1)
+    k = had.shape[1]
+    for px, py, before, r in fresh:
+        z = (x @ px.conj()) * (y.conj() @ py)
+        cols[:, k] = (z - cols[:, :k] @ before.conj()) / r
+        d = d - abs(cols[:, k]) ** 2
+        k += 1
+    d = d.copy()
+    d[np.isin(batch["g"].to_numpy(), chosen)] = -1.0
+    return d, cols
+
+
+def _extended(rows: DataFrame, fresh: list[Pivot], chosen: list[int]) -> DataFrame:
+    """The points with the columns of fresh pivots, written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d, cols = _formed(batch, fresh, chosen)
+                yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("g", "lr", "li", "rr", "ri")], lists(cols.real), lists(cols.imag), pa.array(d)], ["g", "lr", "li", "rr", "ri", "cr", "ci", "d"])
+
+    return stored(rows.mapInArrow(run, f"g long, {KINDS}, d double"))
+
+
+def _complex(re: list[float], im: list[float]) -> np.ndarray:
+    return np.array(re, np.float64) + 1j * np.array(im, np.float64)
+
+
 def pivots(left: DataFrame, right: DataFrame, n: int, tolerance: float = 1e-7, block: int = 16) -> list[tuple[int, float]]:
     """Points and |R| diagonals of a column-pivoted QR of Z[ik, g] = conj(left_i(g)) right_k(g), without Z.
 
@@ -206,52 +251,117 @@ def pivots(left: DataFrame, right: DataFrame, n: int, tolerance: float = 1e-7, b
     most a block of columns: with N points and n pivots, N n block work a pass and N n^2 block in all.
     Below `tolerance` of the first diagonal the rest is noise: asking for points there is an error.
     """
-    a = left.select("g", F.col("re").alias("lr"), F.col("im").alias("li"))
-    rows = a.join(right.select("g", F.col("re").alias("rr"), F.col("im").alias("ri")), "g")
-    none = F.array().cast("array<double>")
-    rows = stored(rows.withColumns({"cr": none, "ci": none, "d": F.lit(None).cast("double")}))
+    rows = _state(left, right)
     chosen: list[tuple[int, float]] = []
-    fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray, float]] = []  # pivots since the last write: both orbitals, all earlier entries, diagonal
-
-    def formed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """The residuals, and the entries of all columns of this batch's points."""
-        x, y = dense_complex(batch, "lr", "li"), dense_complex(batch, "rr", "ri")
-        had = dense_complex(batch, "cr", "ci").reshape(len(x), -1)
-        d = batch["d"].to_numpy(zero_copy_only=False) if batch["d"].null_count == 0 else (abs(x) ** 2).sum(1) * (abs(y) ** 2).sum(1)
-        cols = np.concatenate([had, np.zeros((len(x), len(fresh)), np.complex128)], 1)
-        k = had.shape[1]
-        for px, py, before, r in fresh:
-            z = (x @ px.conj()) * (y.conj() @ py)
-            cols[:, k] = (z - cols[:, :k] @ before.conj()) / r
-            d = d - abs(cols[:, k]) ** 2
-            k += 1
-        d = d.copy()
-        d[np.isin(batch["g"].to_numpy(), [g for g, _ in chosen])] = -1.0
-        return d, cols
+    fresh: list[Pivot] = []  # since the last write
 
     def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                d, cols = formed(batch)
+                d, cols = _formed(batch, fresh, [g for g, _ in chosen])
                 k = int(np.lexsort((batch["g"].to_numpy(), -d))[0])
                 one = batch.slice(k, 1)
                 yield pa.RecordBatch.from_arrays([one["g"], pa.array([float(d[k])]), *[one[c] for c in ("lr", "li", "rr", "ri")], lists(cols[k : k + 1].real), lists(cols[k : k + 1].imag)], ["g", "d", "lr", "li", "rr", "ri", "cr", "ci"])
 
-    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                d, cols = formed(batch)
-                yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("g", "lr", "li", "rr", "ri")], lists(cols.real), lists(cols.imag), pa.array(d)], ["g", "lr", "li", "rr", "ri", "cr", "ci", "d"])
-
-    kinds = "lr array<double>, li array<double>, rr array<double>, ri array<double>, cr array<double>, ci array<double>"
-    for k in range(n):
+    for _ in range(n):
         if len(fresh) == block:
-            rows = stored(rows.mapInArrow(extended, f"g long, {kinds}, d double"))
+            rows = _extended(rows, fresh, [g for g, _ in chosen])
             fresh.clear()
-        best = rows.mapInArrow(best_of, f"g long, d double, {kinds}").orderBy(F.desc("d"), "g").first()
+        best = rows.mapInArrow(best_of, f"g long, d double, {KINDS}").orderBy(F.desc("d"), "g").first()
         if best is None or best.d <= 0 or (chosen and best.d**0.5 < tolerance * chosen[0][1]):
             raise ValueError(f"{n} points are asked for, but the products have rank {len(chosen)}")
-        z = lambda re, im: np.array(re, np.float64) + 1j * np.array(im, np.float64)
         chosen.append((best.g, best.d**0.5))
-        fresh.append((z(best.lr, best.li), z(best.rr, best.ri), z(best.cr, best.ci), best.d**0.5))
+        fresh.append((_complex(best.lr, best.li), _complex(best.rr, best.ri), _complex(best.cr, best.ci), best.d**0.5))
+    return chosen
+
+
+def pivoted(x: np.ndarray, g: np.ndarray, n: int) -> list[int]:
+    """Up to n columns in the order of a column-pivoted QR, the least g of equal norms; fewer if the rest are zeros."""
+    x, out = x.copy(), []
+    for _ in range(min(n, x.shape[1])):
+        norms = (abs(x) ** 2).sum(0)
+        norms[out] = -1.0
+        k = int(np.lexsort((g, -norms))[0])
+        if norms[k] <= 0:
+            break
+        out.append(k)
+        q = x[:, k] / norms[k] ** 0.5
+        for _ in range(2):
+            x -= np.outer(q, q.conj() @ x)
+    return out
+
+
+def pivots_by_sketch(left: DataFrame, right: DataFrame, n: int, tolerance: float = 1e-7, block: int = 16, over: int = 10, seed: int = 0) -> list[tuple[int, float]]:
+    """As pivots(), with two passes over the points for each `block` of them in place of one for each.
+
+    A row of the sketch is a product of two Gaussian combinations, of left and of right orbitals, which is a random
+    combination of Z's rows that needs no Z.  A point has block + over such values, less the part that chosen
+    columns explain.  Each task takes a block of its points by a pivoted QR of their values, and blocks of tasks
+    meet in a tree of such QRs; so which points are found depends a little on the partitions and the seed.  The
+    diagonals of R are those of the points found, in their order.
+    """
+    rows = _state(left, right)
+    widths = rows.select(F.size("lr").alias("a"), F.size("rr").alias("b")).first()
+    if widths is None:
+        raise ValueError("there are no points")
+    rng, height = np.random.default_rng(seed), block + over
+    a, b = (rng.normal(size=(height, w)) + 1j * rng.normal(size=(height, w)) for w in (widths.a, widths.b))
+    sketched: list[np.ndarray] = []  # of each column found so far: its sketch
+    chosen: list[tuple[int, float]] = []
+    schema = f"place long, g long, {KINDS}, sr array<double>, si array<double>"
+    names = ["g", "lr", "li", "rr", "ri", "cr", "ci", "sr", "si"]
+
+    def sketch(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (x.conj() @ a.T) * (y @ b.T)
+
+    def best(table: pa.Table) -> pa.Table:
+        x = dense_complex(table, "sr", "si").T
+        return table.take(pa.array(pivoted(x, table["g"].to_numpy(), block), pa.int64()))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, place = None, 0
+        for batch in batches:
+            if batch.num_rows:
+                d, cols = _formed(batch, [], [g for g, _ in chosen])
+                y = sketch(dense_complex(batch, "lr", "li"), dense_complex(batch, "rr", "ri"))
+                if sketched:
+                    y = y - cols.conj() @ np.array(sketched)
+                y[d < 0] = 0
+                part = pa.table([*[batch[c] for c in names[:5]], lists(cols.real), lists(cols.imag), lists(y.real), lists(y.imag)], names)
+                found, place = best(part if found is None else pa.concat_tables([found, part])), batch["place"][0].as_py()
+        if found is not None:
+            yield from found.add_column(0, "place", pa.array([place] * found.num_rows, pa.int64())).to_batches()
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        found = best(table)
+        return found.select(["g", *names[1:]]).add_column(0, "place", pa.array([key[0].as_py()] * found.num_rows, pa.int64()))
+
+    while len(chosen) < n:
+        found = rows.withColumn("place", F.spark_partition_id().cast("long"))
+        last = rows.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0]
+        found = found.mapInArrow(task, schema)
+        while last > 0:
+            found = found.withColumn("to", F.floor(F.col("place") / 8)).groupBy("to").applyInArrow(lambda key, table: merge(key, table), schema)
+            last //= 8
+        table = found.toArrow()  # a block of points
+        table = table.take(pa.array(pivoted(dense_complex(table, "sr", "si").T, table["g"].to_numpy(), block), pa.int64()))
+        fresh: list[Pivot] = []
+        x, y, had = dense_complex(table, "lr", "li"), dense_complex(table, "rr", "ri"), dense_complex(table, "cr", "ci").reshape(table.num_rows, -1)
+        plain = sketch(x, y)
+        for k in range(min(table.num_rows, n - len(chosen))):
+            own = had[k]
+            for px, py, before, r in fresh:  # its entries of the block's columns
+                own = np.append(own, ((x[k] @ px.conj()) * (y[k].conj() @ py) - own @ before.conj()) / r)
+            d = (abs(x[k]) ** 2).sum() * (abs(y[k]) ** 2).sum() - (abs(own) ** 2).sum()
+            if d <= 0 or (chosen and d**0.5 < tolerance * chosen[0][1]):
+                break
+            r = float(d**0.5)
+            rest = plain[k] - own.conj() @ np.array(sketched) if sketched else plain[k]
+            sketched.append(rest / r)
+            fresh.append((x[k], y[k], own, r))
+            chosen.append((table["g"][k].as_py(), r))
+        if not fresh:
+            raise ValueError(f"{n} points are asked for, but the products have rank {len(chosen)}")
+        if len(chosen) < n:
+            rows = _extended(rows, fresh, [g for g, _ in chosen])
     return chosen

@@ -315,6 +315,12 @@ def pivot_points(s: SparkSession, d: str) -> DataFrame:
     return out(s.createDataFrame([(k, g, r) for k, (g, r) in enumerate(found)], "step long, g long, r double"))
 
 
+def pivot_points_sketch(s: SparkSession, d: str) -> DataFrame:
+    """Pivots by sketches of 8 at a time."""
+    found = points.pivots_by_sketch(phi_rows(s, d), phi_rows(s, d), CHOSEN, block=8, seed=SEED)
+    return out(s.createDataFrame([(k, g, r) for k, (g, r) in enumerate(found)], "step long, g long, r double"))
+
+
 def pivot_points_half(s: SparkSession, d: str) -> DataFrame:
     left = phi_rows(s, d).select("g", F.slice("re", 1, OCC).alias("re"), F.slice("im", 1, OCC).alias("im"))
     found = points.pivots(left, phi_rows(s, d), CHOSEN)
@@ -444,6 +450,7 @@ QUERIES: dict[str, Query] = {
     "isdf_half": lambda s, d: out(isdf_m(s, d, OCC), 4),
     "molecular_full": lambda s, d: out(molecular_smsb(s, d), 2),
     "pivot_points_half": pivot_points_half,
+    "pivot_points_sketch": pivot_points_sketch,
     "luv_reconstruct": lambda s, d: out(luv_reconstruct(s, d), 4),
     "ccholesky_reconstruct": lambda s, d: out(cholesky_of(small_complex(s, d), 32, True)),
     "csvd_energy": lambda s, d: moments(s, jacobi.right_vectors(s, tall.triangle(phi_named(s, d), "p", complex_=True), 16)[0]),

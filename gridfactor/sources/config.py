@@ -19,6 +19,7 @@ class JobConfig:
     threshold: float = 1e-5
     rng_seed: int = 0
     density: str = "density"
+    sub_sample: bool = False  # pivots by a sketch of the pair products
 
     @classmethod
     def from_json(cls, text: str) -> JobConfig:
@@ -35,6 +36,7 @@ class JobConfig:
             half_rotated=bool(raw.get("half_rotated", False)),
             thc_half_cfac=int(raw.get("thc_half_cfac", raw["thc_cfac"])),
             solver="qrcp" if km is None else "kmeans",  # both: k-means
+            sub_sample=km is None and bool(points["qrcp"].get("sub_sample", False)),
             **({} if km is None else {"max_it": int(km["max_it"]), "threshold": float(km["threshold"]), "rng_seed": int(km.get("rng_seed", 0)), "density": km.get("density", "density")}),
         )
         if config.find_interp_vec and not config.output_file:

@@ -231,3 +231,43 @@ def test_config():
     for bad in ('{"orbital_file": "o", "thc_cfac": 3, "output_file": "h"}', '{"orbital_file": "o", "thc_cfac": 3, "interpolating_points": {"qrcp": {}}}'):
         with pytest.raises(ValueError):
             JobConfig.from_json(bad)
+
+
+@pytest.mark.parametrize("block", [4, 7, 40])
+def test_pivots_by_sketch(spark, block, monkeypatch):
+    """What is left after n points is at most twice that of exact pivots, with a pass for each block; the diagonals are those of the points' QR."""
+    rng = np.random.default_rng(11)
+    n, decay = 14, np.logspace(0, -2, 6)
+    o, f = (rng.normal(size=(120, 6)) + 1j * rng.normal(size=(120, 6)) for _ in range(2))
+    o, f = o * decay, f * decay
+    rows = lambda a: spark.createDataFrame([(g, a[g].real.tolist(), a[g].imag.tolist()) for g in range(len(a))], "g long, re array<double>, im array<double>").repartition(11)
+    z = np.array([o[:, i].conj() * f[:, k] for i in range(6) for k in range(6)])
+    passes = []
+    extended = points._extended
+    monkeypatch.setattr(points, "_extended", lambda *a: passes.append(1) or extended(*a))
+    got = points.pivots_by_sketch(rows(o), rows(f), n, block=block)
+    assert len(passes) == -(-n // block) - 1 and len({g for g, _ in got}) == n
+    rest = lambda chosen: np.linalg.norm(z - (q := np.linalg.qr(z[:, [g for g, _ in chosen]])[0]) @ (q.conj().T @ z))
+    assert rest(got) <= 2 * rest(points.pivots(rows(o), rows(f), n))
+    np.testing.assert_allclose([r for _, r in got], abs(np.diagonal(np.linalg.qr(z[:, [g for g, _ in got]], mode="r"))), rtol=1e-6)
+    with pytest.raises(ValueError, match="rank 36"):
+        points.pivots_by_sketch(rows(o), rows(f), 37, block=block)
+
+
+@pytest.mark.parametrize("shape, most", [((37, 1, 1), 8), ((2, 74, 1), 8), ((60, 1, 1), 4), ((3, 4, 17), 5), ((1, 128, 2), 2)])
+def test_long_axes(spark, shape, most):
+    """Axes beyond what is transformed at once: by stages, and by a chirp where a prime is left."""
+    rng = np.random.default_rng(12)
+    n = int(np.prod(shape))
+    x = rng.normal(size=(n, 2)) + 1j * rng.normal(size=(n, 2))
+    want = {b: np.stack([(np.fft.ifftn(c.reshape(shape)) * n if b else np.fft.fftn(c.reshape(shape))).ravel() for c in x.T], 1) for b in (False, True)}
+    rows = spark.createDataFrame([(g, x[g].real.tolist(), x[g].imag.tolist()) for g in range(n)], "g long, re array<double>, im array<double>")
+    entries_ = spark.createDataFrame([(i, g, float(x[g, i].real), float(x[g, i].imag)) for g in range(n) for i in range(2)], "i long, g long, re double, im double")
+    for b in (False, True):
+        got = fourier.fft_rows(rows, shape, b, most).orderBy("g").collect()
+        np.testing.assert_allclose(np.array([r.re for r in got]) + 1j * np.array([r.im for r in got]), want[b], atol=1e-9)
+    got = fourier.dft(entries_, shape, True, most).orderBy("g", "i").collect()
+    np.testing.assert_allclose(np.array([complex(r.re, r.im) for r in got]).reshape(n, 2), want[True], atol=1e-9)
+    for broken in (rows.where("g <> 1"), rows.where("g <> 1").unionAll(rows.where("g = 0"))):
+        with pytest.raises(Exception, match="points"):
+            fourier.fft_rows(broken, shape, False, most).collect()
