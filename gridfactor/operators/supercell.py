@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import conj, pair, phase, times
+from . import tiles
 from .matrix import from_local, local
+from .order import ranged, with_place
 from .solve import generalized_eigh
+from .tiles import Tiled
 
 
 def translation_vectors(spark: SparkSession, mesh: tuple[int, int, int], lattice: DataFrame) -> DataFrame:
@@ -52,6 +55,19 @@ def orbitals_to_supercell(coefficients: DataFrame, phase_table: DataFrame) -> Da
     return rows.select("r", "p", "k", "m", "e", re.alias("re"), im.alias("im"))
 
 
+def orbital_order(orbitals: DataFrame, per_part: int = 1 << 20) -> DataFrame:
+    """(k, m, e, j): the place of each orbital in the order of energies, k-points and numbers, of all k-points together."""
+    keys = ["e", "k", "m"]
+    return with_place(ranged(orbitals.select("k", "m", "e").distinct(), keys, per_part), keys, "j").select("k", "m", "e", "j")
+
+
+def orthonormality(c: Tiled, overlap: Tiled) -> DataFrame:
+    """(worst): the largest modulus of C^H S C - 1, by tiles; tiles of the overlap that aren't there are zeros."""
+    half = tiles.product(overlap, c).stored()
+    rest = tiles.mapped(tiles.completed(tiles.product(c, half, "C", "N"), True), lambda x, i, j: x - np.eye(*x.shape) if i == j else x)
+    return tiles.to_entries(rest, True).agg(F.max(F.hypot("re", "im")).alias("worst"))
+
+
 def gamma_orbitals(orbitals: DataFrame, overlap: np.ndarray, n_ao: int, threshold: float = 1e-3, tolerance: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Real supercell orbitals from orbitals_to_supercell(): energies in order, and coefficients (ao, orbital).
 
@@ -61,11 +77,10 @@ def gamma_orbitals(orbitals: DataFrame, overlap: np.ndarray, n_ao: int, threshol
     apart isn't real up to `tolerance`, all orbitals are taken as one group.  overlap is real (ao, ao); all
     coefficients are n_ao x n_ao at most, which the driver's bound on matrices limits.
     """
-    order = orbitals.select("k", "m", "e").distinct().orderBy("e", "k", "m").toPandas()  # a row per orbital
+    places = orbital_order(orbitals)
+    order = places.orderBy("j").toPandas()  # a row per orbital
     n, cells = len(order), orbitals.agg((F.max("r") + 1).alias("n")).first().n or 1
-    number = {key: j for j, key in enumerate(zip(order.k.tolist(), order.m.tolist()))}
-    places = orbitals.sparkSession.createDataFrame([(k, m, j) for (k, m), j in number.items()], "k long, m long, j long")
-    entries = orbitals.join(F.broadcast(places), ["k", "m"]).select((F.col("r") * (n_ao // cells) + F.col("p")).alias("i"), "j", "re", "im")
+    entries = orbitals.drop("e").join(places, ["k", "m"]).select((F.col("r") * (n_ao // cells) + F.col("p")).alias("i"), "j", "re", "im")
     c = local(entries, n_ao, n)
     e = order.e.to_numpy(dtype=np.float64, copy=True)
     groups = np.split(np.arange(n), np.flatnonzero(np.diff(e) >= threshold) + 1) if n else []

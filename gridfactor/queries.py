@@ -277,6 +277,59 @@ def fft_prime(s: SparkSession, d: str) -> DataFrame:
     return fourier.fft_rows(f.select("g", F.array("re").alias("re"), F.array("im").alias("im")), (p, 1, 1), backward=True, most=64).select("g", F.col("re")[0].alias("re"), F.col("im")[0].alias("im"))
 
 
+def orthonormality(s: SparkSession, d: str) -> DataFrame:
+    """How far the orbitals are from being orthonormal, with the kernel as a diagonal overlap."""
+    n = n_vectors(s, d)
+    overlap = tiles.from_entries(kernel(s, d).select(F.col("g").alias("i"), F.col("g").alias("j"), "v"), n, n, 64)
+    return out(supercell.orthonormality(tiles.from_rows(phi_rows(s, d), n, 32, size=64), overlap))
+
+
+def orbital_order(s: SparkSession, d: str) -> DataFrame:
+    """The order of parts by price, size and number, as if sizes were k-points."""
+    return out(supercell.orbital_order(levels(s, d), 512))
+
+
+def metric_half(s: SparkSession, d: str) -> DataFrame:
+    """The first OCC places of the vectors are occupied, the others virtual."""
+    rows, n = _table(s, d, "embeddings"), n_vectors(s, d)
+    part = lambda a, m: tiles.from_rows(rows.select("vec_id", F.slice(F.col("embedding").cast("array<double>"), a, m).alias("v")), n, m, "vec_id", "v", None, 128).stored()
+    return out(tiles.to_entries(molecular.metric_half(part(1, OCC), part(OCC + 1, 64 - OCC)), False))
+
+
+def prepared_densities(s: SparkSession, d: str) -> DataFrame:
+    """(g, full, occupied): densities of orbitals that a rotation by the mean outer product makes."""
+    c = matrix.local(small_complex(s, d), 32, 32)
+    _, full, occ = job.prepare_orbitals(phi_rows(s, d), c, OCC)
+    return out(full.withColumnRenamed("w", "total").join(occ.withColumnRenamed("w", "occupied"), "g"))
+
+
+def molecular_written(s: SparkSession, d: str) -> DataFrame:
+    """(name, i, j, v) of what a molecular run with given fitted vectors writes, besides the factors."""
+    source, target = (Catalog(s, new_folder(s)) for _ in range(2))
+    n = n_vectors(s, d)
+    c = small(s, d)
+    source.save("etaPm", x(s, d), (n, 64))
+    source.save("BxL", b_of_vectors(s, d), (7, n))
+    for name in ("hcore", "mo_coeff"):
+        source.save(name, c, (64, 64))
+    source.save("nelec", matrix.from_local(s, np.array([[5.0, 3.0]])), (1, 2))
+    source.save("enuc", matrix.from_local(s, np.array([[1.5, 0.0]])), (1, 2))
+    molecular.run_molecular(source, target, density_fitting=False)
+    names = ("Hamiltonian/hcore", "Hamiltonian/Energies", "Hamiltonian/dims", "Hamiltonian/THC/dims", "Hamiltonian/THC/Orbitals", "Hamiltonian/THC/HalfTransformedOccOrbitals")
+    return out(reduce_(DataFrame.unionByName, [target.load(m).select(F.lit(m.removeprefix("Hamiltonian/")).alias("name"), "i", "j", F.col("v").cast("double").alias("v")) for m in names]))
+
+
+def class_weights(s: SparkSession, d: str) -> DataFrame:
+    """(c, w, weightless): after a step of k-means, the weight of each class and whether it has none to speak of."""
+    return points.step(grid(s, d).join(weights(s, d), "g"), centroids(s, d)).select("c", rounded(F.col("w")).alias("w"), (F.col("w") < 1e-8).alias("weightless"))
+
+
+def zero_matrix(s: SparkSession, d: str) -> DataFrame:
+    """Zeros in the shape of the vectors, and their sum with these."""
+    both = matrix.zeros(s, n_vectors(s, d), 64).join(x(s, d).withColumnRenamed("v", "w"), ["i", "j"], "left")
+    return out(both.select("i", "j", (F.col("v") + F.col("w")).alias("v"), F.col("v").alias("zero")))
+
+
 def pivot_first(s: SparkSession, d: str) -> DataFrame:
     g, r = points.pivots(phi_rows(s, d), phi_rows(s, d), 1)[0]
     return s.createDataFrame([(g, r)], "g long, r double").select("g", rounded(F.col("r")).alias("r"))
@@ -359,11 +412,10 @@ def n_vectors(s: SparkSession, d: str) -> int:
 
 
 def job_through_catalog(s: SparkSession, d: str) -> Catalog:
-    """A whole half-rotated run of CHOSEN // 8 points for each of 8 orbitals, from a written input and a JSON configuration."""
+    """A whole half-rotated run of a point for each of the 32 orbitals, from a written input and a JSON configuration."""
     source, target = (Catalog(s, new_folder(s)) for _ in range(2))
-    few = phi_rows(s, d).select("g", F.slice("re", 1, OCC).alias("re"), F.slice("im", 1, OCC).alias("im"))
-    job.write_input(source, grid(s, d), shape(s, d), kernel(s, d), few, np.eye(OCC), np.diag(np.arange(1.0, OCC + 1)), (OCC // 2, 1), -1.25)
-    text = {"orbital_file": source.root, "output_file": target.root, "thc_cfac": CHOSEN // OCC, "half_rotated": True, "interpolating_points": {"qrcp": {}}}
+    job.write_input(source, grid(s, d), shape(s, d), kernel(s, d), phi_rows(s, d), np.eye(32), np.diag(np.arange(1.0, 33.0)), (OCC // 2, 1), -1.25)
+    text = {"orbital_file": source.root, "output_file": target.root, "thc_cfac": 1, "half_rotated": True, "interpolating_points": {"qrcp": {}}}
     job.run_config(s, JobConfig.from_json(json.dumps(text)))
     return target
 
@@ -461,12 +513,19 @@ QUERIES: dict[str, Query] = {
     "catalog_write_transposed": lambda s, d: saved(s, x(s, d), (n_vectors(s, d), 64), write_transposed=True),
     "catalog_load_transposed": lambda s, d: saved(s, x(s, d), (n_vectors(s, d), 64), transposed=True),
     "masked_columns": lambda s, d: out(matrix.masked_columns(matrix.transpose(x(s, d)), grid(s, d).select(F.col("g").alias("j"), F.signum("x").cast("int").alias("flag")))),
-    "numeric_names": lambda s, d: matrix.by_numeric_name(_table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("name")), "name").limit(50),
+    "numeric_names": lambda s, d: matrix.by_numeric_name(_table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("name")), "name"),
     "job_run": job_run,
     "global_order": lambda s, d: order.near_degenerate(levels(s, d), "e", ["m"], 0.005, 512).select("m", "k", rounded(F.col("e")).alias("e"), "place", "degenerate"),
     "running_quantities": running_quantities,
     "dft_prime": lambda s, d: out(dft_prime(s, d)),
     "fft_prime": lambda s, d: out(fft_prime(s, d)),
+    "orthonormality": orthonormality,
+    "orbital_order": orbital_order,
+    "metric_half": metric_half,
+    "prepared_densities": prepared_densities,
+    "molecular_written": molecular_written,
+    "class_weights": class_weights,
+    "zero_matrix": zero_matrix,
     "tiles_xxt": lambda s, d: out(tiles.to_entries(xxt(s, d), False)),
     "tiles_aha": lambda s, d: out(tiles.to_entries(tiles.gram(tiles.from_rows(phi_rows(s, d), n_vectors(s, d), 32, size=16)), True)),
     "cholesky_points": lambda s, d: out(cholesky_of_points(s, d)),
@@ -548,13 +607,12 @@ def _pivot_sql(occupied: int) -> str:
 
 
 def _job_sql() -> str:
-    """Pivots of the first OCC orbitals alone, in ascending order, and the sizes."""
-    rows = " UNION ALL ".join(f"SELECT g FROM p{k}" for k in range(CHOSEN))
-    few = _GRID.replace("FROM x GROUP BY 1, 2)", f"FROM x WHERE j < {2 * OCC} GROUP BY 1, 2)")
-    sizes = {"dims": (-1, 0, 0, OCC, OCC // 2, 1, 0, 0), "THC/dims": (OCC, CHOSEN, CHOSEN), "occups": (0,) * (OCC // 2 + 1)}
+    """Pivots of all orbitals, in ascending order, and the sizes."""
+    rows = " UNION ALL ".join(f"SELECT g FROM p{k}" for k in range(32))
+    sizes = {"dims": (-1, 0, 0, 32, OCC // 2, 1, 0, 0), "THC/dims": (32, 32, 32), "occups": (0,) * (OCC // 2 + 1)}
     values = ", ".join(f"('{name}', CAST({k} AS BIGINT), CAST({v} AS BIGINT))" for name, vs in sizes.items() for k, v in enumerate(vs))
     names = "(VALUES ('THC/InterpIndx'), ('THC/HalfTransformedOccInterpIndx')) n(name)"
-    return f"WITH {few}{_pivots(CHOSEN, OCC)} SELECT name, row_number() OVER (PARTITION BY name ORDER BY g) - 1 AS i, g AS v FROM ({rows}), {names} UNION ALL SELECT * FROM (VALUES {values}) t(name, i, v)"
+    return f"WITH {_GRID}{_pivots(32, 32)} SELECT name, row_number() OVER (PARTITION BY name ORDER BY g) - 1 AS i, g AS v FROM ({rows}), {names} UNION ALL SELECT * FROM (VALUES {values}) t(name, i, v)"
 
 
 _Q = "q AS (SELECT l_suppkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
@@ -647,7 +705,7 @@ ORACLE_SQL: dict[str, str] = {
     "catalog_write_transposed": f"WITH {_X} SELECT j AS i, i AS j, {_r('v')} FROM x",
     "catalog_load_transposed": f"WITH {_X} SELECT j AS i, i AS j, {_r('v')} FROM x",
     "masked_columns": f"WITH {_GRID} SELECT x.j AS i, x.i AS j, {_r('v')} FROM x JOIN grid ON x.i = g WHERE grid.x > 0",
-    "numeric_names": "SELECT CAST(c_custkey AS VARCHAR) AS name FROM customer ORDER BY c_custkey LIMIT 50",
+    "numeric_names": "SELECT CAST(c_custkey AS VARCHAR) AS name FROM customer ORDER BY c_custkey",
     "mo_rotate": f"WITH {_SMALL} SELECT a.j AS i, c.j, round(sum(a.v * h.v * c.v), 6) + 0.0e0 AS v FROM small a JOIN small h ON a.i = h.i AND h.i >= h.j JOIN small c ON h.j = c.i GROUP BY 1, 2",
     "mo_orbitals": f"WITH {_SMALL} SELECT a.i, b.j, round(sum(a.v * b.v), 6) + 0.0e0 AS v FROM x a JOIN small b ON a.j = b.i GROUP BY 1, 2",
     "translation_vectors": f"WITH {_CELLS} SELECT r, {_r('x')}, {_r('y')}, {_r('z')} FROM cells",
@@ -664,4 +722,15 @@ ORACLE_SQL: dict[str, str] = {
     "running_quantities": "SELECT l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS l, l_partkey AS p, CAST(l_quantity AS BIGINT) AS n, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, row_number() OVER w - 1 AS place FROM lineitem WINDOW w AS (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey)",
     "dft_prime": _prime("-"),
     "fft_prime": _prime(""),
+    "orthonormality": f"WITH {_GRID} {_SHAPE}, o AS (SELECT a.j AS i, b.j, sum(v * (a.re * b.re + a.im * b.im)) - CASE WHEN a.j = b.j THEN 1 ELSE 0 END AS re, sum(v * (a.re * b.im - a.im * b.re)) AS im FROM phi a JOIN phi b ON a.i = b.i JOIN kernel ON a.i = g GROUP BY a.j, b.j) SELECT round(max(sqrt(re * re + im * im)), 6) + 0.0e0 AS worst FROM o",
+    "orbital_order": f"WITH {_LEVELS} SELECT k, m, {_r('e')}, row_number() OVER (ORDER BY l.e, k, m) - 1 AS j FROM l",
+    "metric_half": f"WITH {_X} SELECT a.i, b.i AS j, round(coalesce(sum(a.v * b.v) FILTER (a.j < {OCC}), 0) * sum(a.v * b.v) FILTER (a.j >= {OCC}), 6) + 0.0e0 AS v FROM x a JOIN x b ON a.j = b.j GROUP BY 1, 2",
+    "prepared_densities": f"WITH {_SMALLC}, o AS (SELECT a.i AS g, b.j, sum(a.re * b.re - a.im * b.im) AS re, sum(a.re * b.im + a.im * b.re) AS im FROM phi a JOIN sc b ON a.j = b.i GROUP BY 1, 2) SELECT g, round(sum(re * re + im * im), 6) + 0.0e0 AS total, round(sum(re * re + im * im) FILTER (j < {OCC}), 6) + 0.0e0 AS occupied FROM o GROUP BY 1",
+    "molecular_written": f"""WITH {_SMALL}, h AS (SELECT a.j AS i, c.j, sum(a.v * h.v * c.v) AS v FROM small a JOIN small h ON a.i = h.i JOIN small c ON h.j = c.i GROUP BY 1, 2),
+ o AS (SELECT b.j AS i, a.i AS j, sum(a.v * b.v) AS v FROM x a JOIN small b ON a.j = b.i GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM embeddings),
+ r AS (SELECT 'hcore' AS name, i, j, v FROM h UNION ALL SELECT 'THC/Orbitals', i, j, v FROM o UNION ALL SELECT 'THC/HalfTransformedOccOrbitals', i, j, v FROM o WHERE i < 5 UNION ALL SELECT * FROM (VALUES ('Energies', 0, 0, 1.5e0), ('Energies', 1, 0, 0.0e0))
+ UNION ALL SELECT 'dims', k - 1, 0, [0, 0, 0, 64, 5, 3, 0, 0][k] FROM (SELECT unnest(range(1, 9)) AS k) UNION ALL SELECT 'THC/dims', k - 1, 0, [64, n, n][k] FROM n, (SELECT unnest(range(1, 4)) AS k))
+ SELECT name, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(CAST(v AS DOUBLE), 6) + 0.0e0 AS v FROM r""",
+    "class_weights": f"WITH {_C0}{_step(0)} SELECT c, round(c1.w, 6) + 0.0e0 AS w, c1.w < 1e-8 AS weightless FROM c1",
+    "zero_matrix": f"WITH {_X} SELECT i, j, {_r('v')}, 0.0e0 AS zero FROM x",
 }
