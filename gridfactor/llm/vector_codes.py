@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, finite, integers, spread_join, squared_distances, stored
 
 #: Parts of a run, and entries that are compared at a time.
-RUN, STRIDE = 256, 4
+RUN, STRIDE = 1024, 8
 
 
 class Codebook:
