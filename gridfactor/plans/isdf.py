@@ -28,11 +28,9 @@ from ..operators.tiles import SIZE, Tiled
 
 def rows_at(phi: DataFrame, points: list[int]) -> np.ndarray:
     """The rows at some points, in their order: points x orbitals, which LOCAL_ENTRIES bounds."""
-    width = phi.select(F.size("re").alias("n")).first()
-    if width is not None and width.n * len(points) > LOCAL_ENTRIES:
-        raise ValueError(f"{len(points)} points of {width.n} orbitals are more than the driver holds")
-    wanted = phi.sparkSession.createDataFrame([(g,) for g in sorted(set(points))], "g long")
-    t = phi.select("g", "re", "im").join(F.broadcast(wanted), "g", "left_semi").toArrow()  # the chosen points
+    much = F.raise_error(F.lit(f"{len(points)} points are more than the driver holds")).cast("array<double>")
+    fits = lambda c: F.when(F.size(c) * len(points) <= LOCAL_ENTRIES, F.col(c)).otherwise(much).alias(c)
+    t = phi.where(F.col("g").isin(sorted(set(points)))).select("g", fits("re"), fits("im")).toArrow()
     place = {g: k for k, g in enumerate(t["g"].to_pylist())}
     missing = sorted(set(points) - set(place))
     if missing:
@@ -87,7 +85,12 @@ def fit(phi: DataFrame, points: list[int], n_grid: int, occupied: int | None = N
 
 
 def contracted(zeta: DataFrame, kernel: DataFrame, n_grid: int, n: int, size: int = SIZE) -> Tiled:
-    """sum_G v(G) conj(zeta_u(G)) zeta_v(G) of rows (g, re, im) and kernel(g, v), by tiles: no task holds a sum of all u and v."""
+    """sum_G v(G) conj(zeta_u(G)) zeta_v(G) of rows (g, re, im) and kernel(g, v).
+
+    By tiles, so that no task holds a sum of all u and v; if these are one tile, by tasks' sums.
+    """
+    if n <= size:
+        return tiles.sums_of_rows(_weighted(zeta, kernel, "w"), n, n, lambda b: (x := dense_complex(b)).conj().T @ (x * b["w"].to_numpy()[:, None]), size).stored()
     zeta = stored(zeta)
     by_tiles = lambda rows: tiles.from_rows(rows, n_grid, n, size=size)
     return tiles.product(by_tiles(zeta), by_tiles(_weighted(zeta, kernel)), "C", "N", hermitian=True)
@@ -95,12 +98,17 @@ def contracted(zeta: DataFrame, kernel: DataFrame, n_grid: int, n: int, size: in
 
 def contracted_halves(both: DataFrame, kernel: DataFrame, n_grid: int, n: int, size: int = SIZE) -> Tiled:
     """sum_G v(G) left_u(G) right_v(G), of rows that hold the left functions and then as many right ones."""
+    if n <= size:
+        return tiles.sums_of_rows(_weighted(both, kernel, "w"), n, n, lambda b: (x := dense_complex(b))[:, :n].T @ (x[:, n:] * b["w"].to_numpy()[:, None]), size).stored()
     both = stored(both)
     half = lambda rows, first: tiles.from_rows(rows.select("g", *[F.slice(c, first, n).alias(c) for c in ("re", "im")]), n_grid, n, size=size)
     return tiles.product(half(both, 1), half(_weighted(both, kernel), n + 1), "T", "N").stored()
 
 
-def _weighted(rows: DataFrame, kernel: DataFrame) -> DataFrame:
+def _weighted(rows: DataFrame, kernel: DataFrame, name: str | None = None) -> DataFrame:
+    """Rows times the kernel, or with it in a column."""
+    if name:
+        return rows.select("g", "re", "im").join(kernel.select("g", F.col("v").alias(name)), "g")
     times = lambda c: F.transform(c, lambda x: x * F.col("v")).alias(c)
     return rows.join(kernel.select("g", "v"), "g").select("g", times("re"), times("im"))
 

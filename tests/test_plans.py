@@ -360,3 +360,19 @@ def points_pivots(left, right, n):
     from gridfactor.operators.points import pivots
 
     return pivots(left, right, n)
+
+
+@pytest.mark.parametrize("occupied", [None, OCC])
+def test_factors_in_many_tiles(spark, crystal, occupied):
+    """Nine points in tiles of four, where nothing is held in one place, as in one tile."""
+    _, _, phi, kernel, _, _ = crystal
+    points = [0, 7, 13, 22, 31, 38, 44, 52, 59] if occupied is None else [3, 17, 29, 41, 48, 55]
+    one, many = (isdf.factorize(phi, points, SHAPE, kernel, occupied, size) for size in (256, 4))
+    np.testing.assert_allclose(tiles.local(many.m), tiles.local(one.m), atol=1e-8 * abs(tiles.local(one.m)).max())
+    assert one.rank == many.rank == len(points) and many.m.blocks[0] > 1
+    if occupied is None:
+        m, low = tiles.local(many.m), tiles.local(isdf.luv(many.m))
+        np.testing.assert_allclose(low @ low.conj().T, m, atol=1e-8 * abs(m).max())
+        assert not np.triu(low, 1).any()
+    with pytest.raises(ValueError, match="no points"):
+        isdf.rows_at(phi, [1, NG])
