@@ -181,7 +181,7 @@ def duck(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"rank_one_products", "orbital_pairs"}))
+@pytest.mark.parametrize("name", sorted(set(queries.ORACLE_SQL) - {"rank_one_products", "orbital_pairs"}))
 def test_query(spark, sf, duck, name):
     got = queries.QUERIES[name](spark, sf).toPandas()
     assert len(got)
@@ -192,6 +192,14 @@ def test_query(spark, sf, duck, name):
     assert a.astype(str).equals(b.astype(str))
 
 
+def test_sketched_pivots_of_the_vectors(spark, sf):
+    """The one query without SQL: distinct points whose diagonals are of the size of exact pivots'."""
+    got = queries.QUERIES["pivot_points_sketch"](spark, sf).orderBy("step").collect()
+    exact = [r.r for r in queries.QUERIES["pivot_points"](spark, sf).collect()]
+    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {"pivot_points_sketch"}
+    assert len({r.g for r in got}) == len(exact) and min(exact) / 2 < min(r.r for r in got) <= max(r.r for r in got) <= max(exact) * (1 + 1e-9)
+
+
 def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["i", "j", "v"]
