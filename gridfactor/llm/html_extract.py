@@ -300,48 +300,50 @@ def grown(parser: _Lines, sizes: np.ndarray, mine: np.ndarray, upper: np.ndarray
     Lines that are links and in the lower cluster aren't taken, but in an article or main element.
     """
     elements, where = parser.elements, np.array(parser.where)
-    best = sizes * (upper & ~links if (upper & ~links).any() else upper)
-    of = lambda weight: _within(elements, where, weight)
-    found = of(best)
-    at, total = 0, found[0]
-    children: dict[int, list[int]] = {}
-    for k in range(1, len(elements)):
-        children.setdefault(elements[k][0], []).append(k)
-    while child := next((k for k in children.get(at, ()) if found[k] >= MOST_OF * total), None):
-        at = child
+    n = len(elements)
+    ends = np.arange(1, n + 1)  # elements inside k are those from k to ends[k]: they are numbered as they open
+    for k in range(n - 1, 0, -1):
+        up = elements[k][0]
+        if ends[k] > ends[up]:
+            ends[up] = ends[k]
+
+    def of(weight: np.ndarray) -> np.ndarray:
+        """The weight of the lines inside each element."""
+        sums = np.concatenate([[0.0], np.cumsum(np.bincount(where, weight, n))])
+        return sums[ends] - sums[:-1]
+
+    found = of(sizes * (upper & ~links if (upper & ~links).any() else upper))
+    most = np.flatnonzero(found >= MOST_OF * found[0])
+    at = int(most[found[most] > 0].max(initial=0))  # each of these is inside the one before
     for kind in ("main", "article"):
         up = at
         while up and elements[up][1] != kind:
             up = elements[up][0]
         at = up or at
-    all_, bad, linked = of(sizes), of(sizes * ~mine), of(np.array([n for _, n in parser.more]))
-    plain = of(sizes * np.array([elements[k][1] == "p" or elements[k][1] in HEADINGS for k in where]))
-    count, of_links = of(np.ones(len(where))), of(links * 1.0)
-    reads = lambda k: all_[k] and not bad[k] and 2 * linked[k] <= all_[k] and 2 * of_links[k] <= count[k] and plain[k]
-    taken = {at}
+    inside = np.zeros(n, bool)
+    inside[at : ends[at]] = True
     if at:
-        row = [k for k in children[elements[at][0]] if all_[k]]
+        all_, count = of(sizes), of(np.ones(len(where)))
+        parent = elements[at][0]
+        row, k = [], parent + 1
+        while k < ends[parent]:
+            if all_[k]:
+                row.append(k)
+            k = int(ends[k])
         place = row.index(at)
-        for side in (row[place + 1 :], row[:place][::-1]):
-            for k in side:
-                if not reads(k):
-                    break
-                taken.add(k)
+        if len(row) > 1:
+            bad, linked, of_links = of(sizes * ~mine), of(np.array([x for _, x in parser.more])), of(links * 1.0)
+            plain = of(sizes * np.array([elements[k][1] == "p" or elements[k][1] in HEADINGS for k in where]))
+            reads = (all_ > 0) & (bad == 0) & (2 * linked <= all_) & (2 * of_links <= count) & (plain > 0)
+            for side in (row[place + 1 :], row[:place][::-1]):
+                for k in side:
+                    if not reads[k]:
+                        break
+                    inside[k : ends[k]] = True
     whole = elements[at][1] in ("article", "main")
-    inside = np.zeros(len(elements), bool)
-    for k in range(len(elements)):
-        inside[k] = k in taken or (k and inside[elements[k][0]])
     return inside[where] & (whole | upper | ~links)
 
 
-def _within(elements: list[tuple[int, str]], where: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The weight of the lines inside each element."""
-    out = np.bincount(where, weight, len(elements))
-    for k in range(len(elements) - 1, 0, -1):
-        out[elements[k][0]] += out[k]
-    return out
-
-
 def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(x.as_py()) for x in batch["html"]]
