@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import conj, pair, phase, times
-from . import tiles
+from . import lanczos, tiles
 from .matrix import from_local, local
 from .order import ranged, with_place
 from .solve import generalized_eigh
@@ -104,6 +105,31 @@ def gamma_orbitals(orbitals: DataFrame, overlap: np.ndarray, n_ao: int, threshol
     return e, out
 
 
+def lowest_gamma_orbitals(orbitals: DataFrame, overlap: Tiled, n_ao: int, count: int, tolerance: float = 1e-4, **options) -> lanczos.Lowest:
+    """The `count` lowest real supercell orbitals from orbitals_to_supercell(), where neither matrix fits the driver.
+
+    The energy operator S C (E - top) C^H S is made by tiles and has to be real up to `tolerance`: all orbitals together,
+    so that partners needn't be found.  What orbitals don't span has energy 0 there, above all levels, since top is
+    above the highest one.  `options` are lowest_orbitals()'.
+    """
+    bounds = orbitals.agg(F.min("e").alias("low"), F.max("e").alias("high"), (F.max("r") + 1).alias("cells")).first()
+    if bounds.low is None:
+        raise ValueError("there are no orbitals")
+    top = bounds.high + max(1.0, 0.1 * (bounds.high - bounds.low))
+    at = orbitals.join(orbital_order(orbitals), ["k", "m", "e"]).withColumn("i", F.col("r") * (n_ao // bounds.cells) + F.col("p"))
+    n = at.agg((F.max("j") + 1).alias("n")).first().n
+    if count > n:
+        raise ValueError(f"{count} orbitals of {n}")
+    forms = [at.select("i", "j", *[(F.col(c) * by).alias(c) for c in ("re", "im")]) for by in (F.lit(1.0), F.col("e") - top)]
+    half, weighted = (tiles.product(overlap, tiles.from_entries(f, n_ao, n, overlap.size)).stored() for f in forms)
+    energy = tiles.product(weighted, half, "N", "C", hermitian=True).stored()
+    worst = tiles.to_entries(energy, True).agg(F.max(F.abs("im"))).first()[0] or 0.0
+    if worst > tolerance:
+        raise ValueError(f"the orbitals can't be made real: the energy operator has imaginary parts up to {worst:.3g}")
+    found = lanczos.lowest_orbitals(tiles.mapped(energy, lambda x, i, j: x.real), overlap, count, **options)
+    return replace(found, energies=found.energies + top)
+
+
 def _turned(x: np.ndarray) -> np.ndarray:
     return x * np.exp(-1j * np.angle(x[abs(x).argmax()]))
 

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.scalars import multi_index, rounded
-from .functions.storage import new_folder
-from .operators import fourier, jacobi, matrix, order, points, reduce, supercell, tall, tiles
+from .functions.storage import new_folder, stored
+from .operators import fourier, jacobi, lanczos, matrix, order, points, reduce, supercell, tall, tiles
 from .plans import isdf, job, molecular
 from .sources.catalog import Catalog
 from .sources.config import JobConfig
@@ -407,6 +407,34 @@ def saved(s: SparkSession, a: DataFrame, size: tuple[int, int], rows: tuple[int,
     return out(c.load("group/name", rows, transposed))
 
 
+def levels(s: SparkSession, d: str) -> DataFrame:
+    """(i, u, e, w) of each customer: a reflection's vector, an energy that is lower for a lower balance, and a norm."""
+    c = _table(s, d, "customer")
+    energy = -F.exp(-(F.col("c_acctbal").cast("double") + 1000) / 500)
+    rows = order.with_place(order.ranged(c.select("c_custkey", (F.col("c_nationkey") + 1.0).alias("u"), energy.alias("e"), (1 + F.col("c_nationkey") / 50).alias("w")), ["c_custkey"]), ["c_custkey"], "i")
+    return rows.select("i", "u", "e", "w")
+
+
+def reflected(rows: DataFrame, value: str, n: int, size: int) -> tiles.Tiled:
+    """Q D Q for the diagonal D of a column and the reflection Q = 1 - 2 u u^T / u^T u, as a diagonal and a product of two tall matrices."""
+    sums = rows.agg(F.sum(F.col("u") * F.col("u")).alias("uu"), F.sum(F.col("u") * F.col("u") * F.col(value)).alias("udu")).first()
+    b = 2 / sums.uu
+    # D - b (u (Du)^T + (Du) u^T) + b^2 (u^T D u) u u^T = D + [u, Du] [b^2 u^T D u u - b Du, -b u]^T
+    left = (F.col("u"), F.col("u") * F.col(value))
+    right = (b * b * sums.udu * left[0] - b * left[1], -b * left[0])
+    tall_of = lambda columns: tiles.from_rows(rows.select("i", F.array(*columns).alias("v")), n, 2, "i", "v", None, size)
+    diagonal = tiles.from_entries(rows.select("i", F.col("i").alias("j"), F.col(value).alias("v")), n, n, size)
+    return tiles.zipped(tiles.product(tall_of(left), tall_of(right), "N", "T"), diagonal, lambda x, y: x + y)
+
+
+def lowest_levels(s: SparkSession, d: str, count: int = 8) -> DataFrame:
+    """The lowest energies of (Q E Q) c = e (Q W Q) c, which are those of E / W."""
+    rows = stored(levels(s, d))
+    n = rows.count()
+    found = lanczos.lowest_orbitals(reflected(rows, "e", n, 256), reflected(rows, "w", n, 256), count, width=32)
+    return s.createDataFrame([(j, float(e)) for j, e in enumerate(found.energies)], "j long, e double")
+
+
 def n_vectors(s: SparkSession, d: str) -> int:
     return _table(s, d, "embeddings").count()
 
@@ -526,6 +554,7 @@ QUERIES: dict[str, Query] = {
     "molecular_written": molecular_written,
     "class_weights": class_weights,
     "zero_matrix": zero_matrix,
+    "lowest_orbitals": lambda s, d: out(lowest_levels(s, d)),
     "tiles_xxt": lambda s, d: out(tiles.to_entries(xxt(s, d), False)),
     "tiles_aha": lambda s, d: out(tiles.to_entries(tiles.gram(tiles.from_rows(phi_rows(s, d), n_vectors(s, d), 32, size=16)), True)),
     "cholesky_points": lambda s, d: out(cholesky_of_points(s, d)),
@@ -713,6 +742,9 @@ ORACLE_SQL: dict[str, str] = {
     "supercell_phase": f"WITH {_PHASE} SELECT r, k, {_COMPLEX} FROM ph",
     "energy_order": f"WITH {_LEVELS} SELECT m, k, {_r('e')}, row_number() OVER (PARTITION BY k ORDER BY l.e, m) - 1 AS place FROM l",
     "supercell_matrix": f"WITH {_PHASE}, a AS (SELECT CAST(c_nationkey AS BIGINT) AS k, CAST(ascii(o_orderpriority) AS BIGINT) AS p, CAST(ascii(o_orderstatus) AS BIGINT) AS q, sum(o_totalprice) / 1e6 AS re, count(*) / 1e3 AS im FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2, 3) SELECT s.r AS r, p, t.r AS s, q, round(sum((s.re * t.re + s.im * t.im) * a.re - (s.im * t.re - s.re * t.im) * a.im), 4) + 0.0e0 AS re, round(sum((s.re * t.re + s.im * t.im) * a.im + (s.im * t.re - s.re * t.im) * a.re), 4) + 0.0e0 AS im FROM a JOIN ph s USING (k) JOIN ph t USING (k) GROUP BY 1, 2, 3, 4",
+    "lowest_orbitals": """
+        SELECT row_number() OVER (ORDER BY e) - 1 AS j, round(e, 6) + 0.0e0 AS e
+        FROM (SELECT -exp(-(CAST(c_acctbal AS DOUBLE) + 1000) / 500) / (1 + c_nationkey / 50) AS e FROM customer ORDER BY 1 LIMIT 8)""",
     "tiles_xxt": f"WITH {_X} SELECT a.i, b.i AS j, round(sum(a.v * b.v), 6) + 0.0e0 AS v FROM x a JOIN x b ON a.j = b.j GROUP BY 1, 2",
     "tiles_aha": f"WITH {_PHI} SELECT a.j AS i, b.j, round(sum(a.re * b.re + a.im * b.im), 6) + 0.0e0 AS re, round(sum(a.re * b.im - a.im * b.re), 6) + 0.0e0 AS im FROM phi a JOIN phi b ON a.i = b.i GROUP BY 1, 2",
     "cholesky_points": f"WITH {_X} SELECT a.i, b.i AS j, round(sum(a.v * b.v) + CASE WHEN a.i = b.i THEN 1 ELSE 0 END, 6) + 0.0e0 AS v FROM x a JOIN x b ON a.j = b.j GROUP BY a.i, b.i",
