@@ -1,19 +1,22 @@
 """Sharding by minimax contiguous partition [native: DataFrame functions only].
 
-Groups of equal texts are atoms, put in order by a 63-bit hash.  The smallest capacity C for which the
-ordered atoms fit into the shards is found by binary search with a greedy check.  The driver never
-holds the atoms: it sees sums over ranges of hashes (at most a few ten thousand), which bound C from
-below (a range can be cut anywhere) and from above (a range can't be cut).  Only ranges where a cut may
-lie are divided further, until both bounds meet; that capacity is exact.
+Groups of equal texts are atoms, put in order by a 63-bit hash, and shards are cuts of that one order.  The smallest
+capacity C is found for which a greedy check fits the ordered atoms into the shards, where each shard holds at most C
+or is one atom: an atom above every capacity that others need doesn't raise theirs, and the largest shard is as
+small as any cuts make it.  The driver never holds the atoms: it sees sums over ranges of hashes (at most a few ten
+thousand), which bound C from below (a range can be cut anywhere) and from above (a range can't be cut).  Only
+ranges where a cut may lie are divided further, until both bounds meet; that capacity is exact.
 
 Nulls: a null text counts as empty bytes (size 1) and is grouped with empty texts; null ids are kept.
-Repeated rows are rows of their own, in the shard of their text.  An empty table gives no rows.
-A text group above an equal share of all sizes gets a shard to itself; the others share what is left.
+Repeated rows are rows of their own, in the shard of their text; they are counted once and made again from their
+number, so that one row repeated any number of times is no large group.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,29 +27,45 @@ BITS, FIRST, STEP = 63, 12, 6
 ROWS_PER_BUCKET = 1 << 14
 
 
+class Range(NamedTuple):
+    first: int  # the lowest hash it may have
+    bits: int  # of its prefix
+    size: int
+    atom: bool  # whether it is one atom
+    top: int  # size of its largest atom
+
+
 class _Ranges:
-    """Ordered ranges of hashes: (first hash, bits of the prefix, bytes, whether it is one atom)."""
+    """Ordered ranges of hashes."""
 
-    def __init__(self, ranges: list[tuple[int, int, int, bool]]):
+    def __init__(self, ranges: list[Range]):
         self.ranges = sorted(ranges)
-        self.ends = [0]
-        for r in self.ranges:
-            self.ends.append(self.ends[-1] + r[2])
+        self.ends = list(accumulate((r.size for r in self.ranges), initial=0))
+
+    def _reach(self, at: int, cap: int) -> int:
+        """The end of the largest shard of whole ranges that starts at a range."""
+        end = bisect_right(self.ends, self.ends[at] + cap) - 1
+        return at + 1 if end == at < len(self.ranges) and self.ranges[at].atom else end
 
     def whole(self, cap: int, shards: int, strict: bool = True) -> list[int] | None:
         """Ends of the greedy shards as indices of ranges, where no range is cut; None if they don't fit."""
         cuts, at = [], 0
         for _ in range(shards):
-            at = bisect_right(self.ends, self.ends[at] + cap) - 1
+            at = self._reach(at, cap)
             cuts.append(at)
         return cuts if not strict or at == len(self.ranges) else None
 
     def split(self, cap: int, shards: int) -> list[int] | None:
-        """Ends of the greedy shards in bytes, where a range that isn't one atom can be cut anywhere."""
+        """Ends in bytes that no greedy shards pass, since a range of several atoms can be cut anywhere, or after its largest."""
         cuts, at = [], 0
         for _ in range(shards):
             j = bisect_right(self.ends, at + cap) - 1
-            at = self.ends[j] if j == len(self.ranges) or self.ranges[j][3] else at + cap
+            if j == len(self.ranges):
+                at = self.ends[j]
+            elif self.ranges[j].atom:
+                at = self.ends[j + 1] if at == self.ends[j] else self.ends[j]
+            else:
+                at = min(self.ends[j + 1], at + max(cap, self.ranges[j].top))
             cuts.append(at)
         return cuts if at >= self.ends[-1] else None
 
@@ -62,20 +81,24 @@ class _Ranges:
         found: set[int] = set()
         for first, last in zip(self.whole(low, shards, strict=False), self.split(high, shards)):
             found.update(range(first, min(bisect_left(self.ends, last), len(self.ranges))))
-        return [j for j in sorted(found) if not self.ranges[j][3]]
+        return [j for j in sorted(found) if not self.ranges[j].atom]
 
     def even(self, cap: int, shards: int) -> list[int]:
-        """Cuts within the capacity that are as near to equal sizes as the ranges' ends allow."""
+        """Cuts within the capacity that are as near to equal sizes as the ranges' ends allow; atoms above it count as a shard's share."""
         last = [len(self.ranges)]
         for _ in range(shards):
-            last.append(bisect_left(self.ends, self.ends[last[-1]] - cap))
+            start, end = bisect_left(self.ends, self.ends[last[-1]] - cap), last[-1]
+            last.append(end - 1 if start == end > 0 and self.ranges[end - 1].atom else start)
+        alone = [r.size > cap for r in self.ranges]
+        share = (self.ends[-1] - sum(r.size for r, a in zip(self.ranges, alone) if a)) / max(1, shards - sum(alone))
+        weight = list(accumulate((share if a else r.size for r, a in zip(self.ranges, alone)), initial=0))
         cuts, at = [], 0
         for left in range(shards - 1, 0, -1):
-            goal = self.ends[at] + (self.ends[-1] - self.ends[at]) / (left + 1)
-            j = bisect_left(self.ends, goal)
-            if j > at and goal - self.ends[j - 1] <= self.ends[min(j, len(self.ranges))] - goal:
+            goal = weight[at] + (weight[-1] - weight[at]) / (left + 1)
+            j = min(bisect_left(weight, goal), len(self.ranges))
+            if j - 1 > at and goal - weight[j - 1] <= weight[j] - goal:
                 j -= 1
-            at = min(max(j, last[left], at), bisect_right(self.ends, self.ends[at] + cap) - 1)
+            at = min(max(j, last[left], at), self._reach(at, cap))
             cuts.append(at)
         return cuts
 
@@ -84,22 +107,14 @@ def _prefix(bits: int) -> Column:
     return F.shiftright("u", BITS - bits)
 
 
-def _ranges(groups: DataFrame, bits: Column, prefix: Column) -> list[tuple[int, int, int, bool]]:
-    found = groups.groupBy(bits.alias("bits"), prefix.alias("p")).agg(F.sum("size").alias("size"), F.min("u").alias("a"), F.max("u").alias("b"))
-    return [(r.p << (BITS - r.bits), r.bits, r.size, r.a == r.b) for r in found.collect()]
+def _ranges(groups: DataFrame, bits: Column, prefix: Column) -> list[Range]:
+    found = groups.groupBy(bits.alias("bits"), prefix.alias("p")).agg(F.sum("size").alias("size"), F.max("size").alias("top"), F.min("u").alias("a"), F.max("u").alias("b"))
+    return [Range(r.p << (BITS - r.bits), r.bits, r["size"], r.a == r.b, r.top) for r in found.collect()]
 
 
-def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], list[int], int]:
-    """groups(u, size): the giant atoms that get a shard each, the first hashes of the 2nd, 3rd ... shard of the rest, and the least capacity of the rest."""
-    total = groups.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    giants = []
-    for r in groups.where(F.col("size") * shards > total).orderBy(F.desc("size"), "u").collect():  # fewer than shards
-        if shards - len(giants) > 1 and r["size"] * (shards - len(giants)) > total:
-            giants.append(r["u"])
-            total -= r["size"]
-    shards -= len(giants)
-    rest = groups.where(~F.col("u").isin(giants)) if giants else groups
-    state = _Ranges(_ranges(rest, F.lit(FIRST), _prefix(FIRST)))
+def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
+    """groups(u, size): the first hashes of the 2nd, 3rd ... shard, and the least capacity that each shard keeps or is one atom."""
+    state = _Ranges(_ranges(groups, F.lit(FIRST), _prefix(FIRST)))
     while True:
         low, high = state.least(state.split, shards), state.least(state.whole, shards)
         todo = [] if low == high else state.unsure(low, high, shards)
@@ -107,22 +122,23 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], list[int],
             break
         by_bits: dict[int, list[int]] = {}
         for j in todo:
-            by_bits.setdefault(state.ranges[j][1], []).append(state.ranges[j][0] >> (BITS - state.ranges[j][1]))
+            by_bits.setdefault(state.ranges[j].bits, []).append(state.ranges[j].first >> (BITS - state.ranges[j].bits))
         where, bits = F.lit(False), F.lit(0)
         for b, prefixes in by_bits.items():
             inside = _prefix(b).isin(prefixes)
             where, bits = where | inside, F.when(inside, min(b + STEP, BITS)).otherwise(bits)
-        finer = rest.where(where).withColumn("bits", bits)
+        finer = groups.where(where).withColumn("bits", bits)
         keep = [r for j, r in enumerate(state.ranges) if j not in set(todo)]
         state = _Ranges(keep + _ranges(finer, F.col("bits"), F.expr(f"shiftright(u, {BITS} - bits)")))
-    cuts = [state.ranges[j][0] if j < len(state.ranges) else 1 << BITS for j in state.even(high, shards)] if state.ranges else []
-    return giants, [min(c, (1 << 63) - 1) for c in cuts], high
+    cuts = [state.ranges[j].first if j < len(state.ranges) else 1 << BITS for j in state.even(high, shards)] if state.ranges else []
+    return [min(c, (1 << 63) - 1) for c in cuts], high
 
 
-def minimax_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def minimax_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", piece: int = ROWS_PER_BUCKET) -> DataFrame:
     """Per row of docs: its id, `size` (UTF-8 bytes + 1), `text_crc32`, `shard` and its gapless `slot` in the shard.
 
-    Rows of equal texts share a shard; the largest shard is as small as cuts of the ordered groups allow.
+    Rows of equal texts share a shard; the largest shard is as small as cuts of the ordered groups allow.  A row that
+    comes more than `piece` times is made again by as many tasks as it has pieces.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -131,21 +147,26 @@ def minimax_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id",
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.shiftrightunsigned(F.xxhash64(text), 1).alias("u"),
     )
-    groups = checkpointed(rows.groupBy("u").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
+    kinds = checkpointed(rows.groupBy("doc_id", "size", "text_crc32", "u").agg(F.count("*").alias("n")))
+    groups = checkpointed(kinds.groupBy("u").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n")))
     n_rows = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    giants, cuts, _ = minimax_cuts(groups.drop("n"), n_shards)
-    shard = F.lit(len(giants))
+    cuts, _ = minimax_cuts(groups.drop("n"), n_shards)
+    shard = F.lit(0)
     for c in cuts:
         shard = shard + (F.col("u") >= F.lit(c)).cast("int")
-    for k, g in enumerate(giants):
-        shard = F.when(F.col("u") == F.lit(g), F.lit(k)).otherwise(shard)
     buckets = max(16, -(-n_rows // (ROWS_PER_BUCKET * n_shards)))
-    rows = rows.select("*", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id", "u"), F.lit(buckets)).cast("int").alias("bucket"))
+    kinds = kinds.select("*", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("doc_id", "u"), F.lit(buckets)).cast("int").alias("bucket"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "u"))
-    placed = rows.withColumn("nth", inside).join(starts, ["shard", "bucket"])
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("nth") - 1).alias("slot"))
+    starts = kinds.groupBy("shard", "bucket").agg(F.sum("n").alias("m")).select("shard", "bucket", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "u", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    placed = kinds.withColumn("nth", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, ["shard", "bucket"])
+    placed = placed.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("nth")).alias("slot"), "n")
+    kept = ["doc_id", "size", "text_crc32", "shard"]
+    few = placed.where(F.col("n") <= piece)
+    part = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / piece))).alias("part")
+    pieces = placed.where(F.col("n") > piece).select("*", part).repartition("shard", "slot", "part")
+    many = pieces.select(*kept, (F.col("slot") + F.col("part") * piece).alias("slot"), F.least(F.lit(piece), F.col("n") - F.col("part") * piece).alias("n"))
+    return few.unionByName(many).select(*kept, F.explode(F.sequence(F.col("slot"), F.col("slot") + F.col("n") - 1)).alias("slot"))
 
 
 def op10_minimax_shards(docs: DataFrame) -> DataFrame:

@@ -808,13 +808,14 @@ def test_ngrams():
 # ---------------------------------------------------------------- 10
 def least_capacity(sizes, shards):
     def fits(cap):
-        used, room = 1, cap
+        used, room = 0, 0
         for s in sizes:
-            if s > cap:
-                return False
-            if s > room:
-                used, room = used + 1, cap
-            room -= s
+            if s > cap:  # alone
+                used, room = used + 1, 0
+            elif s > room:
+                used, room = used + 1, cap - s
+            else:
+                room -= s
         return used <= shards
 
     low, high = 0, sum(sizes)
@@ -824,20 +825,36 @@ def least_capacity(sizes, shards):
     return low
 
 
-@pytest.mark.parametrize("n, shards", [(1, 4), (5, 16), (300, 7), (20_000, 16)])
-def test_minimax(spark, n, shards):
-    rng = np.random.default_rng(n)
+@pytest.mark.parametrize("n, shards, hot", [(1, 4, 0), (5, 16, 0), (300, 7, 0), (20_000, 16, 0), (300, 7, 2), (2000, 16, 1), (2000, 16, 3), (2000, 4, 6)])
+def test_minimax(spark, n, shards, hot):
+    """Shards are cuts of one order, each within the least capacity or one atom, also with atoms of a third of all and more."""
+    rng = np.random.default_rng(n + hot)
     u = np.sort(rng.integers(0, 1 << 63, n, dtype=np.int64))
     sizes = rng.integers(1, 1000, n)
+    sizes[rng.choice(n, hot, replace=False)] = 250 * n
     groups = spark.createDataFrame(list(zip(u.tolist(), sizes.tolist())), "u long, size long")
-    giants, cuts, cap = sharding.minimax_cuts(groups, shards)
-    rest = [(a, s) for a, s in zip(u.tolist(), sizes.tolist()) if a not in giants]
-    k = shards - len(giants)
-    assert cap == least_capacity([s for _, s in rest], k)
-    load = Counter()
-    for a, s in rest:
-        load[sum(a >= c for c in cuts)] += s
-    assert max(load.values(), default=0) <= cap and max(load, default=0) < k
+    cuts, cap = sharding.minimax_cuts(groups, shards)
+    assert cap == least_capacity(sizes.tolist(), shards) and cuts == sorted(cuts)
+    held = defaultdict(list)
+    for a, s in zip(u.tolist(), sizes.tolist()):
+        held[sum(a >= c for c in cuts)].append(s)
+    assert all(sum(x) <= cap or len(x) == 1 for x in held.values()) and max(held) < shards
+    if n >= shards + hot:
+        assert len(held) == shards
+
+
+def test_one_row_many_times(spark):
+    """A row repeated 200,000 times beside others: slots have no gap, and no task makes twice the mean of its rows."""
+    one = spark.range(200_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same words").alias("text"))
+    docs = one.unionByName(spark.range(3000).select("id", F.concat(F.lit("text "), F.col("id") % 900)).toDF("doc_id", "text")).unionByName(spark.createDataFrame([(None, None)] * 40, "doc_id long, text string"))
+    found = sharding.minimax_shards(docs, 4, piece=1000)
+    rows = found.agg(F.count("*").alias("n"), F.countDistinct("shard", "slot").alias("d")).first()
+    assert rows.n == rows.d == 203_040
+    ends = {r.shard: (r.n, r.low, r.high) for r in found.groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high")).collect()}
+    assert all(low == 0 and high == n - 1 for n, low, high in ends.values())
+    assert found.where("doc_id = 7 and size = 11").count() == 200_000 and found.where("doc_id is null and size = 1").count() == 40
+    tasks = [r.n for r in found.where("doc_id = 7").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) > 1 and max(tasks) < 2 * sum(tasks) / len(tasks)
 
 
 def test_shards(docs, odd, none):
@@ -862,14 +879,12 @@ def test_shards_of_documents_against_plain_code(docs):
     rows = sharding.op10_minimax_shards(docs).collect()
     assert Counter((r.doc_id, r["size"], r.text_crc32, r.law) for r in rows) == Counter((k, len((x or "").encode()) + 1, zlib.crc32((x or "").encode()), "bytes") for k, x in texts.items())
     groups = docs.groupBy(F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1).alias("u")).agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("size")).collect()
-    sizes, shards, load = [r["size"] for r in sorted(groups)], 16, Counter()
+    load, texts_of = Counter(), defaultdict(set)
     for r in rows:
         load[r.shard] += r["size"]
-    for s in sorted(sizes, reverse=True):  # a group above an equal share is alone
-        if s * shards > sum(sizes) and shards > 1:
-            sizes.remove(s)
-            shards -= 1
-    assert max(x for k, x in load.items() if k >= 16 - shards) == least_capacity(sizes, shards)
+        texts_of[r.shard].add((r["size"], r.text_crc32))
+    cap = least_capacity([r["size"] for r in sorted(groups)], 16)
+    assert all(x <= cap or len(texts_of[k]) == 1 for k, x in load.items()) and len(load) == 16
 
 
 def test_routes():
