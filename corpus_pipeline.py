@@ -6,7 +6,7 @@ the last one returns each document's place in the shards.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridfactor.llm.common import checkpointed, counted, scratch, shared_dir, table
@@ -44,8 +44,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = keyed.join(gone, (F.col("__key") == F.col("__gone")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
     named = F.col("doc_id").isNotNull() | F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0d]")
     again = counted(keyed.where(named).groupBy(F.col("__key").alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1").select("__again"))
-    nth = F.row_number().over(Window.partitionBy("__key", "doc_id").orderBy("source", "lang"))
-    repeated = kept.join(again, F.col("__key") == F.col("__again"), "left_semi").withColumn("__nth", nth).where("__nth = 1")
+    # a grouped minimum, which every task begins with its own rows: one row may be repeated any number of times
+    repeated = kept.join(again, F.col("__key") == F.col("__again"), "left_semi").groupBy("__key", F.col("doc_id").alias("__id"))
+    repeated = repeated.agg(F.min_by(F.struct(*docs.columns), F.struct("source", "lang")).alias("__row")).select("__row.*")
     once = kept.join(again, F.col("__key") == F.col("__again"), "left_anti")
     return once.select(docs.columns).unionByName(repeated.select(docs.columns))
 
