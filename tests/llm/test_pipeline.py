@@ -111,3 +111,12 @@ def test_run_leaves_stage_outputs_alone(spark, sf, tmp_path, monkeypatch):
     left = [p for p in (tmp_path / "ck").iterdir() if not p.name.startswith(".") and any(p.iterdir())]
     assert len(left) == len(corpus_pipeline.STAGES) and all((p / "_SUCCESS").exists() for p in left)
     assert storage._scratch == []
+
+
+def test_one_row_many_times(spark, sf):
+    """Of a row repeated 100,000 times one stays, also if its source differs (the first by source then language); no task gets all of them."""
+    one = spark.range(100_000).select(F.lit(3).cast("long").alias("doc_id"), F.lit("one two three four five six").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") % 2 == 0, "b").otherwise("a").alias("source"), F.lit(27).alias("n_chars"))
+    other = spark.createDataFrame([(4, "seven eight nine ten eleven twelve", None, None, 3)], one.schema.simpleString()[7:-1].replace(":", " "))
+    out = corpus_pipeline.near_duplicates(spark, one.unionByName(other), sf)
+    assert "row_number" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id, r.source) for r in out.collect()) == [(3, "a"), (4, None)]
