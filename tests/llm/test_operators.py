@@ -495,6 +495,38 @@ def test_mix_documents(odd):
     assert got == +want
 
 
+def test_mix_of_a_row_many_times(spark):
+    """One row 200,000 times, with another column that differs: it is in many blocks and shards, no task makes or gets them all, each copy is drawn as the mix says."""
+    n = 200_000
+    one = spark.range(n).select(F.lit(3).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.when(F.col("id") % 4 == 0, None).otherwise("a").alias("source"), F.col("id").alias("extra"))
+    other = spark.createDataFrame([(4, "b " * 1000, "a", -1), (None, None, "a", -2), (None, None, "a", -3)], "doc_id long, text string, source string, extra long")
+    docs = one.unionByName(other)
+    mix = mixing.mix_sources(docs, n_shards=8).cache()
+    rows = mix.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.sum(F.col("size") * F.size("draws")).alias("taken"), F.max("target").alias("target"), F.countDistinct("block").alias("blocks"), F.countDistinct("nth").alias("nths"), F.max(F.size("draws")).alias("most")).collect()
+    found = {(r.source, r.doc_id): r for r in rows}
+    assert {k: (r.n, r.nths) for k, r in found.items()} == {("a", 3): (3 * n // 4, 3 * n // 4), (None, 3): (n // 4, n // 4), ("a", 4): (1, 1), ("a", None): (2, 2)}
+    for s in ("a", None):
+        mine = [r for r in rows if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 1000 and all(r.most <= 3 for r in mine)
+    assert found["a", 3].blocks > 250 and found[None, 3].blocks > 80  # of 293 and 98
+    per_block = mix.groupBy("source", "block").count().agg(F.max("count")).first()[0]
+    assert per_block < 2 * 512
+    drawn = mixing.drawn_documents(docs, mix).cache()
+    want = {(r.source, r.shard): r.n for r in mix.select("source", F.explode("draws.shard").alias("shard")).groupBy("source", "shard").agg(F.count("*").alias("n")).collect()}
+    assert {(r.source, r.mix_shard): r.n for r in drawn.groupBy("source", "mix_shard").agg(F.count("*").alias("n")).collect()} == want
+    load = Counter()
+    for (_, shard), k in want.items():
+        load[shard] += k
+    assert len(load) == 8 and max(load.values()) < 2 * min(load.values())
+    assert drawn.groupBy("extra").count().agg(F.max("count")).first()[0] <= 3
+    # places tie only between rows of different sources that agree in id and text, whose hashes are the same
+    assert drawn.select("source", "mix_shard", "mix_place").distinct().count() == drawn.count()
+    sizes = spark.createDataFrame(mixing._numbered(one.withColumn("__key", F.struct("doc_id", "source"))).select("source", "__nth").toPandas()).groupBy("source").agg(F.countDistinct("__nth").alias("n"), F.max("__nth").alias("top"))
+    assert {r.source: (r.n, r.top) for r in sizes.collect()} == {"a": (3 * n // 4, 3 * n // 4 - 1), None: (n // 4, n // 4 - 1)}
+    mix.unpersist()
+    drawn.unpersist()
+
+
 # ---------------------------------------------------------------- 5
 def brute_removed(rows):
     least = {}
