@@ -134,17 +134,16 @@ def _turned(x: np.ndarray) -> np.ndarray:
     return x * np.exp(-1j * np.angle(x[abs(x).argmax()]))
 
 
-def k_to_gamma(orbitals: DataFrame, phase_table: DataFrame, overlaps: DataFrame, gamma: np.ndarray) -> DataFrame:
+def k_to_gamma(orbitals: DataFrame, phase_table: DataFrame, overlaps: DataFrame, gamma: DataFrame) -> DataFrame:
     """How k-point orbitals make up gamma-point orbitals: (k, i, j, re, im) = sum conj(C_k[u, i]) S_k[u, v] conj(phase[r, k]) C_gamma[rv, j].
 
-    orbitals(k, p, m, re, im) and overlaps(k, p, q, re, im) are of the unit cell; gamma is (cells * basis functions, orbitals).
+    orbitals(k, p, m, re, im) and overlaps(k, p, q, re, im) are of the unit cell; gamma(r, q, j, v) is real, of the cells' basis functions.
+    Both products that reach the last join are grouped sums: no row is made for each pair of a k-point and an entry of the overlap of cells.
     """
-    n_ao = overlaps.agg((F.max("q") + 1).alias("n")).first().n
-    rows = from_local(orbitals.sparkSession, gamma).select(F.floor(F.col("i") / n_ao).alias("r"), F.pmod("i", F.lit(n_ao)).alias("q"), "j", "v")
     left = orbitals.select("k", "p", F.col("m").alias("i"), F.col("re").alias("cr"), F.col("im").alias("ci"))
     re, im = times(conj(pair("cr", "ci")), pair("re", "im"))
     half = left.join(overlaps, ["k", "p"]).groupBy("k", "i", "q").agg(F.sum(re).alias("hr"), F.sum(im).alias("hi"))
-    folded = phase_table.join(rows, "r").groupBy("k", "q", "j").agg(F.sum(F.col("re") * F.col("v")).alias("gr"), F.sum(-F.col("im") * F.col("v")).alias("gi"))
+    folded = phase_table.join(gamma, "r").groupBy("k", "q", "j").agg(F.sum(F.col("re") * F.col("v")).alias("gr"), F.sum(-F.col("im") * F.col("v")).alias("gi"))
     re, im = times(pair("hr", "hi"), pair("gr", "gi"))
     return half.join(folded, ["k", "q"]).groupBy("k", "i", "j").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
 

@@ -296,6 +296,16 @@ def metric_half(s: SparkSession, d: str) -> DataFrame:
     return out(tiles.to_entries(molecular.metric_half(part(1, OCC), part(OCC + 1, 64 - OCC)), False))
 
 
+def k_to_gamma(s: SparkSession, d: str) -> DataFrame:
+    """Orbitals of nations by priority and segment, in terms of orbitals of all nations by status and segment."""
+    sales = _table(s, d, "customer").join(_table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    at = {n: e.cast("long").alias(n) for n, e in {"k": F.col("c_nationkey"), "r": F.col("c_nationkey"), "p": F.ascii("o_orderpriority"), "q": F.ascii("o_orderstatus"), "m": F.ascii("c_mktsegment"), "j": F.ascii("c_mktsegment")}.items()}
+    price = F.sum("o_totalprice") / 1e7
+    orbitals = sales.groupBy(at["k"], at["p"], at["m"]).agg(price.alias("re"), (F.count("*") / 1e4).alias("im"))
+    gamma = sales.groupBy(at["r"], at["q"], at["j"]).agg(price.alias("v"))
+    return out(supercell.k_to_gamma(orbitals, phase_table(s, d), k_matrices(s, d), gamma), 4)
+
+
 def prepared_densities(s: SparkSession, d: str) -> DataFrame:
     """(g, full, occupied): densities of orbitals that a rotation by the mean outer product makes."""
     c = matrix.local(small_complex(s, d), 32, 32)
@@ -551,6 +561,7 @@ QUERIES: dict[str, Query] = {
     "orbital_order": orbital_order,
     "metric_half": metric_half,
     "prepared_densities": prepared_densities,
+    "k_to_gamma": k_to_gamma,
     "molecular_written": molecular_written,
     "class_weights": class_weights,
     "zero_matrix": zero_matrix,
@@ -755,6 +766,7 @@ ORACLE_SQL: dict[str, str] = {
     "dft_prime": _prime("-"),
     "fft_prime": _prime(""),
     "orthonormality": f"WITH {_GRID} {_SHAPE}, o AS (SELECT a.j AS i, b.j, sum(v * (a.re * b.re + a.im * b.im)) - CASE WHEN a.j = b.j THEN 1 ELSE 0 END AS re, sum(v * (a.re * b.im - a.im * b.re)) AS im FROM phi a JOIN phi b ON a.i = b.i JOIN kernel ON a.i = g GROUP BY a.j, b.j) SELECT round(max(sqrt(re * re + im * im)), 6) + 0.0e0 AS worst FROM o",
+    "k_to_gamma": f"WITH {_PHASE}, sales AS (SELECT CAST(c_nationkey AS BIGINT) AS k, CAST(ascii(o_orderpriority) AS BIGINT) AS p, CAST(ascii(o_orderstatus) AS BIGINT) AS q, CAST(ascii(c_mktsegment) AS BIGINT) AS m, o_totalprice AS price FROM customer JOIN orders ON c_custkey = o_custkey), c AS (SELECT k, p, m, sum(price) / 1e7 AS re, count(*) / 1e4 AS im FROM sales GROUP BY 1, 2, 3), s AS (SELECT k, p, q, sum(price) / 1e6 AS re, count(*) / 1e3 AS im FROM sales GROUP BY 1, 2, 3), g AS (SELECT k AS r, q, m AS j, sum(price) / 1e7 AS v FROM sales GROUP BY 1, 2, 3), h AS (SELECT k, m AS i, q, sum(c.re * s.re + c.im * s.im) AS re, sum(c.re * s.im - c.im * s.re) AS im FROM c JOIN s USING (k, p) GROUP BY 1, 2, 3), f AS (SELECT k, q, j, sum(ph.re * v) AS re, sum(-ph.im * v) AS im FROM ph JOIN g USING (r) GROUP BY 1, 2, 3) SELECT k, i, j, round(sum(h.re * f.re - h.im * f.im), 4) + 0.0e0 AS re, round(sum(h.re * f.im + h.im * f.re), 4) + 0.0e0 AS im FROM h JOIN f USING (k, q) GROUP BY 1, 2, 3",
     "orbital_order": f"WITH {_LEVELS} SELECT k, m, {_r('e')}, row_number() OVER (ORDER BY l.e, k, m) - 1 AS j FROM l",
     "metric_half": f"WITH {_X} SELECT a.i, b.i AS j, round(coalesce(sum(a.v * b.v) FILTER (a.j < {OCC}), 0) * sum(a.v * b.v) FILTER (a.j >= {OCC}), 6) + 0.0e0 AS v FROM x a JOIN x b ON a.j = b.j GROUP BY 1, 2",
     "prepared_densities": f"WITH {_SMALLC}, o AS (SELECT a.i AS g, b.j, sum(a.re * b.re - a.im * b.im) AS re, sum(a.re * b.im + a.im * b.re) AS im FROM phi a JOIN sc b ON a.j = b.i GROUP BY 1, 2) SELECT g, round(sum(re * re + im * im), 6) + 0.0e0 AS total, round(sum(re * re + im * im) FILTER (j < {OCC}), 6) + 0.0e0 AS occupied FROM o GROUP BY 1",

@@ -285,7 +285,8 @@ def test_k_to_gamma_and_spins(spark):
     phase = np.exp(2j * np.pi * np.outer(np.arange(n), np.arange(n)) / n) / n**0.5
     want = np.einsum("kui,kuv,rk,rvj->kij", c.conj(), s, phase.conj(), gamma.reshape(n, ao, -1))
     rows = lambda x, names: spark.createDataFrame([(q, u, i, float(x[q, u, i].real), float(x[q, u, i].imag)) for q in range(n) for u in range(ao) for i in range(ao)], names)
-    got = supercell.k_to_gamma(rows(c, "k long, p long, m long, re double, im double"), ph, rows(s, "k long, p long, q long, re double, im double"), gamma)
+    cells_rows = matrix.from_local(spark, gamma).select(F.floor(F.col("i") / ao).alias("r"), (F.col("i") % ao).alias("q"), "j", "v")
+    got = supercell.k_to_gamma(rows(c, "k long, p long, m long, re double, im double"), ph, rows(s, "k long, p long, q long, re double, im double"), cells_rows)
     for r in got.collect():
         assert abs(complex(r.re, r.im) - want[r.k, r.i, r.j]) < 1e-12
     assert got.count() == want.size
