@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import conj, pair, phase, times
 from . import lanczos, tiles
-from .matrix import from_local, local
+from .matrix import local
 from .order import ranged, with_place
 from .solve import generalized_eigh
 from .tiles import Tiled
@@ -165,6 +165,11 @@ def gamma_of_spins(orbitals: DataFrame, occupations: DataFrame, phase_table: Dat
     return out
 
 
-def rotated_to(spark: SparkSession, a: DataFrame, c: np.ndarray) -> DataFrame:
-    """C^T A C of a supercell matrix (i, j, re, im) or (i, j, v) and real orbitals."""
-    return from_local(spark, c.T @ local(a, len(c), len(c)) @ c)
+def rotated_to(a: Tiled, c: Tiled) -> Tiled:
+    """C^T A C of a supercell matrix and real orbitals, by tiles."""
+    return tiles.product(c, tiles.product(a, c).stored(), "T")
+
+
+def in_one_basis(matrix: DataFrame, n_ao: int) -> DataFrame:
+    """to_supercell()'s rows as entries (i, j, re, im), i and j being cell * n_ao + basis function."""
+    return matrix.select((F.col("r") * n_ao + F.col("p")).alias("i"), (F.col("s") * n_ao + F.col("q")).alias("j"), "re", "im")

@@ -306,6 +306,18 @@ def k_to_gamma(s: SparkSession, d: str) -> DataFrame:
     return out(supercell.k_to_gamma(orbitals, phase_table(s, d), k_matrices(s, d), gamma), 4)
 
 
+def supercell_rotated(s: SparkSession, d: str) -> DataFrame:
+    """Matrices of nations by priority and segment as one of 25 cells of five functions, rotated to months."""
+    sales = _table(s, d, "customer").join(_table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    p, q = F.ascii("o_orderpriority") - 49, F.instr(F.lit("ABFHM"), F.substring("c_mktsegment", 1, 1)) - 1
+    k, price = F.col("c_nationkey").cast("long"), F.sum("o_totalprice") / 1e7
+    matrices = sales.groupBy(k.alias("k"), p.cast("long").alias("p"), q.cast("long").alias("q")).agg(price.alias("re"), (F.count("*") / 1e4).alias("im"))
+    c = sales.groupBy((k * 5 + p).cast("long").alias("i"), (F.month("o_orderdate") - 1).cast("long").alias("j")).agg(price.alias("v"))
+    a = supercell.in_one_basis(supercell.to_supercell(matrices, phase_table(s, d)), 5)
+    turned = supercell.rotated_to(tiles.from_entries(a, 125, 125, 64), tiles.from_entries(c, 125, 12, 64))
+    return out(tiles.to_entries(tiles.completed(turned, True), True), 4)
+
+
 def prepared_densities(s: SparkSession, d: str) -> DataFrame:
     """(g, full, occupied): densities of orbitals that a rotation by the mean outer product makes."""
     c = matrix.local(small_complex(s, d), 32, 32)
@@ -561,6 +573,7 @@ QUERIES: dict[str, Query] = {
     "orbital_order": orbital_order,
     "metric_half": metric_half,
     "prepared_densities": prepared_densities,
+    "supercell_rotated": supercell_rotated,
     "k_to_gamma": k_to_gamma,
     "molecular_written": molecular_written,
     "class_weights": class_weights,
@@ -767,6 +780,7 @@ ORACLE_SQL: dict[str, str] = {
     "fft_prime": _prime(""),
     "orthonormality": f"WITH {_GRID} {_SHAPE}, o AS (SELECT a.j AS i, b.j, sum(v * (a.re * b.re + a.im * b.im)) - CASE WHEN a.j = b.j THEN 1 ELSE 0 END AS re, sum(v * (a.re * b.im - a.im * b.re)) AS im FROM phi a JOIN phi b ON a.i = b.i JOIN kernel ON a.i = g GROUP BY a.j, b.j) SELECT round(max(sqrt(re * re + im * im)), 6) + 0.0e0 AS worst FROM o",
     "k_to_gamma": f"WITH {_PHASE}, sales AS (SELECT CAST(c_nationkey AS BIGINT) AS k, CAST(ascii(o_orderpriority) AS BIGINT) AS p, CAST(ascii(o_orderstatus) AS BIGINT) AS q, CAST(ascii(c_mktsegment) AS BIGINT) AS m, o_totalprice AS price FROM customer JOIN orders ON c_custkey = o_custkey), c AS (SELECT k, p, m, sum(price) / 1e7 AS re, count(*) / 1e4 AS im FROM sales GROUP BY 1, 2, 3), s AS (SELECT k, p, q, sum(price) / 1e6 AS re, count(*) / 1e3 AS im FROM sales GROUP BY 1, 2, 3), g AS (SELECT k AS r, q, m AS j, sum(price) / 1e7 AS v FROM sales GROUP BY 1, 2, 3), h AS (SELECT k, m AS i, q, sum(c.re * s.re + c.im * s.im) AS re, sum(c.re * s.im - c.im * s.re) AS im FROM c JOIN s USING (k, p) GROUP BY 1, 2, 3), f AS (SELECT k, q, j, sum(ph.re * v) AS re, sum(-ph.im * v) AS im FROM ph JOIN g USING (r) GROUP BY 1, 2, 3) SELECT k, i, j, round(sum(h.re * f.re - h.im * f.im), 4) + 0.0e0 AS re, round(sum(h.re * f.im + h.im * f.re), 4) + 0.0e0 AS im FROM h JOIN f USING (k, q) GROUP BY 1, 2, 3",
+    "supercell_rotated": f"WITH {_PHASE}, sales AS (SELECT CAST(c_nationkey AS BIGINT) AS k, CAST(ascii(o_orderpriority) - 49 AS BIGINT) AS p, CAST(instr('ABFHM', c_mktsegment[1]) - 1 AS BIGINT) AS q, CAST(month(o_orderdate) - 1 AS BIGINT) AS m, o_totalprice AS price FROM customer JOIN orders ON c_custkey = o_custkey), a AS (SELECT k, p, q, sum(price) / 1e7 AS re, count(*) / 1e4 AS im FROM sales GROUP BY 1, 2, 3), c AS (SELECT k AS r, p, m, sum(price) / 1e7 AS v FROM sales GROUP BY 1, 2, 3), big AS (SELECT s.r AS r, p, t.r AS s, q, sum((s.re * t.re + s.im * t.im) * a.re - (s.im * t.re - s.re * t.im) * a.im) AS re, sum((s.re * t.re + s.im * t.im) * a.im + (s.im * t.re - s.re * t.im) * a.re) AS im FROM a JOIN ph s USING (k) JOIN ph t USING (k) GROUP BY 1, 2, 3, 4), h AS (SELECT big.r, big.p, c.m AS j, sum(big.re * c.v) AS re, sum(big.im * c.v) AS im FROM big JOIN c ON big.s = c.r AND big.q = c.p GROUP BY 1, 2, 3), months AS (SELECT CAST(unnest(range(0, 12)) AS BIGINT) AS m), z AS (SELECT c.m AS i, h.j, sum(c.v * h.re) AS re, sum(c.v * h.im) AS im FROM c JOIN h USING (r, p) GROUP BY 1, 2) SELECT x.m AS i, y.m AS j, round(coalesce(re, 0), 4) + 0.0e0 AS re, round(coalesce(im, 0), 4) + 0.0e0 AS im FROM months x CROSS JOIN months y LEFT JOIN z ON z.i = x.m AND z.j = y.m",
     "orbital_order": f"WITH {_LEVELS} SELECT k, m, {_r('e')}, row_number() OVER (ORDER BY l.e, k, m) - 1 AS j FROM l",
     "metric_half": f"WITH {_X} SELECT a.i, b.i AS j, round(coalesce(sum(a.v * b.v) FILTER (a.j < {OCC}), 0) * sum(a.v * b.v) FILTER (a.j >= {OCC}), 6) + 0.0e0 AS v FROM x a JOIN x b ON a.j = b.j GROUP BY 1, 2",
     "prepared_densities": f"WITH {_SMALLC}, o AS (SELECT a.i AS g, b.j, sum(a.re * b.re - a.im * b.im) AS re, sum(a.re * b.im + a.im * b.re) AS im FROM phi a JOIN sc b ON a.j = b.i GROUP BY 1, 2) SELECT g, round(sum(re * re + im * im), 6) + 0.0e0 AS total, round(sum(re * re + im * im) FILTER (j < {OCC}), 6) + 0.0e0 AS occupied FROM o GROUP BY 1",

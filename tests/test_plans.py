@@ -254,8 +254,9 @@ def test_gamma_orbitals(spark):
     h = -(np.roll(np.eye(n), 1, 0) + np.roll(np.eye(n), -1, 0))
     np.testing.assert_allclose(orbitals.T @ orbitals, np.eye(n), atol=1e-10)
     np.testing.assert_allclose(orbitals.T @ h @ orbitals, np.diag(e), atol=1e-10)
-    turned = supercell.rotated_to(spark, matrix.from_local(spark, h), orbitals)
-    np.testing.assert_allclose(matrix.local(turned, n, n), np.diag(e), atol=1e-10)
+    for size in (tiles.SIZE, 4):  # one tile, and some
+        turned = supercell.rotated_to(*(tiles.from_entries(matrix.from_local(spark, x), n, n, size) for x in (h, orbitals)))
+        np.testing.assert_allclose(matrix.local(tiles.to_entries(turned, False), n, n), np.diag(e), atol=1e-10)
 
 
 def test_gamma_orbitals_that_need_all_levels(spark):
