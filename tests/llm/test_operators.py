@@ -373,6 +373,25 @@ def test_mpeg_foreign_rows(spark):
     assert got[4].n_bytes is None and got[4].duration_s == 3 * 1152 / 44100 and got[4].seek_offsets == [0, 417, 834] and got[None].n_bytes == 3
 
 
+def test_mpeg_payload_like_a_tag(spark):
+    """TAG where an ID3v1 tag would begin, 128 bytes before the stream's end, is the last frame's payload."""
+    texts = {k: ("a" * (576 * k + 521) + "TAG").ljust(n, "b") for k, n in ((0, 524), (1, 1140), (3, 2304))}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.payload_sha256, r.tail_crc32, r.payload_bytes, r.n_bytes, "skipped 0; table whole" in r.feature) for r in mpeg_audio.op3_mpeg_audio(rows).collect()}
+    padded = {k: mpeg_audio.padded(t.encode()) for k, t in texts.items()}
+    assert got == {k: (hashlib.sha256(p).hexdigest(), zlib.crc32(p[-576:]), len(p), len(texts[k]), True) for k, p in padded.items()}
+    v1 = (b"TAG" + b"song".ljust(30, b"\0")).ljust(128, b"\0")
+    own = mpeg_audio.encode(texts[0].encode())
+    own = own[mpeg_audio.tag_bytes(own) :]
+    assert mpeg_audio.tags(own) == {} and mpeg_audio.tags(own + v1)["title"] == "song"  # not a title "bbb", one behind the last frame
+    assert mpeg_audio.scan(own + v1)["offsets"] == mpeg_audio.scan(own)["offsets"] and mpeg_audio.scan(own + b"junk" + v1)["skipped"] == len(own) - 672 + 4
+
+
+def test_mpeg_bytes_that_are_no_utf8(spark):
+    rows = spark.sql("SELECT 1L AS doc_id, CAST(X'41ff42' AS STRING) AS text")
+    assert [(r.n_bytes, r.payload_sha256) for r in mpeg_audio.op3_mpeg_audio(rows).collect()] == [(3, hashlib.sha256(mpeg_audio.padded(b"A\xffB")).hexdigest())]
+
+
 def test_mpeg_rows(odd, none):
     for r, (doc, text, *_) in zip(rows_of(mpeg_audio.op3_mpeg_audio(odd)), sorted(odd_rows(), key=lambda r: (r[0] is None, r[0]))):
         assert r.doc_id == doc
