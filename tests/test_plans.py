@@ -1,5 +1,9 @@
 """Whole factorizations reproduce the exact contractions; queries match DuckDB; streams add up."""
 
+import ast
+import inspect
+from collections import Counter
+
 import duckdb
 import numpy as np
 import pytest
@@ -192,6 +196,12 @@ def test_query(spark, sf, duck, name):
     assert a.astype(str).equals(b.astype(str))
 
 
+def test_no_query_function_hides_another():
+    """A second function of one name gave four queries other rows than theirs."""
+    named = Counter(x.name for x in ast.parse(inspect.getsource(queries)).body if isinstance(x, ast.FunctionDef))
+    assert not [name for name, n in named.items() if n > 1]
+
+
 def test_sketched_pivots_of_the_vectors(spark, sf):
     """The one query without SQL: distinct points whose diagonals are of the size of exact pivots'."""
     got = queries.QUERIES["pivot_points_sketch"](spark, sf).orderBy("step").collect()
