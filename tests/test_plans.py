@@ -196,6 +196,20 @@ def test_query(spark, sf, duck, name):
     assert a.astype(str).equals(b.astype(str))
 
 
+@pytest.mark.parametrize("name", ["energy_order"])
+def test_orders_of_odd_levels(spark, tmp_path, name):
+    """Prices, sizes and numbers that are null, NaN or infinite, and repeated rows, as SQL puts them in order."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 3, 900.0), (2, 3, None), (3, 3, 899.5), (4, None, 899.5), (5, None, None), (6, 7, nan), (7, 7, inf), (8, 7, -inf), (9, 7, None)]
+    rows += [(10, 7, 900.0)] * 3 + [(None, 7, 901.0)] * 2 + [(11, 7, 901.0)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_no_query_function_hides_another():
     """A second function of one name gave four queries other rows than theirs."""
     named = Counter(x.name for x in ast.parse(inspect.getsource(queries)).body if isinstance(x, ast.FunctionDef))
