@@ -58,8 +58,13 @@ def orbitals_to_supercell(coefficients: DataFrame, phase_table: DataFrame) -> Da
 
 def orbital_order(orbitals: DataFrame, per_part: int = 1 << 20) -> DataFrame:
     """(k, m, e, j): the place of each orbital in the order of energies, k-points and numbers, of all k-points together."""
+    return level_order(orbitals.select("k", "m", "e").distinct(), per_part)
+
+
+def level_order(levels: DataFrame, per_part: int = 1 << 20) -> DataFrame:
+    """The same of levels(k, m, e), a place for each row, also for repeated ones."""
     keys = ["e", "k", "m"]
-    return with_place(ranged(orbitals.select("k", "m", "e").distinct(), keys, per_part), keys, "j").select("k", "m", "e", "j")
+    return with_place(ranged(levels, keys, per_part), keys, "j").select("k", "m", "e", "j")
 
 
 def orthonormality(c: Tiled, overlap: Tiled) -> DataFrame:

@@ -196,7 +196,7 @@ def test_query(spark, sf, duck, name):
     assert a.astype(str).equals(b.astype(str))
 
 
-@pytest.mark.parametrize("name", ["energy_order", "global_order"])
+@pytest.mark.parametrize("name", ["energy_order", "global_order", "orbital_order"])
 def test_orders_of_odd_levels(spark, tmp_path, name):
     """Prices, sizes and numbers that are null, NaN or infinite, and repeated rows, as SQL puts them in order."""
     nan, inf = float("nan"), float("inf")
