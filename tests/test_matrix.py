@@ -271,3 +271,20 @@ def test_long_axes(spark, shape, most):
     for broken in (rows.where("g <> 1"), rows.where("g <> 1").unionAll(rows.where("g = 0"))):
         with pytest.raises(Exception, match="points"):
             fourier.fft_rows(broken, shape, False, most).collect()
+
+
+def test_a_chirp_before_another_axis(spark):
+    """The points of the chirp's padding are none of the grid's, also while the next axis looks for points outside."""
+    shape = (17, 1, 2)
+    x = np.random.default_rng(13).normal(size=34)
+    table = spark.createDataFrame([(0, g, float(v), 0.0) for g, v in enumerate(x)], "i long, g long, re double, im double")
+    for backward in (False, True):
+        got = fourier.dft(table, shape, backward, most=5).orderBy("g").collect()
+        want = np.fft.ifftn(x.reshape(shape)) * 34 if backward else np.fft.fftn(x.reshape(shape))
+        np.testing.assert_allclose([complex(r.re, r.im) for r in got], want.ravel(), atol=1e-10)
+    for bad in (-1, 34):
+        more = table.unionByName(table.limit(1).withColumn("g", F.lit(bad).cast("long")))
+        with pytest.raises(Exception, match="outside"):
+            fourier.dft(more, (2, 1, 17)).collect()
+        with pytest.raises(Exception, match="outside|a line has"):
+            fourier.dft(more, shape, most=5).collect()
