@@ -69,7 +69,7 @@ def level_order(levels: DataFrame, per_part: int = 1 << 20) -> DataFrame:
 
 def orthonormality(c: Tiled, overlap: Tiled) -> DataFrame:
     """(worst): the largest modulus of C^H S C - 1, by tiles; tiles of the overlap that aren't there are zeros."""
-    half = tiles.product(overlap, c).stored()
+    half = tiles.product(overlap, c, sparse=True).stored()
     rest = tiles.mapped(tiles.completed(tiles.product(c, half, "C", "N"), True), lambda x, i, j: x - np.eye(*x.shape) if i == j else x)
     return tiles.to_entries(rest, True).agg(F.max(F.hypot("re", "im")).alias("worst"))
 
