@@ -410,3 +410,20 @@ def test_factors_in_many_tiles(spark, crystal, occupied):
         assert not np.triu(low, 1).any()
     with pytest.raises(ValueError, match="no points"):
         isdf.rows_at(phi, [1, NG])
+
+
+@pytest.mark.parametrize("orbitals, size", [(4, 16), (5, 50)])
+def test_factors_of_more_points_than_pairs(spark, monkeypatch, orbitals, size):
+    """By the triangle of pairs of orbitals, also of short rank (the last orbital is the first one), and without a metric of points by points."""
+    rng = np.random.default_rng(31)
+    eta = rng.normal(size=(50, orbitals))
+    eta[:, -1] = eta[:, 0]
+    s = (eta @ eta.T) ** 2
+    b = rng.normal(size=(3, 50))
+    monkeypatch.setattr(molecular, "factorize", None)
+    at = tiles.from_local(spark, eta, size)
+    d, m = molecular.factorize_orbitals(at, matrix.from_local(spark, b), 3)
+    want = b @ np.linalg.pinv(s, 1e-12)
+    np.testing.assert_allclose(tiles.local(d), want, atol=1e-9 * abs(want).max())
+    np.testing.assert_allclose(tiles.local(m), want.T @ want, atol=1e-9 * abs(want.T @ want).max())
+    np.testing.assert_allclose(tiles.local(molecular.times_metric(d, at)), want @ s, atol=1e-9)
